@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op2_chat_format
 from .lines import OP9_SQL, op9_line_dedup
+from .minhash import op8_minhash_dedup
 from .pieces import op3_sentencepiece
 from .quality import op10_quality_rules
 from .secrets import op1_secret_scans
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_chat_format": op2_chat_format,
     "op3_sentencepiece": op3_sentencepiece,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
