@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op2_chat_format
 from .lines import OP9_SQL, op9_line_dedup
 from .minhash import op8_minhash_dedup
+from .passages import OP5_SQL, op5_substring_dedup
 from .pieces import op3_sentencepiece
 from .quality import op10_quality_rules
 from .secrets import op1_secret_scans
@@ -13,11 +14,13 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_chat_format": op2_chat_format,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op5_substring_dedup": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
 }
