@@ -28,8 +28,8 @@ _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15 | 1
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -104,12 +104,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         a, b = starts[i:j] - base, ends[i:j] - base
         piece = data[base : int(ends[j - 1])].astype(np.uint64)
         piece += np.uint64(1)
-        piece *= powers(_BASE, len(piece))
+        piece *= powers(BASE, len(piece))
         sums = np.empty(len(piece) + 1, dtype=np.uint64)
         sums[0] = 0
         np.cumsum(piece, out=sums[1:])
         h = sums[b] - sums[a]
-        h *= powers(_BASE_INVERSE, len(piece))[a] if len(piece) else np.uint64(1)
+        h *= powers(BASE_INVERSE, len(piece))[a] if len(piece) else np.uint64(1)
         h ^= (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         out[i:j] = mix(h)
         i = j

@@ -9,12 +9,14 @@ from .passages import OP5_SQL, op5_substring_dedup
 from .pieces import op3_sentencepiece
 from .quality import op10_quality_rules
 from .secrets import op1_secret_scans
+from .suffixes import op6_suffix_array_dedup
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_chat_format": op2_chat_format,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
