@@ -25,6 +25,8 @@ CHUNK_BYTES = 2 << 20
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
+#: Letters and digits make words here; bytes of other scripts are letters.
+NOT_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -144,11 +146,14 @@ class TextBatch:
     def __len__(self) -> int:
         return len(self.ids)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of all words, and where each document's words begin (len + 1)."""
+    def words(self, breaks: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words, and where each document's words begin (len + 1).
+
+        ``breaks`` says of each byte value whether it parts words.
+        """
         n = len(self.data)
         inside = np.zeros(n + 1, dtype=bool)
-        inside[:n] = ~_IS_SPACE[self.data]
+        inside[:n] = ~breaks[self.data]
         first = np.zeros(n + 1, dtype=bool)
         first[self.offsets] = True
         before = np.empty(n, dtype=bool)
@@ -158,13 +163,16 @@ class TextBatch:
         ends = np.flatnonzero(inside[:n] & (~inside[1:] | first[1:])) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def word_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        starts, ends, bounds = self.words()
+    def word_hashes(self, breaks: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends, bounds = self.words(breaks)
         return starts, ends, bounds, span_hashes(self.data, starts, ends)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], id_col: str = "doc_id", text_col: str = "text", lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[tuple[TextBatch, pa.RecordBatch]]:
-    """The batches, cut into parts of about `size` bytes of text, whole documents each."""
+def text_chunks(batches: Iterator[pa.RecordBatch], id_col: str = "doc_id", text_col: str = "text", lower: bool = False, size: int = CHUNK_BYTES, fold: bool = False) -> Iterator[tuple[TextBatch, pa.RecordBatch]]:
+    """The batches, cut into parts of about `size` bytes of text, whole documents each.
+
+    ``lower`` makes A-Z lower case, ``fold`` the letters of all scripts.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -175,7 +183,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], id_col: str = "doc_id", text_
             done = int(totals[i - 1]) if i else 0
             j = max(i + 1, int(np.searchsorted(totals, done + size, side="right")))
             part = batch.slice(i, j - i)
-            yield TextBatch(part.column(id_col), part.column(text_col), lower), part
+            text = pc.utf8_lower(part.column(text_col)) if fold else part.column(text_col)
+            yield TextBatch(part.column(id_col), text, lower), part
             i = j
 
 

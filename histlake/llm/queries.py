@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op2_chat_format
+from .decontaminate import op7_decontaminate
 from .lines import OP9_SQL, op9_line_dedup
 from .minhash import op8_minhash_dedup
 from .passages import OP5_SQL, op5_substring_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
