@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op2_chat_format
 from .decontaminate import op7_decontaminate
+from .html import op4_html_extraction
 from .lines import OP9_SQL, op9_line_dedup
 from .minhash import op8_minhash_dedup
 from .passages import OP5_SQL, op5_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_chat_format": op2_chat_format,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_html_extraction": op4_html_extraction,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_decontaminate": op7_decontaminate,
@@ -24,6 +26,8 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+#: The other queries are tested against brute force: their rows need iteration,
+#: a tokeniser, a parser or positions of matches, which SQL lacks.
 ORACLE_SQL = {
     "op5_substring_dedup": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
