@@ -185,9 +185,21 @@ def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_first(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are kept, in all their columns: the smallest id of each component."""
+    result = materialise(near_duplicates(docs, folder, id_col, text_col), folder, "result")
+    _tidy(docs.sparkSession, folder)
+    gone = result.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+
+
+def _tidy(spark: SparkSession, folder: str) -> None:
+    for name in ("profiles", "buckets", "pairs", "links", "mixed", "more", "more-links"):
+        delete(spark, f"{folder}/{name}")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark)
     result = materialise(near_duplicates(table(spark, sf_dir, "documents"), folder), folder, "result")
-    for name in ("profiles", "buckets", "pairs", "links", "mixed", "more", "more-links"):
-        delete(spark, f"{folder}/{name}")
+    _tidy(spark, folder)
     return result
