@@ -46,6 +46,8 @@ BATCHES = 3
 SEGMENT = 1 << 20
 #: Anchors with more different reaches are counted by stretch instead of gathered.
 MAX_GROUP = 20_000
+#: Stretches of a group that are sorted at once.
+ROUND = 1 << 19
 
 ENTRIES = "key long, reach long, doc_id long, at int"
 
@@ -194,12 +196,16 @@ def _marked(groups: DataFrame, length: int) -> DataFrame:
         h = np.concatenate(hashes)
         # reaches of one document may overlap: the same place is no repeat
         place = np.concatenate([(np.uint64(doc * 0x9E3779B97F4A7C15 % (1 << 64))) + np.arange(at - left, at - left + len(x)).astype(np.uint64) for ((doc, at), (left, _)), x in zip(group.items(), hashes, strict=True)])
-        order = np.lexsort((place, h))
-        h, place = h[order], place[order]
-        edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
-        differ = np.concatenate(([0], np.cumsum((h[1:] == h[:-1]) & (place[1:] != place[:-1]))))
         twice = np.zeros(len(h), dtype=bool)
-        twice[order] = np.repeat(differ[edge[1:] - 1] > differ[edge[:-1]], np.diff(edge))
+        rounds = -(-len(h) // ROUND)
+        part = (h >> np.uint64(40)) % np.uint64(rounds)
+        for r in range(rounds):
+            mine = np.flatnonzero(part == r)
+            mine = mine[np.lexsort((place[mine], h[mine]))]
+            x, y = h[mine], place[mine]
+            edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
+            differ = np.concatenate(([0], np.cumsum((x[1:] == x[:-1]) & (y[1:] != y[:-1]))))
+            twice[mine] = np.repeat(differ[edge[1:] - 1] > differ[edge[:-1]], np.diff(edge))
         out = []
         for i, ((doc, at), (left, _)) in enumerate(group.items()):
             starts = np.flatnonzero(twice[bounds[i] : bounds[i + 1]])
