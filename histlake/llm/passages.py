@@ -1,25 +1,31 @@
 """Substring dedup: words covered by passages that an earlier document holds.
 
-Two operators share the definition of a match, ``length`` consecutive equal words:
+Two operators share the definition of a match, ``length`` consecutive equal
+words, and the suffix automata of reference shards, through which documents are
+streamed for their matching statistics (the longest match that ends at each
+word); words inside matches of the threshold or more go.
 
-``remove_reference_spans`` removes what a bounded reference holds.  The
-reference is cut into shards; the suffix automaton of each shard is broadcast,
-and documents are streamed through it for their matching statistics (the
-longest match that ends at each word); words inside matches of the threshold or
-more go.
+``remove_reference_spans`` removes what a bounded reference holds: the automata
+of its shards are broadcast.
 
 ``remove_repeats`` takes the table itself as the reference: a word goes when a
-window over it also starts in a document with a smaller id.  One pass for each
-shard over all documents would cost the square of the table (figures in the
-README), so the shards are dealt by content instead: windows of ``length`` words,
-which are the automaton's states at that depth, are sent as 64-bit fingerprints
-to the shard that owns them, each shard finds the smallest document of each
-window, and the later documents' windows go back to their documents.
-
-* Fingerprints travel in blocks, one for each batch and shard, not as rows.
+window of ``length`` words over it also starts in a document with a smaller id.
+A broadcast of every shard to every document would cost the square of the table
+(figures in the README), so each document meets only the shards that can match:
+
+1. Fingerprints of all windows go, in blocks, to the shard of their hash, which
+   names the smallest document of each window that several documents hold.
+2. Documents that hold such windows later, and requests for the passages of the
+   first holders, go to the documents' homes, where the texts come too.
+3. The first holders' passages go to the homes that asked for them.  A home
+   builds the automata of these passages, in shards of bounded size, and streams
+   its documents through them; a state knows the smallest document that holds
+   its words, so only matches with smaller ids count.
+
 * A batch sends a window once, for its smallest document (a map-side combine),
-  so a passage in a third of all documents is one entry for each batch.
-* Texts travel once, compressed, to meet the windows they lose.
+  so a passage in a third of all documents is one entry for each batch, and its
+  text goes once to each home.
+* Documents without repeats travel once; the others twice, compressed.
 
 Defined cases: null or empty text has no words; repeated rows of one id are one
 document (ids must not stand for different texts); a null id is never a
@@ -30,43 +36,48 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TextBatch, byte_batch, gram_valid, grams, ids_and_texts, mix, shuffle_partitions, table, text_chunks, unpack
+from .common import TextBatch, gram_valid, grams, ids_and_texts, mix, shuffle_partitions, table, text_chunks, unpack
 
 LENGTH = 13
-#: Words of a reference shard; the automaton of one takes about 100 MB.
-SHARD_WORDS = 200_000
+#: Words of a reference shard; the automaton of one takes about 60 MB.
+SHARD_WORDS = 100_000
 #: Bytes of text whose windows are combined before they are sent.
 BLOCK_BYTES = 8 << 20
 #: Returned windows gathered before they are sent on.
 FLUSH = 1 << 20
+#: Larger than any id.
+NEVER = 1 << 63
+#: Bytes of a fingerprint that travel; its shard says some more bits.
+KEY_BYTES = 6
 
 
 class SuffixAutomaton:
-    """Of a sequence of words, with documents apart: no match crosses a None."""
+    """Of sequences of words, each of a document; no match crosses their ends."""
 
     def __init__(self) -> None:
         self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length, self.least = [-1], [0], [NEVER]
         self.last = 0
 
-    def extend(self, word: bytes | None) -> None:
-        if word is None:
-            self.last = 0
-            return
+    def begin(self) -> None:
+        self.last = 0
+
+    def extend(self, word: bytes, doc: int = 0) -> None:
         now = self.next[self.last].get(word)
-        if now is not None and self.length[now] == self.length[self.last] + 1:
-            self.last = now  # the passage is there already
-            return
-        if now is not None:
-            self.last = self._clone(self.last, word, now)
+        if now is not None:  # the passage is there already
+            if self.length[now] != self.length[self.last] + 1:
+                now = self._clone(self.last, word, now)
+            self.least[now] = min(self.least[now], doc)
+            self.last = now
             return
-        new = self._state({}, self.length[self.last] + 1, 0)
+        new = self._state({}, self.length[self.last] + 1, 0, doc)
         p = self.last
         while p >= 0 and word not in self.next[p]:
             self.next[p][word] = new
@@ -76,34 +87,53 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, word, q)
         self.last = new
 
-    def _state(self, edges: dict[bytes, int], length: int, link: int) -> int:
+    def _state(self, edges: dict[bytes, int], length: int, link: int, least: int) -> int:
         self.next.append(edges)
         self.length.append(length)
         self.link.append(link)
+        self.least.append(least)
         return len(self.length) - 1
 
     def _clone(self, p: int, word: bytes, q: int) -> int:
-        copy = self._state(dict(self.next[q]), self.length[p] + 1, self.link[q])
+        copy = self._state(dict(self.next[q]), self.length[p] + 1, self.link[q], self.least[q])
         while p >= 0 and self.next[p].get(word) == q:
             self.next[p][word] = copy
             p = self.link[p]
         self.link[q] = copy
         return copy
 
+    def first_documents(self, length: int) -> list[int]:
+        """For each state, the smallest document that holds the last `length` words of its matches."""
+        least, order = self.least.copy(), np.argsort(np.array(self.length), kind="stable").tolist()
+        for s in reversed(order[1:]):
+            up = self.link[s]
+            if least[s] < least[up]:
+                least[up] = least[s]
+        out = [NEVER] * len(least)
+        for s in order[1:]:
+            if self.length[s] >= length:
+                up = self.link[s]
+                out[s] = least[s] if self.length[up] < length else out[up]
+        return out
+
     def statistics(self, words: list[bytes]) -> np.ndarray:
         """The length of the longest match that ends at each word."""
-        out = np.zeros(len(words), dtype=np.int64)
+        return np.array([size for _, size in self._stream(words)], dtype=np.int64)
+
+    def _stream(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """State and length of the longest match that ends at each word."""
         state, size = 0, 0
         follow, link, length = self.next, self.link, self.length
-        for i, w in enumerate(words):
-            while state and w not in follow[state]:
+        for w in words:
+            to = follow[state].get(w)
+            while to is None and state:
                 state = link[state]
                 size = length[state]
-            if w in follow[state]:
-                state = follow[state][w]
+                to = follow[state].get(w)
+            if to is not None:
+                state = to
                 size += 1
-            out[i] = size
-        return out
+            yield state, size
 
 
 def covered(statistics: np.ndarray, threshold: int) -> np.ndarray:
@@ -120,7 +150,7 @@ def reference_shards(texts: Iterator[str | None], size: int = SHARD_WORDS) -> It
     """Automata over whole texts, of about `size` words each."""
     automaton, n = SuffixAutomaton(), 0
     for text in texts:
-        automaton.extend(None)
+        automaton.begin()
         for word in _split(text):
             automaton.extend(word)
             n += 1
@@ -131,7 +161,7 @@ def reference_shards(texts: Iterator[str | None], size: int = SHARD_WORDS) -> It
         yield automaton
 
 
-def remove_reference_spans(docs: DataFrame, reference: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", max_words: int = 20 * SHARD_WORDS) -> DataFrame:
+def remove_reference_spans(docs: DataFrame, reference: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", max_words: int = 40 * SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, text: without the words that the reference's passages cover.
 
     reference(text) is bounded: its words are counted first, and more than
@@ -211,7 +241,7 @@ def window_hashes(batch: TextBatch, length: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _send_windows(docs: DataFrame, length: int, n_shards: int, n_homes: int) -> DataFrame:
-    """kind 0: windows for their shard, keys are the fingerprints' low 7 bytes; kind 1: windows already known to go, for their document."""
+    """kind 0: windows for their shard, keys are fingerprints; kinds 1 and 2, for homes, as in _find_later, of windows that a block holds several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _ in text_chunks(batches, size=BLOCK_BYTES):
@@ -226,26 +256,43 @@ def _send_windows(docs: DataFrame, length: int, n_shards: int, n_homes: int) ->
             fresh[1:] = h[1:] != h[:-1]
             own = fresh.copy()  # the first place of each window in each document
             own[1:] |= doc[1:] != doc[:-1]
-            late = np.flatnonzero(own & ~fresh)
             sent = np.flatnonzero(fresh)
             sent = sent[np.lexsort((at[sent], doc[sent]))]
             rows = []
             for t, x in _pieces((h[sent] >> np.uint64(48)).astype(np.int64) % n_shards, n_shards):
                 x = sent[x]
-                rows.append((t, 0, None, *_block(doc[x], at[x]), h[x].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
-            late = late[np.lexsort((at[late], doc[late]))]
-            for t, x in _pieces(_home(doc[late], n_homes), n_homes):
-                rows.append((t, 1, None, *_block(doc[late[x]], at[late[x]]), None))
+                rows.append((t, 0, None, *_block(doc[x], at[x]), h[x].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()))
+            late = np.flatnonzero(own & ~fresh)
+            first = np.flatnonzero(fresh)[np.cumsum(fresh)[late] - 1]
+            rows += _requests(doc[late], doc[first], at[first], n_homes)
             yield _rows(rows)
 
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, BLOCKS)
 
 
+def _requests(later: np.ndarray, doc: np.ndarray, at: np.ndarray, n_homes: int) -> list[tuple]:
+    """kind 1: later documents, for their homes; kind 2: windows (doc, at) of first holders, for theirs, keys are the homes that ask."""
+    rows = []
+    if len(later):
+        asking = _home(later, n_homes)
+        names = np.unique(later)
+        for t, x in _pieces(_home(names, n_homes), n_homes):
+            rows.append((t, 1, None, *_block(names[x], np.empty(0)), None))
+        order = np.lexsort((asking, at, doc))
+        doc, at, asking = doc[order], at[order], asking[order]
+        once = np.ones(len(doc), dtype=bool)
+        once[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]) | (asking[1:] != asking[:-1])
+        doc, at, asking = doc[once], at[once], asking[once]
+        for t, x in _pieces(_home(doc, n_homes), n_homes):
+            rows.append((t, 2, None, *_block(doc[x], at[x]), _press(asking[x].astype(np.uint32))))
+    return rows
+
+
 def _find_later(blocks: DataFrame, n_homes: int) -> DataFrame:
-    """The windows of later documents, for their documents; blocks come shard by shard."""
+    """Later documents and requests for the passages of first holders; blocks come shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         shard, parts = -1, []
 
         def close() -> None:
@@ -255,43 +302,39 @@ def _find_later(blocks: DataFrame, n_homes: int) -> DataFrame:
                 h, doc, at = h[order], doc[order], at[order]
                 first = np.ones(len(h), dtype=bool)
                 first[1:] = h[1:] != h[:-1]
-                least = doc[first][np.cumsum(first) - 1]
-                later = doc > least
-                found.append((doc[later], at[later]))
+                least = np.flatnonzero(first)[np.cumsum(first) - 1]
+                later = np.flatnonzero(doc > doc[least])
+                found.append((doc[later], doc[least[later]], at[least[later]]))
             parts.clear()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        def flush() -> pa.RecordBatch | None:
+            rows = _requests(*(np.concatenate(x) for x in zip(*found, strict=True)), n_homes)
             found.clear()
-            order = np.lexsort((at, doc))
-            doc, at = doc[order], at[order]
-            rows = [(t, 0, None, *_block(doc[x], at[x]), None) for t, x in _pieces(_home(doc, n_homes), n_homes)]
-            if rows:
-                yield _rows(rows)
+            return _rows(rows) if rows else None
 
         for batch in batches:
             for target, kind, docs, at, keys in zip(*(batch.column(c).to_pylist() for c in ("target", "kind", "docs", "at", "keys")), strict=True):
                 if kind:
-                    yield _rows([(target, 0, None, docs, at, None)])
+                    yield _rows([(target, kind, None, docs, at, keys)])
                     continue
                 if target != shard:
                     close()
                     shard = target
                 doc = np.cumsum(_open(docs, np.int64))
                 h = np.zeros((len(doc), 8), dtype=np.uint8)
-                h[:, :7] = np.frombuffer(keys, dtype=np.uint8).reshape(-1, 7)
-                parts.append((h.view(np.uint64).ravel(), doc, _open(at, np.uint32)))
-                if sum(len(x[0]) for x in found) >= FLUSH:
-                    yield from flush()
+                h[:, :KEY_BYTES] = np.frombuffer(keys, dtype=np.uint8).reshape(-1, KEY_BYTES)
+                parts.append((h.view(np.uint64).ravel(), doc, _open(at, np.uint32).astype(np.int64)))
+                if sum(len(x[0]) for x in found) >= FLUSH and (out := flush()) is not None:
+                    yield out
         close()
-        if found:
-            yield from flush()
+        if found and (out := flush()) is not None:
+            yield out
 
     return blocks.mapInArrow(run, BLOCKS)
 
 
 def _send_texts(docs: DataFrame, n_homes: int) -> DataFrame:
-    """kind 1: the texts, packed, for their home."""
+    """kind 3: the texts, packed, for their home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -301,116 +344,132 @@ def _send_texts(docs: DataFrame, n_homes: int) -> DataFrame:
             ids = np.asarray(batch.column("doc_id").fill_null(0).cast(pa.int64()))
             packed = [press((t or "").encode()) for t in batch.column("text").to_pylist()]
             n, none = batch.num_rows, pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(_home(ids, n_homes), pa.int32()), pa.array(np.ones(n), pa.int32()), batch.column("doc_id"), none, none, pa.array(packed, pa.binary())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(_home(ids, n_homes), pa.int32()), pa.array(np.full(n, 3), pa.int32()), batch.column("doc_id"), none, none, pa.array(packed, pa.binary())], names=_NAMES)
 
     return docs.mapInArrow(run, BLOCKS)
 
 
-def _without(batch: TextBatch, length: int, ids: np.ndarray, gone_docs: np.ndarray, gone_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Words, words removed and the kept text of each document.
+def _by_home(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], Iterator[tuple[int | None, bytes]]]]:
+    """Home by home: its blocks (kind, doc_id, docs, at, keys), then its texts (doc_id, packed) one by one."""
+    rows = ((t, row) for batch in batches for t, *row in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True))
+    for home, group in groupby(rows, key=lambda x: x[0]):
+        blocks: list[tuple] = []
+        first: list[tuple[int | None, bytes]] = []
+        for _, row in group:
+            if row[0] == 3:
+                first.append((row[1], row[4]))
+                break
+            blocks.append(tuple(row))
+        yield home, blocks, chain(first, ((row[1], row[4]) for _, row in group))
 
-    gone_*: for each window that goes, its first place in its document; the
-    document's other places of the same window go too.
-    """
-    starts, ends, bounds, words = batch.word_hashes()
-    gone = np.zeros(len(words) + 1, dtype=np.int64)
-    if len(gone_docs):
-        first = np.flatnonzero(gram_valid(bounds, len(words), length))
-        doc = np.searchsorted(bounds, first, side="right") - 1
-        key = grams(words, length)[first] ^ mix(ids[doc].view(np.uint64))
-        order = np.argsort(ids, kind="stable")
-        where = order[np.searchsorted(ids, gone_docs, sorter=order)]
-        at = np.searchsorted(first, bounds[where] + gone_at)
-        hit = np.isin(key, key[at])
-        np.add.at(gone, first[hit], 1)
-        np.add.at(gone, first[hit] + length, -1)
-    gone = np.cumsum(gone[:-1]) > 0
-    n_words = np.diff(bounds)
-    removed = np.bincount(np.repeat(np.arange(len(batch)), n_words)[gone], minlength=len(batch))
-    # kept words, each with the byte after it as a space
-    data = batch.data.copy()
-    edge = np.zeros(len(data) + 1, dtype=np.int8)
-    edge[starts[~gone]] += 1
-    edge[ends[~gone] + 1] -= 1
-    data[ends[~gone]] = 32
-    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
-    kept = data[inside].tobytes()
-    cuts = np.concatenate(([0], np.cumsum(inside)))[batch.offsets]
-    return n_words, removed, [kept[a : b - 1] if b > a else b"" for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _meet(mixed: DataFrame, length: int) -> DataFrame:
-    """Texts without the windows that came before them to their home."""
+
+def _later(blocks: list[tuple]) -> set[int]:
+    out: set[int] = set()
+    for kind, _, docs, _, _ in blocks:
+        if kind == 1:
+            out.update(np.cumsum(_open(docs, np.int64)).tolist())
+    return out
+
+
+def _untouched(mixed: DataFrame) -> DataFrame:
+    """The results of documents that no smaller document shares a window with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, docs, places = -1, [], []
-        gone: tuple[np.ndarray, np.ndarray] | None = None
-        waiting: list[tuple[int | None, bytes]] = []
-
-        def work() -> Iterator[pa.RecordBatch]:
-            nonlocal gone
-            if not waiting:
-                return
-            if gone is None:
-                doc = np.concatenate([np.empty(0, np.int64), *docs])
-                at = np.concatenate([np.empty(0, np.int64), *places])
-                order = np.argsort(doc, kind="stable")
-                gone = doc[order], at[order]
-                docs.clear()
-                places.clear()
-            texts = unpack(pa.array([x for _, x in waiting], pa.binary()))
-            batch = byte_batch(None, [t + b"\n" for t in texts])
-            batch.ids = waiting
-            # a null id loses nothing: no window is ever sent for it
-            known = np.array([i is not None for i, _ in waiting])
-            ids = np.array([i if i is not None else 0 for i, _ in waiting], dtype=np.int64)
-            mine = np.isin(gone[0], ids[known])
-            if not known.all():
-                yield from _emit(batch, length, ids, known, gone[0][mine], gone[1][mine], waiting)
-            else:
-                n, removed, kept = _without(batch, length, ids, gone[0][mine], gone[1][mine])
-                yield _result([i for i, _ in waiting], n, removed, kept)
-            waiting.clear()
-
-        size = 0
-        for batch in batches:
-            for target, kind, doc_id, d, at, packed in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
-                if target != home or not kind and waiting:
-                    yield from work()
-                    size = 0
-                    if target != home:
-                        docs.clear()
-                        places.clear()
-                        gone, home = None, target
-                if kind:
-                    waiting.append((doc_id, packed))
-                    size += len(packed)
-                    if size >= BLOCK_BYTES // 8:
-                        yield from work()
-                        size = 0
-                else:
-                    docs.append(np.cumsum(_open(d, np.int64)))
-                    places.append(_open(at, np.uint32).astype(np.int64))
-        yield from work()
+        for _, blocks, texts in _by_home(batches):
+            later = _later(blocks)
+            mine = (x for x in texts if x[0] is None or x[0] not in later)
+            while part := list(islice(mine, 256)):
+                words = [x.split() for x in unpack(pa.array([p for _, p in part], pa.binary()))]
+                yield _result([(i, len(w), 0, b" ".join(w)) for (i, _), w in zip(part, words, strict=True)])
+
+    return mixed.mapInArrow(run, RESULT)
 
-    return mixed.mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
 
+RESULT = "doc_id long, n_words long, n_removed long, text string"
 
-def _result(ids: list, n: np.ndarray, removed: np.ndarray, kept: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([x.decode() for x in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
+def _result(rows: list[tuple]) -> pa.RecordBatch:
+    ids, n, removed, kept = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([x.decode() for x in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
-def _emit(batch: TextBatch, length: int, ids: np.ndarray, known: np.ndarray, gone_docs: np.ndarray, gone_at: np.ndarray, waiting: list) -> Iterator[pa.RecordBatch]:
-    """The same where some ids are null: those documents are whole."""
-    texts = [batch.data[a:b].tobytes() for a, b in zip(batch.offsets, batch.offsets[1:], strict=False)]
-    for want in (True, False):
-        at = np.flatnonzero(known == want)
-        if len(at):
-            part = byte_batch(None, [texts[i] for i in at])
-            part.ids = at
-            none = np.empty(0, dtype=np.int64)
-            n, removed, kept = _without(part, length, ids[at], gone_docs if want else none, gone_at if want else none)
-            yield _result([waiting[i][0] for i in at], n, removed, kept)
+
+def _passages_and_later(mixed: DataFrame, length: int) -> DataFrame:
+    """For homes: kind 0, passages of first holders (keys: words by space, passages by line); kind 3, texts of later documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, blocks, texts in _by_home(batches):
+            later = _later(blocks)
+            asked = [(np.cumsum(_open(d, np.int64)), _open(at, np.uint32).astype(np.int64), _open(keys, np.uint32).astype(np.int64)) for kind, _, d, at, keys in blocks if kind == 2]
+            doc, at, asking = (np.concatenate(x) for x in zip(*asked, strict=True)) if asked else (np.empty(0, np.int64),) * 3
+            order = np.lexsort((at, asking, doc))
+            doc, at, asking = doc[order], at[order], asking[order]
+            seen: set[int] = set()
+            rows: list[tuple] = []
+            for name, packed in texts:
+                if name is None:
+                    continue
+                if name in later:
+                    rows.append((home, 3, name, None, None, packed))
+                low, high = np.searchsorted(doc, name), np.searchsorted(doc, name, side="right")
+                if low < high and name not in seen:
+                    seen.add(name)
+                    words = unpack(pa.array([packed], pa.binary()))[0].split()
+                    for to in np.unique(asking[low:high]):
+                        mine = slice(low + np.searchsorted(asking[low:high], to), low + np.searchsorted(asking[low:high], to, side="right"))
+                        starts = np.unique(at[mine])
+                        cut = np.flatnonzero(np.diff(starts) > length - 1)
+                        spans = zip(starts[np.concatenate(([0], cut + 1))].tolist(), (starts[np.concatenate((cut, [len(starts) - 1]))] + length).tolist(), strict=True)
+                        rows.append((int(to), 0, name, None, None, _press_bytes(b"\n".join(b" ".join(words[a:b]) for a, b in spans))))
+                if len(rows) >= 256:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
+
+    return mixed.mapInArrow(run, BLOCKS)
+
+
+def _press_bytes(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(data, 1)
+
+
+def _passage_shards(blocks: list[tuple]) -> Iterator[SuffixAutomaton]:
+    """Automata of a home's passages, of about SHARD_WORDS words each."""
+    automaton, n = SuffixAutomaton(), 0
+    for _, doc, _, _, packed in blocks:
+        for passage in unpack(pa.array([packed], pa.binary()))[0].split(b"\n"):
+            automaton.begin()
+            for word in passage.split():
+                automaton.extend(word, doc)
+                n += 1
+        if n >= SHARD_WORDS:
+            yield automaton
+            automaton, n = SuffixAutomaton(), 0
+    if n:
+        yield automaton
+
+
+def _stream_through(passages: DataFrame, length: int) -> DataFrame:
+    """Later documents without what a smaller document's passages cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blocks, texts in _by_home(batches):
+            held = list(texts)  # compressed; a home is a small part of the table
+            ends: list[np.ndarray | None] = [None] * len(held)
+            for automaton in _passage_shards(blocks):
+                first = automaton.first_documents(length)
+                for k, (doc, packed) in enumerate(held):
+                    words = unpack(pa.array([packed], pa.binary()))[0].split()
+                    hit = np.fromiter((size >= length and first[state] < doc for state, size in automaton._stream(words)), dtype=bool, count=len(words))
+                    ends[k] = hit if ends[k] is None else ends[k] | hit
+            for k, (doc, packed) in enumerate(held):
+                words = unpack(pa.array([packed], pa.binary()))[0].split()
+                gone = covered(np.where(ends[k], length, 0), length) if ends[k] is not None else np.zeros(len(words), dtype=bool)
+                yield _result([(doc, len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))])
+
+    return passages.mapInArrow(run, RESULT)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -419,9 +478,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     parts = shuffle_partitions(docs.sparkSession)
     n_shards, n_homes = 8 * parts, 4 * parts
     blocks = _send_windows(docs, length, n_shards, n_homes).repartition(parts, "target").sortWithinPartitions("kind", "target")
-    later = _find_later(blocks, n_homes)
-    mixed = later.union(_send_texts(docs, n_homes)).repartition(parts, "target").sortWithinPartitions("target", "kind")
-    return _meet(mixed, length)
+    mixed = _find_later(blocks, n_homes).union(_send_texts(docs, n_homes)).repartition(parts, "target").sortWithinPartitions("target", "kind")
+    passages = _passages_and_later(mixed, length).repartition(parts, "target").sortWithinPartitions("target", "kind")
+    return _untouched(mixed).union(_stream_through(passages, length))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

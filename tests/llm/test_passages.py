@@ -64,7 +64,7 @@ def test_automaton_statistics():
         seqs = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(1, 25))] for _ in range(4)]
         automaton = passages.SuffixAutomaton()
         for s in seqs:
-            automaton.extend(None)
+            automaton.begin()
             for w in s:
                 automaton.extend(w)
         probe = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(30)]
@@ -85,3 +85,27 @@ def test_reference_spans(spark):
         assert (out[i]["n_words"], out[i]["n_removed"], out[i]["text"]) == (len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone))
     with pytest.raises(ValueError):
         passages.remove_reference_spans(documents(spark, data), spark.createDataFrame([(reference[0],)], "text string"), max_words=10)
+
+
+def test_first_documents_of_states():
+    rng = random.Random(2)
+    for _ in range(60):
+        seqs = [(rng.randrange(100), [rng.choice([b"a", b"b"]) for _ in range(rng.randrange(1, 20))]) for _ in range(5)]
+        automaton = passages.SuffixAutomaton()
+        for doc, s in seqs:
+            automaton.begin()
+            for w in s:
+                automaton.extend(w, doc)
+        first = automaton.first_documents(3)
+        probe = [rng.choice([b"a", b"b", b"c"]) for _ in range(40)]
+        for i, (state, size) in enumerate(automaton._stream(probe)):
+            part = probe[i - 2 : i + 1] if i >= 2 else None
+            holders = [doc for doc, s in seqs if part and any(s[k : k + 3] == part for k in range(len(s)))]
+            assert (first[state] if size >= 3 else passages.NEVER) == min(holders, default=passages.NEVER)
+
+
+def test_small_shards(spark, monkeypatch):
+    data = texts(random.Random(10))
+    monkeypatch.setattr(passages, "SHARD_WORDS", 100)
+    result = {r["doc_id"]: (r["n_words"], r["n_removed"], sha(r["text"])) for r in passages.remove_repeats(documents(spark, data)).collect()}
+    assert result == brute(data)
