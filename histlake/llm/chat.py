@@ -54,7 +54,7 @@ def unescape_role(role: Column) -> Column:
 
 def turn_tokens(text: Column) -> Column:
     """Tokens of a formatted turn: its words and the three marks around them."""
-    return (F.size(F.split(F.trim(text), r"\s+")) + 3).cast("long")
+    return (F.size(F.split(F.trim(text), r"[ \t\n\x0B\f\r]+")) + 3).cast("long")
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -135,3 +135,37 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_back(windows(real.unionByName(extra)))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+_ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS>>)', '\1\\\2\3', 'g')"
+
+#: The same windows by the same prefix sums; text lengths stand for the texts.
+OP2_SQL = rf"""
+WITH src AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, len(string_split_regex(trim(text), '[ \t\n\x0B\f\r]+')) + 3 AS tokens,
+         length(replace(replace({_ESCAPED.format("role")}, '%', '%25'), chr(10), '%0A')) + length({_ESCAPED.format("text")}) + 8 AS chars
+  FROM src),
+placed AS (
+  SELECT *, row_number() OVER o AS pos, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cum,
+         sum(chars) OVER (o ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+  FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+reached AS (
+  SELECT *, cum // {BUDGET} AS span, min(pos) OVER (PARTITION BY conv_id ORDER BY cum RANGE BETWEEN {HISTORY} PRECEDING AND CURRENT ROW) AS from_pos FROM placed),
+begins AS (
+  SELECT conv_id, span, min(pos) AS begin_, arg_min(from_pos, pos) AS back, sum(chars)::BIGINT AS fresh FROM reached GROUP BY conv_id, span),
+windows AS (
+  SELECT b.conv_id, b.fresh + coalesce(e.upto, 0) - coalesce(s.upto, 0) + CASE WHEN f.role = 'system' AND b.back > 1 THEN f.chars ELSE 0 END AS chars
+  FROM begins b JOIN placed f ON f.conv_id = b.conv_id AND f.pos = 1
+  LEFT JOIN placed e ON e.conv_id = b.conv_id AND e.pos = b.begin_ - 1
+  LEFT JOIN placed s ON s.conv_id = b.conv_id AND s.pos = b.back - 1),
+formatted AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM windows GROUP BY conv_id),
+said AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss
+  FROM placed GROUP BY conv_id)
+SELECT said.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM said JOIN formatted ON formatted.conv_id = said.conv_id
+"""

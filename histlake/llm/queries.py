@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .chat import op2_chat_format
+from .chat import OP2_SQL, op2_chat_format
 from .decontaminate import op7_decontaminate
 from .html import op4_html_extraction
 from .lines import OP9_SQL, op9_line_dedup
@@ -29,6 +29,7 @@ QUERIES = {
 #: The other queries are tested against brute force: their rows need iteration,
 #: a tokeniser, a parser or positions of matches, which SQL lacks.
 ORACLE_SQL = {
+    "op2_chat_format": OP2_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
 }
