@@ -54,7 +54,13 @@ def lines(spark, words: list[str], flags: set[str], excludes: list[str]):
     exact, summary = "e" in flags, "s" in flags
     tail = lambda r: f"  {r['summary']}" if summary else ""
     if words[0] == "comp" and len(words) > 2:
-        for r in history.comp(RepoCatalog(spark, words[1], {"commit"}), [RepoCatalog(spark, w, {"commit"}) for w in words[2:]]).collect():
+        base, targets = RepoCatalog(spark, words[1], {"commit"}), []
+        for w in words[2:]:
+            try:
+                targets.append(RepoCatalog(spark, w, {"commit"}))
+            except OSError as e:  # the others are compared all the same
+                print(f"target {w}: {e}", file=sys.stderr)
+        for r in history.comp(base, targets).collect() if targets else ():
             lca = f"{r['lca']}  (gen {r['lca_generation']})" if r["lca"] else "none (no shared history)"
             yield f"vs {r['target']}  HEAD {r['head']}  ancestors {r['ancestors']}  common {r['common']}  ahead {r['ahead']}  behind {r['behind']}  LCA {lca}"
         return

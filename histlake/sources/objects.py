@@ -5,8 +5,8 @@
 
 Options: path (a repository, or a .pack file), repo (its name, by default the
 path), kinds (all by default), pushdown ("true" takes kinds from filters as
-well, where spark.sql.python.filterPushdown.enabled is set), content ("false" leaves bodies null and inflates
-only what ids need), loose ("false" leaves loose objects out), partition_bytes.
+well, where spark.sql.python.filterPushdown.enabled is set), content ("false" leaves bodies null, and with an
+index reads headers only), loose ("false" leaves loose objects out), partition_bytes.
 
 A pack becomes partitions along its delta families, so that no base is read
 twice and packs of any size spread over many tasks.  Executors read the path
@@ -101,7 +101,7 @@ class GitObjectsReader(DataSourceReader):
         rows, size = [], 0
         for row in self._packed(part) if part.pack else self._loose(part):
             rows.append(row)
-            size += row[6] if self.content else 64
+            size += row[6] if self.content else 200
             if size >= BATCH_BYTES:
                 yield _batch(rows)
                 rows, size = [], 0
@@ -114,6 +114,11 @@ class GitObjectsReader(DataSourceReader):
         sha_of = {o: s for s, o in index or ()}
         reader = packfmt.PackReader(data, dict(index or ()))
         pack = packfmt.pack_id(data)
+        if not self.content and sha_of:  # ids and kinds need no inflating; sizes of deltas would
+            for offset in part.offsets:
+                if (kind := reader.kind_of(offset)) in self.kinds:
+                    yield self.repo, "pack", pack, offset, sha_of[offset], kind, None, None
+            return
         for offset, kind, content in reader.read(list(part.offsets), self.kinds):
             sha = sha_of.get(offset) or packfmt.object_id(kind, content)
             yield self.repo, "pack", pack, offset, sha, kind, len(content), content if self.content else None

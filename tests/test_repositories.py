@@ -110,6 +110,8 @@ def test_source_options(spark, repo):
     assert small.rdd.getNumPartitions() > 3 and {r["sha"] for r in small.select("sha").collect()} == set(want)
     assert {r["kind"] for r in load(kinds="commit,tag").select("kind").collect()} == {"commit", "tag"}
     assert load(content="false").where("content IS NOT NULL").count() == 0
+    heads = load(content="false", loose="false").collect()
+    assert heads and all(want[r["sha"]][0] == r["kind"] for r in heads)
     assert load(loose="false").where("storage = 'loose'").count() == 0
     assert {r["kind"] for r in load().where("kind = 'tree'").select("kind").collect()} == {"tree"}
     assert {r["sha"] for r in source.from_binary_files(spark, repo.path + "/.git").select("sha").collect()} == set(want)
@@ -280,7 +282,7 @@ def test_command_line(spark, repo, fork, capsys):
     assert "commits:" in " ".join(lines(repo.path, "dag")) and lines("churn", repo.path, fork.path, "1")[0].endswith("(6 commits):")
     assert lines(repo.path, "refs", "main", "1") and lines(repo.path, "duper", "1")[1].startswith("#1")
     assert lines(repo.path, "find", repo.git("rev-parse", "main:src/x.py"))[0].startswith(repo.first)
-    assert len(lines("comp", repo.path, fork.path)) == 1
+    assert len(lines("comp", repo.path, "/nowhere", fork.path)) == 1
     assert cli.parse(["-es", "x", "--all", "--exclude=a"]) == (["x"], {"e", "s", "a"}, ["a"])
     assert run("--nope")[0] == 1 and run("--help")[0] == 0 and run()[0] == 1
 
