@@ -2,16 +2,21 @@
 
 A document's set is its distinct 5-word shingles (A-Z in lower case).  Equal
 sets are one class, found by a 128-bit fingerprint; only class representatives
-go on.  Each band of minima names a bucket; in a bucket the smallest and the
-largest representative are paired with every other one (a star, never all
-pairs).  Pairs are confirmed on their full sets; verified links give components
-by alternating large-star and small-star.  Where a bucket still holds several
-components, its members outside the largest one are paired with the members of
-the other components, filtered by their signatures and confirmed alike, so a
-link between two members that are no leaders is not lost.
-
-With 28 bands of 3 minima, a pair at exactly 0.75 shares no bucket with
-probability 2e-7.
+go on.  Bands of three minima name buckets.  A bucket of up to ``SMALL``
+members is used as it is; larger ones hold many documents that share a passage
+but little else, so their members are dealt anew by longer bands (seven minima,
+drawn from the whole signature), which only similar documents share.
+
+In each bucket the smallest representative is paired with the others (a star,
+never all pairs).  Pairs are filtered by their signatures, then confirmed on
+their full sets; confirmed links give components by alternating large-star and
+small-star.  Where a bucket still holds several components, its members are
+compared anew, exactly: pairs must share one of their rarest shingles (a prefix
+filter), and what does is confirmed alike, so a link between two members that
+are no leaders is not lost.
+
+A pair at exactly 0.75 shares no short band with probability 2e-7, no long band
+with about 1e-6, and fails the signature filter with about 1e-6.
 
 Defined cases: null or empty text has an empty set and no links; repeated rows
 of one id are one document (ids must not stand for different texts); a null id
@@ -26,19 +31,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import TextBatch, byte_batch, delete, gram_valid, grams, ids_and_texts, materialise, mix, packed_texts, table, text_chunks, unpack, work_dir
 from .components import connected_components
 
 SHINGLE_WORDS = 5
+MINIMA = 256
 BANDS, ROWS = 28, 3
+LONG_BANDS, LONG_ROWS = 150, 7
 PERCENT = 75
-#: Agreeing minima of 84 below which a pair of the last step is not compared: seven deviations below 0.75.
-LEAST_AGREEING = 36
+#: Members of a bucket above which it is dealt anew by the long bands.
+SMALL = 64
+#: Agreeing minima of all below which a pair is not compared: 4.8 deviations below 0.75.
+LEAST_AGREEING = 159
 
-_SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64)
-_FACTORS, _TERMS = (_SEEDS[0] << np.uint64(1)) | np.uint64(1), _SEEDS[1]
+_DRAW = np.random.default_rng(20240607)
+_FACTORS = _DRAW.integers(1, 1 << 32, size=MINIMA, dtype=np.uint32) | np.uint32(1)
+_TERMS = _DRAW.integers(0, 1 << 32, size=MINIMA, dtype=np.uint32)
+_LONG = np.array([_DRAW.choice(MINIMA, LONG_ROWS, replace=False) for _ in range(LONG_BANDS)])
 
 
 def shingle_sets(batch: TextBatch, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -61,26 +73,33 @@ def shingle_sets(batch: TextBatch, k: int = SHINGLE_WORDS) -> tuple[np.ndarray,
 
 
 def minima(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(documents with a set) x (BANDS * ROWS) minima of the universal hashes."""
+    """(documents with a set) x MINIMA minima of the universal hashes a * x + b of the sets' high 32 bits."""
     starts = bounds[:-1][np.diff(bounds) > 0]
-    out = np.empty((len(starts), BANDS * ROWS), dtype=np.uint64)
+    out = np.empty((len(starts), MINIMA), dtype=np.uint32)
     if len(starts):
-        scratch = np.empty_like(sets)
-        for i in range(BANDS * ROWS):
-            np.multiply(sets, _FACTORS[i], out=scratch)
+        high = (sets >> np.uint64(32)).astype(np.uint32)
+        scratch = np.empty_like(high)
+        for i in range(MINIMA):
+            np.multiply(high, _FACTORS[i], out=scratch)
             scratch += _TERMS[i]
-            out[:, i] = np.minimum.reduceat(scratch, starts) >> np.uint64(32)
+            out[:, i] = np.minimum.reduceat(scratch, starts)
     return out
 
 
-def band_keys(low: np.ndarray) -> np.ndarray:
-    keys = np.empty((len(low), BANDS), dtype=np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(low), b + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, b * ROWS + r])
+def signatures(low: np.ndarray) -> np.ndarray:
+    """A byte of each minimum."""
+    return np.ascontiguousarray((mix(low) >> np.uint64(56)).astype(np.uint8))
+
+
+def _keys(values: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """A key for each band, which is a row of places in the values."""
+    keys = np.empty((len(values), len(bands)), dtype=np.uint64)
+    for b, places in enumerate(bands):
+        key = np.full(len(values), b + 1, dtype=np.uint64)
+        for r in places:
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, r])
         keys[:, b] = key
-    return keys
+    return keys.view(np.int64)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -94,8 +113,8 @@ def profiles(docs: DataFrame) -> DataFrame:
             one, two = prefix(mix(sets)), prefix(mix(sets ^ np.uint64(0x5851F42D4C957F2D)))
             f1, f2 = (one[bounds[1:]] - one[bounds[:-1]]).view(np.int64), (two[bounds[1:]] - two[bounds[:-1]]).view(np.int64)
             low = minima(sets, bounds)
-            keys = band_keys(low).view(np.int64)
-            signs = np.ascontiguousarray(low.astype(np.uint8))
+            keys = _keys(low, np.arange(BANDS * ROWS).reshape(BANDS, ROWS))
+            signs = signatures(low)
             has = n > 0
             at = np.cumsum(has) - 1
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * BANDS))), pa.int32()), pa.array(keys.ravel()))
@@ -131,54 +150,123 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return two.mapInArrow(run, "a long, b long")
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sign_a, sign_b) whose signatures agree often enough."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
+def _agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree often enough."""
+    signed = pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sign_a")), "a").join(signs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sign_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("sign_a", "sign_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= LEAST_AGREEING))
+                same = (_matrix(batch.column("sign_a")) == _matrix(batch.column("sign_b"))).sum(axis=1)
+                yield batch.select(["a", "b"]).filter(pa.array(same >= LEAST_AGREEING))
+
+    return signed.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
+
+
+def _long_buckets(reps: DataFrame) -> DataFrame:
+    """key, rep of the long bands, from signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keys = _keys(_matrix(part.column("signature")), _LONG)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(part.column("doc_id")), LONG_BANDS))], names=["key", "rep"])
+
+    return reps.mapInArrow(run, "key long, rep long")
+
+
+def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """rep, component, outside: the members of buckets with several components; outside: in one of them not in the largest."""
+    placed = buckets.where("n > 2").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1").select("key", F.col("largest.component").alias("largest"))
+    return placed.join(mixed, "key").groupBy("rep", "component").agg(F.max(F.col("component") != F.col("largest")).alias("outside"))
+
 
-    return pairs.mapInArrow(run, "a long, b long")
+def _shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """rep, n, component, outside, h: the sets of members, a row for each shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sets, bounds = shingle_sets(byte_batch(part.column("rep"), unpack(part.column("packed")), lower=True))
+                n = np.diff(bounds)
+                which = pa.array(np.repeat(np.arange(part.num_rows), n))
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(which), pa.array(np.repeat(n, n).astype(np.int64)), part.column("component").take(which), part.column("outside").take(which), pa.array(sets.view(np.int64))], names=["rep", "n", "component", "outside", "h"])
+
+    joined = members.join(texts.select(F.col("doc_id").alias("rep"), "packed").dropDuplicates(["rep"]), "rep")
+    return joined.select("rep", "component", "outside", "packed").mapInArrow(run, "rep long, n long, component long, outside boolean, h long")
+
+
+def sharing_rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, one of them outside, that can reach PERCENT.
+
+    Exact: with shingles from rare to common, such a pair shares one among the
+    first n - ceil(3 n / 4) + 1 of the larger set and the first
+    n - ceil(6 n / 7) + 1 of the smaller (for 75 percent), early enough that the
+    rest of both sets can hold the overlap that is still needed.  A passage that many
+    members share is common, so it makes no pairs; only members that differ in
+    little else meet, and those are linked already but for a few.
+    """
+    rows = _shingles(members, texts)
+    shared = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    mine = W.partitionBy("rep")
+    placed = rows.join(shared, "h").select("*", F.row_number().over(mine.orderBy("df", "h")).alias("r"), F.count("*").over(mine).alias("held"))
+    place = F.col("n") - F.col("held") + F.col("r")  # those that no other member holds come first
+    n = F.col("n")
+    probe = n - F.ceil(n * PERCENT / 100) + 1
+    index = n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)) + 1
+    heads = placed.where(place <= probe).select("rep", "n", "component", "outside", "h", place.alias("place"), (place <= index).alias("first"))
+    x, y = heads.where("outside").alias("x"), heads.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep"))
+    meets = F.when(smaller, F.col("x.first")).otherwise(F.col("y.first"))
+    # before a first common shingle nothing is common, so what follows must be enough
+    enough = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT))
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & enough & meets)
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row.  Work tables go to ``folder``, which executors share."""
+    spark = docs.sparkSession
     docs = ids_and_texts(docs, id_col, text_col)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     found = materialise(profiles(docs), folder, "profiles")
     sets = found.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = sets.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = materialise(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")), folder, "buckets")
-
-    ends = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    member = buckets.join(ends, "key")
-    star = member.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).union(member.where("rep <> low AND rep <> high").select(F.col("rep").alias("a"), F.col("high").alias("b")))
-    pairs = materialise(star.distinct(), folder, "pairs")
+    signs = materialise(reps.select("doc_id", "n_shingles", "signature", "bands"), folder, "signatures")
+
+    short = signs.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
+    sizes = short.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
+    met = materialise(short.join(sizes, "key"), folder, "met")
+    hot = met.where(F.col("n") > SMALL).select(F.col("rep").alias("doc_id")).distinct()
+    long_ = _long_buckets(signs.join(hot, "doc_id", "left_semi").select("doc_id", "signature"))
+    long_sizes = long_.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
+    buckets = materialise(met.where(F.col("n") <= SMALL).select("key", "rep", "n", "low").union(long_.join(long_sizes, "key").select("key", "rep", "n", "low")), folder, "buckets")
+    delete(spark, f"{folder}/met")
+
+    star = buckets.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    tried = materialise(_agreeing(star, signs), folder, "tried")
     texts = packed_texts(docs)
-    links = materialise(confirmed(pairs, texts), folder, "links")
+    links = materialise(confirmed(tried, texts), folder, "links")
     components = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), folder, "first")
 
     # buckets that still hold several components
-    placed = buckets.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1 AND members > 2")
-    inside = placed.join(mixed.select("key", F.col("largest.component").alias("largest")), "key")
-    inside = materialise(inside, folder, "mixed")
-    outer, other = inside.where("component <> largest"), inside.select("key", F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("largest").alias("largest2"))
-    cross = outer.join(other, "key").where("component <> component2 AND (component2 = largest2 OR rep < rep2)")
-    cross = cross.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    signs = reps.select("doc_id", "signature")
-    signed = cross.join(signs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sign_a")), "a").join(signs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sign_b")), "b")
-    more = materialise(_agreeing(signed.select("a", "b", "sign_a", "sign_b")), folder, "more")
+    members = materialise(_mixed(buckets, components), folder, "members")
+    more = materialise(sharing_rare_shingles(members, texts).join(tried, ["a", "b"], "left_anti"), folder, "more")
     if not more.isEmpty():
         new = materialise(confirmed(more, texts), folder, "more-links")
         if not new.isEmpty():
             components = connected_components(links.union(new).select(F.col("a").alias("u"), F.col("b").alias("v")), folder, "second")
 
-    final = found.join(classes, ["f1", "f2", "n_shingles"], "left")
+    final = found.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left")
     final = final.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), own)
@@ -194,7 +282,7 @@ def keep_first(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
 
 
 def _tidy(spark: SparkSession, folder: str) -> None:
-    for name in ("profiles", "buckets", "pairs", "links", "mixed", "more", "more-links"):
+    for name in ("profiles", "signatures", "buckets", "tried", "links", "members", "more", "more-links"):
         delete(spark, f"{folder}/{name}")
 
 

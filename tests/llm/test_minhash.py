@@ -66,3 +66,30 @@ def test_components_of_long_chains(spark):
     out = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "u long, v long"), work_dir(spark)).collect()}
     assert {out[n] for n in nodes[:200]} == {min(nodes[:200])}
     assert {out[n] for n in nodes[200:]} == {min(nodes[200:])}
+
+
+def test_crowded_buckets_are_dealt_anew(spark, monkeypatch):
+    """Many documents share a passage, and among them are groups of near copies without a common original."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    rng = random.Random(21)
+    passage = sentence(rng, 60, 5000)
+    texts = [passage + " " + sentence(rng, rng.randrange(10, 60), 5000) for _ in range(150)]
+    for base in texts[:6]:
+        texts += family(rng, base, 25, 6)
+    rng.shuffle(texts)
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(documents(spark, texts), work_dir(spark)).collect()}
+    assert out == brute(texts)
+
+
+def test_rare_shingles_find_all_links(spark):
+    rng = random.Random(31)
+    passage = sentence(rng, 80, 5000)
+    texts = [f"{passage} {sentence(rng, rng.randrange(5, 40), 5000)}" for _ in range(60)] + family(rng, passage, 40, 12) + family(rng, sentence(rng, 7, 50), 10, 2)
+    docs = documents(spark, texts)
+    members = docs.selectExpr("doc_id AS rep", "doc_id AS component", "true AS outside")
+    from histlake.llm.common import packed_texts
+
+    found = {(r["a"], r["b"]) for r in minhash.sharing_rare_shingles(members, packed_texts(docs.select("doc_id", "text"))).collect()}
+    sets = [shingles(t) for t in texts]
+    links = {(i, j) for j in range(len(texts)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert links <= found and len(found) < 3 * len(links)
