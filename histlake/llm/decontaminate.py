@@ -35,8 +35,9 @@ from .common import NOT_LETTER, TextBatch, grams, ids_and_texts, table, text_chu
 
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 8
-SHARD_ITEMS = 2_000
-PASS_ITEMS = 20_000
+#: Items of a shard, whose matrix of impacts is terms x items, and of a pass over the documents.
+SHARD_ITEMS = 400
+PASS_ITEMS = 2_000
 LEAST_SCORE = 0.5
 LEAST_OVERLAP = 0.5
 GRAM = 3
