@@ -6,7 +6,7 @@ from .chat import OP2_SQL, op2_chat_format
 from .decontaminate import op7_decontaminate
 from .html import op4_html_extraction
 from .lines import OP9_SQL, op9_line_dedup
-from .minhash import op8_minhash_dedup
+from .minhash import OP8_SQL, op8_minhash_dedup
 from .passages import OP5_SQL, op5_substring_dedup
 from .pieces import op3_sentencepiece
 from .quality import op10_quality_rules
@@ -31,5 +31,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_chat_format": OP2_SQL,
     "op5_substring_dedup": OP5_SQL,
+    "op8_minhash_dedup": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
 }
