@@ -44,6 +44,8 @@ ANCHOR = 96
 BATCHES = 3
 #: A longer document is indexed in parts of about so many bytes, to bound memory.
 SEGMENT = 1 << 20
+#: Parts that the entries of a key are dealt over where they are looked up.
+SALTS = 4
 #: Anchors with more different reaches are counted by stretch instead of gathered.
 MAX_GROUP = 20_000
 #: Stretches of a group that are sorted at once.
@@ -126,6 +128,13 @@ def entries(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, ENTRIES)
 
 
+def _semi(entries: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """The entries with a row in found; frequent keys are dealt over SALTS parts, and further by AQE."""
+    dealt = found.select(*on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = entries.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, [*on, "salt"], "left_semi").select(*entries.columns)
+
+
 class SuffixIndex:
     """Levels of sorted entries in a shared folder; level i holds 2**i batches or nothing."""
 
@@ -137,16 +146,16 @@ class SuffixIndex:
 
     def _keep(self, df: DataFrame, name: str) -> tuple[str, DataFrame]:
         parts = shuffle_partitions(self.spark)
-        return name, materialise(df.repartition(parts, "key").distinct().sortWithinPartitions("key"), self.folder, name)
+        return name, materialise(df.repartition(parts, "key", "doc_id").distinct().sortWithinPartitions("key", "reach"), self.folder, name)
 
     def add(self, new: DataFrame) -> None:
         """Scan a batch's array against itself and all levels, then let equal levels merge."""
         self.n += 1
         name, array = self._keep(new, f"array-{self.n}")
-        keys = array.select("key")
-        found = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        found = array.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        keys = array.select("key").distinct()
         for level in filter(None, self.levels):
-            found = found.union(keys.join(level[1].select("key"), "key", "left_semi"))
+            found = found.union(keys.join(level[1].select("key").distinct(), "key", "left_semi"))
         self.found.append(materialise(found.distinct(), self.folder, f"found-{self.n}"))
         at = 0
         while at < len(self.levels) and self.levels[at]:
@@ -170,7 +179,7 @@ class SuffixIndex:
         keys = self.found[0]
         for more in self.found[1:]:
             keys = keys.union(more)
-        return everything.join(keys.distinct(), "key", "left_semi")
+        return _semi(everything, keys.distinct(), ["key"])
 
 
 def _stretches(context: bytes, length: int) -> np.ndarray:
@@ -310,7 +319,7 @@ def remove_repeated_bytes(docs: DataFrame, folder: str, length: int = LENGTH, an
     classes = materialise(repeated.groupBy("key", "reach").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("one")), folder, "classes")
 
     # entries with twins repeat their whole reach
-    twins = repeated.join(classes.where("n > 1").select("key", "reach"), ["key", "reach"], "left_semi")
+    twins = _semi(repeated, classes.where("n > 1"), ["key", "reach"])
     whole = twins.select("doc_id", F.greatest(F.col("at") - (length - anchor), F.lit(0)).alias("start"), (F.col("at") + length).alias("end"))
     # anchors with several reaches are compared in full, one entry for each reach
     several = classes.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 AND least = 1").select("key", (F.col("c") > max_group).alias("many"))
