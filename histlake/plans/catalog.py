@@ -43,6 +43,17 @@ def dag_of(commits: DataFrame, edges: DataFrame) -> DataFrame:
     return commits.join(graph.generations(commits, edges), ["repo", "sha"]).join(graph.degrees(commits, edges), ["repo", "sha"])
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """Where fetched packs are kept: executors must see it, so the shared folder if it is mounted, else a local one."""
+    if chosen := os.environ.get("HISTLAKE_STAGING_DIR"):
+        return chosen
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    top = shared.removeprefix("file://").removeprefix("file:") if shared.startswith("file:") else None
+    if top:
+        os.makedirs(top, exist_ok=True)
+    return tempfile.mkdtemp(prefix="histlake-", dir=top)
+
+
 class RepoCatalog:
     """One repository, local (a path) or remote (a URL, staged as a pack).
 
@@ -54,7 +65,7 @@ class RepoCatalog:
         self.remote = smart_http.is_url(location)
         spark.dataSource.register(GitObjects)
         if self.remote:
-            self.path, self.head, found = smart_http.fetch_pack(location, tempfile.mkdtemp(prefix="histlake-"), kinds)
+            self.path, self.head, found = smart_http.fetch_pack(location, staging_folder(spark), kinds)
             self._refs = [(n, s, None) for n, s in found]
         else:
             self.path, self.head = location, refs_source.head(location)
