@@ -36,9 +36,22 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a registered query."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: with Spark's 10,000, long texts would make batches of many GB.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS, unless they are fewer already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share, below spark.checkpoint.dir.
 
@@ -188,6 +201,24 @@ def text_chunks(batches: Iterator[pa.RecordBatch], id_col: str = "doc_id", text_
             i = j
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int, text_col: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches, joined until they hold about `size` bytes of text."""
+    held, total = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            total += batch.column(text_col).nbytes
+            if total >= size:
+                yield joined()
+                held, total = [], 0
+    if held:
+        yield joined()
+
+
 def gram_valid(bounds: np.ndarray, n_words: int, k: int) -> np.ndarray:
     """Which starts of k-grams stay inside one document."""
     n = n_words - k + 1

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TextBatch, gram_valid, grams, ids_and_texts, mix, shuffle_partitions, table, text_chunks, unpack
+from .common import TextBatch, gathered, gram_valid, grams, ids_and_texts, mix, shuffle_partitions, table, text_chunks, unpack
 
 LENGTH = 13
 #: Words of a reference shard; the automaton of one takes about 60 MB.
@@ -244,7 +244,7 @@ def _send_windows(docs: DataFrame, length: int, n_shards: int, n_homes: int) ->
     """kind 0: windows for their shard, keys are fingerprints; kinds 1 and 2, for homes, as in _find_later, of windows that a block holds several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _ in text_chunks(batches, size=BLOCK_BYTES):
+        for chunk, _ in text_chunks(gathered(batches, BLOCK_BYTES), size=BLOCK_BYTES):
             ids = np.asarray(chunk.ids.cast(pa.int64()))
             h, _, doc, at = window_hashes(chunk, length)
             if not len(h):
