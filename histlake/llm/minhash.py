@@ -4,7 +4,7 @@ A document's set is its distinct 5-word shingles (A-Z in lower case).  Equal
 sets are one class, found by a 128-bit fingerprint; only class representatives
 go on.  Bands of three minima name buckets.  A bucket of up to ``SMALL``
 members is used as it is; larger ones hold many documents that share a passage
-but little else, so their members are dealt anew by longer bands (seven minima,
+but little else, so their members are dealt anew by longer bands (five minima,
 drawn from the whole signature), which only similar documents share.
 
 In each bucket the smallest representative is paired with the others (a star,
@@ -40,10 +40,12 @@ from .components import connected_components
 SHINGLE_WORDS = 5
 MINIMA = 256
 BANDS, ROWS = 28, 3
-LONG_BANDS, LONG_ROWS = 150, 7
+LONG_BANDS, LONG_ROWS = 64, 5
 PERCENT = 75
 #: Members of a bucket above which it is dealt anew by the long bands.
 SMALL = 64
+#: Parts that a group of copies is dealt over where its class is looked up.
+SALTS = 8
 #: Agreeing minima of all below which a pair is not compared: 4.8 deviations below 0.75.
 LEAST_AGREEING = 159
 
@@ -181,11 +183,12 @@ def _long_buckets(reps: DataFrame) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """rep, component, outside: the members of buckets with several components; outside: in one of them not in the largest."""
+    """rep, component, outside: the members of components that meet others in a bucket; outside: one of them is larger there."""
     placed = buckets.where("n > 2").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1").select("key", F.col("largest.component").alias("largest"))
-    return placed.join(mixed, "key").groupBy("rep", "component").agg(F.max(F.col("component") != F.col("largest")).alias("outside"))
+    meets = parts.join(mixed, "key").groupBy("component").agg(F.max(F.col("component") != F.col("largest")).alias("outside"))
+    return placed.select("rep", "component").distinct().join(meets, "component").select("rep", "component", "outside")
 
 
 def _shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,7 +242,7 @@ def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     found = materialise(profiles(docs), folder, "profiles")
     sets = found.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = sets.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = sets.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     signs = materialise(reps.select("doc_id", "n_shingles", "signature", "bands"), folder, "signatures")
 
@@ -266,9 +269,13 @@ def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
         if not new.isEmpty():
             components = connected_components(links.union(new).select(F.col("a").alias("u"), F.col("b").alias("v")), folder, "second")
 
-    final = found.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left")
-    final = final.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    # documents look their class up in parts, so that a large group of copies is no single task's
+    moved = components.where("node <> component").select(F.col("node").alias("rep"), "component")
+    told = classes.join(moved, "rep", "left").where("copies > 1 OR component IS NOT NULL")
+    told = told.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = found.select("doc_id", "n_shingles", "f1", "f2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    final = salted.join(told, ["f1", "f2", "n_shingles", "salt"], "left")
+    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), own)
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
