@@ -2,13 +2,14 @@
 
 A text is normalised as the model asks (a leading space, spaces as U+2581) and
 cut into units, a run of U+2581 with what follows; no piece crosses units.  For
-each distinct unit of a batch the lattice of pieces is built: bounded-length
-substrings, equi-joined to the piece table, grouped by unit, and folded into
-the best path.  Two folds exist, as the two model kinds need them:
+the distinct new units of a batch one lattice is built, as a relation: all
+substrings of bounded length are exploded and equi-joined to the piece table,
+and the edges, grouped by unit, are folded into paths.  Two folds exist, as the
+two model kinds need them:
 
-* ``viterbi``: the path with the largest sum of scores (unigram models);
 * ``bpe``: adjacent edges join in order of score, leftmost first (BPE models,
-  such as the 32k one); a Viterbi fold gives other pieces than such a model has.
+  such as the 32k one); a Viterbi fold gives other pieces than such a model has;
+* ``viterbi``: the path with the largest sum of scores (unigram models).
 
 Characters without a piece become byte pieces.  ``word_lattice`` is the fully
 relational form for a table of distinct words (explode, equi-join, group, and a
@@ -22,25 +23,30 @@ are not read.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ids_and_texts, table
+from .common import BASE, BASE_INVERSE, SPACES, ids_and_texts, mix, powers, table
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
+#: Larger than the rank of any piece.
+NO_PIECE = 1 << 30
 #: A vocabulary is sent to the executors whole only up to this size of its file.
 MAX_MODEL_BYTES = 64 << 20
+#: Units of up to so many characters, so many of them, make one lattice.
+LATTICE_CHARS = 48
+LATTICE_UNITS = 5_000
 #: Distinct units a worker remembers before it starts afresh.
-MAX_UNITS = 400_000
+MAX_UNITS = 300_000
 
 
 def default_model() -> str:
@@ -50,6 +56,115 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _spans(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of codes[start:end]."""
+    sums = np.empty(len(codes) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(codes)), out=sums[1:])
+    h = (sums[end] - sums[start]) * powers(BASE_INVERSE, len(sums))[start]
+    return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+class PieceTable:
+    """The pieces by the hash of their characters, for equi-joins of whole arrays."""
+
+    BITS = 18
+
+    def __init__(self, vocabulary: Vocabulary):
+        pieces = list(vocabulary.table)
+        ends = np.cumsum([len(p) for p in pieces])
+        keys = _spans(_codes("".join(pieces)), np.concatenate(([0], ends[:-1])), ends)
+        ids = np.array([vocabulary.table[p][1] for p in pieces], dtype=np.int64)
+        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.keys, self.ids = np.zeros(1 << self.BITS, dtype=np.uint64), np.full(1 << self.BITS, -1, dtype=np.int64)
+        _, first = np.unique(slot, return_index=True)
+        self.keys[slot[first]], self.ids[slot[first]] = keys[first], ids[first]
+        rest = np.ones(len(keys), dtype=bool)  # pieces whose slot is taken
+        rest[first] = False
+        order = np.argsort(keys[rest])
+        self.more, self.more_ids = keys[rest][order], ids[rest][order]
+
+    def join(self, keys: np.ndarray) -> np.ndarray:
+        """The id of each key's piece, or -1."""
+        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        ids = np.where(self.keys[slot] == keys, self.ids[slot], -1)
+        if len(self.more):
+            open_ = np.flatnonzero((ids < 0) & (self.ids[slot] >= 0))
+            at = np.minimum(np.searchsorted(self.more, keys[open_]), len(self.more) - 1)
+            hit = self.more[at] == keys[open_]
+            ids[open_[hit]] = self.more_ids[at[hit]]
+        return ids
+
+
+class Lattice:
+    """Edges of many units: ids[p * (longest + 1) + n] is the piece of the n characters from place p of the joined units, or -1.
+
+    All substrings of bounded length are exploded, unit by unit, and equi-joined
+    to the piece table by their hashes; edges stay grouped by unit, as places do.
+    """
+
+    def __init__(self, units: list[str], table: PieceTable, longest: int):
+        self.units = units
+        lengths = np.array([len(u) for u in units], dtype=np.int64)
+        self.bounds = np.concatenate(([0], np.cumsum(lengths)))
+        self.codes = _codes("".join(units))
+        self.unit = np.repeat(np.arange(len(units)), lengths)
+        room = np.minimum(self.bounds[self.unit + 1] - np.arange(len(self.codes)), longest)
+        start = np.repeat(np.arange(len(self.codes)), room)
+        size = np.arange(1, len(start) + 1) - np.repeat(np.cumsum(room) - room, room)
+        joined = table.join(_spans(self.codes, start, start + size))
+        edges = np.flatnonzero(joined >= 0)
+        self.edges = start[edges] * (longest + 1) + size[edges]
+        self.joined = joined[edges]
+        self.longest = longest
+        self.ids = np.full(len(self.codes) * (longest + 1), -1, dtype=np.int32)
+        self.ids[self.edges] = self.joined
+
+    def fold(self, vocabulary: Vocabulary) -> list[bytes]:
+        """The path of each unit by the rule of BPE: in every round each unit joins its best adjacent edges."""
+        longest, wide = self.longest, self.longest + 1
+        ranks = np.full(len(self.ids), NO_PIECE, dtype=np.int32)
+        ranks[self.edges] = vocabulary.rank_of_id[self.joined]
+        size = np.ones(len(self.codes), dtype=np.int64)
+        starts, done = np.arange(len(self.codes)), []
+        while len(starts):
+            unit = self.unit[starts]
+            both = size[starts[:-1]] + size[starts[1:]]
+            rank = np.full(len(starts), NO_PIECE, dtype=np.int32)
+            # an edge never crosses units, so places of other units hold no piece; neither do longer ones
+            near = np.flatnonzero(both <= longest)
+            rank[near] = ranks[starts[near] * wide + both[near]]
+            first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+            counts = np.diff(np.append(first, len(starts)))
+            best = np.repeat(np.minimum.reduceat(rank, first), counts)
+            ended = best == NO_PIECE
+            done.append(starts[ended])
+            at = np.flatnonzero((rank == best) & ~ended)
+            at = at[np.concatenate(([True], unit[at][1:] != unit[at][:-1]))] if len(at) else at
+            size[starts[at]] += size[starts[at + 1]]
+            stay = ~ended
+            stay[at + 1] = False
+            starts = starts[stay]
+        starts = np.sort(np.concatenate(done)) if done else starts
+        ids = self.ids[starts * wide + size[starts]]
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):  # characters without a piece become bytes
+            encoded = [[vocabulary.byte_ids[b] for b in chr(self.codes[p]).encode("utf-8", "surrogatepass")] for p in starts[unknown]]
+            times = np.ones(len(ids), dtype=np.int64)
+            times[unknown] = [len(e) for e in encoded]
+            where = np.repeat(np.arange(len(ids)), times)
+            ids = ids[where]
+            ids[ids < 0] = np.concatenate(encoded)
+            starts = starts[where]
+        cuts = (np.searchsorted(starts, self.bounds) * 4).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Vocabulary:
     """The pieces of a model: text, score and kind of each id."""
 
@@ -57,6 +172,13 @@ class Vocabulary:
         self.pieces, self.scores, self.byte_ids, self.algorithm = pieces, scores, byte_ids, algorithm
         self.table = {p: (s, i) for i, (p, s, ok) in enumerate(zip(pieces, scores, plain, strict=True)) if ok}
         self.longest = max(map(len, self.table), default=1)
+        order = {score: k for k, score in enumerate(sorted({s for s, _ in self.table.values()}, reverse=True))}
+        self.rank = {p: order[s] for p, (s, _) in self.table.items()}
+        self.rank_of_id = np.full(len(pieces) + 1, NO_PIECE, dtype=np.int64)
+        for p, (_, i) in self.table.items():
+            self.rank_of_id[i] = self.rank[p]
+        self._join: PieceTable | None = None
+        self.model: bytes | None = None
         self.is_byte = np.zeros(len(pieces), dtype=bool)
         self.is_byte[byte_ids] = True
         self.is_fallback = self.is_byte.copy()
@@ -64,7 +186,6 @@ class Vocabulary:
         self.bytes = [p.encode() for p in pieces]
         for b, i in enumerate(byte_ids):
             self.bytes[i] = bytes([b])
-        self.key = hashlib.sha256(repr((pieces, scores, algorithm)).encode()).hexdigest()
 
     @classmethod
     def load(cls, path: str, algorithm: str = "bpe") -> Vocabulary:
@@ -77,16 +198,23 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         plain = [not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) for i in ids]
-        return cls([model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], plain, algorithm)
-
-    def lattice(self, unit: str) -> dict[tuple[int, int], tuple[float, int]]:
-        """(start, end) -> (score, id) of the bounded-length substrings that are pieces."""
-        n, found = len(unit), {}
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (hit := self.table.get(unit[i:j])) is not None:
-                    found[i, j] = hit
-        return found
+        made = cls([model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], plain, algorithm)
+        made.model = model.serialized_model_proto()
+        return made
+
+    def lattice(self, units: list[str]) -> Lattice:
+        if self._join is None:
+            self._join = PieceTable(self)
+        return Lattice(units, self._join, self.longest)
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit as int32 bytes: by lattice and fold, many units at once."""
+        short = [u for u in units if len(u) <= LATTICE_CHARS] if self.algorithm == "bpe" else []
+        found: dict[str, bytes] = {}
+        for at in range(0, len(short), LATTICE_UNITS):
+            part = short[at : at + LATTICE_UNITS]
+            found.update(zip(part, self.lattice(part).fold(self), strict=True))
+        return [found[u] if u in found else np.array(self.encode_unit(u), dtype=np.int32).tobytes() for u in units]
 
     def encode_unit(self, unit: str) -> list[int]:
         if self.algorithm == "viterbi":
@@ -103,22 +231,18 @@ class Vocabulary:
         return ids
 
     def _merge_short(self, unit: str) -> list[int]:
-        cuts, get = list(range(len(unit) + 1)), self.table.get
-        scores = [h[0] if (h := get(unit[i : i + 2])) is not None else None for i in range(len(unit) - 1)]
-        while True:
-            best, at = None, -1
-            for k, s in enumerate(scores):
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                return cuts
-            del cuts[at + 1], scores[at]
-            if at < len(scores):
-                h = get(unit[cuts[at] : cuts[at + 2]])
-                scores[at] = h[0] if h is not None else None
+        """Join the best adjacent pair, the leftmost of equals, until no pair is a piece."""
+        parts, rank = list(unit), self.rank.get
+        ranks = [rank(a + b, NO_PIECE) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) != NO_PIECE:
+            at = ranks.index(best)
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], NO_PIECE)
             if at:
-                h = get(unit[cuts[at - 1] : cuts[at + 1]])
-                scores[at - 1] = h[0] if h is not None else None
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], NO_PIECE)
+        return list(accumulate(map(len, parts), initial=0))
 
     def _merge(self, unit: str) -> list[int]:
         """The same with a heap, for units of any length."""
@@ -162,55 +286,62 @@ class Vocabulary:
 
 
 class Encoder(dict):
-    """Unit -> its ids as int32 bytes; remembers units, starts afresh when full."""
+    """Unit -> its ids as int32 bytes; remembers units, starts afresh when full.  A task makes its own, so nothing outlives it.
 
-    def __init__(self, vocabulary: Vocabulary):
+    With ``library``, the model's own library encodes new units: the same ids,
+    for callers that only measure them.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, library: bool = False):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.library = vocabulary, None
+        if library and vocabulary.model is not None:
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_proto=vocabulary.model)
+
+    def _encode(self, units: list[str]) -> list[bytes]:
+        if self.library is None:
+            return self.vocabulary.encode_units(units)
+        # the library puts the first space itself, and nothing before empty text
+        found = self.library.encode([u[1:].replace(SPACE, " ") for u in units], num_threads=1)
+        return [np.array(ids if len(u) > 1 else self.vocabulary.encode_unit(u), dtype=np.int32).tobytes() for u, ids in zip(units, found, strict=True)]
 
     def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self.vocabulary.encode_unit(unit), dtype=np.int32).tobytes()
-        if len(unit) <= 64:
-            if len(self) >= MAX_UNITS:
-                self.clear()
-            self[unit] = ids
-        return ids
+        return self._encode([unit])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; the units that are new go through one lattice."""
+        units = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        new = {u for us in units for u in us if u not in self}
+        if len(self) + len(new) > MAX_UNITS:
+            self.clear()
+            new = {u for us in units for u in us}
+        kept = [u for u in new if len(u) <= 64]  # longer ones are encoded where they stand
+        self.update(zip(kept, self._encode(kept), strict=True))
+        return [np.frombuffer(b"".join(map(self.__getitem__, us)), dtype=np.int32) for us in units]
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype=np.int32)
-        units = UNIT.findall(SPACE + text.replace(" ", SPACE))
-        return np.frombuffer(b"".join(map(self.__getitem__, units)), dtype=np.int32)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.vocabulary.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text.replace(SPACE, " ")[1:]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(vocabulary: Vocabulary) -> Encoder:
-    """One for each worker and vocabulary."""
-    if vocabulary.key not in _encoders:
-        _encoders.clear()
-        _encoders[vocabulary.key] = Encoder(vocabulary)
-    return _encoders[vocabulary.key]
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, n_tokens, n_byte_tokens, ids array<int>, and round_trip: whether the ids decode to the text."""
     docs = ids_and_texts(docs, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(sent.value)
+        coder = Encoder(sent.value)
         is_byte = coder.vocabulary.is_byte
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column("text").to_pylist()
-                ids = [coder.encode(t) for t in texts]
+                ids = coder.encode_many(texts)
                 flat = np.concatenate(ids)
                 offsets = np.cumsum([0] + [len(x) for x in ids])
                 coded = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(flat))
@@ -227,7 +358,7 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids
     sent = coded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(sent.value)
+        coder = Encoder(sent.value)
         for batch in batches:
             texts = [coder.decode(np.array(x or [], dtype=np.int32)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -86,6 +86,21 @@ def test_long_units_equal_short_ones(vocabulary):
             assert vocabulary._merge(u) == vocabulary._merge_short(u)
 
 
+def test_batches_equal_the_library(vocabulary, monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    rng = random.Random(5)
+    texts = [*TEXTS, " ", "  a  ", "▁"] + ["".join(rng.choice(["the", "in", "a", " ", " ", "▁", "é", "日", "\n", "xq", "\u0378"]) for _ in range(rng.randrange(120))) for _ in range(300)]
+    want = [library.encode(t or "") for t in texts]
+    assert [x.tolist() for x in pieces.Encoder(vocabulary).encode_many(texts)] == want
+    assert [x.tolist() for x in pieces.Encoder(vocabulary, library=True).encode_many(texts)] == want
+    monkeypatch.setattr(pieces, "MAX_UNITS", 50)
+    monkeypatch.setattr(pieces, "LATTICE_UNITS", 7)
+    small = pieces.Encoder(vocabulary)
+    assert [small.encode(t).tolist() for t in texts] == want
+
+
 def test_relational_lattice_is_viterbi(spark):
     table = [("a", -1.0), ("b", -1.5), ("ab", -1.8), ("abc", -4.0), ("c", -1.0), ("bc", -2.2)]
     v = pieces.Vocabulary([p for p, _ in table] + [f"<{b}>" for b in range(256)], [s for _, s in table] + [0.0] * 256, list(range(6, 262)), [True] * 6 + [False] * 256, "viterbi")
