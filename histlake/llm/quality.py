@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import TextBatch, gram_valid, grams, span_hashes, table, text_chunks
-from .pieces import Vocabulary, default_model, encoder
+from .pieces import Encoder, Vocabulary, default_model
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -137,14 +137,15 @@ def score(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(sent.value)
+        coder = Encoder(sent.value, library=True)
         is_byte = coder.vocabulary.is_fallback
         for chunk, part in text_chunks(batches):
             counts = base_counts(chunk)
             failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
             measures, kept = [], []
-            for text, lang, bad in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), failed, strict=True):
-                m = fertility(coder.encode(text), is_byte, len(text or ""))
+            texts = part.column("text").to_pylist()
+            for text, ids, lang, bad in zip(texts, coder.encode_many(texts), part.column("lang").to_pylist(), failed, strict=True):
+                m = fertility(ids, is_byte, len(text or ""))
                 low, high, most_bytes, least = bands.get(lang) or bands.get(script(text or "")) or bands["other"]
                 measures.append(m)
                 kept.append(bool(not bad and low <= m[0] <= high and m[1] <= most_bytes and m[2] >= least))
@@ -161,15 +162,16 @@ def keep(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", lang_c
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(sent.value)
+        coder = Encoder(sent.value, library=True)
         is_byte = coder.vocabulary.is_fallback
         for chunk, part in text_chunks(batches, text_col, text_col):
             counts = base_counts(chunk)
             ok = (counts["n_words"] >= MIN_WORDS) & (100 * counts["n_repeat_words"] <= MAX_REPEAT_PERCENT * counts["n_words"])
             langs = part.column(lang_col).to_pylist() if lang_col else [None] * len(ok)
-            for i in np.flatnonzero(ok):
-                text = part.column(text_col)[int(i)].as_py()
-                m = fertility(coder.encode(text), is_byte, len(text))
+            left = np.flatnonzero(ok)
+            texts = part.column(text_col).take(pa.array(left)).to_pylist()
+            for i, text, ids in zip(left, texts, coder.encode_many(texts), strict=True):
+                m = fertility(ids, is_byte, len(text))
                 low, high, most_bytes, least = BANDS.get(langs[i]) or BANDS.get(script(text)) or BANDS["other"]
                 ok[i] = low <= m[0] <= high and m[1] <= most_bytes and m[2] >= least
             yield part.filter(pa.array(ok))
