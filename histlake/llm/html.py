@@ -213,7 +213,7 @@ def _profiles(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 2) -> DataFrame:
     """host, template array<long>: the tokens of the valid classes of each host with several pages."""
     tokens = _profiles(pages).groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("n").alias("n"))
-    sizes = tokens.where(F.col("token") == DOCUMENT).where(F.col("n") >= least_pages).select("host", F.col("n").alias("pages"))
+    sizes = pages.select(_host(F.col("url")).alias("host")).where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     common = tokens.where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= F.col("pages") * least_share)
     classes = common.groupBy("host", "vector", "n").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") > 1)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
