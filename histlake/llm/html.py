@@ -1,19 +1,21 @@
 """HTML extraction with templates from equivalence classes of tokens.
 
-A page's tokens are its structural tags, each with the path it stands at, and
-the texts that stand outside an article.  Over the pages of a host, a token's
+A page's tokens are its structural tags and its texts, each with the path it
+stands at.  Over the pages of a host, a token's
 occurrence vector (how often it occurs in each page) is kept as an
 order-free fingerprint, so vectors aggregate with partial sums and no host is
 ever gathered.  Tokens of equal vectors form a class; a class is valid if it
-has several tokens and occurs in half of the host's pages or more.  The valid
-classes, nested by their paths, are the host's template; what is left of a page
-are its slots, each named by the innermost template element around it.
-
-The main text is what the slots hold: inside article or main elements if the
-page has text there, otherwise everywhere; without elements that are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
-comments, and without the texts of the template outside articles (unless
-nothing else is left).
+has several tokens and occurs in half of the host's pages or more.  The tokens of
+the valid classes are the host's template (a token's path says where it nests);
+what is left of a page are its slots, each named by the innermost template
+element around it.  A text inside articles is of the template only if three
+different articles hold it, so that copies of an article keep their text.
+
+The main text is what the slots hold, without the template's texts: the slots
+inside article or main elements if any of them has text, otherwise all; without
+elements that are menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles or reader comments.  A page without slot text (all of it is of
+the template) keeps the texts of its article, or else all.
 
 Templates meet pages by host and a salt of the page, so a host with a third of
 all pages is spread over many tasks; pages travel compressed.
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, table, unpack
@@ -57,6 +59,10 @@ PARTS = re.compile(r"[^a-z0-9]+")
 
 DOCUMENT = 0
 SALTS = 64
+#: Different articles that hold a text of the template.
+LEAST_ARTICLES = 3
+#: The mark of what stands outside articles: as many articles as may be asked for.
+ANY = -1
 
 
 def host(url: str | None) -> str | None:
@@ -165,15 +171,18 @@ class Page:
                 del self._stack[i:]
                 return
 
-    def outside(self) -> list[int]:
-        """Tokens of the texts outside articles."""
-        return [token for _, main, token, _ in self.blocks if not main]
+    def articles(self) -> dict[int, int]:
+        """The tokens of the texts, each with the mark of the article it stands in: ANY outside articles."""
+        inside = [token for _, main, token, _ in self.blocks if main]
+        mark = _article_mark(xxhash.xxh64_intdigest(np.array(inside, dtype=np.int64).tobytes()))
+        found = dict.fromkeys(inside, mark)
+        found.update((token, ANY) for _, main, token, _ in self.blocks if not main)
+        return found
 
     def main_text(self, template: frozenset[int] | set[int]) -> tuple[str, int]:
         """The text of the slots and how many slots held it."""
-        chosen = [b for b in self.blocks if b[1]]
-        if not chosen:
-            chosen = [b for b in self.blocks if b[2] not in template] or self.blocks
+        free = [b for b in self.blocks if b[2] not in template]
+        chosen = [b for b in free if b[1]] or free or [b for b in self.blocks if b[1]] or self.blocks
         slots = {next((t for t in reversed(b[3]) if t in template), DOCUMENT) for b in chosen}
         return "\n\n".join(b[0] for b in chosen), len(slots)
 
@@ -183,8 +192,21 @@ def _text_token(path: int, text: str) -> int:
     return -(xxhash.xxh64_intdigest(text, path & 0xFFFFFFFFFFFFFFFF) & 0x7FFFFFFFFFFFFFFF) - 1
 
 
+def _article_mark(h: int) -> int:
+    """One bit in each of eight bytes, by an article's hash; marks are joined by or."""
+    mark = 0
+    for i in range(8):
+        mark |= 1 << (8 * i + (h >> (3 * i) & 7))
+    return mark - (1 << 64) if mark >> 63 else mark
+
+
+def _least_articles(marks: Column) -> Column:
+    """How many different articles the joined marks stand for: eight at most, and never more than there are."""
+    return F.greatest(*(F.bit_count(F.shiftrightunsigned(marks, 8 * i).bitwiseAND(F.lit(255))) for i in range(8)))
+
+
 def _profiles(pages: DataFrame) -> DataFrame:
-    """host, token, vector (an order-free part of its occurrence vector), n: pages with the token; combined within a batch."""
+    """host, token, vector (an order-free part of its occurrence vector), n: pages with the token, articles: marks of the articles it stands in; combined within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,28 +215,30 @@ def _profiles(pages: DataFrame) -> DataFrame:
                 if (name := host(url)) is None:
                     continue
                 page = Page(source)
-                for token in page.outside():
+                for _, _, token, _ in page.blocks:
                     page.tokens[token] = page.tokens.get(token, 0) + 1
+                articles = page.articles()
                 page.tokens[DOCUMENT] = 1
                 tokens = np.fromiter(page.tokens, dtype=np.int64)
                 marks = mix(mix(np.fromiter(page.tokens.values(), dtype=np.uint64)) + np.uint64((page_id or 0) % (1 << 64))).view(np.int64).tolist()
                 for token, mark in zip(tokens.tolist(), marks, strict=True):
                     if (have := seen.get((name, token))) is None:
-                        seen[name, token] = [mark, 1]
+                        seen[name, token] = [mark, 1, articles.get(token, ANY)]
                     else:
                         have[0] ^= mark
                         have[1] += 1
+                        have[2] |= articles.get(token, ANY)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["host", "token", "vector", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int64()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(3))], names=["host", "token", "vector", "n", "articles"])
 
-    return pages.mapInArrow(run, "host string, token long, vector long, n long")
+    return pages.mapInArrow(run, "host string, token long, vector long, n long, articles long")
 
 
 def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 2) -> DataFrame:
     """host, template array<long>: the tokens of the valid classes of each host with several pages."""
-    tokens = _profiles(pages).groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("n").alias("n"))
+    tokens = _profiles(pages).groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("n").alias("n"), F.bit_or("articles").alias("articles"))
     sizes = pages.select(_host(F.col("url")).alias("host")).where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    common = tokens.where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= F.col("pages") * least_share)
+    common = tokens.where((F.col("n") >= least_pages) & (_least_articles(F.col("articles")) >= LEAST_ARTICLES)).join(sizes, "host").where(F.col("n") >= F.col("pages") * least_share)
     classes = common.groupBy("host", "vector", "n").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") > 1)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 

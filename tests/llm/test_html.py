@@ -49,3 +49,29 @@ def test_classes_need_equal_vectors(spark):
     body = html._below(html.DOCUMENT, "body")
     assert {body, html._below(body, "ul"), html._below(body, "p")} <= set(row["template"])
     assert html._below(html._below(body, "ul"), "li") in page.tokens and html._below(html._below(body, "ul"), "li") not in row["template"]
+
+
+def test_template_texts_go_inside_articles(spark):
+    body = "<body><article><h1>Title {0}</h1><div class='x1'><p>Subscribe to our letters</p></div><p>story number {0}</p></article></body>"
+    rows = [(i, "http://notice.example/", body.format(i)) for i in range(8)]
+    # copies of one article, and two pages with a text in common, keep all
+    rows += [(10 + i, "http://copies.example/", body.format(1)) for i in range(5)]
+    rows += [(20 + i, "http://pair.example/", body.format(i)) for i in range(2)]
+    # an article that holds only a repeated text gives way to the slots outside
+    rows += [(30 + i, "http://promo.example/", f"<body><article><p>Buy {'ABC'[i % 3]}</p><p>Call us</p></article></body>") for i in range(3)]
+    rows += [(33, "http://promo.example/", "<body><article><p>Call us</p></article><div>story 33</div></body>")]
+    out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Title {i}\n\nstory number {i}" for i in range(8))
+    whole = "Title {0}\n\nSubscribe to our letters\n\nstory number {0}"
+    assert all(out[10 + i] == whole.format(1) for i in range(5)) and all(out[20 + i] == whole.format(i) for i in range(2))
+    assert [out[30 + i] for i in range(4)] == ["Buy A", "Buy B", "Buy C", "story 33"]
+
+
+def test_article_marks():
+    import xxhash
+
+    for n in range(1, 9):
+        marks = 0
+        for k in range(n):
+            marks |= html._article_mark(xxhash.xxh64_intdigest(str(k))) & (1 << 64) - 1
+        assert 1 <= max((marks >> 8 * i & 255).bit_count() for i in range(8)) <= n
