@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,17 +55,32 @@ _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(SYMBOLS)] = 1
 
 
+# The blocks of the scripts that have bands; letters elsewhere are of "other" scripts.
+SCRIPTS = ("latin", "greek", "cyrillic", "han", "other")
+BLOCKS = {
+    "latin": ((0x41, 0x2AF), (0x1D00, 0x1D25), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA722, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "han": ((0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF)),
+}
+
+
+@cache
+def _scripts() -> np.ndarray:
+    """For each code point, the place of its script in SCRIPTS; one more for what is no letter."""
+    place = np.full(0x110000, SCRIPTS.index("other"), dtype=np.uint8)
+    for name, blocks in BLOCKS.items():
+        for low, high in blocks:
+            place[low : high + 1] = SCRIPTS.index(name)
+    place[[not chr(i).isalpha() for i in range(0x110000)]] = len(SCRIPTS)
+    return place
+
+
 def script(text: str) -> str:
-    """The script of most letters, by Unicode block."""
+    """The script of most letters, by Unicode block; scripts without a band count together, as "other"."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    n = {
-        "latin": int(((codes >= 0x41) & (codes <= 0x5A) | (codes >= 0x61) & (codes <= 0x7A) | (codes >= 0xC0) & (codes <= 0x24F)).sum()),
-        "greek": int(((codes >= 0x370) & (codes <= 0x3FF)).sum()),
-        "cyrillic": int(((codes >= 0x400) & (codes <= 0x52F)).sum()),
-        "han": int(((codes >= 0x3040) & (codes <= 0x30FF) | (codes >= 0x3400) & (codes <= 0x9FFF)).sum()),
-    }
-    best = max(n, key=lambda k: n[k])
-    return best if n[best] else "other"
+    n = np.bincount(_scripts()[codes], minlength=len(SCRIPTS))[: len(SCRIPTS)]
+    return SCRIPTS[int(n.argmax())] if n.any() else "other"
 
 
 def fertility(ids: np.ndarray, is_byte: np.ndarray, n_chars: int) -> tuple[float, float, float]:

@@ -146,3 +146,31 @@ def test_quality_filter_keeps_columns(spark, vocabulary):
 
 def test_scripts_and_bands():
     assert [quality.script(t) for t in ("hello é", "привет", "日本語", "123", "αβγ")] == ["latin", "cyrillic", "han", "other", "greek"]
+
+
+OTHER_SCRIPTS = {
+    "hangul": "나는 오늘 아침에 일찍 일어나서 강가를 따라 천천히 걸었다 물은 맑고 바람은 시원했으며 멀리 산 위로 해가 떠올랐다 사람들은 시장에서 과일과 생선을 팔고 아이들은 학교로 달려갔다",
+    "arabic": "استيقظت هذا الصباح مبكرا ومشيت ببطء على ضفة النهر وكان الماء صافيا والريح باردة وأشرقت الشمس فوق الجبل البعيد وكان الناس يبيعون الفاكهة والسمك في السوق",
+    "hebrew": "הבוקר קמתי מוקדם והלכתי לאט לאורך הנהר המים היו צלולים והרוח קרירה והשמש זרחה מעל ההר הרחוק אנשים מכרו פירות ודגים בשוק והילדים רצו לבית הספר",
+    "devanagari": "आज सुबह मैं जल्दी उठा और नदी के किनारे धीरे धीरे चला पानी साफ था हवा ठंडी थी और दूर पहाड़ के ऊपर सूरज निकला लोग बाजार में फल और मछली बेच रहे थे",
+    "thai": "เช้านี้ ฉัน ตื่น แต่ เช้า และ เดิน ช้า ช้า ไป ตาม แม่น้ำ น้ำ ใส ลม เย็น และ ดวงอาทิตย์ ขึ้น เหนือ ภูเขา ไกล ผู้คน ขาย ผลไม้ และ ปลา ใน ตลาด",
+}
+
+
+def test_most_letters_decide_the_script():
+    assert all(quality.script(t + " (A)") == "other" for t in OTHER_SCRIPTS.values())
+    assert quality.script("word and more words in Latin, then 한국") == "latin" and quality.script("Ệ ạ ậ ẵ") == "latin"
+    assert quality.script("ἄᾳὧ an") == "greek" and quality.script("𠀀𠀁 a") == "han" and quality.script("×÷ 12 !") == "other"
+
+
+def test_other_scripts_with_a_latin_letter_are_kept(spark, vocabulary):
+    # the sentence, and its words in other orders, so that no three words repeat
+    texts = []
+    for t in OTHER_SCRIPTS.values():
+        w = t.split()
+        texts.append(" ".join(w + w[::-1] + w[::2] + w[1::2] + w[::3]) + " (A)")
+    rows = [(i, t, lang) for i, t in enumerate(texts) for lang in (None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality.score(docs, vocabulary).collect()
+    assert [(r["base_failed"], r["kept"]) for r in out] == [(False, True)] * len(rows)
+    assert quality.keep(docs, vocabulary).count() == len(rows)
