@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,11 +71,19 @@ def _weak(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _near(sorted_spans: list[tuple[int, int]], start: int, end: int, low: int, high: int, reach: int) -> bool:
-    """Whether a span inside [low, high) begins or ends within reach of [start, end)."""
-    i = bisect_left(sorted_spans, (max(low, start - reach), -1))
-    j = bisect_right(sorted_spans, (min(high - 1, end + reach), 1 << 60))
-    return i < j
+class _Spans:
+    """Spans by start, and how far those up to each reach."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.spans = sorted(spans)
+        self.most = list(accumulate((e for _, e in self.spans), max))
+
+    def near(self, start: int, end: int, low: int, high: int, reach: int) -> bool:
+        """Whether a span inside [low, high) begins or ends within reach of [start, end), or holds it."""
+        i = bisect_left(self.spans, (max(low, start - reach), -1))
+        j = bisect_right(self.spans, (min(high - 1, end + reach), 1 << 60))
+        # no span crosses a line's end, so those of earlier blocks end at low or before
+        return i < j or i > 0 and self.most[i - 1] >= max(low + 1, start - reach)
 
 
 def find_spans(text: str, reach: int) -> list[tuple[int, int, int]]:
@@ -89,16 +98,16 @@ def find_spans(text: str, reach: int) -> list[tuple[int, int, int]]:
     taken = sorted((s, e) for s, _, e in base)
     begins = [s for s, _ in taken]
     weak = sorted({w for w in weak if not any(s < w[2] and w[0] < e for s, e in taken[max(0, bisect_left(begins, w[0]) - 3) : bisect_right(begins, w[2])])})
-    secrets = sorted([(s, e) for s, k, e in base if k in (0, 2)] + [(s, e) for s, k, e in weak if k == 4])
-    idents = sorted([(s, e) for s, k, e in base if k == 1] + [(s, e) for s, k, e in weak if k == 3])
-    ends = sorted((s, e) for s, k, e in weak if k == 5)
+    secrets = _Spans([(s, e) for s, k, e in base if k in (0, 2)] + [(s, e) for s, k, e in weak if k == 4])
+    idents = _Spans([(s, e) for s, k, e in base if k == 1] + [(s, e) for s, k, e in weak if k == 3])
+    ends = _Spans((s, e) for s, k, e in weak if k == 5)
     breaks = [m.start() for m in BLANK_LINE.finditer(text)]
     linked = []
     for s, k, e in weak:
         at = bisect_right(breaks, s)
         low, high = breaks[at - 1] if at else 0, breaks[at] if at < len(breaks) else len(text)
-        has_secret = _near(secrets, s, e, low, high, reach)
-        if k == 3 and has_secret or k == 4 and (_near(idents, s, e, low, high, reach) or _near(ends, s, e, low, high, reach)) or k == 5 and has_secret and _near(idents, s, e, low, high, reach):
+        has_secret = secrets.near(s, e, low, high, reach)
+        if k == 3 and has_secret or k == 4 and (idents.near(s, e, low, high, reach) or ends.near(s, e, low, high, reach)) or k == 5 and has_secret and idents.near(s, e, low, high, reach):
             linked.append((s, k, e))
     return sorted(base + linked)
 

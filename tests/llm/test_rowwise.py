@@ -53,6 +53,31 @@ def test_weak_parts_need_complements():
     assert kinds("login: bob") == set()
 
 
+def test_long_complements_that_end_beside_a_weak_part():
+    kinds = lambda t: {secrets.KINDS[k] for _, k, _ in secrets.find_spans(t, 200)}
+    jwt, url = "token = " + "Xy9-" * 100, "https://example.com/" + "path/" * 80
+    assert kinds(f"{jwt}\nuser_name: bob") == kinds(f"user_name: bob\n{jwt}") == {"assign", "weak_id"}
+    assert kinds(f"{url}\npassword: hunter22") == {"weak_secret"}  # the endpoint lacks an identifier
+    assert kinds(f"{jwt}\n{'x ' * 98}\nuser_name: bob") == {"assign", "weak_id"}
+    assert kinds(f"{jwt}\n{'x ' * 110}\nuser_name: bob") == {"assign"}
+    assert kinds(f"{jwt}\n\nuser_name: bob") == {"assign"}  # another block
+
+
+def test_linked_parts_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(300):
+        parts = [rng.choice(["user_name: bob", "password: hunter22", "https://e.example/" + "p/" * rng.randrange(60), "token=" + "Xy9-" * rng.randrange(3, 70), "x " * rng.randrange(1, 60), "\n\n"]) for _ in range(rng.randrange(2, 9))]
+        text = "\n".join(parts).replace("\n\n\n", "\n\n")
+        reach = rng.choice([5, 40, 200])
+        base, every = secrets._base(text), secrets.find_spans(text, 10**6)
+        weak = [w for w in secrets._weak(text) + [(m.start(), 4, m.end()) for m in secrets.WEAK_SECRET.finditer(text)] if not any(s < w[2] and w[0] < e for s, _, e in base)]
+        block = lambda at: sum(m.start() <= at for m in secrets.BLANK_LINE.finditer(text))
+        near = lambda w, kinds, strong: any(block(s) == block(w[0]) and s <= w[2] + reach and e >= w[0] - reach for s, k, e in [x for x in weak if x[1] in kinds] + [x for x in base if x[1] in strong])
+        secret, ident, end = (lambda w: near(w, (4,), (0, 2))), (lambda w: near(w, (3,), (1,))), (lambda w: near(w, (5,), ()))
+        linked = {w for w in weak if w[1] == 3 and secret(w) or w[1] == 4 and (ident(w) or end(w)) or w[1] == 5 and secret(w) and ident(w)}
+        assert set(secrets.find_spans(text, reach)) == set(base) | linked <= set(every)
+
+
 def test_empty_table_and_extra_columns(spark):
     schema = "doc_id long, text string, spans string, kind int"
     assert secrets.scan_secrets(spark.createDataFrame([], schema)).count() == 0
