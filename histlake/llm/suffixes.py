@@ -1,11 +1,11 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
-Texts are UTF-8 bytes.  A batch of documents gets a sparse suffix array: the
-suffixes at content-chosen places (the least hash among the ``WINDOW`` anchors
-of each stretch of ``length`` bytes, so equal stretches choose equal places),
-sorted by the fingerprint of their first ``ANCHOR`` bytes.  A new array is
-merge-scanned against itself and the existing levels for suffixes that agree;
-levels of equal size are merged, so an entry is rewritten at most log2(batches)
+Texts are UTF-8 bytes.  A batch of documents gets a table in place of a suffix
+array: the suffixes at content-chosen places (the least hash among the
+``WINDOW`` anchors of each stretch of ``length`` bytes, so equal stretches
+choose equal places), ordered by the hash of their first ``ANCHOR`` bytes, not
+by suffix.  A new table meets itself and the existing levels by hash joins (no
+merge scan) for suffixes that agree; levels of equal size are merged, so an entry is rewritten at most log2(batches)
 times.
 
 Suffixes that agree anywhere are then compared over their whole reach, all
