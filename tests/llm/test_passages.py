@@ -109,3 +109,30 @@ def test_small_shards(spark, monkeypatch):
     monkeypatch.setattr(passages, "SHARD_WORDS", 100)
     result = {r["doc_id"]: (r["n_words"], r["n_removed"], sha(r["text"])) for r in passages.remove_repeats(documents(spark, data)).collect()}
     assert result == brute(data)
+
+
+class Rows:
+    """Stands for a DataFrame, to call what it would run."""
+
+    def where(self, _):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+@pytest.mark.parametrize("bit", [48, 52, 60])
+def test_windows_whose_fingerprints_agree_in_part_are_not_confused(spark, monkeypatch, bit):
+    """Document 1 holds another window than 2 and 3, equal in the low bits and of the same shard."""
+    import numpy as np
+    import pyarrow as pa
+
+    shown = {1: 5, 2: 5 + (1 << bit), 3: 5 + (1 << bit)}
+    one = np.zeros(1, dtype=np.int64)
+    monkeypatch.setattr(passages, "window_hashes", lambda batch, length: (np.array([shown[batch.ids[0].as_py()]], dtype=np.uint64), one, one, one))
+    docs = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "text": pa.array(["a b c"])}) for i in shown]
+    send, find = passages._send_windows(Rows(), 2, 1, 1), passages._find_later(Rows(), 1)
+    blocks = [b for d in docs for b in send(iter([d]))]
+    rows = [r for b in find(iter(blocks)) for r in b.to_pylist()]
+    assert [np.cumsum(passages._open(r["docs"], np.int64)).tolist() for r in rows if r["kind"] == 1] == [[3]]
+    assert [np.cumsum(passages._open(r["docs"], np.int64)).tolist() for r in rows if r["kind"] == 2] == [[2]]
