@@ -14,8 +14,9 @@ Bounds and scores are numpy over a whole batch of passages; documents are not
 shuffled.  The index comes in shards of ``SHARD_ITEMS`` items, each broadcast;
 what one pass holds is bounded by ``PASS_ITEMS``, more items take more passes.
 
-Defined cases: null or empty text has no passage and is clean; null or empty
-items leak nothing; repeated rows give repeated results; equal items are
+Defined cases: null or empty text has no passage and is clean; items of null or
+empty text leak nothing; items whose id is null leak like others, each with its
+own row and a null item_id; repeated rows give repeated results; equal items are
 reported each; an empty table or benchmark gives an empty result; other columns
 are not read (``clean`` keeps them).
 """
@@ -55,7 +56,7 @@ def _folded(texts: Iterable[str]) -> TextBatch:
 class ItemIndex:
     """The inverted index of a shard of items."""
 
-    def __init__(self, items: list[tuple[int, str]], n_items: int, frequency: dict[int, int], mean_words: float):
+    def __init__(self, items: list[tuple[int | None, str]], n_items: int, frequency: dict[int, int], mean_words: float):
         batch = _folded(t for _, t in items)
         _, _, bounds, words = batch.word_hashes(NOT_LETTER)
         self.ids = [i for i, _ in items]
@@ -99,7 +100,7 @@ class ItemIndex:
 
 def build_shards(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[Iterator[ItemIndex], int]:
     """Shards of the index, built one after another on the driver, and the step for passages."""
-    items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
+    items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
     frequency: dict[int, int] = {}
     n, total, longest = 0, 0, 0
     for rows in _groups(items):
@@ -113,7 +114,7 @@ def build_shards(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[Iter
     return shards, max(STEP_WORDS, longest)
 
 
-def _groups(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _groups(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     rows = iter((r["id"], r["text"]) for r in items.orderBy("id", "text").toLocalIterator())
     while group := list(islice(rows, SHARD_ITEMS)):
         yield group
@@ -129,11 +130,11 @@ def _cells(bounds: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return first, np.minimum(first + step, bounds[doc + 1]), doc
 
 
-def find(batch: TextBatch, shards: list[ItemIndex], step: int, least_score: float, least_overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
-    """(document's place in the batch, item id) -> best (score, question overlap, answer overlap) of the leaked items."""
+def find(batch: TextBatch, shards: list[ItemIndex], step: int, least_score: float, least_overlap: float) -> dict[tuple[int, int, int], tuple[float, float, float]]:
+    """(document's place in the batch, item id, 0) -> best (score, question overlap, answer overlap) of the leaked items; without an id, (document's place, 0, item's place in the shards from 1)."""
     _, _, bounds, words = batch.word_hashes(NOT_LETTER)
     first, last, doc = _cells(bounds, step)
-    out: dict[tuple[int, int], tuple[float, float, float]] = {}
+    out: dict[tuple[int, int, int], tuple[float, float, float]] = {}
     if not len(first):
         return out
     # a passage is a cell and the next one of the same document
@@ -141,7 +142,7 @@ def find(batch: TextBatch, shards: list[ItemIndex], step: int, least_score: floa
     joined[:-1] = doc[1:] == doc[:-1]
     end = last.copy()
     end[:-1] = np.where(joined[:-1], last[1:], last[:-1])
-    for shard in shards:
+    for s, shard in enumerate(shards):
         if not len(shard.terms):
             continue
         place = np.searchsorted(shard.terms, words)
@@ -173,7 +174,8 @@ def find(batch: TextBatch, shards: list[ItemIndex], step: int, least_score: floa
                     item = int(block) * BLOCK_ITEMS + int(i)
                     question, answer = shard.overlap(item, words[first[p] : end[p]])
                     if question >= least_overlap and answer >= least_overlap:
-                        name = (int(doc[p]), shard.ids[item])
+                        own = shard.ids[item]
+                        name = (int(doc[p]), own, 0) if own is not None else (int(doc[p]), 0, 1 + s * SHARD_ITEMS + item)
                         out[name] = max(out.get(name, (0.0, 0.0, 0.0)), (float(scores[i]), question, answer))
     return out
 
@@ -197,7 +199,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             for chunk, _ in text_chunks(batches, fold=True):
                 found = sorted(find(chunk, shards, step, least_score, least_overlap).items())
                 if found:
-                    yield pa.RecordBatch.from_arrays([chunk.ids.take(pa.array([d for (d, _), _ in found])), pa.array([i for (_, i), _ in found], pa.int64()), *(pa.array([v[k] for _, v in found], pa.float64()) for k in range(3))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([chunk.ids.take(pa.array([d for (d, _, _), _ in found])), pa.array([None if place else i for (_, i, place), _ in found], pa.int64()), *(pa.array([v[k] for _, v in found], pa.float64()) for k in range(3))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         part = docs.mapInArrow(run, schema)
         result = part if result is None else result.union(part)
@@ -212,7 +214,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
             shards = [s.value for s in sent]
             for chunk, part in text_chunks(batches, text_col, text_col, fold=True):
                 keep = np.ones(part.num_rows, dtype=bool)
-                keep[[d for d, _ in find(chunk, shards, step, least_score, least_overlap)]] = False
+                keep[[d for d, _, _ in find(chunk, shards, step, least_score, least_overlap)]] = False
                 yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -61,3 +61,14 @@ def test_several_passes_and_empty_tables(spark, monkeypatch):
     assert [r["doc_id"] for r in decontaminate.clean(documents(spark, texts), benchmark).collect()] == [20]
     assert decontaminate.leaks(documents(spark, texts), benchmark.limit(0)).count() == 0
     assert decontaminate.leaks(documents(spark, []), benchmark).count() == 0
+
+
+def test_items_without_an_id_leak(spark):
+    rng = random.Random(8)
+    a, b, c = (sentence(rng, 30, 900) for _ in range(3))
+    schema = "item_id long, text string"
+    items = spark.createDataFrame([(None, a), (None, b), (0, c), (None, None), (None, "")], schema)
+    docs = spark.createDataFrame([(1, f"{sentence(rng, 40, 900)} {a} {b}"), (2, sentence(rng, 90, 900)), (3, a), (4, c), (5, None)], "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()), key=str)
+    assert found == [(1, None), (1, None), (3, None), (4, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == [2, 5]
