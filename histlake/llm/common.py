@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,11 @@ NOT_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+#: Places whose hashes are made at once.
+ROLLED = 1 << 14
+#: Bytes of a span that is hashed by sums of powers.
+SUMMED = 48
+
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -109,9 +115,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each data[start:end]; spans are sorted by start and by end.
 
     Prefix sums of a polynomial hash, in segments so that the tables of powers
-    stay small beside any text.
+    stay small beside any text.  Such sums modulo 2**64 can cancel in long spans
+    of a certain build, so spans of over SUMMED bytes are hashed one by one.
     """
     out = np.empty(len(starts), dtype=np.uint64)
+    long_ = np.flatnonzero(ends - starts > SUMMED)
+    if len(long_):
+        short = np.flatnonzero(ends - starts <= SUMMED)
+        whole = data[starts[long_[0]] : ends[long_[-1]]].tobytes()
+        base = int(starts[long_[0]])
+        out[long_] = [xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip((starts[long_] - base).tolist(), (ends[long_] - base).tolist(), strict=True)]
+        out[short] = span_hashes(data, starts[short], ends[short])
+        return out
     i = 0
     while i < len(starts):
         base = int(starts[i])
@@ -131,6 +146,52 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def rolling_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the `size` (8 or more) bytes at each place of data.
+
+    Built by doubling: halves are mixed before they are joined, so no sum of
+    powers can cancel, whatever the bytes.
+    """
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    if n > ROLLED:  # parts that stay in the processor's cache
+        return np.concatenate([rolling_hashes(data[i : i + ROLLED + size - 1], size) for i in range(0, n, ROLLED)])
+    level = mix(_eights(data))
+    width, done, out = 8, 0, None
+    while True:
+        if size & width or width * 2 > size:
+            # the places that are still to be joined begin after what is done
+            rest = level[done : done + n]
+            out = rest.copy() if out is None else _joined(out, rest)
+            done += width
+        if width * 2 > size:
+            break
+        level = _joined(level[: len(level) - width], level[width:])
+        width *= 2
+    if done < size:  # the last bytes, by an overlapping part of 8
+        out = _joined(out, mix(_eights(data))[size - 8 : size - 8 + n])
+    return out
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place as a number."""
+    out = np.empty(len(data) - 7, dtype=np.uint64)
+    for r in range(min(8, len(out))):
+        count = (len(data) - r) // 8
+        out[r::8] = np.frombuffer(data[r : r + 8 * count].tobytes(), dtype=np.uint64)
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(32)
+    out += b
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    return out
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """The hash of each k consecutive word hashes."""
     n = len(words) - k + 1

@@ -14,6 +14,8 @@ stretches of ``length`` bytes that contain the anchor:
 * entries whose whole reach has the same fingerprint repeat all of it;
 * the others send the bytes of their reach, one for each class of equal
   reaches, to the place of their anchor, where stretches found twice are marked.
+  The reaches of a frequent anchor come in chunks; a chunk tells each of its
+  stretches once more, by hash, and those that other chunks hold are marked too.
 
 Marked stretches meet the texts by document; bytes inside them go.  What is
 shuffled is one entry for about 150 bytes of text, the reaches of the few
@@ -33,10 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, delete, ids_and_texts, materialise, mix, packed_texts, powers, shuffle_partitions, table, text_chunks, unpack, work_dir
+from .common import delete, ids_and_texts, materialise, mix, packed_texts, rolling_hashes, shuffle_partitions, table, text_chunks, unpack, work_dir
 
 LENGTH = 400
 ANCHOR = 96
@@ -46,31 +50,14 @@ BATCHES = 3
 SEGMENT = 1 << 20
 #: Parts that the entries of a key are dealt over where they are looked up.
 SALTS = 4
-#: Anchors with more different reaches are counted by stretch instead of gathered.
-MAX_GROUP = 20_000
-#: Stretches of a group that are sorted at once.
-ROUND = 1 << 19
+#: Different reaches of an anchor that one group holds; those of a frequent anchor are dealt over so large chunks.
+CHUNK_ROWS = 400
+#: Reaches of whole groups that are marked at once.
+BLOCK_ROWS = 1_000
 
 ENTRIES = "key long, reach long, doc_id long, at int"
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    piece = data.astype(np.uint64)
-    piece += np.uint64(1)
-    piece *= powers(BASE, len(piece))
-    np.cumsum(piece, out=sums[1:])
-    return sums
-
-
-def cut_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end] from the prefix sums of data."""
-    h = sums[end] - sums[start]
-    h *= powers(BASE_INVERSE, len(sums))[start]
-    return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-
-
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     """The distinct places of the (leftmost) least value of each w consecutive ones."""
     n = len(values)
@@ -91,14 +78,13 @@ def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     return (low[changed] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def chosen(sums: np.ndarray, begin: int, end: int, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+def chosen(data: np.ndarray, begin: int, end: int, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and anchor hashes that the stretches of `length` bytes inside [begin, end) choose.
 
     Places break ties only between hashes masked to fixed bits, so a stretch's
     choice depends on its bytes alone.
     """
-    start = np.arange(begin, end - anchor + 1)
-    h = cut_hashes(sums, start, start + anchor)
+    h = rolling_hashes(data[begin:end], anchor)
     at = sliding_argmin(h & ~np.uint64((1 << 31) - 1), length - anchor + 1)
     return at + begin, h[at]
 
@@ -116,10 +102,11 @@ def entries(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
                     # stretches that start in this segment, with room for the reaches of their anchors
                     low = max(0, begin - length)
                     piece = data[low : begin + SEGMENT + 2 * length]
-                    sums = prefix_sums(piece)
-                    at, key = chosen(sums, begin - low, min(begin + SEGMENT + length - 1, len(data)) - low, length, anchor)
+                    at, key = chosen(piece, begin - low, min(begin + SEGMENT + length - 1, len(data)) - low, length, anchor)
                     first, last = np.maximum(at - (length - anchor), 0), np.minimum(at + length, len(piece))
-                    reach = cut_hashes(sums, first, last) ^ mix((at - first).astype(np.uint64))
+                    whole = piece.tobytes()
+                    hashes = [xxhash.xxh3_64_intdigest(whole[i:j]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+                    reach = np.array(hashes, dtype=np.uint64) ^ mix((at - first).astype(np.uint64))
                     out.append((key, reach, np.full(len(at), ids[i]), at + low))
             if out:
                 key, reach, doc, at = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -182,84 +169,87 @@ class SuffixIndex:
         return _semi(everything, keys.distinct(), ["key"])
 
 
-def _stretches(context: bytes, length: int) -> np.ndarray:
-    data = np.frombuffer(context, dtype=np.uint8)
-    start = np.arange(len(data) - length + 1)
-    return cut_hashes(prefix_sums(data), start, start + length)
+MARKS = "h long, doc_id long, start int, end int, several boolean"
+
 
+def _mark_block(rows: list[tuple], length: int) -> pa.RecordBatch | None:
+    """MARKS of whole groups of reaches; rows (key, chunk, chunks, doc_id, at, left, context).
 
-def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """(start, end) of what stretches at sorted starts cover."""
-    breaks = np.flatnonzero(np.diff(starts) > length)
-    return [(int(a), int(b) + length) for a, b in zip(starts[np.concatenate(([0], breaks + 1))], starts[np.concatenate((breaks, [len(starts) - 1]))], strict=True)]
+    What a group's reaches share is a span (h is null).  Of a group that is one
+    of several chunks of a key, each stretch gives one row more: h, a place, and
+    whether the chunk holds it twice or more.
+    """
+    keys, chunk, chunks, docs, at, left, contexts = zip(*rows, strict=True)
+    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    bounds = np.cumsum([0] + [len(c) for c in contexts])
+    n = np.maximum(np.diff(bounds) - (length - 1), 0)
+    row = np.repeat(np.arange(len(n)), n)
+    if not len(row):
+        return None
+    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place = (np.array(at) - np.array(left))[row] + within
+    doc = np.array(docs, dtype=np.int64)[row]
+    part = mix(np.array(keys, dtype=np.int64).view(np.uint64) + mix(np.array(chunk, dtype=np.uint64)))
+    stretch = rolling_hashes(data, length)[bounds[row] + within]
+    h = stretch ^ part[row]
+    order = np.argsort(h, kind="stable")
+    first = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    edges = np.flatnonzero(first)
+    # reaches of one document may overlap: the same place is no repeat
+    name = mix(doc.view(np.uint64)) + place.astype(np.uint64)
+    differ = np.minimum.reduceat(name[order], edges) != np.maximum.reduceat(name[order], edges)
+    twice = np.empty(len(h), dtype=bool)
+    twice[order] = np.repeat(differ, np.diff(np.append(edges, len(h))))
+    hit = np.flatnonzero(twice)
+    fresh = np.ones(len(hit), dtype=bool)
+    fresh[1:] = (row[hit][1:] != row[hit][:-1]) | (np.diff(place[hit]) > length)
+    begins, ends = hit[fresh], hit[np.append(np.flatnonzero(fresh)[1:] - 1, len(hit) - 1)] if len(hit) else hit
+    told = order[edges][np.array(chunks)[row[order[edges]]] > 1]
+    none = pa.nulls(len(begins), pa.int64())
+    out = [
+        pa.concat_arrays([none, pa.array(stretch[told].view(np.int64))]),
+        pa.array(np.concatenate((doc[begins], doc[told]))),
+        pa.array(np.concatenate((place[begins], place[told])), pa.int32()),
+        pa.array(np.concatenate((place[ends], place[told])) + length, pa.int32()),
+        pa.array(np.concatenate((np.ones(len(begins), dtype=bool), twice[told]))),
+    ]
+    return pa.RecordBatch.from_arrays(out, names=["h", "doc_id", "start", "end", "several"])
 
 
 def _marked(groups: DataFrame, length: int) -> DataFrame:
-    """doc_id, start, end of what reaches of one anchor share; rows come sorted by key."""
-
-    def shared(group: dict[tuple[int, int], tuple[int, bytes]]) -> list[tuple[int, int, int]]:
-        if len(group) < 2:
-            return []
-        hashes = [_stretches(context, length) for _, context in group.values()]
-        bounds = np.cumsum([0] + [len(h) for h in hashes])
-        h = np.concatenate(hashes)
-        # reaches of one document may overlap: the same place is no repeat
-        place = np.concatenate([(np.uint64(doc * 0x9E3779B97F4A7C15 % (1 << 64))) + np.arange(at - left, at - left + len(x)).astype(np.uint64) for ((doc, at), (left, _)), x in zip(group.items(), hashes, strict=True)])
-        twice = np.zeros(len(h), dtype=bool)
-        rounds = -(-len(h) // ROUND)
-        part = (h >> np.uint64(40)) % np.uint64(rounds)
-        for r in range(rounds):
-            mine = np.flatnonzero(part == r)
-            mine = mine[np.lexsort((place[mine], h[mine]))]
-            x, y = h[mine], place[mine]
-            edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
-            differ = np.concatenate(([0], np.cumsum((x[1:] == x[:-1]) & (y[1:] != y[:-1]))))
-            twice[mine] = np.repeat(differ[edge[1:] - 1] > differ[edge[:-1]], np.diff(edge))
-        out = []
-        for i, ((doc, at), (left, _)) in enumerate(group.items()):
-            starts = np.flatnonzero(twice[bounds[i] : bounds[i + 1]])
-            if len(starts):
-                out += [(doc, at - left + a, at - left + b) for a, b in _runs(starts, length)]
-        return out
+    """MARKS of the reaches; rows come sorted by key and chunk."""
+    names = ("key", "chunk", "chunks", "doc_id", "at", "left", "context")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, {}
+        held: list[tuple] = []
         for batch in batches:
-            rows = []
-            for k, doc, at, left, context in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "at", "left", "context")), strict=True):
-                if k != key:
-                    rows += shared(group)
-                    key, group = k, {}
-                group[doc, at] = left, context
-            if rows:
-                yield _spans(rows)
-        if rows := shared(group):
-            yield _spans(rows)
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if len(held) >= BLOCK_ROWS and row[:2] != held[-1][:2]:
+                    if (out := _mark_block(held, length)) is not None:
+                        yield out
+                    held = []
+                held.append(row)
+        if held and (out := _mark_block(held, length)) is not None:
+            yield out
 
-    return groups.mapInArrow(run, "doc_id long, start int, end int")
+    return groups.select(*names).mapInArrow(run, MARKS)
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many reaches: stretches are counted by their hash, with partial sums, and no group is gathered."""
+def _across_chunks(told: DataFrame) -> DataFrame:
+    """doc_id, start, end of the stretches that stand alone in their chunk but also in another.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, at, left, context in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "left", "context")), strict=True):
-                h = _stretches(context, length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), doc)), pa.array((np.arange(len(h)) + at - left).astype(np.int32))], names=["h", "doc_id", "start"])
-
-    stretches = contexts.mapInArrow(run, "h long, doc_id long, start int").distinct()
-    twice = stretches.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return stretches.join(twice, "h", "left_semi").select("doc_id", "start", (F.col("start") + length).alias("end"))
-
-
-def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "start", "end"])
+    A chunk tells each stretch once, so a stretch has at most as many rows as
+    its key has chunks.
+    """
+    every = W.partitionBy("h")
+    place = F.struct("doc_id", "start")
+    seen = told.select("*", (F.max("several").over(every) | (F.min(place).over(every) != F.max(place).over(every))).alias("again"))
+    return seen.where("again AND NOT several").select("doc_id", "start", "end")
 
 
 def _contexts(wanted: DataFrame, texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """key, many, doc_id, at, left, context: the bytes of the reaches of wanted entries."""
-    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "many")).alias("places"))
+    """key, chunks, doc_id, at, left, context: the bytes of the reaches of wanted entries."""
+    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "chunks")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,10 +259,10 @@ def _contexts(wanted: DataFrame, texts: DataFrame, length: int, anchor: int) ->
                 rows = []
                 for p in batch.column("places")[row].as_py():
                     low = max(0, p["at"] - (length - anchor))
-                    rows.append((p["key"], p["many"], doc, p["at"], p["at"] - low, text[low : p["at"] + length]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "many", "doc_id", "at", "left", "context"])
+                    rows.append((p["key"], p["chunks"], doc, p["at"], p["at"] - low, text[low : p["at"] + length]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "chunks", "doc_id", "at", "left", "context"])
 
-    return places.join(texts, "doc_id").select("doc_id", "packed", "places").mapInArrow(run, "key long, many boolean, doc_id long, at int, left int, context binary")
+    return places.join(texts, "doc_id").select("doc_id", "packed", "places").mapInArrow(run, "key long, chunks int, doc_id long, at int, left int, context binary")
 
 
 def _cut(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
@@ -304,7 +294,7 @@ def _cut(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def remove_repeated_bytes(docs: DataFrame, folder: str, length: int = LENGTH, anchor: int = ANCHOR, batches: int = BATCHES, max_group: int = MAX_GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, folder: str, length: int = LENGTH, anchor: int = ANCHOR, batches: int = BATCHES, chunk_rows: int = CHUNK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), for each row.
 
     The table is indexed in ``batches`` batches, dealt by a hash of the id; work
@@ -321,17 +311,18 @@ def remove_repeated_bytes(docs: DataFrame, folder: str, length: int = LENGTH, an
     # entries with twins repeat their whole reach
     twins = _semi(repeated, classes.where("n > 1"), ["key", "reach"])
     whole = twins.select("doc_id", F.greatest(F.col("at") - (length - anchor), F.lit(0)).alias("start"), (F.col("at") + length).alias("end"))
-    # anchors with several reaches are compared in full, one entry for each reach
-    several = classes.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 AND least = 1").select("key", (F.col("c") > max_group).alias("many"))
-    wanted = classes.join(several, "key").select("key", "many", F.col("one.doc_id").alias("doc_id"), F.col("one.at").alias("at"))
+    # anchors with several reaches are compared in full, one entry for each reach, in chunks
+    several = classes.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 AND least = 1").select("key", F.ceil(F.col("c") / chunk_rows).cast("int").alias("chunks"))
+    dealt = several.select("key", "chunks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = classes.select("key", "one.doc_id", "one.at", F.pmod(F.xxhash64("reach"), F.lit(SALTS)).cast("int").alias("salt"))
+    wanted = salted.join(dealt, ["key", "salt"]).select("key", "chunks", "doc_id", "at")
     texts = packed_texts(docs)
-    found = _contexts(wanted, texts, length, anchor)
-    groups = found.where("NOT many").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    spans = _marked(groups, length).union(whole)
-    if not several.where("many").isEmpty():
-        spans = spans.union(_counted(found.where("many"), length))
+    chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("doc_id", "at"), F.col("chunks"))).otherwise(0).cast("int")
+    groups = _contexts(wanted, texts, length, anchor).withColumn("chunk", chunk).repartition(shuffle_partitions(spark), "key", "chunk").sortWithinPartitions("key", "chunk")
+    marks = materialise(_marked(groups, length), folder, "marks")
+    spans = marks.where("h IS NULL").select("doc_id", "start", "end").union(_across_chunks(marks.where("h IS NOT NULL"))).union(whole)
     spans = materialise(spans, folder, "spans")
-    for name in ("repeated", "classes", *(x[0] for x in index.levels if x), *(f"found-{i + 1}" for i in range(index.n))):
+    for name in ("repeated", "classes", "marks", *(x[0] for x in index.levels if x), *(f"found-{i + 1}" for i in range(index.n))):
         delete(spark, f"{folder}/{name}")
     text = F.coalesce("text", F.lit(""))
     none = docs.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode(text, "UTF-8").alias("kept"))

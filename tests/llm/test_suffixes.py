@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from histlake.llm import suffixes
+from histlake.llm import common, suffixes
 from histlake.llm.common import work_dir
 from tests.llm.helpers import documents, save, sentence, sha
 
@@ -47,11 +48,12 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert read(suffixes.op6_suffix_array_dedup(spark, save(spark, tmp_path, data))) == brute(data, 400)
 
 
-@pytest.mark.parametrize("max_group", [2, 20_000])
-def test_small_segments_many_batches(spark, monkeypatch, max_group):
+@pytest.mark.parametrize("chunk_rows", [2, 5, 400])
+def test_small_segments_many_batches(spark, monkeypatch, chunk_rows):
     monkeypatch.setattr(suffixes, "SEGMENT", 150)
+    monkeypatch.setattr(suffixes, "BLOCK_ROWS", 3)
     data = texts(random.Random(5), 60)
-    assert read(suffixes.remove_repeated_bytes(documents(spark, data), work_dir(spark), 60, 16, batches=5, max_group=max_group)) == brute(data, 60)
+    assert read(suffixes.remove_repeated_bytes(documents(spark, data), work_dir(spark), 60, 16, batches=5, chunk_rows=chunk_rows)) == brute(data, 60)
 
 
 def test_null_ids_repeats_and_empty(spark):
@@ -67,3 +69,32 @@ def test_levels_merge_geometrically(spark):
     for i in range(5):
         index.add(suffixes.entries(documents(spark, [sentence(random.Random(i), 300)])))
     assert [bool(x) for x in index.levels] == [True, False, True]
+
+
+def test_frequent_anchor_in_chunks(spark):
+    # one line in many different surroundings: its anchors have a reach for each document
+    rng = random.Random(6)
+    line = sentence(rng, 130, 3000)
+    data = [f"{sentence(rng, 20, 3000)} {line} {sentence(rng, 20, 3000)}" for _ in range(60)] + [line[: len(line) // 2] + sentence(rng, 90, 3000)]
+    data += [f"{data[0]} {data[1]}", line]
+    assert read(suffixes.remove_repeated_bytes(documents(spark, data), work_dir(spark), chunk_rows=7)) == brute(data, 400)
+
+
+def test_rolling_hashes():
+    rng = random.Random(2)
+    data = bytes(rng.choice(b"ab") for _ in range(700)) * 3
+    for size in (8, 9, 31, 96, 100, 400):
+        hashes = common.rolling_hashes(np.frombuffer(data, dtype=np.uint8), size).tolist()
+        cuts = [data[i : i + size] for i in range(len(data) - size + 1)]
+        assert len(hashes) == len(cuts) and len(set(zip(cuts, hashes))) == len(set(cuts)) == len(set(hashes))
+    assert len(common.rolling_hashes(np.frombuffer(b"short", dtype=np.uint8), 8)) == 0
+
+
+def test_hashes_of_cancelling_words_differ():
+    # words of this build and their complements have equal sums modulo 2**64
+    for n in (1024, 2048, 8192):
+        word = np.array([97 + (i.bit_count() & 1) for i in range(n)], dtype=np.uint8)
+        both = np.concatenate((word, 195 - word))
+        one, two = common.span_hashes(both, np.array([0, n]), np.array([n, 2 * n]))
+        assert one != two
+        assert len(set(common.rolling_hashes(both, n)[[0, n]].tolist())) == 2
