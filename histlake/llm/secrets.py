@@ -6,6 +6,7 @@ nothing alone; an interval join within a scope reports a weak part only when
 its complement lies within ``reach`` code points: a key identifier needs a
 secret, a secret needs an identifier or an endpoint, an endpoint needs both a
 secret and an identifier.  Scopes are blocks between blank lines.
+A weak part that overlaps a base match adds nothing.
 
 The join runs over the sorted parts of one document (binary search for the
 nearest complement), so no pairs are emitted and no row is shuffled.
@@ -78,6 +79,10 @@ class _Spans:
         self.spans = sorted(spans)
         self.most = list(accumulate((e for _, e in self.spans), max))
 
+    def overlap(self, start: int, end: int) -> bool:
+        i = bisect_left(self.spans, (end, -1))
+        return i > 0 and self.most[i - 1] > start
+
     def near(self, start: int, end: int, low: int, high: int, reach: int) -> bool:
         """Whether a span inside [low, high) begins or ends within reach of [start, end), or holds it."""
         i = bisect_left(self.spans, (max(low, start - reach), -1))
@@ -95,9 +100,8 @@ def find_spans(text: str, reach: int) -> list[tuple[int, int, int]]:
     if not weak:
         return sorted(base)
     # a weak part inside a base match adds nothing
-    taken = sorted((s, e) for s, _, e in base)
-    begins = [s for s, _ in taken]
-    weak = sorted({w for w in weak if not any(s < w[2] and w[0] < e for s, e in taken[max(0, bisect_left(begins, w[0]) - 3) : bisect_right(begins, w[2])])})
+    taken = _Spans((s, e) for s, _, e in base)
+    weak = sorted({w for w in weak if not taken.overlap(w[0], w[2])})
     secrets = _Spans([(s, e) for s, k, e in base if k in (0, 2)] + [(s, e) for s, k, e in weak if k == 4])
     idents = _Spans([(s, e) for s, k, e in base if k == 1] + [(s, e) for s, k, e in weak if k == 3])
     ends = _Spans((s, e) for s, k, e in weak if k == 5)

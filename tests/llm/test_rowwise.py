@@ -63,19 +63,38 @@ def test_long_complements_that_end_beside_a_weak_part():
     assert kinds(f"{jwt}\n\nuser_name: bob") == {"assign"}  # another block
 
 
+def brute_spans(text, reach):
+    """All base matches, and each weak part whose complement is near: every part against every other."""
+    base = secrets._base(text)
+    weak = {w for w in secrets._weak(text) if not any(s < w[2] and w[0] < e for s, _, e in base)}
+    if base or secrets._weak(text):
+        weak |= {(m.start(), 4, m.end()) for m in secrets.WEAK_SECRET.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)}
+    breaks = [m.start() for m in secrets.BLANK_LINE.finditer(text)]
+    block = lambda at: sum(b <= at for b in breaks)
+    near = lambda w, kinds, strong: any(block(s) == block(w[0]) and s <= w[2] + reach and e >= w[0] - reach for s, k, e in [x for x in weak if x[1] in kinds] + [x for x in base if x[1] in strong])
+    secret, ident, end = (lambda w: near(w, (4,), (0, 2))), (lambda w: near(w, (3,), (1,))), (lambda w: near(w, (5,), ()))
+    linked = {w for w in weak if w[1] == 3 and secret(w) or w[1] == 4 and (ident(w) or end(w)) or w[1] == 5 and secret(w) and ident(w)}
+    return sorted(base + list(linked))
+
+
 def test_linked_parts_equal_brute_force():
     rng = random.Random(11)
-    for _ in range(300):
-        parts = [rng.choice(["user_name: bob", "password: hunter22", "https://e.example/" + "p/" * rng.randrange(60), "token=" + "Xy9-" * rng.randrange(3, 70), "x " * rng.randrange(1, 60), "\n\n"]) for _ in range(rng.randrange(2, 9))]
-        text = "\n".join(parts).replace("\n\n\n", "\n\n")
+    n_linked = 0
+    for _ in range(10_000):
+        pool = ["user_name: bob", "client_id=bob", "password: hunter22", "password=" + "_".join("0123456789abcdef" for _ in range(rng.randrange(1, 6))) + "_" + "Zx9+" * 10, "https://e.example/" + "p/" * rng.randrange(60), "token=" + "Xy9-" * rng.randrange(3, 70), "AKIAABCDEF01", "AKIA" + "QRSTUV23" * 3, "deadbeefdeadbeef", "Ab1+" * 10, "db.example.com:5432", "x " * rng.randrange(1, 60), "\n\n"]
+        text = rng.choice(["\n", " "]).join(rng.choice(pool) for _ in range(rng.randrange(2, 9))).replace("\n\n\n", "\n\n")
         reach = rng.choice([5, 40, 200])
-        base, every = secrets._base(text), secrets.find_spans(text, 10**6)
-        weak = [w for w in secrets._weak(text) + [(m.start(), 4, m.end()) for m in secrets.WEAK_SECRET.finditer(text)] if not any(s < w[2] and w[0] < e for s, _, e in base)]
-        block = lambda at: sum(m.start() <= at for m in secrets.BLANK_LINE.finditer(text))
-        near = lambda w, kinds, strong: any(block(s) == block(w[0]) and s <= w[2] + reach and e >= w[0] - reach for s, k, e in [x for x in weak if x[1] in kinds] + [x for x in base if x[1] in strong])
-        secret, ident, end = (lambda w: near(w, (4,), (0, 2))), (lambda w: near(w, (3,), (1,))), (lambda w: near(w, (5,), ()))
-        linked = {w for w in weak if w[1] == 3 and secret(w) or w[1] == 4 and (ident(w) or end(w)) or w[1] == 5 and secret(w) and ident(w)}
-        assert set(secrets.find_spans(text, reach)) == set(base) | linked <= set(every)
+        want = brute_spans(text, reach)
+        assert secrets.find_spans(text, reach) == want
+        n_linked += any(k > 2 for _, k, _ in want)
+    assert n_linked > 3_000
+
+
+def test_a_weak_part_inside_a_base_match_with_many_inner_ones():
+    for runs in range(1, 7):
+        inner = "_".join(["0123456789abcdef"] * runs)
+        text = f"login: bob password={inner}_{'Zx9+' * 10}"
+        assert "weak_secret" not in {secrets.KINDS[k] for _, k, _ in secrets.find_spans(text, 200)}
 
 
 def test_empty_table_and_extra_columns(spark):
