@@ -5,13 +5,17 @@ texts get a backslash after their first character (``<\\s>``), one more where
 there are backslashes already, so that no text can open or close a turn and the
 original comes back exactly.
 
-Prefix sums of turn tokens over a conversation place each turn in a span of
-``budget`` tokens; a turn is never cut.  A later window repeats the system turn
-and up to ``history`` tokens of the turns before it, masked.  The loss mask
-holds each assistant text once, in the window where its turn is new.
+Windows hold whole turns and at most ``budget`` tokens, all that they repeat
+included.  A window begins at a turn.  Later windows repeat the system turn,
+and as many of the turns just before as fit in ``history`` tokens; both are
+masked, and both give way where they and the new turn exceed the budget
+(history first, from its oldest turn).  Then new turns follow while the prefix
+sums of their tokens stay within the budget.  So only a turn that is longer by
+itself exceeds it, and such a turn stands alone.  The loss mask holds each
+assistant text once, in the window where its turn is new.
 
 One shuffle by conversation serves the window functions and the grouping; the
-rest is local to a conversation, and linear in its turns.
+rest is local to a conversation: one fold over its turns chooses the windows.
 
 Defined cases: null text or role is empty; turns with equal numbers are ordered
 by role, then text; repeated rows are repeated turns; a null conv_id is one
@@ -20,6 +24,8 @@ conversation; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,7 +38,10 @@ CONTROLS = r"(/?s>|/?INST\]|/?SYS>>)"
 ESCAPE = (r"([<\[])(\\*)" + CONTROLS, r"$1\\$2$3")
 UNESCAPE = (r"([<\[])\\(\\*)" + CONTROLS, r"$1$2$3")
 
-BUDGET, HISTORY = 512, 256
+BUDGET, HISTORY = 1024, 256
+
+#: A token, where no tokeniser runs: up to four ASCII letters or digits, or one other character that is no white space.
+TOKEN = r"[A-Za-z0-9]{1,4}|[^A-Za-z0-9 \t\n\x0B\f\r]"
 
 
 def escape(text: Column) -> Column:
@@ -53,16 +62,17 @@ def unescape_role(role: Column) -> Column:
 
 
 def turn_tokens(text: Column) -> Column:
-    """Tokens of a formatted turn: its words and the three marks around them."""
-    return (F.size(F.split(F.trim(text), r"[ \t\n\x0B\f\r]+")) + 3).cast("long")
+    """Tokens of a formatted turn: those of its text and the three marks around it."""
+    return (F.regexp_count(text, F.lit(TOKEN)) + 3).cast("long")
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[Column], Column] = turn_tokens) -> DataFrame:
     """conv_id, window, text and spans, one row for each window.
 
     spans: for each turn of the window, in order, struct<start, length (of the
     whole turn in the text), text_start, text_length, repeated, loss>; offsets
-    count code points from 0.
+    count code points from 0.  ``tokens`` counts a text's tokens, marks included:
+    one at least.
     """
     rows = turns.select(
         "conv_id",
@@ -70,33 +80,60 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.select("*", turn_tokens(F.col("text")).alias("tokens"))
+    rows = rows.select("*", tokens(F.col("text")).cast("long").alias("tokens"))
     ordered = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.select("*", F.row_number().over(ordered).alias("pos"), F.sum("tokens").over(ordered.rowsBetween(W.unboundedPreceding, -1)).alias("cum"))
-    rows = rows.withColumn("cum", F.coalesce("cum", F.lit(0).cast("long"))).withColumn("span", F.floor(F.col("cum") / F.lit(budget)).cast("long"))
-    # where the history begins, were a window to begin at this turn
+    rows = rows.withColumn("cum", F.coalesce("cum", F.lit(0).cast("long")))
+    # where the history begins, were a window to begin at this turn and have room for all of it
     recent = W.partitionBy("conv_id").orderBy("cum").rangeBetween(-history, 0)
     rows = rows.withColumn("from_pos", F.min("pos").over(recent))
-    turn = F.struct("pos", "span", "from_pos", "role", "text")
+    turn = F.struct("pos", "tokens", "cum", "from_pos", "role", "text")
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    marked = grouped.select("conv_id", F.transform("turns", _formatted).alias("turns"))
-    # a window begins where the span changes
-    firsts = F.filter("turns", lambda t, i: (i == 0) | (t["span"] != F.try_element_at(F.col("turns"), F.greatest(i, F.lit(1)))["span"]))
-    cut = marked.select("conv_id", "turns", F.transform(firsts, lambda t: F.struct(t["pos"].alias("pos"), t["from_pos"].alias("from_pos"))).alias("firsts"))
-    return cut.select("conv_id", F.posexplode(F.transform("firsts", lambda f, i: _window(F.col("turns"), f, F.coalesce(F.try_element_at(F.col("firsts"), i + 2)["pos"], F.size("turns") + 1)))).alias("window", "w")).select("conv_id", "window", _laid_out(F.col("w")).alias("w")).select("conv_id", "window", "w.text", "w.spans")
+    marked = grouped.select("conv_id", F.transform("turns", _formatted).alias("turns"), F.transform("turns", lambda t: t["cum"]).alias("cums"))
+    lead = F.element_at("turns", 1)
+    marked = marked.withColumn("system", F.when(lead["role"] == "system", lead["tokens"]).otherwise(F.lit(0).cast("long")))
+    cut = marked.select("conv_id", "turns", _begins(F.col("turns"), F.col("cums"), F.col("system"), budget, history).alias("begins"))
+    each = F.transform("begins", lambda f, i: _window(F.col("turns"), f, F.coalesce(F.try_element_at(F.col("begins"), i + 2)["pos"], F.size("turns") + 1)))
+    return cut.select("conv_id", F.posexplode(each).alias("window", "w")).select("conv_id", "window", _laid_out(F.col("w")).alias("w")).select("conv_id", "window", "w.text", "w.spans")
+
+
+BEGIN = "array<struct<pos:int,back:int,system:boolean>>"
+
+
+def _begins(turns: Column, cums: Column, system: Column, budget: int, history: int) -> Column:
+    """pos of each window's first new turn, back (the first turn of its history) and whether it repeats the system turn.
+
+    One fold over the turns; cums are the prefix sums of their tokens, system
+    the tokens of a leading system turn or 0.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(BEGIN).alias("begins"))
+
+    def step(state: Column, t: Column) -> Column:
+        retained = (system > 0) & (t["pos"] > 1) & (system + t["tokens"] <= budget)
+        head = F.when(retained, system).otherwise(F.lit(0).cast("long"))
+        room = F.greatest(F.least(F.lit(history), F.lit(budget) - head - t["tokens"]), F.lit(0))
+        oldest = F.least(t["pos"], F.greatest(t["from_pos"], F.when(system > 0, 2).otherwise(1)))
+        fits = F.filter(F.sequence(oldest, t["pos"]), lambda b: t["cum"] - F.element_at(cums, b) <= room)
+        back = F.element_at(fits, 1)
+        new = F.struct(t["pos"].alias("pos"), back.alias("back"), retained.alias("system"))
+        begun = F.struct((head + t["cum"] - F.element_at(cums, back) + t["tokens"]).alias("used"), F.concat(state["begins"], F.array(new)).cast(BEGIN).alias("begins"))
+        more = F.struct((state["used"] + t["tokens"]).alias("used"), state["begins"].alias("begins"))
+        return F.when((t["pos"] == 1) | (state["used"] + t["tokens"] > budget), begun).otherwise(more)
+
+    return F.aggregate(turns, start, step, lambda s: s["begins"])
 
 
 def _formatted(t: Column) -> Column:
     head = F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("\n"))
     body = escape(t["text"])
-    return F.struct(t["pos"].alias("pos"), t["span"].alias("span"), t["from_pos"].alias("from_pos"), t["role"].alias("role"), F.length(head).alias("head"), F.length(body).alias("body"), F.concat(head, body, F.lit(CLOSE)).alias("formatted"))
+    return F.struct(t["pos"].alias("pos"), t["tokens"].alias("tokens"), t["cum"].alias("cum"), t["from_pos"].alias("from_pos"), t["role"].alias("role"), F.length(head).alias("head"), F.length(body).alias("body"), F.concat(head, body, F.lit(CLOSE)).alias("formatted"))
 
 
 def _window(turns: Column, first: Column, end: Column) -> Column:
     """The turns of a window: the system turn, the history, the new turns."""
     part = lambda t, repeated: F.struct(t["head"].alias("head"), t["body"].alias("body"), t["formatted"].alias("formatted"), F.lit(repeated).alias("repeated"), (F.lit(not repeated) & (t["role"] == "assistant")).alias("loss"))
-    begin, back = first["pos"], first["from_pos"]
-    system = F.filter(F.slice(turns, 1, 1), lambda t: (t["role"] == "system") & (back > 1))
+    begin, back = first["pos"], first["back"]
+    system = F.slice(turns, 1, first["system"].cast("int"))
     past = F.concat(system, F.slice(turns, back, begin - back))
     return F.concat(F.transform(past, lambda t: part(t, True)), F.transform(F.slice(turns, begin, end - begin), lambda t: part(t, False)))
 
@@ -139,29 +176,46 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS>>)', '\1\\\2\3', 'g')"
 
-#: The same windows by the same prefix sums; text lengths stand for the texts.
+#: From the rule: for every turn, what a window that began there would hold; then the chain of windows.
 OP2_SQL = rf"""
-WITH src AS (
+WITH RECURSIVE src AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 sized AS (
-  SELECT *, len(string_split_regex(trim(text), '[ \t\n\x0B\f\r]+')) + 3 AS tokens,
+  SELECT *, len(regexp_extract_all(text, '{TOKEN}')) + 3 AS tokens,
          length(replace(replace({_ESCAPED.format("role")}, '%', '%25'), chr(10), '%0A')) + length({_ESCAPED.format("text")}) + 8 AS chars
   FROM src),
 placed AS (
-  SELECT *, row_number() OVER o AS pos, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cum,
+  SELECT *, row_number() OVER o AS pos, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING)::BIGINT AS through_,
          sum(chars) OVER (o ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
   FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-reached AS (
-  SELECT *, cum // {BUDGET} AS span, min(pos) OVER (PARTITION BY conv_id ORDER BY cum RANGE BETWEEN {HISTORY} PRECEDING AND CURRENT ROW) AS from_pos FROM placed),
-begins AS (
-  SELECT conv_id, span, min(pos) AS begin_, arg_min(from_pos, pos) AS back, sum(chars)::BIGINT AS fresh FROM reached GROUP BY conv_id, span),
-windows AS (
-  SELECT b.conv_id, b.fresh + coalesce(e.upto, 0) - coalesce(s.upto, 0) + CASE WHEN f.role = 'system' AND b.back > 1 THEN f.chars ELSE 0 END AS chars
-  FROM begins b JOIN placed f ON f.conv_id = b.conv_id AND f.pos = 1
-  LEFT JOIN placed e ON e.conv_id = b.conv_id AND e.pos = b.begin_ - 1
-  LEFT JOIN placed s ON s.conv_id = b.conv_id AND s.pos = b.back - 1),
-formatted AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM windows GROUP BY conv_id),
+led AS (
+  SELECT p.*, f.role = 'system' AS has_system, f.tokens AS system_tokens, f.chars AS system_chars,
+         f.role = 'system' AND p.pos > 1 AND f.tokens + p.tokens <= {BUDGET} AS retained
+  FROM placed p JOIN placed f ON f.conv_id = p.conv_id AND f.pos = 1),
+roomy AS (
+  SELECT *, greatest(0, least({HISTORY}, {BUDGET} - tokens - CASE WHEN retained THEN system_tokens ELSE 0 END)) AS room FROM led),
+backs AS (
+  SELECT p.conv_id, p.pos, coalesce(min(b.pos), p.pos) AS back
+  FROM roomy p LEFT JOIN placed b ON b.conv_id = p.conv_id AND b.pos < p.pos AND (b.pos > 1 OR NOT p.has_system)
+       AND p.through_ - p.tokens - (b.through_ - b.tokens) <= p.room
+  GROUP BY p.conv_id, p.pos),
+ends AS (
+  SELECT p.conv_id, p.pos, k.back, coalesce(max(e.pos), p.pos) AS last_
+  FROM roomy p JOIN backs k ON k.conv_id = p.conv_id AND k.pos = p.pos
+  JOIN placed b ON b.conv_id = p.conv_id AND b.pos = k.back
+  LEFT JOIN placed e ON e.conv_id = p.conv_id AND e.pos >= p.pos
+       AND e.through_ - (b.through_ - b.tokens) + CASE WHEN p.retained THEN p.system_tokens ELSE 0 END <= {BUDGET}
+  GROUP BY p.conv_id, p.pos, k.back),
+chain AS (
+  SELECT conv_id, pos, back, last_ FROM ends WHERE pos = 1
+  UNION ALL
+  SELECT e.conv_id, e.pos, e.back, e.last_ FROM chain c JOIN ends e ON e.conv_id = c.conv_id AND e.pos = c.last_ + 1),
+formatted AS (
+  SELECT c.conv_id, sum(e.upto - b.upto + b.chars + CASE WHEN p.retained THEN p.system_chars ELSE 0 END)::BIGINT AS formatted_chars
+  FROM chain c JOIN led p ON p.conv_id = c.conv_id AND p.pos = c.pos
+  JOIN placed b ON b.conv_id = c.conv_id AND b.pos = c.back JOIN placed e ON e.conv_id = c.conv_id AND e.pos = c.last_
+  GROUP BY c.conv_id),
 said AS (
   SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
          coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss

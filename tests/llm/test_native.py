@@ -1,8 +1,10 @@
 """Line dedup and chat formatting against brute force; both are free of Python on the executors."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from histlake.llm import chat, lines
 from tests.llm.helpers import documents, save, sha
@@ -74,17 +76,72 @@ def test_chat_round_trip(spark, tmp_path):
         assert (out[c]["loss_chars"], out[c]["loss_sha256"]) == (len(loss), sha(loss))
 
 
+def brute_windows(turns, budget, history):
+    """(first new turn, first repeated turn, system turn repeated, last turn) of each window; turns are (role, tokens), numbered from 0."""
+    out, p = [], 0
+    has_system = turns[0][0] == "system"
+    cost = lambda a, b: sum(n for _, n in turns[a:b])
+    while p < len(turns):
+        system = has_system and p > 0 and turns[0][1] + turns[p][1] <= budget
+        left = budget - turns[p][1] - (turns[0][1] if system else 0)
+        back = p
+        while back > has_system and cost(back - 1, p) <= min(history, left):
+            back -= 1
+        end = p + 1
+        while end < len(turns) and cost(back, end + 1) + (turns[0][1] if system else 0) <= budget:
+            end += 1
+        out.append((p, back, system, end))
+        p = end
+    return out
+
+
+def count_tokens(text):
+    return len(re.findall(chat.TOKEN, text)) + 3
+
+
 def test_windows_keep_system_and_budget(spark):
-    turns = [(1, 0, "system", "be kind")] + [(1, i, "user" if i % 2 else "assistant", f"w{i} " * 60) for i in range(1, 41)]
-    out = sorted(chat.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 200, 100).collect(), key=lambda r: r["window"])
-    assert len(out) > 5
-    for r in out:
-        assert r["text"].startswith("<s>system\nbe kind</s>")
-        assert "".join(r["text"][s["start"] : s["start"] + s["length"]] for s in r["spans"]) == r["text"]
-        assert all(not (s["repeated"] and s["loss"]) for s in r["spans"])
-        assert sum(len(r["text"][s["start"] : s["start"] + s["length"]].split()) for s in r["spans"] if not s["repeated"]) <= 200 + 70
-    assert any(s["repeated"] for s in out[1]["spans"][1:])
-    assert sum(s["loss"] for r in out for s in r["spans"]) == 20
+    rng = random.Random(9)
+    turns = []
+    for c in range(60):
+        for t in range(rng.randrange(1, 40)):
+            role = "system" if t == 0 and c % 2 else "assistant" if t % 2 else "user"
+            turns.append((c, t, role, "word " * rng.choice([0, 1, 5, 20, 60, rng.randrange(150)]) + f"{t}!"))
+    budget, history = 120, 50
+    told = {}
+    for r in chat.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), budget, history).collect():
+        told.setdefault(r["conv_id"], []).append(r)
+    repeats = alone = 0
+    for c, found in told.items():
+        mine = [(r, x) for k, _, r, x in turns if k == c]
+        found.sort(key=lambda r: r["window"])
+        want = brute_windows([(r, count_tokens(x)) for r, x in mine], budget, history)
+        assert len(found) == len(want)
+        for r, (p, back, system, end) in zip(found, want, strict=True):
+            held = [mine[0]] * system + mine[back:end]
+            assert r["text"] == "".join(f"<s>{role}\n{text}</s>" for role, text in held)
+            assert "".join(r["text"][s["start"] : s["start"] + s["length"]] for s in r["spans"]) == r["text"]
+            fresh = [not s["repeated"] for s in r["spans"]]
+            assert fresh == [False] * (system + p - back) + [True] * (end - p)
+            assert [s["loss"] for s in r["spans"]] == [f and role == "assistant" for f, (role, _) in zip(fresh, held, strict=True)]
+            # no window over the budget, but for a turn that is longer by itself
+            assert sum(count_tokens(x) for _, x in held) <= budget or len(held) == 1
+            repeats += p > back
+            alone += len(held) == 1 and count_tokens(held[0][1]) > budget
+        assert sum(s["loss"] for r in found for s in r["spans"]) == sum(r == "assistant" for r, _ in mine)
+    assert repeats > 30 and alone > 10
+
+
+def test_other_tokens(spark):
+    turns = [(1, i, "user", "x" * 10) for i in range(6)]
+    out = chat.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 30, 0, lambda text: F.length(text)).collect()
+    assert [len(r["spans"]) for r in out] == [3, 3]
+
+
+def test_null_conversation_and_clashing_columns(spark):
+    rows = [(None, 0, "user", "hi", "a", 1), (None, 1, "assistant", "yo", "b", 2), (3, None, None, None, None, 3), (3, None, None, None, None, 3)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, spans string, tokens int")
+    out = {r["conv_id"]: r for r in chat.windows(docs).collect()}
+    assert out[None]["text"] == "<s>user\nhi</s><s>assistant\nyo</s>" and out[3]["text"] == "<s>\n</s>" * 2
 
 
 def test_chat_empty(spark):
