@@ -3,26 +3,30 @@
 A page's tokens are its structural tags and its texts, each with the path it
 stands at.  Over the pages of a host, a token's
 occurrence vector (how often it occurs in each page) is kept as an
-order-free fingerprint, so vectors aggregate with partial sums and no host is
-ever gathered.  Tokens of equal vectors form a class; a class is valid if it
+order-free fingerprint, a sum over the pages, so vectors aggregate with partial
+sums and no host is ever gathered.  Tokens of equal vectors form a class; a class is valid if it
 has several tokens and occurs in half of the host's pages or more.  The tokens of
 the valid classes are the host's template (a token's path says where it nests);
 what is left of a page are its slots, each named by the innermost template
 element around it.  A text inside articles is of the template only if three
 different articles hold it, so that copies of an article keep their text.
 
-The main text is what the slots hold, without the template's texts: the slots
-inside article or main elements if any of them has text, otherwise all; without
-elements that are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments.  A page without slot text (all of it is of
-the template) keeps the texts of its article, or else all.
+The host's main region is the smallest container of the template, once on a
+page, that holds REGION_SHARE of all its pages' slot text.  The main text of a
+page is what the slots in the main region hold, without the template's texts.
+Tags help where the template cannot tell: with ``hints`` (the default), slots in
+article or main elements come before others, and elements that are menus,
+headers, footers, sidebars, notices, adverts, forms or reader comments by tag,
+role or class hold no slots.  A page without slot text (all of it is of the
+template) keeps the texts of its article, or else all.
 
 Templates meet pages by host and a salt of the page, so a host with a third of
 all pages is spread over many tasks; pages travel compressed.
 
 Defined cases: null html is empty and gives empty text; a null or odd url has
-no host and no template; repeated rows give repeated results; an empty table
-gives an empty result; other columns are not read.
+no host and no template; repeated rows give repeated results, and count as so
+many pages of their host (what one page alone holds is never of the template); an empty table gives an empty result; other columns
+are not read.  Work is linear in a page's length, however deep it nests.
 """
 
 from __future__ import annotations
@@ -57,7 +61,12 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:"([^"
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 PARTS = re.compile(r"[^a-z0-9]+")
 
+#: Elements that are blocks of text or parts of lists and tables, no regions of a page.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption address summary".split())
+
 DOCUMENT = 0
+#: The share of the text in a host's template that its main region holds.
+REGION_SHARE = 0.8
 SALTS = 64
 #: Different articles that hold a text of the template.
 LEAST_ARTICLES = 3
@@ -101,13 +110,16 @@ def _said(attributes: str) -> tuple[str, bool, bool]:
 
 
 class Page:
-    """The blocks of a page, in order, and its tokens."""
-
-    def __init__(self, source: str | None):
-        #: (text, inside an article, token of the text at its path, tokens of the elements around it)
-        self.blocks: list[tuple[str, bool, int, tuple[int, ...]]] = []
-        self.tokens: dict[int, int] = {}
-        self._stack: list[tuple[str, bool, bool, int]] = []
+    """The blocks of a page, in order, and its elements."""
+
+    def __init__(self, source: str | None, hints: bool = True):
+        #: (text, inside an article, token of the text at its path, innermost element)
+        self.blocks: list[tuple[str, bool, int, int]] = []
+        #: (token, the element around it, whether it may be a region), outer ones first
+        self.elements: list[tuple[int, int, bool]] = [(DOCUMENT, -1, True)]
+        self._hints = hints
+        self._stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+        self._open: dict[str, int] = {}
         self._text: list[str] = []
         self._read(source or "")
 
@@ -117,8 +129,8 @@ class Page:
         text = " ".join(html.unescape("".join(self._text)).split())
         self._text.clear()
         if text:
-            path = self._stack[-1][3] if self._stack else DOCUMENT
-            self.blocks.append((text, bool(self._stack) and self._stack[-1][2], _text_token(path, text), tuple(e[3] for e in self._stack)))
+            _, _, main, at = self._stack[-1]
+            self.blocks.append((text, main, _text_token(self.elements[at][0], text), at))
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -126,7 +138,7 @@ class Page:
         while at < n:
             m = search(source, at)
             end = m.start() if m else n
-            if end > at and not (self._stack and self._stack[-1][1]):
+            if end > at and not self._stack[-1][1]:
                 text.append(source[at:end])
             if not m:
                 break
@@ -151,25 +163,51 @@ class Page:
 
     def _begin(self, tag: str, rest: str) -> None:
         stack = self._stack
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        while stack and stack[-1][0] in ENDS.get(tag, ()):
-            stack.pop()
+        if stack[-1][0] == "p":
+            self._pop()
+        while stack[-1][0] in ENDS.get(tag, ()):
+            self._pop()
         name, bad, main = _said(rest) if "=" in rest or "hidden" in rest else ("", False, False)
-        _, was_bad, was_main, path = stack[-1] if stack else ("", False, False, DOCUMENT)
-        main = was_main or main or tag in MAIN
+        _, was_bad, was_main, at = stack[-1]
+        main = self._hints and (was_main or main or tag in MAIN)
         # an article's own header holds its title
-        bad = was_bad or bad or tag in BOILER and not (tag == "header" and was_main)
-        token = _below(path, tag + name)
-        self.tokens[token] = self.tokens.get(token, 0) + 1
+        bad = self._hints and (was_bad or bad or tag in BOILER and not (tag == "header" and was_main))
+        self.elements.append((_below(self.elements[at][0], tag + name), at, tag not in TEXT_BLOCKS))
         if tag not in VOID:
-            stack.append((tag, bad, main, token))
+            stack.append((tag, bad, main, len(self.elements) - 1))
+            self._open[tag] = self._open.get(tag, 0) + 1
+
+    def _pop(self) -> None:
+        tag = self._stack.pop()[0]
+        self._open[tag] -= 1
 
     def _end(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == tag:
-                del self._stack[i:]
-                return
+        if self._open.get(tag):
+            while self._stack[-1][0] != tag:
+                self._pop()
+            self._pop()
+
+    def tokens(self) -> dict[int, int]:
+        """How often each token occurs: elements and texts."""
+        found: dict[int, int] = {}
+        for token, _, _ in self.elements:
+            found[token] = found.get(token, 0) + 1
+        for _, _, token, _ in self.blocks:
+            found[token] = found.get(token, 0) + 1
+        return found
+
+    def masses(self) -> dict[int, int]:
+        """The characters below each token of a possible region."""
+        below = [0] * len(self.elements)
+        for text, _, _, at in self.blocks:
+            below[at] += len(text)
+        for i in range(len(below) - 1, 0, -1):
+            below[self.elements[i][1]] += below[i]
+        found: dict[int, int] = {}
+        for (token, _, region), n in zip(self.elements, below, strict=True):
+            if region:
+                found[token] = found.get(token, 0) + n
+        return found
 
     def articles(self) -> dict[int, int]:
         """The tokens of the texts, each with the mark of the article it stands in: ANY outside articles."""
@@ -179,12 +217,17 @@ class Page:
         found.update((token, ANY) for _, main, token, _ in self.blocks if not main)
         return found
 
-    def main_text(self, template: frozenset[int] | set[int]) -> tuple[str, int]:
-        """The text of the slots and how many slots held it."""
+    def main_text(self, template: frozenset[int] | set[int], region: int = DOCUMENT) -> tuple[str, int]:
+        """The text of the slots in the main region and how many slots held it."""
+        slot, held = [DOCUMENT], [region == DOCUMENT]
+        for token, around, _ in self.elements[1:]:
+            slot.append(token if token in template else slot[around])
+            held.append(held[around] or token == region)
         free = [b for b in self.blocks if b[2] not in template]
-        chosen = [b for b in free if b[1]] or free or [b for b in self.blocks if b[1]] or self.blocks
-        slots = {next((t for t in reversed(b[3]) if t in template), DOCUMENT) for b in chosen}
-        return "\n\n".join(b[0] for b in chosen), len(slots)
+        mine = [b for b in free if held[b[3]]]
+        inside = [b for b in free if b[1]]
+        chosen = [b for b in mine if b[1]] or inside or mine or free or [b for b in self.blocks if b[1]] or self.blocks
+        return "\n\n".join(b[0] for b in chosen), len({slot[b[3]] for b in chosen})
 
 
 def _text_token(path: int, text: str) -> int:
@@ -205,45 +248,54 @@ def _least_articles(marks: Column) -> Column:
     return F.greatest(*(F.bit_count(F.shiftrightunsigned(marks, 8 * i).bitwiseAND(F.lit(255))) for i in range(8)))
 
 
-def _profiles(pages: DataFrame) -> DataFrame:
-    """host, token, vector (an order-free part of its occurrence vector), n: pages with the token, articles: marks of the articles it stands in; combined within a batch."""
+PROFILE = ("one", "two", "n", "times", "articles", "mass", "low", "high")
+
+
+def _profiles(pages: DataFrame, hints: bool = True) -> DataFrame:
+    """host, token and, combined within a batch: one and two (sums of parts of its occurrence vector), n: pages with the token, times: how often it occurs, articles: marks of the articles it stands in, mass: characters below it, low and high: the first and last of its pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple[str, int], list[int]] = {}
-            for i, (page_id, url, source) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)):
+            for page_id, url, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 if (name := host(url)) is None:
                     continue
-                page = Page(source)
-                for _, _, token, _ in page.blocks:
-                    page.tokens[token] = page.tokens.get(token, 0) + 1
-                articles = page.articles()
-                page.tokens[DOCUMENT] = 1
-                tokens = np.fromiter(page.tokens, dtype=np.int64)
-                marks = mix(mix(np.fromiter(page.tokens.values(), dtype=np.uint64)) + np.uint64((page_id or 0) % (1 << 64))).view(np.int64).tolist()
-                for token, mark in zip(tokens.tolist(), marks, strict=True):
-                    if (have := seen.get((name, token))) is None:
-                        seen[name, token] = [mark, 1, articles.get(token, ANY)]
-                    else:
-                        have[0] ^= mark
-                        have[1] += 1
-                        have[2] |= articles.get(token, ANY)
+                page = Page(source, hints)
+                counts, articles, masses = page.tokens(), page.articles(), page.masses()
+                marks = mix(mix(np.fromiter(counts.values(), dtype=np.uint64)) + np.uint64((page_id or 0) % (1 << 64)))
+                ones, twos = (marks >> np.uint64(32)).tolist(), (marks & np.uint64(0xFFFFFFFF)).tolist()
+                for (token, times), one, two in zip(counts.items(), ones, twos, strict=True):
+                    have = seen.setdefault((name, token), [0, 0, 0, 0, 0, 0, page_id or 0, page_id or 0])
+                    have[0] += one
+                    have[1] += two
+                    have[2] += 1
+                    have[3] += times
+                    have[4] |= articles.get(token, ANY)
+                    have[5] += masses.get(token, 0)
+                    have[6] = min(have[6], page_id or 0)
+                    have[7] = max(have[7], page_id or 0)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int64()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(3))], names=["host", "token", "vector", "n", "articles"])
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int64()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(len(PROFILE)))], names=["host", "token", *PROFILE])
 
-    return pages.mapInArrow(run, "host string, token long, vector long, n long, articles long")
+    return pages.mapInArrow(run, f"host string, token long, {', '.join(f'{c} long' for c in PROFILE)}")
 
 
-def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 2) -> DataFrame:
-    """host, template array<long>: the tokens of the valid classes of each host with several pages."""
-    tokens = _profiles(pages).groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("n").alias("n"), F.bit_or("articles").alias("articles"))
+def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 2, hints: bool = True) -> DataFrame:
+    """host, template array<long> (the tokens of the valid classes), region (the main region's token), of each host with several pages."""
+    how = dict.fromkeys(PROFILE, F.sum) | {"articles": F.bit_or, "low": F.min, "high": F.max}
+    tokens = _profiles(pages, hints).groupBy("host", "token").agg(*(f(c).alias(c) for c, f in how.items()))
     sizes = pages.select(_host(F.col("url")).alias("host")).where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    common = tokens.where((F.col("n") >= least_pages) & (_least_articles(F.col("articles")) >= LEAST_ARTICLES)).join(sizes, "host").where(F.col("n") >= F.col("pages") * least_share)
-    classes = common.groupBy("host", "vector", "n").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") > 1)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    common = tokens.where((F.col("n") >= least_pages) & (F.col("low") < F.col("high")) & (_least_articles(F.col("articles")) >= LEAST_ARTICLES)).join(sizes, "host").where(F.col("n") >= F.col("pages") * least_share)
+    member = F.struct("token", (F.col("n") == F.col("times")).alias("once"), "mass")
+    classes = common.groupBy("host", "one", "two", "n").agg(F.collect_list(member).alias("members")).where(F.size("members") > 1)
+    found = classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("members"))
+    whole = F.array_max(F.transform("members", lambda m: m["mass"]))
+    regions = F.filter("members", lambda m: m["once"] & (m["mass"] > 0) & (m["mass"] >= whole * REGION_SHARE))
+    smallest = F.try_element_at(F.array_sort(F.transform(regions, lambda m: F.struct(m["mass"].alias("mass"), m["token"].alias("token")))), F.lit(1))["token"]
+    return found.select("host", F.transform("members", lambda m: m["token"]).alias("template"), F.coalesce(smallest, F.lit(DOCUMENT).cast("long")).alias("region"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hints: bool = True) -> DataFrame:
     """page_id, url, text, n_slots: the main text of each page; blocks are parted by an empty line."""
     pages = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
 
@@ -260,14 +312,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [Page(x.decode()).main_text(set(t or ())) for x, t in zip(unpack(part.column("packed")), part.column("template").to_pylist(), strict=True)]
+                rows = zip(unpack(part.column("packed")), part.column("template").to_pylist(), part.column("region").to_pylist(), strict=True)
+                found = [Page(x.decode(), hints).main_text(set(t or ()), r or DOCUMENT) for x, t, r in rows]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([t for t, _ in found], pa.string()), pa.array([s for _, s in found], pa.int64())], names=["page_id", "url", "text", "n_slots"])
 
     packed = pages.mapInArrow(pack, "page_id long, url string, host string, salt int, packed binary")
     # a template goes only where pages of its host are
     salts = pages.select(_host(F.col("url")).alias("host"), F.coalesce(F.pmod("page_id", F.lit(SALTS)), F.lit(0)).cast("int").alias("salt")).where("host IS NOT NULL")
-    sent = salts.distinct().groupBy("host").agg(F.collect_list("salt").alias("salts")).join(templates(pages), "host").select("host", "template", F.explode("salts").alias("salt"))
-    return packed.join(sent, ["host", "salt"], "left").select("page_id", "url", "packed", "template").mapInArrow(run, "page_id long, url string, text string, n_slots long")
+    sent = salts.distinct().groupBy("host").agg(F.collect_list("salt").alias("salts")).join(templates(pages, hints=hints), "host").select("host", "template", "region", F.explode("salts").alias("salt"))
+    return packed.join(sent, ["host", "salt"], "left").select("page_id", "url", "packed", "template", "region").mapInArrow(run, "page_id long, url string, text string, n_slots long")
 
 
 def _host(url):
