@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, table
 
 SALTS = 8
+#: A run of characters that are no ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,10 +66,11 @@ def _without(all_lines: Column, dropped: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(dropped)), lambda i: F.slice(all_lines, before(i) + 2, after(i) - before(i) - 1)))
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, details: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, details: bool = False, least_words: int = 0) -> DataFrame:
     """The documents with their repeated lines dropped.
 
-    With ``details``: doc_id, n_lines, n_dropped and text only.
+    With ``details``: doc_id, n_lines, n_dropped and text only.  Documents that
+    lose lines and are left with fewer than ``least_words`` words go.
     """
     lost = dropped_positions(docs, id_col, text_col, min_chars, min_docs).toDF("__doc", "__dropped")
     source = docs if not details else docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -75,6 +78,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = source.join(lost, F.coalesce(F.col(f"`{id_col}`"), F.lit(-(1 << 63)).cast("long")) == F.col("__doc"), "left")
     split = joined.withColumn("__lines", lines(F.col(f"`{text_col}`")))
     text = F.when(F.col("__dropped").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(_without(F.col("__lines"), F.col("__dropped")), "\n"))
+    if least_words:
+        split = split.where(F.col("__dropped").isNull() | (F.regexp_count(text, F.lit(WORD)) >= least_words))
     if details:
         return split.select("doc_id", F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(text, F.lit("")).alias("text"))
     return split.withColumn(text_col, text).select(*docs.columns)

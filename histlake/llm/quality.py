@@ -1,54 +1,80 @@
 """Quality rules: word statistics and tokeniser fertility.
 
 The base rules count words, symbols, repeated lines and words in repeated
-3-word windows.  The fertility rule encodes the text with a public vocabulary
-and measures characters per token, the share of byte-fallback tokens and the
-entropy of the tokens; a language (or else the script of most letters) has a
-band for each, and a text outside a band is rejected.
-
-Everything is local to a row: no shuffle.  Words, windows and lines are hashed
-with numpy over a whole batch; a window or line counts as equal if its 64-bit
-hash and document are.
+3-word windows.  The fertility rule encodes the text with two public
+vocabularies, one of pieces and one of bytes, and measures for each the
+characters per token, the share of fallback tokens (single bytes of characters
+that have no token) and the entropy of the tokens.
+
+A language has a band for each measure, and so has a script.  Bands are fitted
+on all documents that pass the base rules: the median and ``WIDTH`` times the
+distance of the quartiles to either side, so that a band is as wide as the
+language's own texts vary.  A text outside a band of its language is rejected;
+a language of fewer than ``LEAST_DOCS`` such documents, or none, takes its
+script's bands, and a script of fewer the wide ones of ``LIMITS``.
+
+Measures are local to a row.  Quartiles come from counts of rounded values, one
+row for each language, measure and value, summed before they are shuffled; no
+texts are.
 
 Defined cases: null or empty text has no words, fails the base rules and is not
-kept; an unknown or null language falls back to the script's band; repeated
-rows give repeated results; an empty table gives an empty result.
+kept; an unknown or null language takes its script's bands; a null id is a
+document like others; repeated rows count each and give repeated results; an
+empty table gives an empty result; other columns, whatever their names, are not
+read (``keep`` keeps them).  Runs of white space are cut into parts of
+``SPACE_RUN`` characters for the byte vocabulary, whose pattern cannot take
+longer ones.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TextBatch, gram_valid, grams, span_hashes, table, text_chunks
-from .pieces import Encoder, Vocabulary, default_model
+from .common import TextBatch, gram_valid, grams, materialise, span_hashes, table, text_chunks, work_dir
+from .pieces import MAX_MODEL_BYTES, Encoder, Vocabulary, default_model
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-# The bands of the 32k vocabulary.  Characters per token: lowest and
-# highest; byte-fallback share (without white space): highest; token entropy, as a
-# share of that of as many different tokens, MOST_DIFFERENT at most: lowest.  By
-# language, then by script.
+#: Different tokens that a text's entropy is set against, at most.
 MOST_DIFFERENT = 256
-BANDS = {
-    "en": (1.7, 6.5, 0.05, 0.50),
-    "de": (1.7, 6.5, 0.05, 0.50),
-    "fr": (1.7, 6.5, 0.05, 0.50),
-    "es": (1.7, 6.5, 0.05, 0.50),
+#: Distances of the quartiles that a band reaches to either side of the median.
+WIDTH = 4.0
+#: Documents of a language or script that bands are fitted on, at least.
+LEAST_DOCS = 200
+#: Languages whose bands are sent to all executors, at most; more meet the documents by a join.
+MOST_SENT = 5_000
+#: Longest run of white space that the byte vocabulary gets at once.
+SPACE_RUN = 256
+
+MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
+VOCABULARIES = ("piece", "byte")
+#: Columns of the measures, in order.
+MEASURED = tuple(f"{v}_{m}" for v in VOCABULARIES for m in MEASURES)
+#: Least distance of the quartiles that a band is fitted to: 2 hundredths of the median, and this.
+LEAST_SPREAD = {"chars_per_token": 0.02, "fallback_share": 0.02, "token_entropy": 0.01}
+
+# Bands of scripts that too few documents have.  Characters per token:
+# lowest and highest; fallback share: highest; token entropy, as a share of that of as
+# many different tokens, MOST_DIFFERENT at most: lowest.
+LIMITS = {
     "latin": (1.3, 6.5, 0.10, 0.45),
-    "cyrillic": (1.2, 5.5, 0.10, 0.45),
-    "greek": (0.8, 4.0, 0.30, 0.40),
-    "han": (0.5, 2.5, 0.60, 0.40),
-    "other": (0.3, 6.5, 0.90, 0.40),
+    "cyrillic": (0.8, 5.5, 0.40, 0.40),
+    "greek": (0.8, 4.0, 0.60, 0.40),
+    "han": (0.4, 2.5, 0.90, 0.40),
+    "other": (0.2, 6.5, 1.00, 0.30),
 }
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -142,58 +168,181 @@ def base_counts(batch: TextBatch) -> dict[str, np.ndarray]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: dict[str, tuple[float, float, float, float]] = BANDS) -> DataFrame:
-    """One row for each document: the base counts, the fertility measures, base_failed and kept.
+class ByteVocabulary:
+    """A byte-level vocabulary as ranks; sent as its file's bytes, made once in a worker."""
 
-    ``bands`` maps a language or script to (least and most characters per token,
-    most byte share, least relative entropy); "other" must be there.
-    """
+    def __init__(self, data: bytes, pattern: str):
+        self.data, self.pattern = data, pattern
+        self._coder = None
+
+    @classmethod
+    def load(cls, path: str, pattern: str | None = None) -> ByteVocabulary:
+        import public_tokenizers
+
+        if os.path.getsize(path) > MAX_MODEL_BYTES:
+            raise ValueError(f"{path} has more than {MAX_MODEL_BYTES} bytes")
+        with open(path, "rb") as f:
+            return cls(f.read(), pattern or public_tokenizers.PATTERN)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_coder": None}
+
+    def _made(self):
+        if self._coder is None:
+            import tiktoken
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.data.splitlines())}
+            fallback = np.zeros(max(ranks.values()) + 1, dtype=bool)
+            fallback[[i for t, i in ranks.items() if len(t) == 1 and t[0] >= 128]] = True
+            self._coder = tiktoken.Encoding("byte", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}), fallback
+        return self._coder
+
+    @property
+    def is_fallback(self) -> np.ndarray:
+        return self._made()[1]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        coder = self._made()[0]
+        if not text:
+            return np.empty(0, dtype=np.int64)
+        parts = LONG_SPACE.split(text) if LONG_SPACE.search(text) else [text]
+        ids = [coder.encode_to_numpy(p, disallowed_special=()) for p in parts if p]
+        return (ids[0] if len(ids) == 1 else np.concatenate(ids)).astype(np.int64)
+
+
+LONG_SPACE = re.compile(rf"(\s{{{SPACE_RUN}}})")
+
+
+def default_vocabularies() -> tuple[Vocabulary, ByteVocabulary]:
+    """The 32k BPE model with byte fallback and the byte-level vocabulary for many languages."""
+    import public_tokenizers
+
+    return Vocabulary.load(default_model()), ByteVocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+class _Meter:
+    """The measures of texts, by both vocabularies."""
+
+    def __init__(self, vocabularies: tuple[Vocabulary, ByteVocabulary]):
+        pieces, self.bytes = vocabularies
+        self.pieces = Encoder(pieces, library=True)
+        self.fallbacks = pieces.is_fallback, self.bytes.is_fallback
+
+    def measure(self, texts: list[str | None]) -> list[tuple[float, ...]]:
+        """MEASURED of each text, to three decimals."""
+        out = []
+        for text, ids in zip(texts, self.pieces.encode_many(texts), strict=True):
+            n = len(text or "")
+            both = *fertility(ids, self.fallbacks[0], n), *fertility(self.bytes.encode(text), self.fallbacks[1], n)
+            out.append(tuple(round(x, 3) for x in both))
+        return out
+
+
+def _failed(counts: dict[str, np.ndarray]) -> np.ndarray:
+    return (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
+
+
+_MEASURED_SCHEMA = f"base_failed boolean, script string, {', '.join(f'{m} double' for m in MEASURED)}"
+
+
+def _measured(measures: list[tuple[float, ...]]) -> list[pa.Array]:
+    return [pa.array([m[i] for m in measures], pa.float64()) for i in range(len(MEASURED))]
+
+
+def measure(docs: DataFrame, vocabularies: tuple[Vocabulary, ByteVocabulary], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """doc_id, lang, the base counts, base_failed, script and MEASURED of each document."""
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col else F.lit(None).cast("string")
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), lang.alias("lang"))
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabularies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(sent.value, library=True)
-        is_byte = coder.vocabulary.is_fallback
+        meter = _Meter(sent.value)
         for chunk, part in text_chunks(batches):
             counts = base_counts(chunk)
-            failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
-            measures, kept = [], []
             texts = part.column("text").to_pylist()
-            for text, ids, lang, bad in zip(texts, coder.encode_many(texts), part.column("lang").to_pylist(), failed, strict=True):
-                m = fertility(ids, is_byte, len(text or ""))
-                low, high, most_bytes, least = bands.get(lang) or bands.get(script(text or "")) or bands["other"]
-                measures.append(m)
-                kept.append(bool(not bad and low <= m[0] <= high and m[1] <= most_bytes and m[2] >= least))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), *(pa.array([m[i] for m in measures], pa.float64()) for i in range(3)), pa.array(failed), pa.array(kept, pa.bool_())],
-                names=["doc_id", *COUNTS, "chars_per_token", "byte_share", "token_entropy", "base_failed", "kept"],
+                [part.column("doc_id"), part.column("lang"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(_failed(counts)), pa.array([script(t or "") for t in texts]), *_measured(meter.measure(texts))],
+                names=["doc_id", "lang", *COUNTS, "base_failed", "script", *MEASURED],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in COUNTS)}, chars_per_token double, byte_share double, token_entropy double, base_failed boolean, kept boolean")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {', '.join(f'{c} long' for c in COUNTS)}, {_MEASURED_SCHEMA}")
+
+
+def fit_bands(measured: DataFrame, width: float = WIDTH, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """kind (lang or script), name, bands array<struct<low, high>> by MEASURED; measured(lang, script, base_failed, MEASURED...)."""
+    values = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("name"), F.lit(i).alias("i"), F.col(m).alias("value")) for kind in ("lang", "script") for i, m in enumerate(MEASURED)))
+    counts = measured.where("NOT base_failed").select(F.inline(values)).where("name IS NOT NULL").groupBy("kind", "name", "i", "value").agg(F.count("*").alias("n"))
+    fitted = counts.groupBy("kind", "name", "i").agg(F.sum("n").alias("docs"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q")).where(F.col("docs") >= least_docs)
+    least = F.element_at(F.array(*(F.lit(LEAST_SPREAD[m]) for _ in VOCABULARIES for m in MEASURES)), F.col("i") + 1)
+    middle = F.element_at("q", 2)
+    spread = F.greatest(F.element_at("q", 3) - F.element_at("q", 1), middle * 0.02, least) * width
+    which = F.col("i") % len(MEASURES)
+    low = F.when(which == MEASURES.index("fallback_share"), -1.0).otherwise(middle - spread)
+    high = F.when(which == MEASURES.index("token_entropy"), 9.0).otherwise(middle + spread)
+    rows = fitted.select("kind", "name", F.struct("i", F.round(low, 4).alias("low"), F.round(high, 4).alias("high")).alias("band"))
+    return rows.groupBy("kind", "name").agg(F.array_sort(F.collect_list("band")).alias("bands"))
+
+
+def limits(script: Column) -> Column:
+    """The bands of LIMITS of a script, in the form of fit_bands."""
+
+    def bands(low: float, high: float, most: float, least: float) -> Column:
+        pairs = ((low, high), (-1.0, most), (least, 9.0)) * len(VOCABULARIES)
+        return F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("low"), F.lit(b).alias("high")) for i, (a, b) in enumerate(pairs)))
 
+    out = bands(*LIMITS["other"])
+    for name, values in LIMITS.items():
+        out = F.when(script == name, bands(*values)).otherwise(out)
+    return out
 
-def keep(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """The documents that pass, in all their columns; decided in the same pass over the rows."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+def judged(measured: DataFrame, folder: str, width: float = WIDTH, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """measured with ``kept``: whether the base rules and the bands of the language, or else of the script, let a document pass.
+
+    measured is read twice: it should be a table.
+    """
+    bands = materialise(fit_bands(measured, width, least_docs), folder, "bands")
+    sent = F.broadcast if bands.count() <= MOST_SENT else lambda x: x
+    of = lambda kind: sent(bands.where(F.col("kind") == kind).select(F.col("name").alias(kind), F.col("bands").alias(f"__{kind}_bands")))
+    told = measured.join(of("lang"), "lang", "left").join(of("script"), "script", "left")
+    band = F.coalesce("__lang_bands", "__script_bands", limits(F.col("script")))
+    inside = lambda i, m: F.col(m).between(F.element_at(F.col("__band"), i + 1)["low"], F.element_at(F.col("__band"), i + 1)["high"])
+    ok = ~F.col("base_failed")
+    for i, m in enumerate(MEASURED):
+        ok = ok & inside(i, m)
+    return told.withColumn("__band", band).withColumn("kept", F.coalesce(ok, F.lit(False))).drop("__band", "__lang_bands", "__script_bands")
+
+
+def score(docs: DataFrame, vocabularies: tuple[Vocabulary, ByteVocabulary], folder: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", width: float = WIDTH, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """One row for each document: the base counts, base_failed, script, MEASURED and kept.  Work tables go to ``folder``, which executors share."""
+    found = judged(materialise(measure(docs, vocabularies, id_col, text_col, lang_col), folder, "measured"), folder, width, least_docs)
+    return found.select("doc_id", *COUNTS, "base_failed", "script", *MEASURED, "kept")
+
+
+def keep(docs: DataFrame, vocabularies: tuple[Vocabulary, ByteVocabulary], folder: str, text_col: str = "text", lang_col: str | None = "lang", width: float = WIDTH, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """The documents that pass, in all their columns.
+
+    Those that pass the base rules are written with their measures, so that
+    texts are encoded once and never shuffled.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabularies)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    text, lang = names[docs.columns.index(text_col)], names[docs.columns.index(lang_col)] if lang_col else None
+    source = docs.toDF(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(sent.value, library=True)
-        is_byte = coder.vocabulary.is_fallback
-        for chunk, part in text_chunks(batches, text_col, text_col):
-            counts = base_counts(chunk)
-            ok = (counts["n_words"] >= MIN_WORDS) & (100 * counts["n_repeat_words"] <= MAX_REPEAT_PERCENT * counts["n_words"])
-            langs = part.column(lang_col).to_pylist() if lang_col else [None] * len(ok)
-            left = np.flatnonzero(ok)
-            texts = part.column(text_col).take(pa.array(left)).to_pylist()
-            for i, text, ids in zip(left, texts, coder.encode_many(texts), strict=True):
-                m = fertility(ids, is_byte, len(text))
-                low, high, most_bytes, least = BANDS.get(langs[i]) or BANDS.get(script(text)) or BANDS["other"]
-                ok[i] = low <= m[0] <= high and m[1] <= most_bytes and m[2] >= least
-            yield part.filter(pa.array(ok))
+        meter = _Meter(sent.value)
+        for chunk, part in text_chunks(batches, text, text):
+            left = part.filter(pa.array(~_failed(base_counts(chunk))))
+            texts = left.column(text).to_pylist()
+            columns = [pa.array(np.zeros(len(texts), dtype=bool)), pa.array([script(t) for t in texts], pa.string()), *_measured(meter.measure(texts))]
+            yield pa.RecordBatch.from_arrays([*left.columns, *columns], names=[*names, "base_failed", "script", *MEASURED])
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in names)
+    measured = materialise(source.mapInArrow(run, f"{schema}, {_MEASURED_SCHEMA}"), folder, "measured")
+    measured = measured.withColumn("lang", F.col(lang).cast("string") if lang else F.lit(None).cast("string"))
+    return judged(measured, folder, width, least_docs).where("kept").select(*names).toDF(*docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), Vocabulary.load(default_model()))
+    return score(table(spark, sf_dir, "documents"), default_vocabularies(), work_dir(spark))

@@ -49,6 +49,11 @@ def test_line_threshold(spark):
     assert gone == {1, 2}
 
 
+def test_documents_with_too_few_words_left_go(spark):
+    docs = documents(spark, ["the same line of words\nthree own words", "the same line of words\ntwo more", "short", None, "the same line of words", "", "the same line of words\nand three others"])
+    assert {r["doc_id"]: r["text"] for r in lines.drop_lines(docs, least_words=3).collect()} == {0: "the same line of words\nthree own words", 2: "short", 3: None, 5: "", 6: "and three others"}
+
+
 def save_turns(spark, tmp_path, turns):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
     return str(tmp_path)

@@ -2,8 +2,8 @@ import random
 
 import corpus_pipeline
 import sentencepiece
-from histlake.llm import pieces
-from tests.llm import test_decontaminate, test_minhash, test_native, test_rowwise
+from histlake.llm import pieces, quality
+from tests.llm import test_decontaminate, test_minhash, test_native, test_quality
 from tests.llm.helpers import documents, sentence
 
 
@@ -20,13 +20,15 @@ def test_run_equals_brute_force(spark, tmp_path):
     documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
-    left = {i: t for i, t in enumerate(texts) if not (lambda c: c[0] < 50 or 100 * c[4] > 50 * c[0])(test_rowwise.brute_counts(t))}
+    left = {i: t for i, t in enumerate(texts) if not (lambda c: c[0] < 50 or 100 * c[4] > 50 * c[0])(test_quality.brute_counts(t))}
     key = lambda l: l.strip(test_native.SPACES).lower()
     holders = {}
     for i, t in left.items():
         for l in t.split("\n"):
             holders.setdefault(key(l), set()).add(i)
-    left = {i: "\n".join(l for l in t.split("\n") if len(key(l)) < 10 or i == min(holders[key(l)])) for i, t in left.items()}
+    deduped = {i: "\n".join(l for l in t.split("\n") if len(key(l)) < 10 or i == min(holders[key(l)])) for i, t in left.items()}
+    left = {i: t for i, t in deduped.items() if t == left[i] or len(t.split()) >= quality.MIN_WORDS}
+    assert len(left) < len(deduped)
     names = sorted(left)
     first = test_minhash.brute([left[i] for i in names])
     left = {names[k]: left[names[k]] for k in first if first[k][2]}
@@ -53,3 +55,24 @@ def test_stages_keep_the_columns(spark):
             out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
         assert out.where("doc_id < 5").count() == 5 or name == "quality rules"
+
+
+def test_no_document_is_left_with_too_few_words(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    texts = {r["doc_id"]: r["text"] for r in pieces.decode(out, pieces.Vocabulary.load(pieces.default_model())).collect()}
+    assert len(texts) > 100 and all(len(t.split()) >= quality.MIN_WORDS for t in texts.values())
+
+
+def test_awkward_tables(spark, tmp_path):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(test_quality.ENGLISH) + rng.choice(["", "s", "ly", "ing", "er"]) for _ in range(n))
+    long_ = say(200_000)
+    texts = [None, "", say(80), long_]
+    rows = [(i, t, "en", "src", 0, "x") for i, t in enumerate(texts)] + [(2, texts[2], "en", "src", 0, "y"), (None, say(90), None, None, None, None), (None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    spark.createDataFrame([(None, "an item"), (1, None), (2, "another item of a few words that nothing holds")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    out = [(r["doc_id"], r["n_chars"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(out, key=str) == sorted([(2, len(texts[2])), (2, len(texts[2])), (3, len(long_)), (None, len(rows[5][1]))], key=str)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

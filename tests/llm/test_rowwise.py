@@ -1,13 +1,12 @@
-"""Secret scans, SentencePiece and quality rules against brute force."""
+"""Secret scans and SentencePiece against brute force."""
 
-import collections
 import random
 import re
 
 import pytest
 
-from histlake.llm import pieces, quality, secrets
-from tests.llm.helpers import WORD, documents, save, sha
+from histlake.llm import pieces, secrets
+from tests.llm.helpers import documents, save, sha
 
 TEXTS = [
     None,
@@ -155,66 +154,15 @@ def test_relational_lattice_is_viterbi(spark):
         assert r["path"] == [r["word"][i:j] for i, j in zip(cuts, cuts[1:])]
 
 
-def brute_counts(text):
-    text = text or ""
-    words = WORD.findall(text)
-    times = collections.Counter(zip(words, words[1:], words[2:]))
-    covered = {j for i, g in enumerate(zip(words, words[1:], words[2:])) if times[g] > 1 for j in (i, i + 1, i + 2)}
-    seen, dup = set(), 0
-    for line in text.split("\n"):
-        if WORD.search(line):
-            dup += line in seen
-            seen.add(line)
-    return [len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)]
-
-
-def test_quality_query(spark, tmp_path):
-    rng = random.Random(7)
-    texts = TEXTS + ["\n".join(" ".join(rng.choice("ab c# d é".split(" ")) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(20))) for _ in range(60)]
-    texts += ["The quick brown fox jumps over a lazy dog while " + " ".join(rng.choice("reading writing apples rivers mountain music paper green window garden table".split()) + rng.choice(["", "s", "ly"]) for _ in range(200))]
-    out = {r["doc_id"]: r for r in quality.op10_quality_rules(spark, save(spark, tmp_path, texts)).collect()}
-    for i, text in enumerate(texts):
-        counts = brute_counts(text)
-        assert [out[i][c] for c in quality.COUNTS] == counts
-        assert out[i]["base_failed"] == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
-        assert not (out[i]["base_failed"] and out[i]["kept"])
-    assert out[len(texts) - 1]["kept"]
-
-
-def test_quality_filter_keeps_columns(spark, vocabulary):
-    docs = documents(spark, TEXTS + ["Plain words of many kinds make this text " + " ".join(f"word{i} and" for i in range(40))])
-    kept = quality.keep(docs, vocabulary)
-    assert kept.columns == docs.columns
-    assert quality.keep(docs.limit(0), vocabulary).count() == 0
-
-
-def test_scripts_and_bands():
-    assert [quality.script(t) for t in ("hello é", "привет", "日本語", "123", "αβγ")] == ["latin", "cyrillic", "han", "other", "greek"]
-
-
-OTHER_SCRIPTS = {
-    "hangul": "나는 오늘 아침에 일찍 일어나서 강가를 따라 천천히 걸었다 물은 맑고 바람은 시원했으며 멀리 산 위로 해가 떠올랐다 사람들은 시장에서 과일과 생선을 팔고 아이들은 학교로 달려갔다",
-    "arabic": "استيقظت هذا الصباح مبكرا ومشيت ببطء على ضفة النهر وكان الماء صافيا والريح باردة وأشرقت الشمس فوق الجبل البعيد وكان الناس يبيعون الفاكهة والسمك في السوق",
-    "hebrew": "הבוקר קמתי מוקדם והלכתי לאט לאורך הנהר המים היו צלולים והרוח קרירה והשמש זרחה מעל ההר הרחוק אנשים מכרו פירות ודגים בשוק והילדים רצו לבית הספר",
-    "devanagari": "आज सुबह मैं जल्दी उठा और नदी के किनारे धीरे धीरे चला पानी साफ था हवा ठंडी थी और दूर पहाड़ के ऊपर सूरज निकला लोग बाजार में फल और मछली बेच रहे थे",
-    "thai": "เช้านี้ ฉัน ตื่น แต่ เช้า และ เดิน ช้า ช้า ไป ตาม แม่น้ำ น้ำ ใส ลม เย็น และ ดวงอาทิตย์ ขึ้น เหนือ ภูเขา ไกล ผู้คน ขาย ผลไม้ และ ปลา ใน ตลาด",
-}
-
-
-def test_most_letters_decide_the_script():
-    assert all(quality.script(t + " (A)") == "other" for t in OTHER_SCRIPTS.values())
-    assert quality.script("word and more words in Latin, then 한국") == "latin" and quality.script("Ệ ạ ậ ẵ") == "latin"
-    assert quality.script("ἄᾳὧ an") == "greek" and quality.script("𠀀𠀁 a") == "han" and quality.script("×÷ 12 !") == "other"
-
-
-def test_other_scripts_with_a_latin_letter_are_kept(spark, vocabulary):
-    # the sentence, and its words in other orders, so that no three words repeat
-    texts = []
-    for t in OTHER_SCRIPTS.values():
-        w = t.split()
-        texts.append(" ".join(w + w[::-1] + w[::2] + w[1::2] + w[::3]) + " (A)")
-    rows = [(i, t, lang) for i, t in enumerate(texts) for lang in (None, "xx")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    out = quality.score(docs, vocabulary).collect()
-    assert [(r["base_failed"], r["kept"]) for r in out] == [(False, True)] * len(rows)
-    assert quality.keep(docs, vocabulary).count() == len(rows)
+def test_pieces_of_awkward_tables(spark, vocabulary):
+    schema = "doc_id long, text string, ids string, n_tokens string"
+    assert pieces.encode(spark.createDataFrame([], schema), vocabulary).count() == 0
+    docs = spark.createDataFrame([(None, "a text", "x", "y"), (4, "twice", None, None), (4, "twice", None, None), (5, None, "", "")], schema)
+    out = [(r["doc_id"], r["n_chars"], r["n_tokens"], r["round_trip"]) for r in pieces.encode(docs, vocabulary).collect()]
+    assert out == [(None, 6, len(vocabulary_ids(vocabulary, "a text")), True), (4, 5, len(vocabulary_ids(vocabulary, "twice")), True)] + [(4, 5, len(vocabulary_ids(vocabulary, "twice")), True), (5, 0, 0, True)]
+    back = pieces.decode(spark.createDataFrame([(None, None, "x"), (1, [], "y")], "doc_id long, ids array<int>, text string"), vocabulary)
+    assert [(r["doc_id"], r["text"]) for r in back.collect()] == [(None, ""), (1, "")]
+
+
+def vocabulary_ids(vocabulary, text):
+    return pieces.Encoder(vocabulary).encode(text).tolist()
