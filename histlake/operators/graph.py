@@ -3,14 +3,22 @@
 Histories are deep, so a Spark job for each level is out of the question.  The
 kernels below take whole components: the rows of a component (any key that no
 edge leaves) go to one task, and a task takes as many components as fill a
-batch.  Components run in parallel; in a component work is linear in its edges
-(generations) or in its output (closures).
+batch.  Components run in parallel.  In a component, generations, landings and
+earliest tags are one pass over the edges in topological order; numbers of
+ancestors and descendants are passes over sets of bits; only closures that are
+asked for as pairs are as large as their output.  ``reach_by_levels`` is the way
+without a kernel, a join for each level, for graphs that are shallow or whose
+components exceed a worker's memory.
+
+Commits on a cycle, which no real history has, have generation 0 and no
+landing or earliest tag.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,6 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histlake.plans.shared import shared_folder, written
+
+#: Larger than the place of anything.
+NEVER = np.iinfo(np.int64).max
+#: Bytes of the sets of bits that are held at once.
+BIT_BYTES = 256 << 20
 #: Rows of whole components that a kernel takes at once.
 BATCH_ROWS = 200_000
 
@@ -51,32 +65,48 @@ def _in_components(rows: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFram
 
 
 class _Graph:
-    """Nodes numbered from 0, with parents and children as compressed rows."""
+    """Nodes numbered from 0, component by component; edges by number."""
 
     def __init__(self, frame: pd.DataFrame):
-        role = frame["role"].to_numpy()
-        component, _ = pd.factorize(frame["component"], use_na_sentinel=False)
-        is_commit, is_edge = role == 0, role == 1
-        names = pd.MultiIndex.from_arrays([component, frame["a"].to_numpy()])
-        first = ~names[is_commit].duplicated()
-        commits = names[is_commit][first]
-        self.component = frame["component"].to_numpy()[is_commit][first]
-        self.name = frame["a"].to_numpy()[is_commit][first]
-        self.n = len(commits)
-        nothing = np.array([], dtype=np.int64)
-        child = commits.get_indexer(names[is_edge]) if self.n and is_edge.any() else nothing
-        parent = commits.get_indexer(pd.MultiIndex.from_arrays([component[is_edge], frame["b"].to_numpy()[is_edge]])) if self.n and is_edge.any() else nothing
+        self.role = frame["role"].to_numpy()
+        is_commit, is_edge = self.role == 0, self.role == 1
+        part, _ = pd.factorize(frame["component"], use_na_sentinel=False)
+        a, b = frame["a"].to_numpy(), frame["b"].to_numpy()[is_edge]
+        code, names = pd.factorize(np.concatenate((a, b)), sort=True)
+        self._keys = part.astype(np.int64) * max(1, len(names)) + code[: len(a)]
+        self._nodes, first = np.unique(self._keys[is_commit], return_index=True)
+        self.n = len(self._nodes)
+        self.rows_of = np.flatnonzero(is_commit)[first]
+        self.component = frame["component"].to_numpy()[self.rows_of]
+        self.part = part[self.rows_of]
+        self.name = a[self.rows_of]
+        #: Names in order, as numbers.
+        self.order = code[self.rows_of]
+        child = self._at(self._keys[is_edge])
+        parent = self._at(part[is_edge].astype(np.int64) * max(1, len(names)) + code[len(a) :])
+        self.n_parents = np.bincount(child[child >= 0], minlength=self.n)
+        self.n_children = np.bincount(parent[parent >= 0], minlength=self.n)
         known = (child >= 0) & (parent >= 0)
         self.child, self.parent = child[known], parent[known]
-        self.find = lambda mask: commits.get_indexer(names[mask]) if self.n and mask.any() else nothing
-        self.role = role
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes of keys, -1 for what is no commit."""
+        if not self.n:
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self._nodes, keys), self.n - 1)
+        return np.where(self._nodes[at] == keys, at, -1)
+
+    def of_role(self, role: int) -> np.ndarray:
+        """The nodes that rows of a role name, row by row."""
+        return self._at(self._keys[self.role == role])
 
     @staticmethod
     def rows(source: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(source, kind="stable")
         return np.searchsorted(source[order], np.arange(n + 1)), target[order]
 
-    def generations(self) -> np.ndarray:
+    @cached_property
+    def generation(self) -> np.ndarray:
         """1 for roots, else 1 more than the largest of the parents; 0 on cycles and behind them."""
         left = np.bincount(self.child, minlength=self.n)
         bounds, children = self.rows(self.parent, self.child, self.n)
@@ -92,6 +122,58 @@ class _Graph:
             level += 1
         return out
 
+    def waves(self, up: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Edges in topological order, a level at a time: sources, where those of each target begin, targets.
+
+        With up, from children to parents, youngest first; else from parents to children, oldest first.
+        """
+        source, target = (self.child, self.parent) if up else (self.parent, self.child)
+        level = -self.generation[self.child] if up else self.generation[self.child]
+        fit = (self.generation[self.child] > 0) & (self.generation[self.parent] > 0)
+        source, target, level = source[fit], target[fit], level[fit]
+        order = np.lexsort((source, target, level))
+        source, target, level = source[order], target[order], level[order]
+        cuts = np.flatnonzero(np.diff(level)) + 1
+        fresh = np.ones(len(target), dtype=bool)
+        fresh[1:] = target[1:] != target[:-1]
+        fresh[cuts] = True
+        begins = np.flatnonzero(fresh)
+        bounds = np.concatenate(([0], cuts, [len(target)])) if len(target) else np.zeros(1, dtype=np.int64)
+        where = np.searchsorted(begins, bounds)
+        return [(source[x:y], begins[i:j] - x, target[begins[i:j]]) for x, y, i, j in zip(bounds, bounds[1:], where, where[1:], strict=False)]
+
+    def spread_least(self, own: np.ndarray, passed: np.ndarray | None = None) -> np.ndarray:
+        """For each node, the least value of its descendants: own[d], only along nodes that ``passed`` marks; not its own value."""
+        out = np.full(self.n, NEVER)
+        for source, begins, target in self.waves(up=True):
+            value = np.minimum(out[source], own[source])
+            if passed is not None:
+                value = np.where(passed[source], value, NEVER)
+            out[target] = np.minimum(out[target], np.minimum.reduceat(value, begins))
+        return out
+
+    def inside(self, seeds: np.ndarray) -> np.ndarray:
+        """Which nodes are the seeds or their ancestors."""
+        own = np.full(self.n, NEVER)
+        own[seeds[seeds >= 0]] = 0
+        return np.minimum(own, self.spread_least(own)) == 0
+
+    def counts(self, up: bool) -> np.ndarray:
+        """For each node, how many nodes reach it when edges are followed from children to parents (up) or from parents to children, itself included."""
+        first = np.searchsorted(self.part, self.part)
+        local = np.arange(self.n) - first
+        most = int(local.max(initial=-1)) + 1
+        words = max(1, min(-(-most // 64), BIT_BYTES // (8 * max(1, self.n))))
+        waves, out = self.waves(up), np.zeros(self.n, dtype=np.int64)
+        for low in range(0, most, 64 * words):
+            bits = np.zeros((self.n, words), dtype=np.uint64)
+            mine = np.flatnonzero((local >= low) & (local < low + 64 * words))
+            bits[mine, (local[mine] - low) // 64] = np.uint64(1) << ((local[mine] - low) % 64).astype(np.uint64)
+            for source, begins, target in waves:
+                bits[target] |= np.bitwise_or.reduceat(bits[source], begins, axis=0) if len(begins) < len(source) else bits[source]
+            out += np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        return out
+
     def reached(self, seeds: np.ndarray, up: bool) -> tuple[np.ndarray, np.ndarray]:
         """(seed, node) for all nodes that each seed reaches, itself included."""
         bounds, targets = self.rows(self.child, self.parent, self.n) if up else self.rows(self.parent, self.child, self.n)
@@ -109,35 +191,72 @@ class _Graph:
         return np.repeat(seeds, ends) if ends else seeds[:0], np.concatenate(nodes) if nodes else np.array([], dtype=int)
 
 
-def _rows(commits: DataFrame, edges: DataFrame, component: str, seeds: DataFrame | None = None) -> DataFrame:
-    """Commits (role 0), edges (1) and seeds (2) as one table; b repeats a where there is no second node."""
+def _rows(commits: DataFrame, edges: DataFrame, component: str, **others: DataFrame) -> DataFrame:
+    """Commits (role 0), edges (1) and more commits that are named (roles from 2 on) as one table; b repeats a where there is no second node."""
     rows = commits.select(F.col(component).alias("component"), F.lit(0).alias("role"), F.col("sha").alias("a"), F.col("sha").alias("b"))
     rows = rows.union(edges.select(F.col(component), F.lit(1), F.col("child"), F.col("parent")))
-    return rows if seeds is None else rows.union(seeds.select(F.col(component), F.lit(2), F.col("sha"), F.col("sha")))
+    for role, named in enumerate(others.values(), 2):
+        rows = rows.union(named.select(F.col(component), F.lit(role), F.col("sha"), F.col("sha")))
+    return rows
+
+
+def _types(commits: DataFrame, component: str) -> tuple[str, str]:
+    return commits.schema["sha"].dataType.simpleString(), f"`{component}` {commits.schema[component].dataType.simpleString()}"
 
 
 def generations(commits: DataFrame, edges: DataFrame, component: str = "repo") -> DataFrame:
     """component, sha, generation of every commit."""
-    kind, key = commits.schema["sha"].dataType.simpleString(), commits.schema[component].dataType.simpleString()
+    return shape(commits, edges, component).select(component, "sha", "generation")
+
+
+def shape(commits: DataFrame, edges: DataFrame, component: str = "repo") -> DataFrame:
+    """component, sha, generation, n_parents, n_children of every commit, in one pass."""
+    kind, key = _types(commits, component)
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         g = _Graph(frame)
-        return pd.DataFrame({component: g.component, "sha": g.name, "generation": g.generations()})
+        return pd.DataFrame({component: g.component, "sha": g.name, "generation": g.generation, "n_parents": g.n_parents, "n_children": g.n_children})
 
-    return _in_components(_rows(commits, edges, component), kernel, f"`{component}` {key}, sha {kind}, generation int")
+    return _in_components(_rows(commits, edges, component), kernel, f"{key}, sha {kind}, generation int, n_parents long, n_children long")
 
 
 def reach(commits: DataFrame, edges: DataFrame, seeds: DataFrame, up: bool = True, component: str = "repo") -> DataFrame:
     """component, seed, sha: what each seed reaches by parents (up) or by children, itself included; unknown seeds reach nothing."""
-    kind, key = commits.schema["sha"].dataType.simpleString(), commits.schema[component].dataType.simpleString()
+    kind, key = _types(commits, component)
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         g = _Graph(frame)
-        at = g.find(g.role == 2)
+        at = g.of_role(2)
         seed, node = g.reached(np.unique(at[at >= 0]), up)
         return pd.DataFrame({component: g.component[seed], "seed": g.name[seed], "sha": g.name[node]})
 
-    return _in_components(_rows(commits, edges, component, seeds), kernel, f"`{component}` {key}, seed {kind}, sha {kind}")
+    return _in_components(_rows(commits, edges, component, seeds=seeds), kernel, f"{key}, seed {kind}, sha {kind}")
+
+
+def reach_by_levels(edges: DataFrame, seeds: DataFrame, up: bool = True, component: str = "repo", folder: str | None = None) -> DataFrame:
+    """The same by one join for each level, without a kernel: for shallow graphs, or components too large for a worker.  Seeds must be commits."""
+    folder = folder or shared_folder(edges.sparkSession)
+    near, far = ("child", "parent") if up else ("parent", "child")
+    steps = edges.select(component, F.col(near).alias("sha"), F.col(far).alias("next"))
+    found = now = written(seeds.select(component, F.col("sha").alias("seed"), "sha").distinct(), f"{folder}/reach-0")
+    level = 0
+    while not now.isEmpty():
+        level += 1
+        new = now.join(steps, [component, "sha"]).select(component, "seed", F.col("next").alias("sha")).distinct()
+        now = written(new.join(found, [component, "seed", "sha"], "left_anti"), f"{folder}/reach-{level}")
+        found = found.union(now)
+    return found
+
+
+def reach_counts(commits: DataFrame, edges: DataFrame, component: str = "repo") -> DataFrame:
+    """component, sha, ancestors, descendants: how many each commit has, itself included."""
+    kind, key = _types(commits, component)
+
+    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        g = _Graph(frame)
+        return pd.DataFrame({component: g.component, "sha": g.name, "ancestors": g.counts(up=False), "descendants": g.counts(up=True)})
+
+    return _in_components(_rows(commits, edges, component), kernel, f"{key}, sha {kind}, ancestors long, descendants long")
 
 
 def ancestors(commits: DataFrame, edges: DataFrame, seeds: DataFrame, component: str = "repo") -> DataFrame:
@@ -171,19 +290,30 @@ def stats(dag: DataFrame) -> DataFrame:
     return dag.agg(F.count("*").alias("commits"), F.count_if(F.col("n_parents") == 0).alias("roots"), F.count_if(F.col("n_children") == 0).alias("leaves"), F.count_if(F.col("n_parents") > 1).alias("merges"), F.coalesce(F.max("generation"), F.lit(0)).cast("int").alias("max_generation"))
 
 
-def landings(dag: DataFrame, edges: DataFrame, targets: DataFrame, heads: DataFrame, component: str = "repo") -> DataFrame:
+def landings(commits: DataFrame, edges: DataFrame, targets: DataFrame, heads: DataFrame, component: str = "repo") -> DataFrame:
     """component, sha, merge, generation: the merge that first brought each target into its component's head.
 
-    dag(component, sha, generation, n_parents); targets and heads (component,
-    sha).  Of the merges between target and head the one of lowest generation,
-    then id.  Targets outside the head's history have no row.
+    targets and heads (component, sha).  Of the merges between target and head
+    the one of lowest generation, then id.  Targets outside the head's history
+    have no row.
     """
-    inside = ancestors(dag, edges, heads, component).select(component, "sha").distinct()
-    below = descendants(dag, edges, targets.join(inside, [component, "sha"], "left_semi"), component).where("seed <> sha")
-    merges = dag.where("n_parents > 1").select(component, "sha", "generation")
-    found = below.join(inside, [component, "sha"], "left_semi").join(merges, [component, "sha"])
-    best = F.min(F.struct("generation", F.col("sha").alias("merge"))).alias("m")
-    return found.groupBy(component, F.col("seed").alias("sha")).agg(best).select(component, "sha", "m.merge", "m.generation")
+    kind, key = _types(commits, component)
+
+    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        g = _Graph(frame)
+        inside = g.inside(g.of_role(3))
+        merges = np.flatnonzero(inside & (g.n_parents > 1))
+        merges = merges[np.lexsort((g.order[merges], g.generation[merges]))]
+        own = np.full(g.n, NEVER)
+        own[merges] = np.arange(len(merges))
+        first = g.spread_least(own, inside)
+        at = np.unique(g.of_role(2))
+        at = at[at >= 0]
+        at = at[inside[at] & (first[at] < NEVER)]
+        merge = merges[first[at]] if len(at) else at
+        return pd.DataFrame({component: g.component[at], "sha": g.name[at], "merge": g.name[merge], "generation": g.generation[merge]})
+
+    return _in_components(_rows(commits, edges, component, targets=targets, heads=heads), kernel, f"{key}, sha {kind}, merge {kind}, generation int")
 
 
 def containing_tags(dag: DataFrame, edges: DataFrame, tags: DataFrame, targets: DataFrame, component: str = "repo") -> DataFrame:
@@ -193,10 +323,33 @@ def containing_tags(dag: DataFrame, edges: DataFrame, tags: DataFrame, targets:
     return below.join(at, [component, "tag_sha"]).select(component, "sha", "name", "tag_sha", "generation", "author_ts")
 
 
-def earliest(containing: DataFrame, component: str = "repo") -> DataFrame:
-    """The first containing tag of each target: by generation, author time, name."""
-    rest = [c for c in ("name", "tag_sha", "generation", "author_ts") if c in containing.columns]
-    return containing.groupBy(component, "sha").agg(F.min_by(F.struct(*rest), F.struct("generation", "author_ts", "name")).alias("t")).select(component, "sha", "t.*")
+def earliest_tags(commits: DataFrame, edges: DataFrame, tags: DataFrame, targets: DataFrame, component: str = "repo") -> DataFrame:
+    """component, sha, name, tag_sha, generation, author_ts: the first tag whose history holds each target, by generation, author time, name.
+
+    commits(component, sha, author_ts), tags(component, name, sha).  Pushed from
+    the tags to their ancestors, so no pair of tag and commit is made.
+    """
+    kind, key = _types(commits, component)
+    rows = _rows(commits.select(component, "sha"), edges, component, targets=targets).select("*", F.lit(None).cast("long").alias("ts"), F.lit(None).cast("string").alias("label"))
+    at = tags.join(commits.select(component, "sha", "author_ts"), [component, "sha"])
+    rows = rows.union(at.select(F.col(component), F.lit(3), F.col("sha"), F.col("sha"), F.col("author_ts"), F.col("name")))
+
+    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        g = _Graph(frame)
+        tagged = frame[frame["role"] == 3]
+        node, ts, label = g.of_role(3), tagged["ts"].fillna(0).to_numpy(dtype=np.int64), tagged["label"].to_numpy()
+        by_name, _ = pd.factorize(label, sort=True)
+        order = np.lexsort((by_name, ts, g.generation[node]))
+        own = np.full(g.n, NEVER)
+        np.minimum.at(own, node[order], np.arange(len(order)))
+        first = np.minimum(own, g.spread_least(own))
+        at = np.unique(g.of_role(2))
+        at = at[at >= 0]
+        at = at[first[at] < NEVER]
+        tag = order[first[at]] if len(at) else at
+        return pd.DataFrame({component: g.component[at], "sha": g.name[at], "name": label[tag], "tag_sha": g.name[node[tag]], "generation": g.generation[node[tag]], "author_ts": ts[tag]})
+
+    return _in_components(rows, kernel, f"{key}, sha {kind}, name string, tag_sha {kind}, generation int, author_ts long")
 
 
 def compare(base: DataFrame, target: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -28,12 +28,12 @@ def holders(entries: DataFrame, targets: DataFrame, folder: str | None = None) -
     e = entries.select("repo", "tree", "sha", "is_tree")
     now = e.join(targets.select("repo", F.col("sha")), ["repo", "sha"]).select("repo", F.col("sha").alias("target"), "tree").distinct()
     found = now = written(now, f"{folder}/holders-0")
+    up = e.where("is_tree").select("repo", F.col("tree").alias("outer"), F.col("sha").alias("tree"))
     for level in range(1, MAX_DEPTH):
-        up = e.where("is_tree").select("repo", F.col("tree").alias("outer"), F.col("sha").alias("tree"))
         new = now.join(up, ["repo", "tree"]).select("repo", "target", F.col("outer").alias("tree")).distinct()
-        now = written(new.join(found, ["repo", "target", "tree"], "left_anti"), f"{folder}/holders-{level}")
-        if now.isEmpty():
-            return found
+        now = written(new, f"{folder}/holders-{level}")
+        if now.isEmpty():  # a tree may hold a target at several depths
+            return found.distinct() if level > 1 else found
         found = found.union(now)
     raise RuntimeError(f"trees deeper than {MAX_DEPTH}")
 
@@ -86,32 +86,46 @@ def walk(entries: DataFrame, roots: DataFrame, excludes: list[str] | None = None
     raise RuntimeError(f"trees deeper than {MAX_DEPTH}")
 
 
+def listings(entries: DataFrame) -> DataFrame:
+    """repo, tree, list: the entries of each tree in one row, as they stand in its object."""
+    return entries.groupBy("repo", "tree").agg(F.collect_list(F.struct("name", "sha", "is_tree")).alias("list"))
+
+
 def diff(entries: DataFrame, pairs: DataFrame, folder: str | None = None) -> DataFrame:
     """repo, old, new, path, change: the files that differ between trees (repo, old, new).
 
     Only unequal entries go down a level; a side that is absent gives all its
     files.  change: added, deleted or changed; a file that became a directory
     is changed, and the directory's files are not counted.
+
+    Pairs of directories are numbered.  A pair meets the two lists of entries and
+    takes off what both hold; only entries that differ are shuffled, by the
+    pair's number and their name.
     """
     spark = entries.sparkSession
     folder = folder or shared_folder(spark)
-    e = entries.select("repo", "tree", "name", "sha", "is_tree")
+    lists = written(listings(entries), f"{folder}/lists")
     pairs = pairs.select("repo", "old", "new").distinct().where(~F.col("old").eqNullSafe(F.col("new")))
-    open_ = pairs.select("repo", "old", "new", F.lit("").alias("prefix"), F.col("old").alias("a"), F.col("new").alias("b"))
+    pairs = written(pairs.select(F.monotonically_increasing_id().alias("pair"), "repo", "old", "new"), f"{folder}/pairs")
+    open_ = pairs.select(F.col("pair").alias("dir"), "pair", "repo", F.lit("").alias("prefix"), F.col("old").alias("a"), F.col("new").alias("b"))
+    none = F.array().cast(lists.schema["list"].dataType)
+    side = lambda x, other, name: F.transform(F.array_except(F.coalesce(x, none), F.coalesce(other, none)), lambda e: F.struct(F.lit(name).alias("side"), e["name"].alias("name"), e["sha"].alias("sha"), e["is_tree"].alias("is_tree")))
     out = None
     for level in range(MAX_DEPTH):
-        key = ["repo", "old", "new", "prefix"]
-        left = open_.join(e.withColumnRenamed("tree", "a"), ["repo", "a"]).select(*key, "name", F.col("sha").alias("sha_a"), F.col("is_tree").alias("tree_a"))
-        right = open_.join(e.withColumnRenamed("tree", "b"), ["repo", "b"]).select(*key, "name", F.col("sha").alias("sha_b"), F.col("is_tree").alias("tree_b"))
-        both = left.join(right, [*key, "name"], "full").where(~F.col("sha_a").eqNullSafe(F.col("sha_b")))
-        both = written(both, f"{folder}/diff-{level}")
+        met = open_.join(lists.select("repo", F.col("tree").alias("a"), F.col("list").alias("list_a")), ["repo", "a"], "left")
+        met = met.join(lists.select("repo", F.col("tree").alias("b"), F.col("list").alias("list_b")), ["repo", "b"], "left")
+        each = met.select("dir", F.explode(F.concat(side(F.col("list_a"), F.col("list_b"), "a"), side(F.col("list_b"), F.col("list_a"), "b"))).alias("e")).select("dir", "e.*")
+        of = lambda name, column: F.max(F.when(F.col("side") == name, F.col(column)))
+        both = each.groupBy("dir", "name").agg(of("a", "sha").alias("sha_a"), of("b", "sha").alias("sha_b"), of("a", "is_tree").alias("tree_a"), of("b", "is_tree").alias("tree_b"))
+        placed = both.join(open_.select("dir", "pair", "repo", "prefix"), "dir").select(F.monotonically_increasing_id().alias("dir"), "pair", "repo", "prefix", "name", "sha_a", "sha_b", "tree_a", "tree_b")
+        placed = written(placed, f"{folder}/diff-{level}")
         deeper = (F.coalesce("tree_a", F.col("tree_b"))) & (F.coalesce("tree_b", F.col("tree_a")))
         change = F.when(F.col("sha_a").isNull(), "added").when(F.col("sha_b").isNull(), "deleted").otherwise("changed")
-        here = both.where(~deeper).select("repo", "old", "new", F.concat("prefix", "name").alias("path"), change.alias("change"))
+        here = placed.where(~deeper).select("pair", F.concat("prefix", "name").alias("path"), change.alias("change"))
         out = here if out is None else out.union(here)
-        open_ = both.where(deeper).select("repo", "old", "new", F.concat("prefix", "name", F.lit("/")).alias("prefix"), F.col("sha_a").alias("a"), F.col("sha_b").alias("b"))
+        open_ = placed.where(deeper).select("dir", "pair", "repo", F.concat("prefix", "name", F.lit("/")).alias("prefix"), F.col("sha_a").alias("a"), F.col("sha_b").alias("b"))
         if open_.isEmpty():
-            return out
+            return out.join(pairs, "pair").select("repo", "old", "new", "path", "change")
     raise RuntimeError(f"trees deeper than {MAX_DEPTH}")
 
 

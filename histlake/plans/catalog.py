@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from histlake import schema
 from histlake.functions import objects as fn
 from histlake.operators import graph, scan
+from histlake.plans.shared import mounted, shared_folder, written
 from histlake.sources import refs as refs_source
 from histlake.sources import smart_http
 from histlake.sources.objects import GitObjects, loose_files, pack_files
@@ -40,18 +41,14 @@ def tree_entries_of(objs: DataFrame) -> DataFrame:
 
 def dag_of(commits: DataFrame, edges: DataFrame) -> DataFrame:
     """commits with generation, n_parents and n_children."""
-    return commits.join(graph.generations(commits, edges), ["repo", "sha"]).join(graph.degrees(commits, edges), ["repo", "sha"])
+    return commits.join(graph.shape(commits, edges), ["repo", "sha"])
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """Where fetched packs are kept: executors must see it, so the shared folder if it is mounted, else a local one."""
-    if chosen := os.environ.get("HISTLAKE_STAGING_DIR"):
-        return chosen
-    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
-    top = shared.removeprefix("file://").removeprefix("file:") if shared.startswith("file:") else None
-    if top:
-        os.makedirs(top, exist_ok=True)
-    return tempfile.mkdtemp(prefix="histlake-", dir=top)
+    """Where fetched packs are kept, as a mounted path: executors must see it, so it is below the shared folder."""
+    top = os.environ.get("HISTLAKE_STAGING_DIR") or mounted(shared_folder(spark))
+    os.makedirs(top, exist_ok=True)
+    return tempfile.mkdtemp(prefix="packs-", dir=top)
 
 
 class RepoCatalog:
@@ -97,15 +94,25 @@ class RepoCatalog:
     @cached_property
     def dag(self) -> DataFrame:
         """commits with generation and degrees, from the cache if it holds this very state."""
-        return self._cached("dag", lambda: dag_of(commits_of(self._read(kinds="commit")), self.edges))
+        return self._cached("dag", lambda: dag_of(self._bodies, self.edges))
+
+    @cached_property
+    def _bodies(self) -> DataFrame:
+        """The commits as a table: packs are read once for them."""
+        return written(commits_of(self._read(kinds="commit")), f"{self._work}/commits")
+
+    @cached_property
+    def _work(self) -> str:
+        return shared_folder(self.spark)
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._cached("edges", lambda: edges_of(commits_of(self._read(kinds="commit"))))
+        return self._cached("edges", lambda: edges_of(self._bodies))
 
     def _cached(self, name: str, make) -> DataFrame:
+        """A table that is written once: below the cache, where the next catalog finds it, or else in the shared folder."""
         if not self.cache:
-            return make()
+            return written(make(), f"{self._work}/{name}")
         path = f"{self.cache}/{self.key()}/{name}"
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
@@ -127,11 +134,14 @@ class RepoCatalog:
 
     @cached_property
     def tags(self) -> DataFrame:
-        """Peeled; annotated tags that no reference file peels are peeled through their objects."""
+        """Peeled; annotated tags that no reference file peels are peeled through their objects, however many tags name tags."""
         found = scan.tags(self.refs)
-        kinds = self._read(kinds="tag").select("repo", "sha", F.regexp_extract(fn.text(F.col("content")), r"(?m)^object ([0-9a-f]{40})$", 1).alias("aim")).dropDuplicates(["repo", "sha"])
-        for _ in range(2):  # a tag may name a tag
-            found = found.join(kinds, ["repo", "sha"], "left").select("repo", "name", F.coalesce("aim", "sha").alias("sha"))
+        aims = self._read(kinds="tag").select("repo", "sha", F.regexp_extract(fn.text(F.col("content")), r"(?m)^object ([0-9a-f]{40})$", 1).alias("aim"))
+        aims = written(aims.where("aim <> ''").dropDuplicates(["repo", "sha"]), f"{self._work}/aims")
+        step = 0
+        while not found.join(aims, ["repo", "sha"], "left_semi").isEmpty():  # ids are hashes, so there is no cycle
+            step += 1
+            found = written(found.join(aims, ["repo", "sha"], "left").select("repo", "name", F.coalesce("aim", "sha").alias("sha")), f"{self._work}/tags-{step}")
         return found
 
     @cached_property

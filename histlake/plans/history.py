@@ -52,7 +52,7 @@ def dag_stats(repo: RepoCatalog) -> DataFrame:
 
 def dag_commit(repo: RepoCatalog, sha: str) -> DataFrame:
     """generation, parents, children, ancestors, descendants, author_ts of a commit."""
-    one = _one(repo, _id(sha))
+    one = _one(repo, _id(sha))  # one seed: two walks, no counts of all commits
     up = graph.ancestors(repo.dag, repo.edges, one).agg(F.count("*").alias("ancestors"))
     down = graph.descendants(repo.dag, repo.edges, one).agg(F.count("*").alias("descendants"))
     row = repo.dag.where(F.col("sha") == _id(sha)).select("sha", "generation", F.col("n_parents").alias("parents"), F.col("n_children").alias("children"), "author_ts")
@@ -68,9 +68,9 @@ def landed(repo: RepoCatalog, sha: str, head: str | None = None, summary: bool =
 
 def contains(repo: RepoCatalog, sha: str, all_tags: bool = False, summary: bool = False) -> DataFrame:
     """The earliest tag whose history holds a commit, or all of them in order."""
-    found = graph.containing_tags(repo.dag, repo.edges, repo.tags, _one(repo, _id(sha))).select("repo", "name", F.col("tag_sha").alias("sha"), "generation", "author_ts")
+    search = graph.containing_tags if all_tags else graph.earliest_tags
+    found = search(repo.dag, repo.edges, repo.tags, _one(repo, _id(sha))).select("repo", "name", F.col("tag_sha").alias("sha"), "generation", "author_ts")
     found = found.orderBy("generation", "author_ts", "name")
-    found = found if all_tags else found.limit(1)
     return _with_summary(repo, found, "sha").orderBy("generation", "author_ts", "name") if summary else found
 
 

@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/histlake-checkpoints"
-    return f"{base.rstrip('/')}/histlake-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which goes when the application ends.
+
+    Only a local session may lack that setting: all of it runs on this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        base = f"file://{tempfile.gettempdir()}/histlake-checkpoints"
+    path = f"{base.rstrip('/')}/histlake-{uuid.uuid4().hex}"
+    where, files = _hadoop(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
+def mounted(path: str) -> str:
+    """The path under which a shared folder is mounted; only file: ones are."""
+    if not path.startswith("file:"):
+        raise ValueError(f"{path} is not mounted: set HISTLAKE_STAGING_DIR to a folder that driver and executors mount")
+    return "/" + path.removeprefix("file:").lstrip("/")
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """df as a table that was written and is read again: lineage ends here."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

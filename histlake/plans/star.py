@@ -6,6 +6,7 @@ equivalent in ANSI SQL.  All of them read whole tables.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 from histlake.functions import objects as fn
 from histlake.functions import regexes
 from histlake.operators import duplicates, graph, scan, trees
+from histlake.plans import catalog
+from histlake.plans.shared import mounted, shared_folder, written
+from histlake.sources import packfmt, packwrite
+from histlake.sources import refs as refs_source
+from histlake.sources.objects import GitObjects, pack_index
 
 C = "component"
 
@@ -39,8 +45,13 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dag(spark: SparkSession, folder: str) -> DataFrame:
-    c, e = commits(spark, folder), edges(spark, folder)
-    return c.join(graph.generations(c, e, C), [C, "sha"]).join(graph.degrees(c, e, C), [C, "sha"])
+    c = commits(spark, folder)
+    return c.join(graph.shape(c, edges(spark, folder), C), [C, "sha"])
+
+
+def dag_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a table, for queries that read it more than once."""
+    return written(dag(spark, folder), f"{shared_folder(spark)}/dag")
 
 
 def heads(d: DataFrame) -> DataFrame:
@@ -241,6 +252,159 @@ def multi_pack_dedupe(spark, folder):
     return scan.deduped(one.union(one.withColumn("pack_id", F.lit("again")))).select("sha", "kind", "size")
 
 
+@_query(f"WITH {_OBJECTS} SELECT sha, kind, CAST(0 AS BIGINT) AS author_ts, rtrim(string_split(body, chr(10))[1], chr(13)) AS summary FROM objects WHERE kind = 'tag' AND contains(body, 'the')")
+def scan_tag_summary(spark, folder):
+    return scan.scan(text_objects(spark, folder), "tag", "the", summary=True, limit=-1).select("sha", "kind", "author_ts", "summary")
+
+
+# ---------------------------------------------------------------- byte formats: written from the tables, then read
+
+
+def _repository(spark, objs: DataFrame, parts: int = 3, **how) -> str:
+    """A repository of objects in packs or loose files, below the shared folder."""
+    path = f"{mounted(shared_folder(spark))}/made.git"
+    packwrite.write_packs(objs.repartition(parts, "sha"), path, **how)
+    return path
+
+
+def _read(spark, path: str, **options) -> DataFrame:
+    spark.dataSource.register(GitObjects)
+    reader = spark.read.format("git_objects").option("path", path).option("repo", "star")
+    for name, value in options.items():
+        reader = reader.option(name, value)
+    return reader.load()
+
+
+_STORED = f"WITH {_OBJECTS} SELECT sha, min(kind) AS kind, CAST(max(octet_length(encode(body))) AS BIGINT) AS size FROM objects"
+
+
+@_query(f"{_STORED} GROUP BY sha")
+def pack_scan(spark, folder):
+    """Packs with indexes and deltas, in small partitions."""
+    path = _repository(spark, text_objects(spark, folder))
+    return scan.deduped(_read(spark, path, partition_bytes="100000")).select("sha", "kind", "size")
+
+
+@_query(f"{_STORED} GROUP BY sha")
+def pack_scan_without_index(spark, folder):
+    path = _repository(spark, text_objects(spark, folder), index=False)
+    return scan.deduped(_read(spark, path, partition_bytes="100000")).select("sha", "kind", "size")
+
+
+@_query(f"{_STORED} WHERE kind IN ('tag', 'commit') GROUP BY sha")
+def pack_scan_kinds(spark, folder):
+    """Objects of other kinds are not inflated."""
+    path = _repository(spark, text_objects(spark, folder), 2)
+    return scan.deduped(_read(spark, path, kinds="tag,commit")).select("sha", "kind", "size")
+
+
+@_query(f"WITH {_OBJECTS} SELECT sha, min(kind) AS kind FROM objects GROUP BY sha")
+def pack_kinds_by_headers(spark, folder):
+    """Ids and kinds from indexes and headers alone."""
+    path = _repository(spark, text_objects(spark, folder), 2)
+    return _read(spark, path, content="false").select("sha", "kind").distinct()
+
+
+@_query(f"WITH {_OBJECTS} SELECT sha, CAST(1 AS BIGINT) AS places FROM objects GROUP BY sha")
+def pack_index_offsets(spark, folder):
+    """Offsets of the indexes, each met by the object that stands there."""
+    path = _repository(spark, text_objects(spark, folder))
+    places = pack_index(spark, path, "star")
+    return places.join(_read(spark, path).select("pack_id", "offset", "sha"), ["pack_id", "offset", "sha"]).groupBy("sha").agg(F.count("*").alias("places"))
+
+
+@_query(f"{_STORED} WHERE pack_id IN ('benchmark', 'conversations') GROUP BY sha")
+def loose_scan(spark, folder):
+    path = _repository(spark, text_objects(spark, folder).where("pack_id IN ('benchmark', 'conversations')"), as_loose=True)
+    return scan.deduped(_read(spark, path)).select("sha", "kind", "size")
+
+
+@_query(f"{_STORED} GROUP BY sha")
+def storage_union(spark, folder):
+    """Packs and loose files of one repository, most objects in both."""
+    objs = text_objects(spark, folder)
+    path = _repository(spark, objs.where("kind <> 'tag'"))
+    packwrite.write_packs(objs.where("kind <> 'blob'"), path, as_loose=True)
+    return scan.deduped(_read(spark, path)).select("sha", "kind", "size")
+
+
+def _linked_orders(spark, folder) -> DataFrame:
+    """Orders as commit bodies whose parents are the last order of the customer and, for urgent ones, the one before that."""
+    o = _table(spark, folder, "orders")
+    line = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    named = lambda c: F.sha1(c.cast("string").cast("binary"))
+    back = lambda n: F.lag("o_orderkey", n).over(line)
+    o = o.select("*", back(1).alias("first"), F.when(F.col("o_orderpriority") == "1-URGENT", back(2)).alias("second"))
+    parent = lambda c: F.coalesce(F.concat(F.lit("parent "), named(F.col(c)), F.lit("\n")), F.lit(""))
+    ts = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string")
+    body = F.concat(F.lit("tree "), named(F.col("o_orderkey")), F.lit("\n"), parent("first"), parent("second"), F.lit("author "), F.col("o_orderpriority"), F.lit(" <a@example.com> "), ts, F.lit(" +0000\ncommitter C <c@example.com> 1 +0000\n\n"), F.col("o_orderstatus"), F.lit(" order\n\nparent of none\n"))
+    return _with_ids(o.select(F.lit("star").alias("repo"), F.lit("pack").alias("storage"), F.lit("orders").alias("pack_id"), F.col("o_orderkey").alias("offset"), F.lit("commit").alias("kind"), body.cast("binary").alias("content")))
+
+
+@_query(
+    """WITH lines AS (SELECT *, lag(o_orderkey) OVER w AS first_, CASE WHEN o_orderpriority = '1-URGENT' THEN lag(o_orderkey, 2) OVER w END AS second_ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT sha1(o_orderkey::VARCHAR) AS tree, o_orderpriority AS author_name, CAST(epoch(o_orderdate) AS BIGINT) AS author_ts, concat_ws(' ', sha1(first_::VARCHAR), sha1(second_::VARCHAR)) AS parents, o_orderstatus || ' order' AS subject FROM lines"""
+)
+def commit_headers(spark, folder):
+    """Headers of commits that come from packs."""
+    found = catalog.commits_of(_read(spark, _repository(spark, _linked_orders(spark, folder)), kinds="commit"))
+    return found.select("tree", "author_name", "author_ts", F.array_join("parents", " ").alias("parents"), "subject")
+
+
+def _tree_objects(spark, folder) -> DataFrame:
+    """A tree for each order: its suppliers as directories, its parts as files, by name."""
+    items = _table(spark, folder, "lineitem")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}-"), F.col(c).cast("string"), F.lit("-of-"), F.col("l_orderkey").cast("string"))
+    each = items.select("l_orderkey", F.inline(F.array(F.struct(F.lit("40000").alias("mode"), name("supplier", "l_suppkey").alias("name")), F.struct(F.lit("100644").alias("mode"), name("part", "l_partkey").alias("name"))))).distinct()
+    held = each.select("l_orderkey", F.struct("name", "mode", F.sha1(F.col("name").cast("binary")).alias("sha")).alias("e")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("e")).alias("entries"))
+
+    def run(batches):
+        for batch in batches:
+            trees_ = [packwrite.tree((e["mode"], e["name"], e["sha"]) for e in row) for row in batch.column("entries").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("l_orderkey"), pa.array(trees_, pa.binary())], names=["offset", "content"])
+
+    made = held.mapInArrow(run, "offset long, content binary")
+    return _with_ids(made.select(F.lit("star").alias("repo"), F.lit("pack").alias("storage"), F.lit("trees").alias("pack_id"), "offset", F.lit("tree").alias("kind"), "content"))
+
+
+_ENTRIES = """entries AS (
+  SELECT DISTINCT l_orderkey, '40000' AS mode, 'supplier-' || l_suppkey || '-of-' || l_orderkey AS name FROM lineitem
+  UNION SELECT DISTINCT l_orderkey, '100644', 'part-' || l_partkey || '-of-' || l_orderkey FROM lineitem)"""
+
+
+@_query(f"WITH {_ENTRIES} SELECT mode, name, sha1(name) AS sha, mode = '40000' AS is_tree FROM entries")
+def tree_entries_read(spark, folder):
+    """Entries of tree objects that come from packs."""
+    found = catalog.tree_entries_of(_read(spark, _repository(spark, _tree_objects(spark, folder)), kinds="tree"))
+    return found.select("mode", "name", "sha", "is_tree")
+
+
+@_query(f"WITH {_ENTRIES} SELECT min(name) AS summary FROM entries WHERE contains(name, 'supplier-7') GROUP BY l_orderkey")
+def scan_tree_summary(spark, folder):
+    """The first entry that matches, of each tree with one."""
+    return scan.scan(_tree_objects(spark, folder), "tree", "supplier-7", summary=True, limit=-1).select("summary")
+
+
+@_query("SELECT CAST(user_id AS BIGINT) AS server, 'refs/' || event_type || '/' || event_id AS name, sha1(event_id::VARCHAR) AS sha, sha1(min(event_id) OVER (PARTITION BY user_id)::VARCHAR) AS head FROM events")
+def refs_advertised(spark, folder):
+    """Each user as a server: what it advertises in packet lines, through a side band, read back."""
+    e = _table(spark, folder, "events").select(F.col("user_id").alias("server"), F.struct("event_id", F.concat(F.lit("refs/"), "event_type", F.lit("/"), F.col("event_id").cast("string")).alias("name"), F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha")).alias("r"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for server, rows in zip(batch.column("server").to_pylist(), batch.column("refs").to_pylist(), strict=True):
+                said = [packfmt.packet("# service=git-upload-pack\n"), packfmt.FLUSH, packfmt.packet(f"{rows[0]['sha']} HEAD\0side-band-64k filter\n")]
+                said += [packfmt.packet(f"{r['sha']} {r['name']}\n") for r in rows] + [packfmt.FLUSH]
+                data = b"".join(said)
+                framed = b"".join(packfmt.packet(b"\1" + data[i : i + 1000]) + packfmt.packet(b"\2progress") for i in range(0, len(data), 1000)) + packfmt.FLUSH
+                head, _, found = refs_source.parse_advertisement(packfmt.demultiplex(framed))
+                out += [(server, name, sha, head) for name, sha in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["server", "name", "sha", "head"])
+
+    return e.groupBy("server").agg(F.array_sort(F.collect_list("r")).alias("refs")).mapInArrow(run, "server long, name string, sha string, head string")
+
+
 # ---------------------------------------------------------------- graphs
 
 
@@ -278,7 +442,7 @@ def dag_descendants(spark, folder):
 
 @_query(f"{_REACH} SELECT d.sha, h.sha AS head, d.sha IN (SELECT c.sha FROM closure c JOIN heads h2 ON h2.sha = c.seed) AS reached FROM dag d JOIN heads h ON h.component = d.component")
 def dag_reaches(spark, folder):
-    d, e = dag(spark, folder), edges(spark, folder)
+    d, e = dag_table(spark, folder), edges(spark, folder)
     h = heads(d)
     inside = graph.ancestors(d, e, h, C).select(C, "sha", F.lit(True).alias("r"))
     return d.select(C, "sha").join(h.select(C, F.col("sha").alias("head")), C).join(inside, [C, "sha"], "left").select("sha", "head", F.coalesce("r", F.lit(False)).alias("reached"))
@@ -289,11 +453,8 @@ def dag_reaches(spark, folder):
 FROM dag d JOIN (SELECT seed, count(*) AS n FROM closure GROUP BY seed) up ON up.seed = d.sha JOIN (SELECT sha, count(*) AS n FROM closure GROUP BY sha) down ON down.sha = d.sha"""
 )
 def dag_commit(spark, folder):
-    d, e = dag(spark, folder), edges(spark, folder)
-    pairs = graph.ancestors(d, e, d, C)
-    up = pairs.groupBy(F.col("seed").alias("sha")).agg(F.count("*").alias("ancestors"))
-    down = pairs.groupBy("sha").agg(F.count("*").alias("descendants"))
-    return d.join(up, "sha").join(down, "sha").select("sha", F.col("generation").cast("long").alias("generation"), "n_parents", "n_children", "author_ts", "ancestors", "descendants")
+    c, e = commits(spark, folder), edges(spark, folder)
+    return dag(spark, folder).join(graph.reach_counts(c, e, C), [C, "sha"]).select("sha", F.col("generation").cast("long").alias("generation"), "n_parents", "n_children", "author_ts", "ancestors", "descendants")
 
 
 @_query(
@@ -303,8 +464,8 @@ found AS (SELECT c.sha, m.sha AS merge, m.generation, row_number() OVER (PARTITI
 SELECT sha, merge, CAST(generation AS BIGINT) AS generation FROM found WHERE r = 1"""
 )
 def landed(spark, folder):
-    d, e = dag(spark, folder), edges(spark, folder)
-    return graph.landings(d, e, d.select(C, "sha"), heads(d), C).select("sha", "merge", F.col("generation").cast("long").alias("generation"))
+    c, e = commits(spark, folder), edges(spark, folder)
+    return graph.landings(c, e, c, heads(dag(spark, folder)), C).select("sha", "merge", F.col("generation").cast("long").alias("generation"))
 
 
 _CONTAINING = f"{_REACH}, {_TAGS}, containing AS (SELECT c.sha, t.name, t.sha AS tag_sha, g.generation, g.author_ts FROM closure c JOIN tags t ON t.sha = c.seed JOIN dag g ON g.sha = t.sha)"
@@ -312,20 +473,20 @@ _CONTAINING = f"{_REACH}, {_TAGS}, containing AS (SELECT c.sha, t.name, t.sha AS
 
 @_query(f"{_CONTAINING} SELECT sha, name, tag_sha, CAST(generation AS BIGINT) AS generation, author_ts FROM containing")
 def contains_all(spark, folder):
-    d = dag(spark, folder)
+    d = dag_table(spark, folder)
     found = graph.containing_tags(d, edges(spark, folder), tags(spark, folder), d.select(C, "sha"), C)
     return found.select("sha", "name", "tag_sha", F.col("generation").cast("long").alias("generation"), "author_ts")
 
 
 @_query(f"{_CONTAINING} SELECT sha, name, tag_sha, CAST(generation AS BIGINT) AS generation, author_ts FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY generation, author_ts, name) AS r FROM containing) WHERE r = 1")
 def contains_earliest(spark, folder):
-    d = dag(spark, folder)
-    found = graph.containing_tags(d, edges(spark, folder), tags(spark, folder), d.select(C, "sha"), C)
-    return graph.earliest(found, C).select("sha", "name", "tag_sha", F.col("generation").cast("long").alias("generation"), "author_ts")
+    c = commits(spark, folder)
+    found = graph.earliest_tags(c, edges(spark, folder), tags(spark, folder), c, C)
+    return found.select("sha", "name", "tag_sha", F.col("generation").cast("long").alias("generation"), "author_ts")
 
 
 def _compared(spark, folder) -> DataFrame:
-    d, e = dag(spark, folder), edges(spark, folder)
+    d, e = dag_table(spark, folder), edges(spark, folder)
     base = graph.ancestors(d, e, heads(d), C).select(C, "sha").join(d.select(C, "sha", "generation"), [C, "sha"])
     target = graph.ancestors(d, e, other_tips(d), C).select(C, "sha")
     return graph.compare(base, target, [C])
@@ -349,7 +510,7 @@ def comp_lca(spark, folder):
 
 @_query(f"{_REACH} SELECT d.sha, CASE WHEN d.sha IN (SELECT c.sha FROM closure c JOIN heads h ON h.sha = c.seed) THEN 'in HEAD' ELSE 'in pack' END AS state, CAST(d.generation AS BIGINT) AS generation FROM dag d")
 def comp_has(spark, folder):
-    d, e = dag(spark, folder), edges(spark, folder)
+    d, e = dag_table(spark, folder), edges(spark, folder)
     inside = graph.ancestors(d, e, heads(d), C).select(C, "sha", F.lit("in HEAD").alias("s"))
     return d.join(inside, [C, "sha"], "left").select("sha", F.coalesce("s", F.lit("in pack")).alias("state"), F.col("generation").cast("long").alias("generation"))
 
@@ -414,11 +575,23 @@ SELECT path, count(*) AS changes FROM changed WHERE child IN (SELECT sha FROM ow
 )
 def churn(spark, folder):
     """Paths by how often the commits of the other tip's own history change them."""
-    d, e = dag(spark, folder), edges(spark, folder)
+    d, e = dag_table(spark, folder), edges(spark, folder)
     own = graph.ancestors(d, e, other_tips(d), C).select(C, "sha").join(graph.ancestors(d, e, heads(d), C).select(C, "sha"), [C, "sha"], "left_anti")
     return trees.churn(_moves(spark, folder).join(own, [C, "sha"], "left_semi"), tree_entries(spark, folder))
 
 
+@_query(ORACLE_SQL["churn"] + " ORDER BY changes DESC, path LIMIT 20")
+def churn_top(spark, folder):
+    return churn(spark, folder).orderBy(F.desc("changes"), "path").limit(20)
+
+
+@_query(f"{_REACH} SELECT c.sha FROM closure c JOIN tips t ON t.sha = c.seed EXCEPT SELECT c.sha FROM closure c JOIN heads h ON h.sha = c.seed")
+def churn_commits(spark, folder):
+    """The commits that churn looks at."""
+    d, e = dag_table(spark, folder), edges(spark, folder)
+    return graph.ancestors(d, e, other_tips(d), C).select(C, "sha").join(graph.ancestors(d, e, heads(d), C).select(C, "sha"), [C, "sha"], "left_anti").select("sha")
+
+
 # ---------------------------------------------------------------- refs
 
 
@@ -467,6 +640,12 @@ def dup_groups(spark, folder):
     return found.select(F.md5(F.col("window").cast("binary")).alias("window_md5"), "occurrences", "wasted", "first_path")
 
 
+@_query(f"{_WINDOWS} SELECT md5(window_) AS window_md5, count(*) AS occurrences, CAST(3 * (count(*) - 1) AS BIGINT) AS wasted, min(path) AS first_path, CAST(arg_min(start_line, path * 1000000 + start_line) AS BIGINT) AS first_line FROM windows GROUP BY window_ HAVING count(*) > 1 ORDER BY wasted DESC, first_path, first_line LIMIT 15")
+def dup_top(spark, folder):
+    found = duplicates.counted(duplicates.windows(document_files(spark, folder), 3, strip=False, filters=False), 3)
+    return duplicates.top(found).select(F.md5(F.col("window").cast("binary")).alias("window_md5"), "occurrences", "wasted", "first_path", "first_line")
+
+
 @_query(f"{_WINDOWS} SELECT (SELECT count(*) FROM documents WHERE NOT contains(coalesce(text, ''), chr(0))) AS files_scanned, (SELECT count(*) FROM documents WHERE contains(coalesce(text, ''), chr(0))) AS files_skipped, count(*) AS windows, count(DISTINCT window_) AS unique_windows FROM windows")
 def dup_stats(spark, folder):
     files = document_files(spark, folder)

@@ -9,7 +9,10 @@ well, where spark.sql.python.filterPushdown.enabled is set), content ("false" le
 index reads headers only), loose ("false" leaves loose objects out), partition_bytes.
 
 A pack becomes partitions along its delta families, so that no base is read
-twice and packs of any size spread over many tasks.  Executors read the path
+twice and packs of any size spread over many tasks.  Planning reads the index
+and all headers as arrays; a partition carries the offsets and ids of its own
+objects, so no task reads the index.  Where a pack without an index has its
+objects only a walk from front to back tells: a small one is walked by its task.  Executors read the path
 themselves: it must be on storage that all of them mount.  ``from_binary_files``
 reads repositories in stores that only Spark can reach.
 """
@@ -21,6 +24,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +43,11 @@ ARROW = pa.schema([("repo", pa.string()), ("storage", pa.string()), ("pack_id",
 
 @dataclass
 class Part(InputPartition):
-    """Offsets of a pack, or loose files."""
+    """Offsets of a pack (int64) and their ids (20 bytes each), a whole pack (offsets is None), or loose files."""
 
     pack: str | None
-    offsets: tuple[int, ...] = ()
+    offsets: bytes | None = None
+    ids: bytes = b""
     files: tuple[str, ...] = ()
 
 
@@ -59,6 +64,23 @@ def _index(path: str) -> list[tuple[str, int]] | None:
         return packfmt.parse_index(f.read())
 
 
+def _planned(path: str, budget: int) -> list[Part]:
+    name = path.removesuffix(".pack") + ".idx"
+    data = np.frombuffer(_mapped(path), dtype=np.uint8)
+    if not os.path.isfile(name):
+        if len(data) <= budget:
+            return [Part(path)]
+        # only a walk tells where objects begin; reading them is then spread
+        ordered = np.array(packfmt.PackReader(_mapped(path)).offsets_forward(), dtype=np.int64)
+        return [Part(path, x.tobytes()) for x in packfmt.families(ordered, packfmt.bases(data, ordered), len(data), budget)]
+    with open(name, "rb") as f:
+        ids, at_ids = packfmt.read_index(f.read())
+    order = np.argsort(at_ids)
+    ordered = at_ids[order]
+    parts = packfmt.families(ordered, packfmt.bases(data, ordered, ids, at_ids), len(data), budget)
+    return [Part(path, x.tobytes(), ids[order[np.searchsorted(ordered, x)]].tobytes()) for x in parts]
+
+
 def pack_files(path: str) -> list[str]:
     if path.endswith(".pack"):
         return [path]
@@ -87,11 +109,7 @@ class GitObjectsReader(DataSourceReader):
     def partitions(self):
         parts = []
         for path in pack_files(self.path):
-            index = _index(path)
-            data = _mapped(path)
-            reader = packfmt.PackReader(data, dict(index or ()))
-            offsets = [o for _, o in index] if index is not None else reader.offsets_forward()
-            parts += [Part(path, tuple(x)) for x in packfmt.families(reader, offsets, self.budget)]
+            parts += _planned(path, self.budget)
         if self.loose:
             files = loose_files(self.path)
             parts += [Part(None, files=tuple(files[i : i + LOOSE_FILES])) for i in range(0, len(files), LOOSE_FILES)]
@@ -110,16 +128,20 @@ class GitObjectsReader(DataSourceReader):
 
     def _packed(self, part: Part) -> Iterator[tuple]:
         data = _mapped(part.pack)
-        index = _index(part.pack)
-        sha_of = {o: s for s, o in index or ()}
-        reader = packfmt.PackReader(data, dict(index or ()))
         pack = packfmt.pack_id(data)
+        if part.offsets is None:
+            sha_of, reader = {}, packfmt.PackReader(data)
+            offsets = reader.offsets_forward()
+        else:
+            offsets = np.frombuffer(part.offsets, dtype=np.int64).tolist()
+            sha_of = {o: part.ids[20 * i : 20 * i + 20].hex() for i, o in enumerate(offsets)} if part.ids else {}
+            reader = packfmt.PackReader(data, {s: o for o, s in sha_of.items()})  # bases by id are in the same part
         if not self.content and sha_of:  # ids and kinds need no inflating; sizes of deltas would
-            for offset in part.offsets:
+            for offset in offsets:
                 if (kind := reader.kind_of(offset)) in self.kinds:
                     yield self.repo, "pack", pack, offset, sha_of[offset], kind, None, None
             return
-        for offset, kind, content in reader.read(list(part.offsets), self.kinds):
+        for offset, kind, content in reader.read(offsets, self.kinds):
             sha = sha_of.get(offset) or packfmt.object_id(kind, content)
             yield self.repo, "pack", pack, offset, sha, kind, len(content), content if self.content else None
 

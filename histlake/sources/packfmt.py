@@ -7,6 +7,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+
 # Object kinds and delta kinds by number.
 NAMES = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
 OFFSET_DELTA, ID_DELTA = 6, 7
@@ -118,21 +120,27 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), at - len(stream.unused_data)
 
 
-def parse_index(data: bytes) -> list[tuple[str, int]]:
-    """(id, offset) of a version-2 index, in order of id."""
+def read_index(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (rows of 20 bytes, in order) and offsets of a version-2 index."""
     if data[:8] != b"\xfftOc\0\0\0\2":
         raise FormatError("not a version-2 pack index")
     n = struct.unpack_from(">I", data, 8 + 255 * 4)[0]
     ids = 8 + 256 * 4
     small = ids + n * (ID_BYTES + 4)
-    large = small + n * 4
-    out = []
-    for i in range(n):
-        offset = struct.unpack_from(">I", data, small + i * 4)[0]
-        if offset & 0x80000000:
-            offset = struct.unpack_from(">Q", data, large + (offset & 0x7FFFFFFF) * 8)[0]
-        out.append((data[ids + i * ID_BYTES : ids + (i + 1) * ID_BYTES].hex(), offset))
-    return out
+    if len(data) < small + n * 4:
+        raise FormatError("truncated pack index")
+    offsets = np.frombuffer(data, dtype=">u4", count=n, offset=small).astype(np.int64)
+    far = np.flatnonzero(offsets & 0x80000000)
+    if len(far):
+        large = np.frombuffer(data, dtype=">u8", offset=small + n * 4, count=int((offsets[far] & 0x7FFFFFFF).max()) + 1).astype(np.int64)
+        offsets[far] = large[offsets[far] & 0x7FFFFFFF]
+    return np.frombuffer(data, dtype=np.uint8, count=n * ID_BYTES, offset=ids).reshape(n, ID_BYTES), offsets
+
+
+def parse_index(data: bytes) -> list[tuple[str, int]]:
+    """(id, offset) of a version-2 index, in order of id."""
+    ids, offsets = read_index(data)
+    return [(x.tobytes().hex(), o) for x, o in zip(ids, offsets.tolist(), strict=True)]
 
 
 def pack_count(data: bytes) -> int:
@@ -231,31 +239,71 @@ class PackReader:
         return out
 
 
-def families(reader: PackReader, offsets: list[int], budget: int) -> list[list[int]]:
-    """Offsets in parts of about `budget` packed bytes; a delta and its base are in one part."""
-    ordered = sorted(offsets)
-    ends = dict(zip(ordered, [*ordered[1:], len(reader.data)], strict=True))
-    root: dict[int, int] = {}
-    for o in ordered:
-        chain, at = [], o
-        while at not in root and (b := reader.base_of(at)) is not None and b != at:
-            chain.append(at)
-            at = b
-        top = root.get(at, at)
-        for c in (*chain, at):
-            root[c] = top
-    groups: dict[int, list[int]] = {}
-    for o in ordered:
-        groups.setdefault(root[o], []).append(o)
-    parts: list[list[int]] = []
-    size = budget
-    for group in groups.values():
-        weight = sum(ends[o] - o for o in group)
-        if size + weight > budget or not parts:
-            parts.append([])
-            size = 0
-        parts[-1] += group
-        size += weight
+def bases(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray | None = None, at_ids: np.ndarray | None = None) -> np.ndarray:
+    """The offset of the base of each object, -1 where there is none in the pack; headers of all objects are read at once.
+
+    ids and at_ids: the ids of an index, in order, and their offsets, for bases by id.
+    """
+    at = offsets.copy()
+    byte = data[at]
+    kind = byte >> 4 & 7
+    more = np.flatnonzero(byte & 128)
+    while len(more):  # the sizes' continuations
+        at[more] += 1
+        more = more[(data[at[more]] & 128) > 0]
+    at += 1
+    out = np.full(len(offsets), -1, dtype=np.int64)
+    far = np.flatnonzero(kind == OFFSET_DELTA)
+    if len(far):
+        place, byte = at[far], data[at[far]]
+        value = (byte & 127).astype(np.int64)
+        more = np.flatnonzero(byte & 128)
+        while len(more):
+            place[more] += 1
+            byte = data[place[more]]
+            value[more] = (value[more] + 1 << 7) | (byte & 127)
+            more = more[(byte & 128) > 0]
+        out[far] = offsets[far] - value
+    named = np.flatnonzero(kind == ID_DELTA)
+    if len(named) and ids is not None and len(ids):
+        wanted = data[at[named][:, None] + np.arange(ID_BYTES)]
+        as_key = lambda x: np.ascontiguousarray(x).view(f"S{ID_BYTES}").ravel()
+        keys = as_key(ids)
+        found = np.minimum(np.searchsorted(keys, as_key(wanted)), len(keys) - 1)
+        hit = (ids[found] == wanted).all(axis=1)
+        out[named[hit]] = at_ids[found[hit]]
+    return out
+
+
+def families(ordered: np.ndarray, base: np.ndarray, size: int, budget: int) -> list[np.ndarray]:
+    """Offsets in parts of about `budget` packed bytes; a delta and its base are in one part.
+
+    ordered: all offsets of a pack, ascending; base: the offset of the base of
+    each, or -1; size: the pack's bytes.
+    """
+    n = len(ordered)
+    if not n:
+        return []
+    up = np.searchsorted(ordered, base)
+    up = np.where((base >= 0) & (ordered[np.minimum(up, n - 1)] == base), up, np.arange(n))
+    while True:  # each points to its base's base, until all point to the first
+        further = up[up]
+        if (further == up).all():
+            break
+        up = further
+    order = np.argsort(up, kind="stable")
+    weight = np.diff(np.append(ordered, size))[order]
+    whole = np.cumsum(weight)
+    group = up[order]
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    parts, begin = [], 0
+    ends = whole[np.append(first[1:], n) - 1]
+    stops = np.append(first[1:], n)
+    while begin < n:
+        done = whole[begin - 1] if begin else 0
+        k = max(int(np.searchsorted(ends, done + budget, side="right")) - 1, int(np.searchsorted(stops, begin, side="right")))
+        parts.append(np.sort(ordered[order[begin : stops[k]]]))
+        begin = int(stops[k])
     return parts
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 from histlake.operators import graph
 from histlake.plans.shared import shared_folder
@@ -21,6 +22,54 @@ def test_closures_are_dual(spark):
     assert all(g[c] > g[p] for _, c, _, p in raw) and g["x"] == 1
 
 
+def closure_of(raw, nodes):
+    up = {n: {n} for n in nodes}
+    for _ in nodes:
+        for _, c, _, p in raw:
+            up[c] |= up[p]
+    return up
+
+
+def test_kernels_equal_closures(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BIT_BYTES", 1000)  # sets of bits in several passes
+    for seed in range(4):
+        commits, edges, raw = frames(spark, 90, seed)
+        commits = commits.where("repo = 'r'")
+        names = [f"c{i:02}" for i in range(90)]
+        up = closure_of(raw, names)
+        counts = {r["sha"]: (r["ancestors"], r["descendants"]) for r in graph.reach_counts(commits, edges).collect()}
+        assert counts == {n: (len(up[n]), sum(n in up[m] for m in names)) for n in names}
+        assert {(r["seed"], r["sha"]) for r in graph.reach_by_levels(edges, commits).collect()} == {(n, m) for n in names for m in up[n]}
+        assert {(r["sha"], r["seed"]) for r in graph.reach_by_levels(edges, commits, up=False).collect()} == {(n, m) for n in names for m in up[n]}
+
+        rng = random.Random(seed)
+        generation = {r["sha"]: r["generation"] for r in graph.generations(commits, edges).collect()}
+        head = max(names, key=lambda n: (len(up[n]), n))
+        merges = [n for n in up[head] if sum(c == n for _, c, _, _ in raw) > 1]
+        landed = {r["sha"]: (r["generation"], r["merge"]) for r in graph.landings(commits, edges, commits, spark.createDataFrame([("r", head)], "repo string, sha string")).collect()}
+        want = {n: min((generation[m], m) for m in merges if m != n and n in up[m]) for n in up[head] if any(m != n and n in up[m] for m in merges)}
+        assert landed == want
+
+        tags = [("r", f"v{k % 5}.{k}", rng.choice(names)) for k in range(12)] + [("r", "lost", "nobody")]
+        first = {r["sha"]: (r["generation"], r["author_ts"], r["name"], r["tag_sha"]) for r in graph.earliest_tags(commits, edges, spark.createDataFrame(tags, "repo string, name string, sha string"), commits).collect()}
+        found = {n: [(generation[s], int(s[1:]), t, s) for _, t, s in tags[:-1] if n in up[s]] for n in names}
+        assert first == {n: min(x) for n, x in found.items() if x}
+
+
+def test_one_long_history(spark):
+    """A component of 200,000 commits, all of them asked for."""
+    n = 200_000
+    commits = spark.range(n).selectExpr("0L AS repo", "id AS sha", "id AS author_ts")
+    edges = spark.range(1, n).selectExpr("0L AS repo", "id AS child", "0 AS ordinal", "id - 1 AS parent").union(spark.range(2, n, 100).selectExpr("0L AS repo", "id AS child", "1 AS ordinal", "id - 2 AS parent"))
+    tags = spark.createDataFrame([(0, f"v{i}", i) for i in range(0, n, 1000)], "repo long, name string, sha long")
+    began = time.time()
+    first = graph.earliest_tags(commits, edges, tags, commits)
+    assert first.where("tag_sha = ceil(sha / 1000) * 1000").count() == n - 999
+    heads = spark.createDataFrame([(0, n - 1)], "repo long, sha long")
+    assert graph.landings(commits, edges, commits, heads).where("merge = floor((sha + 98) / 100) * 100 + 2").count() > 0.9 * n
+    assert time.time() - began < 60
+
+
 def test_cycles_and_absent_parents(spark):
     commits = spark.createDataFrame([("r", s) for s in "abcd"], "repo string, sha string")
     edges = spark.createDataFrame([("r", "a", 0, "b"), ("r", "b", 0, "a"), ("r", "c", 0, "a"), ("r", "d", 0, "gone"), ("r", "d", 1, "c")], "repo string, child string, ordinal int, parent string")

@@ -1,13 +1,15 @@
 """Byte formats on hand-made bytes."""
 
 import hashlib
+import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 
 from histlake.sources import packfmt as p
-from histlake.sources import refs, smart_http
+from histlake.sources import packwrite, refs, smart_http
 
 
 def header(kind, size):
@@ -83,7 +85,12 @@ def test_pack_with_offset_and_id_deltas():
     assert got == [("blob", base), ("blob", base + b"!"), ("blob", base + b"!")]
     assert [reader.kind_of(o) for o in offsets] == ["blob", "blob", "blob", None]
     assert list(reader.read(offsets, {"commit"})) == []
-    assert sorted(sum(p.families(reader, offsets, 1), [])) == offsets and offsets[:3] in p.families(reader, offsets, 1)
+    raw, places = np.frombuffer(data, dtype=np.uint8), np.array(offsets)
+    ids = np.frombuffer(bytes.fromhex(p.object_id("blob", base)), dtype=np.uint8).reshape(1, 20)
+    found = p.bases(raw, places, ids, np.array([12]))
+    assert found.tolist() == [-1 if (b := reader.base_of(o)) is None else b for o in offsets] == [-1, 12, 12, -1]
+    assert [x.tolist() for x in p.families(places, found, len(data), 1)] == [offsets[:3], offsets[3:]]
+    assert [x.tolist() for x in p.families(places, found, len(data), 1 << 20)] == [offsets]
     with pytest.raises(p.FormatError):
         list(p.PackReader(data[:20]).read([12]))
 
@@ -116,3 +123,40 @@ def test_advertisement_and_requests():
         refs.parse_advertisement(p.FLUSH)
     assert [smart_http.partial_filter(k) for k in ({"commit", "tag"}, {"commit", "tree"}, {"blob"}, None)] == ["tree:0", "blob:none", None, None]
     assert list(p.packets(smart_http.pack_request(a, "tree:0"))) == [f"want {a} side-band-64k ofs-delta no-progress filter\n".encode(), b"filter tree:0\n", b"", b"done\n"]
+
+
+def test_families_hold_chains_together():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randrange(1, 60)
+        places = np.cumsum([12] + [rng.randrange(5, 300) for _ in range(n)])
+        offsets, size = places[:-1], int(places[-1])
+        base = np.array([offsets[rng.randrange(i)] if i and rng.random() < 0.6 else -1 for i in range(n)])
+        budget = rng.choice([1, 200, 1000, 10**6])
+        parts = [x.tolist() for x in p.families(offsets, base, size, budget)]
+        assert sorted(sum(parts, [])) == offsets.tolist()
+        where = {o: k for k, part in enumerate(parts) for o in part}
+        assert all(b < 0 or where[o] == where[b] for o, b in zip(offsets.tolist(), base.tolist()))
+        assert budget < 10**6 or len(parts) == 1
+    assert p.families(np.array([], dtype=np.int64), np.array([], dtype=np.int64), 32, 10) == []
+
+
+def test_written_packs_read_back():
+    rng = random.Random(4)
+    start = b"a common beginning of some length, "
+    objects = [(rng.choice(["blob", "commit", "tag", "tree"]), rng.choice([b"", start, start * 2000]) + rng.randbytes(rng.choice([0, 1, 20, 3000]))) for _ in range(300)]
+    objects += [("blob", start * 3000 + b"1"), ("blob", start * 3000 + b"2"), ("blob", start), ("blob", start + b"!")]
+    data, index = packwrite.pack(objects)
+    found = dict(p.parse_index(index))
+    reader = p.PackReader(data, found)
+    read = {o: (k, c) for o, k, c in reader.read(list(found.values()))}
+    assert {s: read[o] for s, o in found.items()} == {p.object_id(k, c): (k, c) for k, c in objects}
+    assert sorted(reader.offsets_forward()) == sorted(found.values())
+    raw, places = np.frombuffer(data, dtype=np.uint8), np.array(sorted(found.values()))
+    base = p.bases(raw, places)
+    assert base.tolist() == [-1 if (b := reader.base_of(o)) is None else b for o in places.tolist()] and (base >= 0).any()
+    for value in (1, 127, 128, 16511, 16512, 1 << 30):
+        assert p.read_distance(packwrite.distance(value), 0) == (value, len(packwrite.distance(value)))
+    assert p.parse_loose(packwrite.loose("tag", b"x")) == ("tag", b"x")
+    with pytest.raises(p.FormatError):
+        p.read_index(index[: 8 + 1024 + 30])

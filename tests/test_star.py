@@ -1,7 +1,11 @@
 """Registered queries of the engine against their SQL, at the smallest size."""
 
+import hashlib
+import random
+
 import duckdb
 import pytest
+from histlake.operators import duplicates
 from histlake.plans import star
 
 FOLDER = "/root/testdata/sf0.001"
@@ -27,8 +31,71 @@ def test_equals_sql(spark, sql, name):
     assert ours == sorted(repr(tuple(r[i] for i in order)) for r in found.fetchall())
 
 
-def test_stripped_groups(spark):
-    assert star.dup_groups_stripped(spark, FOLDER).count() > 0
+MARKS = {"//": None, "#": None, "--": None, ";": None, "%": None, "/*": "*/", "<!--": "-->", "--[[": "]]", "{-": "-}", '"""': '"""', "'''": "'''"}
+
+
+def without_comments(lines):
+    """Character by character: the leftmost marker counts, a line marker before a block marker at one place."""
+    out, inside = [], None
+    for line in lines:
+        kept, at = "", 0
+        rest = line
+        while True:
+            if inside:
+                end = rest.find(inside)
+                if end < 0:
+                    rest = ""
+                    break
+                rest, inside = kept + rest[end + len(inside) :], None
+                kept = ""
+            places = [(rest.find(m), MARKS[m] is not None, m) for m in MARKS if m in rest]
+            if not places:
+                break
+            at, block, mark = min(places)
+            if not block:
+                rest = rest[:at]
+                break
+            kept, rest, inside = rest[:at], rest[at + len(mark) :], MARKS[mark]
+            if inside not in rest:
+                rest = kept
+                break
+        out.append(rest if not inside or rest == kept else kept)
+        if inside:
+            out[-1] = kept
+    return out
+
+
+def brute_groups(files, n, strip=True):
+    """window -> (occurrences, first path, first line), with the filters of real searches."""
+    found = {}
+    for path, text in sorted(files):
+        lines = text.split("\n")
+        lines = [x.strip(" \t\n\f\r") for x in (without_comments(lines) if strip else lines)]
+        for i in range(len(lines) - n + 1):
+            part = lines[i : i + n]
+            chars = sum(c not in " \t\n\f\r" for x in part for c in x)
+            if part[0] and 10 * sum(x != "" for x in part) >= 6 * n and chars >= 25:
+                found.setdefault("\n".join(part), []).append((path, i + 1))
+    return {w: (len(p), *min(p)) for w, p in found.items() if len(p) > 1}
+
+
+def test_stripped_groups_equal_brute_force(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").collect()
+    want = brute_groups([(r["page_id"], (r["html"] or "").replace(">", ">\n")) for r in pages], 3)
+    got = {(r["window_md5"], r["occurrences"], r["wasted"], r["first_path"], r["first_line"]) for r in star.dup_groups_stripped(spark, FOLDER).collect()}
+    assert want and got == {(hashlib.md5(w.encode()).hexdigest(), n, 3 * (n - 1), path, line) for w, (n, path, line) in want.items()}
+
+
+def test_stripped_groups_of_made_files(spark):
+    rng = random.Random(5)
+    bits = ["value = compute(left, right)", "  return first + second * third", "", "   ", "// a note", "x = 1 # why", "/* begin", "end */ tail_of_the_block()", "<!-- gone --> kept_part_of_line", "--[[ lua", "]] after_lua_comment_here", "{- hs -} haskell_like_line_text", '"""doc', 'string""" more_python_code_here', "100 % 7", "a; b", "call(/* inline */ argument_list)", "/* one */ /* two */ both_gone"]
+    files = [(i, "\n".join(rng.choice(bits) for _ in range(rng.randrange(2, 40)))) for i in range(60)]
+    frame = spark.createDataFrame(files, "path long, text string")
+    for n, strip in ((3, True), (2, True), (4, False)):
+        found = duplicates.groups(duplicates.windows(frame, n, strip=strip), n).collect()
+        want = brute_groups(files, n, strip)
+        assert want and {r["window"]: (r["occurrences"], r["first_path"], r["first_line"]) for r in found} == want
+        assert all(r["wasted"] == n * (r["occurrences"] - 1) and len(r["places"]) == r["occurrences"] for r in found)
 
 
 def test_entry(spark):
