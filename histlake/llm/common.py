@@ -59,17 +59,28 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir.
+    """A new folder that driver and executors share, below spark.checkpoint.dir; it goes when the application ends.
 
-    A cluster names that folder; only where it is unset (as in tests) a local
-    one is used.
+    A cluster names that folder; only a local session, all of which runs on one
+    machine, may lack it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/histlake-checkpoints"
-    return f"{base.rstrip('/')}/histlake-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/histlake-{uuid.uuid4().hex}"
+    where, files = _hadoop(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -80,14 +91,25 @@ def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    where, files = _hadoop(spark, path)
+    files.delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(df: DataFrame, size: int, least: int) -> int:
+    """Into how many parts of about `size` bytes a table is dealt, by the size that the optimiser knows of its files; `least` at least."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # where nothing is known, the optimiser says more than any table has
+    return max(least, min(-(-known // size), MOST_PARTS)) if known < 1 << 60 else least
+
+
+#: Parts that a table is dealt into at most: numbers of parts travel in 20 bits.
+MOST_PARTS = 1 << 20
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, in place on a fresh array."""
     x = x.astype(np.uint64, copy=True)

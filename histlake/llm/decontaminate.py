@@ -1,18 +1,23 @@
 """Benchmark decontamination: a BM25 index of the test items, queried by every training passage.
 
-The items' inverted index is laid out for block-max WAND: items stand in blocks
-of eight, each term has its largest impact for each block, and all terms share
-the blocks.  Impacts are divided by the item's own score, so an item's whole
-text scores 1 and one threshold serves all items.  Each passage of a document
-(overlapping spans of words, so that an item lies whole in one) sums its terms'
-block maxima; only blocks whose bound reaches the threshold are scored item by
-item, and all items at or above the threshold are retrieved.  A retrieved item
-counts as leaked when the passage holds enough of the 3-grams of its question
-and of its answer.
+Each item's impacts (BM25 weights of its terms) are divided by their sum, so an
+item's whole text scores 1 and one threshold serves all items.  The index is
+made as tables: terms and grams of each item, the number of items of each term,
+impacts.  It is laid out for block-max WAND: of each item the terms of least
+impact, REST of its score at most, are left out of the inverted lists, so a
+passage that reaches the threshold must meet it in the others; lists are cut
+into blocks of BLOCK postings, of which only the largest impact is kept.
+
+Each passage of a document (overlapping spans of words, so that an item lies
+whole in one) sums the block maxima of its terms for each item it meets; only
+items whose bound, with what the left-out terms can add, reaches the threshold
+are scored from their own impacts, and all at or above the threshold are
+retrieved.  A retrieved item counts as leaked when the passage holds enough of
+the 3-grams of its question and of its answer.
 
 Bounds and scores are numpy over a whole batch of passages; documents are not
-shuffled.  The index comes in shards of ``SHARD_ITEMS`` items, each broadcast;
-what one pass holds is bounded by ``PASS_ITEMS``, more items take more passes.
+shuffled.  The index is broadcast in parts of ``INDEX_BYTES``, which are counted
+first; a benchmark of several parts takes as many passes over the documents.
 
 Defined cases: null or empty text has no passage and is clean; items of null or
 empty text leak nothing; items whose id is null leak like others, each with its
@@ -24,7 +29,6 @@ are not read (``clean`` keeps them).
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +36,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTER, TextBatch, grams, ids_and_texts, table, text_chunks
+from .common import NOT_LETTER, TextBatch, grams, ids_and_texts, materialise, table, text_chunks, work_dir
 
 K1, B = 1.2, 0.75
-BLOCK_ITEMS = 8
-#: Items of a shard, whose matrix of impacts is terms x items, and of a pass over the documents.
-SHARD_ITEMS = 400
-PASS_ITEMS = 2_000
+#: Postings of a block.
+BLOCK = 16
+#: The share of an item's score that the terms outside the lists may hold.
+REST = 0.3
+#: Bytes of the index that one pass broadcasts, at most (a single larger item makes a pass of its own).
+INDEX_BYTES = 128 << 20
 LEAST_SCORE = 0.5
 LEAST_OVERLAP = 0.5
 GRAM = 3
 #: Words of a passage step at least; a passage is two steps, and a step holds the longest item.
 STEP_WORDS = 64
-#: Numbers in the matrix of bounds that is worked on at once.
-MATRIX = 4 << 20
+#: Postings, and terms of items, that are looked at at once.
+ROUND = 1 << 20
+SLACK = 1e-6
 
 
 def _folded(texts: Iterable[str]) -> TextBatch:
@@ -53,71 +60,129 @@ def _folded(texts: Iterable[str]) -> TextBatch:
     return TextBatch(None, pc.utf8_lower(pa.array(list(texts), pa.large_string())))
 
 
+def _grams_of(words: np.ndarray) -> tuple[np.ndarray, int]:
+    """The distinct grams of a part of an item, and their size: shorter where the part is."""
+    size = min(GRAM, len(words))
+    return (np.unique(grams(words, size)), size) if size else (np.empty(0, dtype=np.uint64), 0)
+
+
+def _cut(text: str, n: int) -> int:
+    """The words of an item's question: up to the last question mark inside, else two thirds."""
+    if "?" in text.strip()[:-1]:
+        return len(_folded([text[: text.rstrip().rindex("?", 0, len(text.rstrip()) - 1)]]).words(NOT_LETTER)[0])
+    return n - max(n // 3, min(n, GRAM))
+
+
+ITEMS = "uid long, item long, n long, terms array<long>, times array<int>, question array<long>, question_size int, answer array<long>, answer_size int"
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """ITEMS: the distinct terms of each item and how often it has them, the grams of its parts; benchmark(uid, item, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            _, _, bounds, words = _folded(texts).word_hashes(NOT_LETTER)
+            out: list[list] = [[] for _ in range(7)]
+            for text, a, b in zip(texts, bounds, bounds[1:], strict=False):
+                mine, cut = words[a:b], _cut(text, int(b - a))
+                terms, times = np.unique(mine, return_counts=True)
+                (one, n_one), (two, n_two) = _grams_of(mine[:cut]), _grams_of(mine[cut:])
+                for column, value in zip(out, (len(mine), terms.view(np.int64), times, one.view(np.int64), n_one, two.view(np.int64), n_two), strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.int32())
+            names = ["n", "terms", "times", "question", "question_size", "answer", "answer_size"]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("item"), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["uid", "item", *names])
+
+    return benchmark.mapInArrow(run, ITEMS)
+
+
+def index_table(benchmark: DataFrame, folder: str, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """The index as a table (ITEMS and impacts array<double>, in the order of terms, which sum to 1), and the step for passages."""
+    source = benchmark.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    items = materialise(_items(source.where("text IS NOT NULL")), folder, "items").where("n > 0")
+    n, mean, longest = items.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    postings = items.select("uid", "n", F.explode(F.arrays_zip("terms", "times")).alias("p")).select("uid", "n", "p.terms", "p.times")
+    frequency = postings.groupBy("terms").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("times")
+    weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(mean or 1.0)))
+    weighted = postings.join(frequency, "terms").select("uid", F.struct(F.col("terms").alias("term"), weight.alias("weight")).alias("p")).groupBy("uid").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    # terms are sorted as unsigned in an item, as signed by array_sort: take them from here
+    total = F.aggregate("p", F.lit(0.0).cast("double"), lambda s, x: s + x["weight"])
+    impacts = F.transform("p", lambda x: x["weight"] / total)
+    held = items.drop("terms", "times").join(weighted.select("uid", F.transform("p", lambda x: x["term"]).alias("terms"), impacts.alias("impacts")), "uid")
+    return materialise(held, folder, "index"), max(STEP_WORDS, longest or 0)
+
+
 class ItemIndex:
-    """The inverted index of a shard of items."""
-
-    def __init__(self, items: list[tuple[int | None, str]], n_items: int, frequency: dict[int, int], mean_words: float):
-        batch = _folded(t for _, t in items)
-        _, _, bounds, words = batch.word_hashes(NOT_LETTER)
-        self.ids = [i for i, _ in items]
-        sizes = np.diff(bounds)
-        item = np.repeat(np.arange(len(items)), sizes)
-        self.terms, term = np.unique(words, return_inverse=True)
-        n_blocks = -(-len(items) // BLOCK_ITEMS)
-        impact = np.zeros((len(self.terms) + 1, n_blocks * BLOCK_ITEMS), dtype=np.float32)
-        np.add.at(impact, (term, item), 1)
-        df = np.array([frequency[int(t)] for t in self.terms])
-        idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
-        length = np.zeros(n_blocks * BLOCK_ITEMS)
-        length[: len(items)] = sizes
-        tf = impact[:-1]
-        impact[:-1] = idf[:, None] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_words))
-        own = impact.sum(axis=0)
-        impact /= np.where(own > 0, own, 1)
-        # a term that a passage lacks is the last row: nothing
-        self.impact = impact.reshape(len(self.terms) + 1, n_blocks, BLOCK_ITEMS)
-        self.most = np.ascontiguousarray(self.impact.max(axis=2))
-        self.words = [words[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        self.parts = [self._parts(t, w) for (_, t), w in zip(items, self.words, strict=True)]
-
-    @staticmethod
-    def _parts(text: str, words: np.ndarray) -> tuple:
-        """The distinct grams of question and answer and their size: parted after the last question mark, else two thirds in."""
-        n = len(words)
-        if "?" in text.strip()[:-1]:
-            cut = len(_folded([text[: text.rstrip().rindex("?", 0, len(text.rstrip()) - 1)]]).words(NOT_LETTER)[0])
-        else:
-            cut = n - max(n // 3, min(n, GRAM))
-        part = lambda w: (np.unique(grams(w, min(GRAM, len(w)))), min(GRAM, len(w))) if len(w) else ((), 0)
-        return part(words[:cut]), part(words[cut:])
+    """Lists of postings with block maxima, and the items' own terms, impacts and grams, as arrays."""
+
+    def __init__(self, rows: pa.Table):
+        column = lambda c: rows.column(c).combine_chunks()
+        lists = lambda c, kind: (np.asarray(column(c).flatten()).astype(kind, copy=False), np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(column(c))).astype(np.int64)))))
+        self.ids = column("item").to_pylist()
+        terms, self.item_bounds = lists("terms", np.int64)
+        self.impacts, _ = lists("impacts", np.float64)
+        self.terms, self.item_terms = np.unique(terms.view(np.uint64), return_inverse=True)
+        self.parts = [(*lists(c, np.int64), np.asarray(column(f"{c}_size"))) for c in ("question", "answer")]
+        item = np.repeat(np.arange(rows.num_rows), np.diff(self.item_bounds))
+        # each item's terms by impact, least first: those that hold REST together stay out of the lists
+        order = np.lexsort((self.impacts, item))
+        upto = np.cumsum(self.impacts[order])
+        upto -= np.concatenate(([0.0], upto))[self.item_bounds[:-1]][item[order]]
+        out = np.zeros(len(item), dtype=bool)
+        out[order] = upto <= REST
+        self.rest = np.bincount(item[out], weights=self.impacts[out], minlength=rows.num_rows)
+        listed = np.flatnonzero(~out)
+        listed = listed[np.lexsort((item[listed], self.item_terms[listed]))]
+        self.postings = item[listed].astype(np.int32)
+        self.begins = np.searchsorted(self.item_terms[listed], np.arange(len(self.terms) + 1))
+        cuts = np.arange(0, len(listed), BLOCK)
+        self.most = np.maximum.reduceat(self.impacts[listed], cuts) if len(listed) else np.empty(0)
 
     def overlap(self, i: int, passage: np.ndarray) -> tuple[float, float]:
         """The shares of item i's question and answer grams that the passage holds; a part that is empty agrees with the other."""
-        shares = [float(np.isin(part, grams(passage, size)).mean()) if len(part) else None for part, size in self.parts[i]]
+        shares = []
+        for values, bounds, sizes in self.parts:
+            part = values[bounds[i] : bounds[i + 1]].view(np.uint64)
+            shares.append(float(np.isin(part, grams(passage, int(sizes[i]))).mean()) if len(part) else None)
         known = max((s for s in shares if s is not None), default=0.0)
         return tuple(known if s is None else s for s in shares)
 
-
-def build_shards(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[Iterator[ItemIndex], int]:
-    """Shards of the index, built one after another on the driver, and the step for passages."""
-    items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
-    frequency: dict[int, int] = {}
-    n, total, longest = 0, 0, 0
-    for rows in _groups(items):
-        _, _, bounds, words = _folded(t for _, t in rows).word_hashes(NOT_LETTER)
-        sizes = np.diff(bounds)
-        n, total, longest = n + len(rows), total + int(sizes.sum()), max(longest, int(sizes.max(initial=0)))
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            for w in np.unique(words[a:b]).tolist():
-                frequency[w] = frequency.get(w, 0) + 1
-    shards = (ItemIndex(rows, n, frequency, max(1.0, total / max(1, n))) for rows in _groups(items))
-    return shards, max(STEP_WORDS, longest)
-
-
-def _groups(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    rows = iter((r["id"], r["text"]) for r in items.orderBy("id", "text").toLocalIterator())
-    while group := list(islice(rows, SHARD_ITEMS)):
-        yield group
+    def retrieve(self, passage: np.ndarray, term: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passage, item, score) of all that reach least; the distinct terms of passages, sorted by passage, then term."""
+        key = passage * len(self.terms) + term
+        counts = self.begins[term + 1] - self.begins[term]
+        edges = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+        load = np.add.reduceat(counts, edges)
+        low = 0
+        while low < len(edges):  # whole passages, as many as have ROUND postings
+            high = max(low + 1, low + int(np.searchsorted(np.cumsum(load[low:]), ROUND, side="right")))
+            a, b = edges[low], edges[high] if high < len(edges) else len(passage)
+            low = high
+            n = counts[a:b]
+            row = np.repeat(np.arange(a, b), n)
+            if not len(row):
+                continue
+            at = np.repeat(self.begins[term[a:b]] - (np.cumsum(n) - n), n) + np.arange(len(row))
+            pair = passage[row] * len(self.ids) + self.postings[at]
+            order = np.argsort(pair, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], pair[order][1:] != pair[order][:-1])))
+            bound = np.add.reduceat(self.most[at[order] // BLOCK], first)
+            pairs = pair[order[first]]
+            pairs = pairs[bound + self.rest[pairs % len(self.ids)] >= least - SLACK]
+            for begin in range(0, len(pairs), max(1, ROUND // 64)):
+                part = pairs[begin : begin + max(1, ROUND // 64)]
+                found, item = part // len(self.ids), part % len(self.ids)
+                n = self.item_bounds[item + 1] - self.item_bounds[item]
+                each = np.repeat(np.arange(len(part)), n)
+                own = np.repeat(self.item_bounds[item] - (np.cumsum(n) - n), n) + np.arange(len(each))
+                wanted = found[each] * len(self.terms) + self.item_terms[own]
+                place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                score = np.bincount(each, weights=np.where(key[place] == wanted, self.impacts[own], 0.0), minlength=len(part))
+                hit = score >= least - SLACK
+                yield found[hit], item[hit], score[hit]
 
 
 def _cells(bounds: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,91 +195,76 @@ def _cells(bounds: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return first, np.minimum(first + step, bounds[doc + 1]), doc
 
 
-def find(batch: TextBatch, shards: list[ItemIndex], step: int, least_score: float, least_overlap: float) -> dict[tuple[int, int, int], tuple[float, float, float]]:
-    """(document's place in the batch, item id, 0) -> best (score, question overlap, answer overlap) of the leaked items; without an id, (document's place, 0, item's place in the shards from 1)."""
+def find(batch: TextBatch, index: ItemIndex, step: int, least_score: float, least_overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(document's place in the batch, item's place in the index) -> best (score, question overlap, answer overlap) of the leaked items."""
     _, _, bounds, words = batch.word_hashes(NOT_LETTER)
     first, last, doc = _cells(bounds, step)
-    out: dict[tuple[int, int, int], tuple[float, float, float]] = {}
-    if not len(first):
+    out: dict[tuple[int, int], tuple[float, float, float]] = {}
+    if not len(first) or not len(index.terms):
         return out
     # a passage is a cell and the next one of the same document
     joined = np.zeros(len(first), dtype=bool)
     joined[:-1] = doc[1:] == doc[:-1]
     end = last.copy()
     end[:-1] = np.where(joined[:-1], last[1:], last[:-1])
-    for s, shard in enumerate(shards):
-        if not len(shard.terms):
-            continue
-        place = np.searchsorted(shard.terms, words)
-        place[place == len(shard.terms)] = 0
-        known = shard.terms[place] == words
-        n_blocks = shard.most.shape[1]
-        per_round = max(1, MATRIX // n_blocks // (2 * step))
-        for low in range(0, len(first), per_round):
-            high = min(len(first), low + per_round)
-            a = first[low]
-            at = np.flatnonzero(known[a : end[high - 1]]) + a
-            # the distinct terms of each passage: a word lies in its cell's passage and in the one before
-            cell = np.searchsorted(first, at, side="right") - 1
-            before = (cell > 0) & joined[np.maximum(cell - 1, 0)]
-            passage = np.concatenate((cell, cell[before] - 1))
-            term = np.concatenate((place[at], place[at][before]))
-            mine = (passage >= low) & (passage < high)
-            key = np.unique(passage[mine] * len(shard.terms) + term[mine])
-            if not len(key):
-                continue
-            passage, term = key // len(shard.terms), key % len(shard.terms)
-            starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-            bound = np.add.reduceat(shard.most[term], starts, axis=0)
-            stops = np.append(starts[1:], len(term))
-            for row, block in zip(*np.nonzero(bound >= least_score - 1e-6), strict=True):
-                p = int(passage[starts[row]])
-                scores = shard.impact[term[starts[row] : stops[row]], block].sum(axis=0)
-                for i in np.flatnonzero(scores >= least_score - 1e-6):
-                    item = int(block) * BLOCK_ITEMS + int(i)
-                    question, answer = shard.overlap(item, words[first[p] : end[p]])
-                    if question >= least_overlap and answer >= least_overlap:
-                        own = shard.ids[item]
-                        name = (int(doc[p]), own, 0) if own is not None else (int(doc[p]), 0, 1 + s * SHARD_ITEMS + item)
-                        out[name] = max(out.get(name, (0.0, 0.0, 0.0)), (float(scores[i]), question, answer))
+    place = np.searchsorted(index.terms, words)
+    place[place == len(index.terms)] = 0
+    at = np.flatnonzero(index.terms[place] == words)
+    # the distinct terms of each passage: a word lies in its cell's passage and in the one before
+    cell = np.searchsorted(first, at, side="right") - 1
+    before = (cell > 0) & joined[np.maximum(cell - 1, 0)]
+    key = np.unique(np.concatenate((cell, cell[before] - 1)) * len(index.terms) + np.concatenate((place[at], place[at][before])))
+    if not len(key):
+        return out
+    for passages, items, scores in index.retrieve(key // len(index.terms), key % len(index.terms), least_score):
+        for p, item, score in zip(passages.tolist(), items.tolist(), scores.tolist(), strict=True):
+            question, answer = index.overlap(item, words[first[p] : end[p]])
+            if question >= least_overlap and answer >= least_overlap:
+                name = int(doc[p]), item
+                out[name] = max(out.get(name, (0.0, 0.0, 0.0)), (score, question, answer))
     return out
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, int]]:
-    """Broadcasts of as many shards as one pass holds, and the step."""
-    shards, step = build_shards(benchmark, id_col, text_col)
-    while group := list(islice(shards, PASS_ITEMS // SHARD_ITEMS)):
-        yield [docs.sparkSession.sparkContext.broadcast(s) for s in group], step
+def _passes(spark: SparkSession, benchmark: DataFrame, folder: str, id_col: str, text_col: str) -> Iterator[tuple]:
+    """Broadcasts of the parts of the index, one for each pass, and the step."""
+    items, step = index_table(benchmark, folder, id_col, text_col)
+    size = (F.size("terms") * 32 + F.size("question") * 8 + F.size("answer") * 8 + 64).cast("long")
+    total = items.agg(F.sum(size)).first()[0] or 0
+    n = -(-total // INDEX_BYTES)
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("uid"), F.lit(n)) == k) if n > 1 else items
+        yield spark.sparkContext.broadcast(ItemIndex(part.orderBy("uid").toArrow())), step
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap of every leak: the best passage for each document and item."""
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, folder: str | None = None) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap of every leak: the best passage for each document and item.  The index goes to ``folder``, which executors share."""
+    spark = docs.sparkSession
     docs = ids_and_texts(docs, id_col, text_col)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
     result = None
-    for sent, step in _passes(docs, benchmark, item_col, item_text_col):
+    for sent, step in _passes(spark, benchmark, folder or work_dir(spark), item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, step=step) -> Iterator[pa.RecordBatch]:
-            shards = [s.value for s in sent]
+            index = sent.value
             for chunk, _ in text_chunks(batches, fold=True):
-                found = sorted(find(chunk, shards, step, least_score, least_overlap).items())
+                found = sorted(find(chunk, index, step, least_score, least_overlap).items())
                 if found:
-                    yield pa.RecordBatch.from_arrays([chunk.ids.take(pa.array([d for (d, _, _), _ in found])), pa.array([None if place else i for (_, i, place), _ in found], pa.int64()), *(pa.array([v[k] for _, v in found], pa.float64()) for k in range(3))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([chunk.ids.take(pa.array([d for (d, _), _ in found])), pa.array([index.ids[i] for (_, i), _ in found], pa.int64()), *(pa.array([v[k] for _, v in found], pa.float64()) for k in range(3))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         part = docs.mapInArrow(run, schema)
         result = part if result is None else result.union(part)
-    return result if result is not None else docs.sparkSession.createDataFrame([], schema)
+    return result if result is not None else spark.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, folder: str | None = None) -> DataFrame:
     """The documents without leaks, in all their columns; decided in the same pass over the rows."""
-    for sent, step in _passes(docs, benchmark, item_col, item_text_col):
+    spark = docs.sparkSession
+    for sent, step in _passes(spark, benchmark, folder or work_dir(spark), item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, step=step) -> Iterator[pa.RecordBatch]:
-            shards = [s.value for s in sent]
             for chunk, part in text_chunks(batches, text_col, text_col, fold=True):
                 keep = np.ones(part.num_rows, dtype=bool)
-                keep[[d for d, _, _ in find(chunk, shards, step, least_score, least_overlap)]] = False
+                keep[[d for d, _ in find(chunk, sent.value, step, least_score, least_overlap)]] = False
                 yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,11 @@
+import collections
+import math
 import random
 
+import numpy as np
+
 from histlake.llm import decontaminate
+from histlake.llm.common import work_dir
 from tests.llm.helpers import documents, sentence
 
 
@@ -51,8 +56,7 @@ def test_leaks_equal_brute_force(spark, tmp_path):
 
 
 def test_several_passes_and_empty_tables(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 3)
-    monkeypatch.setattr(decontaminate, "PASS_ITEMS", 6)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 6_000)
     rng = random.Random(2)
     items = [(i, sentence(rng, 20, 900)) for i in range(20)]
     texts = [t for _, t in items] + [sentence(rng, 50, 900)]
@@ -72,3 +76,43 @@ def test_items_without_an_id_leak(spark):
     found = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()), key=str)
     assert found == [(1, None), (1, None), (3, None), (4, 0)]
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == [2, 5]
+
+
+def test_retrieval_equals_all_scores(spark, monkeypatch):
+    """Every item at or above the threshold for every passage, against BM25 summed term by term."""
+    monkeypatch.setattr(decontaminate, "ROUND", 200)
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.4 else f"r{rng.randrange(150)}" for _ in range(rng.randrange(4, 40)))) for i in range(120)]
+    items += [(120, items[3][1]), (121, "c1 c2 c3")]
+    table, _ = decontaminate.index_table(spark.createDataFrame(items, "item_id long, text string").repartition(3), work_dir(spark))
+    index = decontaminate.ItemIndex(table.orderBy("uid").toArrow())
+    hash_of = lambda w: int(decontaminate._folded([w]).word_hashes(decontaminate.NOT_LETTER)[3][0])
+    texts = [dict(items)[i] for i in index.ids]
+    df = collections.Counter(w for t in texts for w in set(t.split()))
+    mean = sum(len(t.split()) for t in texts) / len(texts)
+    weights = []
+    for t in texts:
+        own = {w: math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(t.split()) / mean)) for w, f in collections.Counter(t.split()).items()}
+        weights.append({w: x / sum(own.values()) for w, x in own.items()})
+    passages = [set(rng.choice(texts).split()) | {f"r{rng.randrange(150)}" for _ in range(20)} | set(rng.sample(common, 5)) for _ in range(80)]
+    place = {w: int(np.searchsorted(index.terms, np.uint64(hash_of(w)))) for w in df}
+    key = np.unique([p * len(index.terms) + place[w] for p, held in enumerate(passages) for w in held if w in place])
+    for least in (0.35, 0.5, 0.9):
+        want = {(p, i): sum(x for w, x in weights[i].items() if w in held) for p, held in enumerate(passages) for i in range(len(texts))}
+        found = {(int(p), int(i)): s for ps, its, ss in index.retrieve(key // len(index.terms), key % len(index.terms), least) for p, i, s in zip(ps, its, ss)}
+        sure = {k for k, s in want.items() if s >= least + 1e-5}
+        assert sure <= set(found) <= {k for k, s in want.items() if s >= least - 1e-5} and len(sure) > 10
+        assert all(abs(want[k] - s) < 1e-9 for k, s in found.items())
+
+
+def test_awkward_tables(spark):
+    rng = random.Random(9)
+    item, long_item = sentence(rng, 25, 900), sentence(rng, 4_000, 50_000)
+    benchmark = spark.createDataFrame([(1, item, "x"), (2, long_item, "y"), (1, item, "x")], "item_id long, text string, score string")
+    texts = [(None, f"{sentence(rng, 80, 900)} {item}"), (7, item), (7, item), (8, sentence(rng, 100_000, 50_000) + " " + long_item + " " + sentence(rng, 300, 900)), (9, "x" * 300_000), (10, None)]
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in texts], "doc_id long, text string, item_id string, score int")
+    found = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, benchmark).collect()), key=str)
+    assert found == sorted([(None, 1)] * 2 + [(7, 1)] * 4 + [(8, 2)], key=str)
+    kept = decontaminate.clean(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [9, 10]
