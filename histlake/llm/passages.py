@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TextBatch, gathered, gram_valid, grams, ids_and_texts, mix, shuffle_partitions, table, text_chunks, unpack
+from .common import TextBatch, gathered, gram_valid, grams, ids_and_texts, mix, parts_for, shuffle_partitions, table, text_chunks, unpack
 
 LENGTH = 13
 #: Words of a reference shard; the automaton of one takes about 60 MB.
@@ -59,6 +59,8 @@ SHARD_WORDS = 100_000
 BLOCK_BYTES = 8 << 20
 #: Returned windows gathered before they are sent on.
 FLUSH = 1 << 20
+#: Bytes of the table's files whose windows make one shard, and whose texts one home.
+PART_BYTES = 4 << 20
 #: Larger than any id.
 NEVER = 1 << 63
 
@@ -166,11 +168,11 @@ def reference_shards(texts: Iterator[str | None], size: int = SHARD_WORDS) -> It
         yield automaton
 
 
-def remove_reference_spans(docs: DataFrame, reference: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", max_words: int = 40 * SHARD_WORDS) -> DataFrame:
+def remove_reference_spans(docs: DataFrame, reference: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", max_words: int = 5 * SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, text: without the words that the reference's passages cover.
 
     reference(text) is bounded: its words are counted first, and more than
-    ``max_words`` raise a ValueError.  Texts come to the driver one by one, as
+    ``max_words`` (300 MB of automata) raise a ValueError.  Texts come to the driver one by one, as
     shards are built; each is one broadcast.
     """
     docs = ids_and_texts(docs, id_col, text_col)
@@ -264,7 +266,7 @@ def _send_windows(docs: DataFrame, length: int, n_shards: int, n_homes: int) ->
             sent = np.flatnonzero(fresh)
             sent = sent[np.lexsort((at[sent], doc[sent]))]
             rows = []
-            for t, x in _pieces((h[sent] >> np.uint64(48)).astype(np.int64) % n_shards, n_shards):
+            for t, x in _pieces((h[sent] >> np.uint64(40)).astype(np.int64) % n_shards, n_shards):
                 x = sent[x]
                 rows.append((t, 0, None, *_block(doc[x], at[x]), h[x].tobytes()))
             late = np.flatnonzero(own & ~fresh)
@@ -479,7 +481,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """doc_id, n_words, n_removed, text (kept words joined by one space), for each row."""
     docs = ids_and_texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = shuffle_partitions(docs.sparkSession)
-    n_shards, n_homes = 8 * parts, 4 * parts
+    # a task takes shard after shard and home after home, so what it holds is bounded, whatever the table and the partitions
+    n_shards, n_homes = parts_for(docs, PART_BYTES, 8 * parts), parts_for(docs, PART_BYTES, 4 * parts)
     blocks = _send_windows(docs, length, n_shards, n_homes).repartition(parts, "target").sortWithinPartitions("kind", "target")
     mixed = _find_later(blocks, n_homes).union(_send_texts(docs, n_homes)).repartition(parts, "target").sortWithinPartitions("target", "kind")
     passages = _passages_and_later(mixed, length).repartition(parts, "target").sortWithinPartitions("target", "kind")

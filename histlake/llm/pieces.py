@@ -42,6 +42,7 @@ UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 NO_PIECE = 1 << 30
 #: A vocabulary is sent to the executors whole only up to this size of its file.
 MAX_MODEL_BYTES = 64 << 20
+MOST_PIECES = 1_000_000
 #: Units of up to so many characters, so many of them, make one lattice.
 LATTICE_CHARS = 48
 LATTICE_UNITS = 5_000
@@ -369,8 +370,8 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids
 def word_lattice(words: DataFrame, pieces: DataFrame, longest: int, missing: float) -> DataFrame:
     """The relational lattice: word, path array<string> with the largest sum of scores.
 
-    words(word) must be distinct; pieces(piece, score) is a vocabulary, whose
-    size is bounded, and is broadcast.  Substrings of up to ``longest``
+    words(word) must be distinct; pieces(piece, score) is a vocabulary, which is
+    broadcast if it is counted to be of MOST_PIECES rows at most.  Substrings of up to ``longest``
     characters are exploded and equi-joined to it; edges are grouped by word
     and folded over end positions.  Single characters without a piece score
     ``missing``.
@@ -379,7 +380,8 @@ def word_lattice(words: DataFrame, pieces: DataFrame, longest: int, missing: flo
     starts = w.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
     parts = starts.select("word", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("i") + 1))).alias("n"))
     parts = parts.withColumn("piece", F.col("word").substr(F.col("i"), F.col("n")))
-    edges = parts.join(F.broadcast(pieces.select("piece", F.col("score").cast("double").alias("score"))), "piece", "left").where(F.col("score").isNotNull() | (F.col("n") == 1))
+    held = pieces.select("piece", F.col("score").cast("double").alias("score"))
+    edges = parts.join(F.broadcast(held) if held.count() <= MOST_PIECES else held, "piece", "left").where(F.col("score").isNotNull() | (F.col("n") == 1))
     edge = F.struct((F.col("i") + F.col("n") - 1).alias("to"), (F.col("i") - 1).alias("start"), F.coalesce("score", F.lit(missing)).alias("score"), "piece")
     grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
