@@ -4,6 +4,10 @@ Each step is an aggregate with partial sums before its shuffle and a join that
 AQE splits where one node has most edges; no adjacency list is ever gathered.
 Steps are written to the shared folder, so lineage stays short and a lost
 executor costs only its own tasks.
+
+Defined cases: repeated edges and both directions of one are one edge; loops and
+edges with a null end link nothing; nodes without edges are absent; a table
+without edges gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

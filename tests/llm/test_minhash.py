@@ -93,3 +93,24 @@ def test_rare_shingles_find_all_links(spark):
     sets = [shingles(t) for t in texts]
     links = {(i, j) for j in range(len(texts)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     assert links <= found and len(found) < 3 * len(links)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(41)
+    long_ = sentence(rng, 60_000, 40_000)
+    words = long_.split()
+    words[500] = "changed"
+    near = " ".join(words)
+    texts = [long_, near, "x" * 500_000, "x" * 500_000, sentence(rng, 50, 900)]
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, component_id string, kept int")
+    out = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, work_dir(spark)).collect()}
+    assert out == {0: (0, True), 1: (0, False), 2: (2, True), 3: (2, False), 4: (4, True)}
+    kept = minhash.keep_first(docs, work_dir(spark))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]
+
+
+def test_components_of_awkward_edges(spark):
+    edges = spark.createDataFrame([(1, 1), (2, 3), (3, 2), (2, 3), (-5, 3)], "u long, v long")
+    out = {r["node"]: r["component"] for r in connected_components(edges, work_dir(spark)).collect()}
+    assert out == {2: -5, 3: -5, -5: -5}
+    assert connected_components(edges.limit(0), work_dir(spark)).count() == 0
