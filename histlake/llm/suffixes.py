@@ -14,8 +14,9 @@ stretches of ``length`` bytes that contain the anchor:
 * entries whose whole reach has the same fingerprint repeat all of it;
 * the others send the bytes of their reach, one for each class of equal
   reaches, to the place of their anchor, where stretches found twice are marked.
-  The reaches of a frequent anchor come in chunks; a chunk tells each of its
-  stretches once more, by hash, and those that other chunks hold are marked too.
+  The reaches of a frequent anchor come in chunks.  Chunks tell each other, by
+  hash, first the cores that neighbouring stretches have in common, then the
+  stretches around shared cores; those that another chunk holds are marked too.
 
 Marked stretches meet the texts by document; bytes inside them go.  What is
 shuffled is one entry for about 150 bytes of text, the reaches of the few
@@ -32,12 +33,12 @@ are binary.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import delete, ids_and_texts, materialise, mix, packed_texts, rolling_hashes, shuffle_partitions, table, text_chunks, unpack, work_dir
@@ -52,6 +53,8 @@ SEGMENT = 1 << 20
 SALTS = 4
 #: Different reaches of an anchor that one group holds; those of a frequent anchor are dealt over so large chunks.
 CHUNK_ROWS = 400
+#: Cores of a reach: runs of bytes that so many parts of its stretches have in common.
+CORES = 16
 #: Reaches of whole groups that are marked at once.
 BLOCK_ROWS = 1_000
 
@@ -169,82 +172,196 @@ class SuffixIndex:
         return _semi(everything, keys.distinct(), ["key"])
 
 
-MARKS = "h long, doc_id long, start int, end int, several boolean"
-
-
-def _mark_block(rows: list[tuple], length: int) -> pa.RecordBatch | None:
-    """MARKS of whole groups of reaches; rows (key, chunk, chunks, doc_id, at, left, context).
-
-    What a group's reaches share is a span (h is null).  Of a group that is one
-    of several chunks of a key, each stretch gives one row more: h, a place, and
-    whether the chunk holds it twice or more.
-    """
-    keys, chunk, chunks, docs, at, left, contexts = zip(*rows, strict=True)
-    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-    bounds = np.cumsum([0] + [len(c) for c in contexts])
-    n = np.maximum(np.diff(bounds) - (length - 1), 0)
-    row = np.repeat(np.arange(len(n)), n)
-    if not len(row):
-        return None
-    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    place = (np.array(at) - np.array(left))[row] + within
-    doc = np.array(docs, dtype=np.int64)[row]
-    part = mix(np.array(keys, dtype=np.int64).view(np.uint64) + mix(np.array(chunk, dtype=np.uint64)))
-    stretch = rolling_hashes(data, length)[bounds[row] + within]
-    h = stretch ^ part[row]
-    order = np.argsort(h, kind="stable")
-    first = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-    edges = np.flatnonzero(first)
-    # reaches of one document may overlap: the same place is no repeat
-    name = mix(doc.view(np.uint64)) + place.astype(np.uint64)
-    differ = np.minimum.reduceat(name[order], edges) != np.maximum.reduceat(name[order], edges)
-    twice = np.empty(len(h), dtype=bool)
-    twice[order] = np.repeat(differ, np.diff(np.append(edges, len(h))))
-    hit = np.flatnonzero(twice)
-    fresh = np.ones(len(hit), dtype=bool)
-    fresh[1:] = (row[hit][1:] != row[hit][:-1]) | (np.diff(place[hit]) > length)
-    begins, ends = hit[fresh], hit[np.append(np.flatnonzero(fresh)[1:] - 1, len(hit) - 1)] if len(hit) else hit
-    told = order[edges][np.array(chunks)[row[order[edges]]] > 1]
-    none = pa.nulls(len(begins), pa.int64())
-    out = [
-        pa.concat_arrays([none, pa.array(stretch[told].view(np.int64))]),
-        pa.array(np.concatenate((doc[begins], doc[told]))),
-        pa.array(np.concatenate((place[begins], place[told])), pa.int32()),
-        pa.array(np.concatenate((place[ends], place[told])) + length, pa.int32()),
-        pa.array(np.concatenate((np.ones(len(begins), dtype=bool), twice[told]))),
-    ]
-    return pa.RecordBatch.from_arrays(out, names=["h", "doc_id", "start", "end", "several"])
-
-
-def _marked(groups: DataFrame, length: int) -> DataFrame:
-    """MARKS of the reaches; rows come sorted by key and chunk."""
-    names = ("key", "chunk", "chunks", "doc_id", "at", "left", "context")
+#: A span (context is null), or a reach of a chunk, as it came.
+MARKS = "doc_id long, start int, end int, key long, chunk int, at int, left int, context binary"
+REACH = ("key", "chunk", "doc_id", "at", "left", "context")
+
+
+class _Reaches:
+    """The stretches of reaches (key, chunk, doc_id, at, left, context), as arrays: the reach of each, its place and its hash under its key."""
+
+    def __init__(self, rows: list[tuple], length: int, anchor: int):
+        keys, chunks, docs, at, left, contexts = zip(*rows, strict=True)
+        self.length = length
+        self.data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+        self.bounds = np.cumsum([0] + [len(c) for c in contexts])
+        self.keys = mix(np.array(keys, dtype=np.int64).view(np.uint64))
+        self.chunks = np.array(chunks, dtype=np.uint64)
+        self.docs, self.left = np.array(docs, dtype=np.int64), np.array(left)
+        self.first = np.array(at) - self.left
+        n = np.maximum(np.diff(self.bounds) - (length - 1), 0)
+        self.row = np.repeat(np.arange(len(n)), n)
+        self.within = np.arange(len(self.row)) - np.repeat(np.cumsum(n) - n, n)
+        # stretches by where they begin before the anchor, in CORES parts
+        self.lead = length - anchor
+        self.step = -(-(self.lead + 1) // CORES)
+        self.core = (self.within - self.left[self.row] + self.lead) // self.step
+
+    def hashes(self) -> np.ndarray:
+        return rolling_hashes(self.data, self.length)[self.bounds[self.row] + self.within] ^ self.keys[self.row]
+
+    def names(self) -> np.ndarray:
+        """A hash of each place: reaches of one document may overlap, and the same place is no repeat."""
+        return mix(self.docs.view(np.uint64))[self.row] + (self.first[self.row] + self.within).astype(np.uint64)
+
+    def core_hashes(self) -> np.ndarray:
+        """For each stretch, the hash of the bytes that all stretches of its part have in common."""
+        size = self.length - self.step + 1
+        begin = self.left[self.row] - self.lead + (self.core + 1) * self.step - 1
+        begin = np.minimum(begin, self.left[self.row])  # the last part may be shorter: the anchor's own stretch
+        return rolling_hashes(self.data, size)[self.bounds[self.row] + begin] ^ mix(self.keys[self.row] + self.core.astype(np.uint64))
+
+    def spans(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """doc_id, start, end of what the marked stretches cover."""
+        hit = np.flatnonzero(marked)
+        if not len(hit):
+            return hit, hit, hit
+        row, place = self.row[hit], self.first[self.row[hit]] + self.within[hit]
+        fresh = np.ones(len(hit), dtype=bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (np.diff(place) > self.length)
+        begins = np.flatnonzero(fresh)
+        ends = np.append(begins[1:] - 1, len(hit) - 1)
+        return self.docs[row[begins]], place[begins], place[ends] + self.length
+
+
+def _least_most(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of h, where each value stands among them, and its least low and largest high."""
+    values, which = np.unique(h, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    edges = np.searchsorted(which[order], np.arange(len(values)))
+    return values, which, np.minimum.reduceat(low[order], edges) if len(h) else low, np.maximum.reduceat(high[order], edges) if len(h) else high
+
+
+def _repeated_in(h: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which of h stand at several places."""
+    _, which, low, high = _least_most(h, names, names)
+    return (low != high)[which]
+
+
+def _span_batch(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "start", "end"])
+
+
+def _marked(groups: DataFrame, length: int, anchor: int) -> DataFrame:
+    """MARKS of whole groups of reaches (with chunks, how many its key has), which come sorted by key and chunk: what a group's reaches share, and the reaches of chunks."""
+
+    def marks(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = _Reaches([r[:6] for r in rows], length, anchor)
+        h = found.hashes() ^ mix(found.chunks)[found.row]
+        spans = found.spans(_repeated_in(h, found.names()))
+        later = [r for r in rows if r[6] > 1]
+        none = lambda kind, n: pa.nulls(n, kind)
+        n, m = len(spans[0]), len(later)
+        columns = [pa.concat_arrays([pa.array(x, t), none(t, m)]) for x, t in zip(spans, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        columns[0] = pa.concat_arrays([pa.array(spans[0], pa.int64()), pa.array([r[2] for r in later], pa.int64())])
+        for i, t in ((0, pa.int64()), (1, pa.int32()), (3, pa.int32()), (4, pa.int32()), (5, pa.binary())):
+            columns.append(pa.concat_arrays([none(t, n), pa.array([r[i] for r in later], t)]))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "key", "chunk", "at", "left", "context"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in (*REACH, "chunks")), strict=True):
                 if len(held) >= BLOCK_ROWS and row[:2] != held[-1][:2]:
-                    if (out := _mark_block(held, length)) is not None:
-                        yield out
+                    yield from marks(held)
                     held = []
                 held.append(row)
-        if held and (out := _mark_block(held, length)) is not None:
-            yield out
+        if held:
+            yield from marks(held)
+
+    return groups.select(*REACH, "chunks").mapInArrow(run, MARKS)
+
+
+TOLD = "part int, key long, chunk int, h binary, low binary, high binary"
+
+
+def _telling(groups: DataFrame, told: DataFrame | None, length: int, anchor: int, n_parts: int) -> DataFrame:
+    """TOLD: what chunks tell, each value once, in blocks by value; cores, or with told (their shared cores) the stretches around them."""
+
+    only_cores = told is None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, chunk, found, cores, _ in _chunks(batches, length, anchor):
+            core, names = found.core_hashes(), found.names()
+            if only_cores:
+                h = core
+            else:
+                near = np.flatnonzero(_repeated_in(core, names) | np.isin(core, cores))
+                h, names = found.hashes()[near], names[near]
+            values, _, low, high = _least_most(h, names, names)
+            part = ((values >> np.uint64(40)) % np.uint64(n_parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+            rows = [(int(part[x[0]]), key, chunk, values[x].tobytes(), low[x].tobytes(), high[x].tobytes()) for x in np.split(order, cuts[1:])] if len(order) else []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "key", "chunk", "h", "low", "high"])
+
+    return _with_told(groups, told).mapInArrow(run, TOLD)
+
+
+def _shared(told: DataFrame, kind: int) -> DataFrame:
+    """key, chunk, kind, h: the values that a chunk told once and that stand elsewhere too, for that chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                h, low, high = (np.concatenate([np.frombuffer(r[i], dtype=np.uint64) for r in held]) for i in (2, 3, 4))
+                _, which, least, most = _least_most(h, low, high)
+                mine = (least != most)[which] & (low == high)
+                ends = np.cumsum([len(r[2]) // 8 for r in held])
+                rows = [(r[0], r[1], kind, h[a:b][mine[a:b]].tobytes()) for r, a, b in zip(held, [0, *ends], ends, strict=False) if mine[a:b].any()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "chunk", "kind", "h"])
+
+        for batch in batches:
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "chunk", "h", "low", "high")), strict=True):
+                if p != part:
+                    yield from close()
+                    part, held = p, []
+                held.append(row)
+        yield from close()
+
+    return told.mapInArrow(run, "key long, chunk int, kind int, h binary")
 
-    return groups.select(*names).mapInArrow(run, MARKS)
 
+def _with_told(groups: DataFrame, told: DataFrame | None) -> DataFrame:
+    """Chunks' reaches (kind 0) and what they were told (kinds 1 and 2), chunk by chunk."""
+    rows = groups.select("key", "chunk", F.lit(0).alias("kind"), "doc_id", "at", "left", "context")
+    if told is not None:
+        rows = rows.union(told.select("key", "chunk", "kind", F.lit(None).cast("long"), F.lit(None).cast("int"), F.lit(None).cast("int"), "h"))
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "key", "chunk").sortWithinPartitions("key", "chunk", "kind")
 
-def _across_chunks(told: DataFrame) -> DataFrame:
+
+def _chunks(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[tuple[int, int, _Reaches, np.ndarray, np.ndarray]]:
+    """key, chunk, its reaches, and the cores and stretches that other chunks hold."""
+    names = ("key", "chunk", "kind", "doc_id", "at", "left", "context")
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in names), strict=True))
+    values = lambda found, kind: np.concatenate([np.empty(0, dtype=np.uint64), *(np.frombuffer(r[6], dtype=np.uint64) for r in found if r[2] == kind)])
+    for (key, chunk), group in groupby(rows, key=lambda r: r[:2]):
+        found = list(group)
+        yield key, chunk, _Reaches([(r[0], r[1], *r[3:]) for r in found if r[2] == 0], length, anchor), values(found, 1), values(found, 2)
+
+
+def _across_chunks(reaches: DataFrame, length: int, anchor: int) -> DataFrame:
     """doc_id, start, end of the stretches that stand alone in their chunk but also in another.
 
-    A chunk tells each stretch once, so a stretch has at most as many rows as
-    its key has chunks.
+    Two rounds: only stretches around shared cores are told, so a reach tells
+    its CORES cores and the stretches where it leaves what it shares.
     """
-    every = W.partitionBy("h")
-    place = F.struct("doc_id", "start")
-    seen = told.select("*", (F.max("several").over(every) | (F.min(place).over(every) != F.max(place).over(every))).alias("again"))
-    return seen.where("again AND NOT several").select("doc_id", "start", "end")
+    parts = shuffle_partitions(reaches.sparkSession)
+    n_parts = 4 * parts
+    deal = lambda told: told.repartition(parts, "part").sortWithinPartitions("part")
+    cores = _shared(deal(_telling(reaches, None, length, anchor, n_parts)), 1)
+    stretches = _shared(deal(_telling(reaches, cores, length, anchor, n_parts)), 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, found, _, mine in _chunks(batches, length, anchor):
+            if len(mine):
+                yield _span_batch(*found.spans(np.isin(found.hashes(), mine)))
+
+    return _with_told(reaches, stretches).mapInArrow(run, "doc_id long, start int, end int")
 
 
 def _contexts(wanted: DataFrame, texts: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -319,8 +436,11 @@ def remove_repeated_bytes(docs: DataFrame, folder: str, length: int = LENGTH, an
     texts = packed_texts(docs)
     chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("doc_id", "at"), F.col("chunks"))).otherwise(0).cast("int")
     groups = _contexts(wanted, texts, length, anchor).withColumn("chunk", chunk).repartition(shuffle_partitions(spark), "key", "chunk").sortWithinPartitions("key", "chunk")
-    marks = materialise(_marked(groups, length), folder, "marks")
-    spans = marks.where("h IS NULL").select("doc_id", "start", "end").union(_across_chunks(marks.where("h IS NOT NULL"))).union(whole)
+    marks = materialise(_marked(groups, length, anchor), folder, "marks")
+    spans = marks.where("context IS NULL").select("doc_id", "start", "end").union(whole)
+    frequent = marks.where("context IS NOT NULL")
+    if not frequent.isEmpty():
+        spans = spans.union(_across_chunks(frequent, length, anchor))
     spans = materialise(spans, folder, "spans")
     for name in ("repeated", "classes", "marks", *(x[0] for x in index.levels if x), *(f"found-{i + 1}" for i in range(index.n))):
         delete(spark, f"{folder}/{name}")
