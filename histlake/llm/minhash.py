@@ -8,7 +8,8 @@ but little else, so their members are dealt anew by longer bands (five minima,
 drawn from the whole signature), which only similar documents share.
 
 In each bucket the smallest representative is paired with the others (a star,
-never all pairs).  Pairs are filtered by their signatures, then confirmed on
+never all pairs; in the long bands' buckets batch by batch, then among the
+smallest of the batches).  Pairs are filtered by their signatures, then confirmed on
 their full sets; confirmed links give components by alternating large-star and
 small-star.  Where a bucket still holds several components, its members are
 compared anew, exactly: pairs must share one of their rarest shingles (a prefix
@@ -27,6 +28,7 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TextBatch, byte_batch, delete, gram_valid, grams, ids_and_texts, materialise, mix, packed_texts, table, text_chunks, unpack, work_dir
+from .common import TextBatch, byte_batch, delete, gram_valid, grams, ids_and_texts, materialise, mix, packed_texts, parts_for, shuffle_partitions, table, text_chunks, unpack, work_dir
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -44,6 +46,8 @@ LONG_BANDS, LONG_ROWS = 64, 5
 PERCENT = 75
 #: Members of a bucket above which it is dealt anew by the long bands.
 SMALL = 64
+#: Bytes of signatures whose long bands' keys make one part.
+PART_BYTES = 4 << 20
 #: Parts that a group of copies is dealt over where its class is looked up.
 SALTS = 8
 #: Agreeing minima of all below which a pair is not compared: 4.8 deviations below 0.75.
@@ -169,26 +173,118 @@ def _agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return signed.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
-def _long_buckets(reps: DataFrame) -> DataFrame:
-    """key, rep of the long bands, from signatures."""
+BLOCKS = "part int, kind int, a binary, b binary, n binary"
+
+
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "kind", "a", "b", "n"])
+
+
+def _dealt(keys: np.ndarray, values: np.ndarray, counts: np.ndarray, n_parts: int) -> list[tuple]:
+    """Blocks of entries (kind 0), by key."""
+    part = ((keys.view(np.uint64) >> np.uint64(40)) % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    return [(int(part[x[0]]), 0, keys[x].tobytes(), values[x].tobytes(), counts[x].tobytes()) for x in np.split(order, cuts[1:])] if len(order) else []
+
+
+def _ordered(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by key and value, and where a new key begins in it."""
+    order = np.lexsort((values, keys))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = keys[order][1:] != keys[order][:-1]
+    return order, fresh
+
+
+def _pairs(keys: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys and their smallest members, and the distinct pairs of these with the others."""
+    order, fresh = _ordered(keys, reps)
+    k, r = keys[order], reps[order]
+    low = r[fresh][np.cumsum(fresh) - 1]
+    pairs = np.unique(np.stack((low, r), axis=1)[low != r], axis=0)
+    return k[fresh], r[fresh], pairs[:, 0], pairs[:, 1]
+
+
+def _signed_keys(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The long bands' keys of the rows, and a value of each row, once for each key."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            yield _keys(_matrix(part.column("signature")), _LONG).ravel(), np.repeat(np.asarray(part.column(value)), LONG_BANDS)
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[tuple]]]:
+    """Part by part: its entries and what only passes through."""
+    rows = (r for x in batches for r in zip(*(x.column(c).to_pylist() for c in ("part", "kind", "a", "b", "n")), strict=True))
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        found = list(group)
+        yield [r[2:] for r in found if r[1] == 0], [r[2:] for r in found if r[1] == 1]
+
+
+def _joined(rows: list[tuple], i: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[i] for r in rows), dtype=np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keys = _keys(_matrix(part.column("signature")), _LONG)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(part.column("doc_id")), LONG_BANDS))], names=["key", "rep"])
 
-    return reps.mapInArrow(run, "key long, rep long")
+def _long_stars(reps: DataFrame, n_parts: int) -> DataFrame:
+    """Pairs (a, b): in each bucket of the long bands the members of a batch with the smallest of them, and these with the smallest of all.
 
+    reps(doc_id, signature).  A batch sends a key once, so a bucket of very many
+    members is one entry for each batch.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, names in _signed_keys(batches, "doc_id"):
+            k, low, a, b = _pairs(keys, names)
+            rows = _dealt(k, low, np.ones(len(k), dtype=np.int64), n_parts)
+            yield _blocks([*rows, (rows[0][0], 1, a.tobytes(), b.tobytes(), b"")])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for entries, told in _by_part(batches):
+            _, _, a, b = _pairs(_joined(entries, 0), _joined(entries, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, _joined(told, 0)))), pa.array(np.concatenate((b, _joined(told, 1))))], names=["a", "b"])
+
+    return _gathered(reps.mapInArrow(send, BLOCKS)).mapInArrow(meet, "a long, b long").distinct()
+
+
+def _long_parts(reps: DataFrame, n_parts: int) -> DataFrame:
+    """key, component, n: the components of the long bands' buckets that hold several; reps(signature, component)."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, values in _signed_keys(batches, "component"):
+            yield _blocks(_dealt(*_counted(keys, values, np.ones(len(keys), dtype=np.int64)), n_parts))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for entries, _ in _by_part(batches):
+            k, c, n = _counted(_joined(entries, 0), _joined(entries, 1), _joined(entries, 2))
+            _, which, times = np.unique(k, return_inverse=True, return_counts=True)
+            mixed = times[which] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(k[mixed]), pa.array(c[mixed]), pa.array(n[mixed])], names=["key", "component", "n"])
 
-def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """rep, component, outside: the members of components that meet others in a bucket; outside: one of them is larger there."""
-    placed = buckets.where("n > 2").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    return _gathered(reps.mapInArrow(send, BLOCKS)).mapInArrow(meet, "key long, component long, n long")
+
+
+def _counted(keys: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (key, value) and the sums of their counts."""
+    order, fresh = _ordered(keys, values)
+    k, v = keys[order], values[order]
+    fresh[1:] |= v[1:] != v[:-1]
+    return k[fresh], v[fresh], np.add.reduceat(counts[order], np.flatnonzero(fresh))
+
+
+def _gathered(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition(shuffle_partitions(blocks.sparkSession), "part").sortWithinPartitions("part")
+
+
+def _mixed(placed: DataFrame, long_parts: DataFrame, crowded: DataFrame) -> DataFrame:
+    """rep, component, outside: the members of components that meet others in a bucket; outside: one of them is larger there.
+
+    placed(key, rep, component) are the members of short bands' buckets, crowded(rep, component) those of the long ones'.
+    """
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).union(long_parts)
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1").select("key", F.col("largest.component").alias("largest"))
     meets = parts.join(mixed, "key").groupBy("component").agg(F.max(F.col("component") != F.col("largest")).alias("outside"))
-    return placed.select("rep", "component").distinct().join(meets, "component").select("rep", "component", "outside")
+    return placed.select("rep", "component").union(crowded.select("rep", "component")).distinct().join(meets, "component").select("rep", "component", "outside")
 
 
 def _shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -250,19 +346,21 @@ def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
     sizes = short.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
     met = materialise(short.join(sizes, "key"), folder, "met")
     hot = met.where(F.col("n") > SMALL).select(F.col("rep").alias("doc_id")).distinct()
-    long_ = _long_buckets(signs.join(hot, "doc_id", "left_semi").select("doc_id", "signature"))
-    long_sizes = long_.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
-    buckets = materialise(met.where(F.col("n") <= SMALL).select("key", "rep", "n", "low").union(long_.join(long_sizes, "key").select("key", "rep", "n", "low")), folder, "buckets")
-    delete(spark, f"{folder}/met")
+    crowded = materialise(signs.join(hot, "doc_id", "left_semi").select("doc_id", "signature"), folder, "crowded")
+    n_parts = parts_for(crowded, PART_BYTES, 4 * shuffle_partitions(spark))
+    buckets = met.where(F.col("n") <= SMALL)
 
-    star = buckets.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    star = buckets.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).union(_long_stars(crowded, n_parts)).distinct()
     tried = materialise(_agreeing(star, signs), folder, "tried")
     texts = packed_texts(docs)
     links = materialise(confirmed(tried, texts), folder, "links")
     components = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), folder, "first")
 
     # buckets that still hold several components
-    members = materialise(_mixed(buckets, components), folder, "members")
+    known = components.withColumnRenamed("node", "rep")
+    placed = buckets.where("n > 2").join(known, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    met_anew = crowded.withColumnRenamed("doc_id", "rep").join(known, "rep", "left").select("rep", "signature", F.coalesce("component", "rep").alias("component"))
+    members = materialise(_mixed(placed, _long_parts(met_anew.select("signature", "component"), n_parts), met_anew), folder, "members")
     more = materialise(sharing_rare_shingles(members, texts).join(tried, ["a", "b"], "left_anti"), folder, "more")
     if not more.isEmpty():
         new = materialise(confirmed(more, texts), folder, "more-links")
@@ -289,7 +387,7 @@ def keep_first(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
 
 
 def _tidy(spark: SparkSession, folder: str) -> None:
-    for name in ("profiles", "signatures", "buckets", "tried", "links", "members", "more", "more-links"):
+    for name in ("profiles", "signatures", "met", "crowded", "tried", "links", "members", "more", "more-links"):
         delete(spark, f"{folder}/{name}")
 
 
