@@ -18,7 +18,7 @@ from histlake.plans import catalog
 from histlake.plans.shared import mounted, shared_folder, written
 from histlake.sources import packfmt, packwrite
 from histlake.sources import refs as refs_source
-from histlake.sources.objects import GitObjects, pack_index
+from histlake.sources.objects import GitObjects, from_binary_files, pack_index
 
 C = "component"
 
@@ -291,6 +291,16 @@ def pack_scan_without_index(spark, folder):
     return scan.deduped(_read(spark, path, partition_bytes="100000")).select("sha", "kind", "size")
 
 
+@_query(f"{_STORED} GROUP BY sha")
+def pack_scan_any_store(spark, folder):
+    """Through Spark's own file reader: packs with indexes, one without, and loose files."""
+    objs = text_objects(spark, folder)
+    path = _repository(spark, objs.where("kind = 'blob'"))
+    packwrite.write_packs(objs.where("kind = 'commit'").coalesce(1), path, index=False)
+    packwrite.write_packs(objs.where("kind = 'tag'"), path, as_loose=True)
+    return scan.deduped(from_binary_files(spark, f"file://{path}", "star", partition_bytes=100_000)).select("sha", "kind", "size")
+
+
 @_query(f"{_STORED} WHERE kind IN ('tag', 'commit') GROUP BY sha")
 def pack_scan_kinds(spark, folder):
     """Objects of other kinds are not inflated."""

@@ -198,30 +198,77 @@ def pack_index(spark: SparkSession, path: str, repo: str | None = None) -> DataF
     return packs.mapInArrow(run, "repo string, pack_id string, sha string, offset long")
 
 
-def from_binary_files(spark: SparkSession, path: str, repo: str | None = None, kinds: list[str] | None = None) -> DataFrame:
-    """The same rows through Spark's own file reader: any store, but a pack is one task and at most 2 GB."""
+SLICES = "pack_id string, offsets binary, ids binary, ends binary, bases binary, body binary"
+
+
+def _slices(packs: DataFrame, budget: int) -> DataFrame:
+    """Packs (pack, index) cut along their delta families; ends are the objects' ends in body, bases their bases' places among them, or -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, index in zip(batch.column("pack").to_pylist(), batch.column("index").to_pylist(), strict=True):
+                data = np.frombuffer(pack, dtype=np.uint8)
+                ids, at_ids = packfmt.read_index(index) if index else (None, np.array(packfmt.PackReader(pack).offsets_forward(), dtype=np.int64))
+                order = np.argsort(at_ids)
+                ordered = at_ids[order]
+                base = packfmt.bases(data, ordered, ids, at_ids)
+                stops = np.append(ordered[1:], len(pack) - packfmt.ID_BYTES)
+                for part in packfmt.families(ordered, base, len(pack), budget):
+                    at = np.searchsorted(ordered, part)
+                    place = np.searchsorted(part, base[at])
+                    place[(base[at] < 0) | (part[np.minimum(place, len(part) - 1)] != base[at])] = -1
+                    body = b"".join(pack[a:b] for a, b in zip(part.tolist(), stops[at].tolist(), strict=True))
+                    own = ids[order[at]].tobytes() if ids is not None else b""
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((packfmt.pack_id(pack), pa.string()), (part.tobytes(), pa.binary()), (own, pa.binary()), (np.cumsum(stops[at] - part).tobytes(), pa.binary()), (place.tobytes(), pa.binary()), (body, pa.binary()))], names=["pack_id", "offsets", "ids", "ends", "bases", "body"])
+
+    return packs.mapInArrow(run, SLICES)
+
+
+def from_binary_files(spark: SparkSession, path: str, repo: str | None = None, kinds: list[str] | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """The same rows through Spark's own file reader, from any store.
+
+    One task cuts a pack (of 2 GB at most, which is what the reader takes) along
+    its delta families; inflating is spread over as many tasks as there are
+    parts.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path.rstrip('/')}/objects").select("path", "content")
     wanted = set(kinds or KIND_NAMES)
     name = repo or path
+    of = lambda kind, column: files.where(F.col("path").endswith(kind)).select(F.regexp_replace("path", r"\.[a-z]+$", "").alias("stem"), F.col("content").alias(column))
+    slices = _slices(of(".pack", "pack").join(of(".idx", "index"), "stem", "left").select("pack", "index"), partition_bytes)
 
-    def run(batches):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                folder, leaf = os.path.split(p)
-                rows = []
-                if leaf.endswith(".pack"):
-                    reader = packfmt.PackReader(data)
-                    offsets = reader.offsets_forward()
-                    pack = packfmt.pack_id(data)
-                    rows = [(name, "pack", pack, o, packfmt.object_id(k, c), k, len(c), c) for o, k, c in reader.read(offsets, wanted)]
-                elif len(leaf) == 38 and len(os.path.basename(folder)) == 2:
-                    try:
-                        kind, content = packfmt.parse_loose(data)
-                    except packfmt.FormatError:
-                        continue
-                    if kind in wanted:
-                        rows = [(name, "loose", None, None, os.path.basename(folder) + leaf, kind, len(content), content)]
+            for pack, offsets, ids, ends, base, body in zip(*(batch.column(c).to_pylist() for c in ("pack_id", "offsets", "ids", "ends", "bases", "body")), strict=True):
+                begins = [0, *np.frombuffer(ends, dtype=np.int64).tolist()[:-1]]
+                named = {b: (o, i) for i, (b, o) in enumerate(zip(begins, np.frombuffer(offsets, dtype=np.int64).tolist(), strict=True))}
+                reader = packfmt.SlicedReader(body, {b: begins[k] for b, k in zip(begins, np.frombuffer(base, dtype=np.int64).tolist(), strict=True) if k >= 0})
+                rows, size = [], 0
+                for at, kind, content in reader.read(begins, wanted):
+                    offset, i = named[at]
+                    sha = ids[20 * i : 20 * i + 20].hex() if ids else packfmt.object_id(kind, content)
+                    rows.append((name, "pack", pack, offset, sha, kind, len(content), content))
+                    size += len(content)
+                    if size >= BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
                 if rows:
                     yield _batch(rows)
 
-    return files.where(F.col("path").endswith(".pack") | F.col("path").rlike(r"/[0-9a-f]{2}/[0-9a-f]{38}$")).mapInArrow(run, OBJECTS)
+    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for p, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    kind, content = packfmt.parse_loose(data)
+                except packfmt.FormatError:
+                    continue
+                if kind in wanted:
+                    folder, leaf = os.path.split(p)
+                    rows.append((name, "loose", None, None, os.path.basename(folder) + leaf, kind, len(content), content))
+            if rows:
+                yield _batch(rows)
+
+    # dealt by chance: parts are of one size
+    found = slices.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(packed, OBJECTS)
+    return found.union(files.where(F.col("path").rlike(r"/[0-9a-f]{2}/[0-9a-f]{38}$")).mapInArrow(loose, OBJECTS))

@@ -239,6 +239,17 @@ class PackReader:
         return out
 
 
+class SlicedReader(PackReader):
+    """Some objects of a pack, one after another in data, at new offsets; their bases are told, as distances no longer hold."""
+
+    def __init__(self, data: bytes, bases_of: dict[int, int]):
+        super().__init__(data)
+        self._bases = bases_of
+
+    def base_of(self, offset: int) -> int | None:
+        return self._bases.get(offset)
+
+
 def bases(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray | None = None, at_ids: np.ndarray | None = None) -> np.ndarray:
     """The offset of the base of each object, -1 where there is none in the pack; headers of all objects are read at once.
 
