@@ -21,9 +21,10 @@ Defined cases: null or empty text has no words, fails the base rules and is not
 kept; an unknown or null language takes its script's bands; a null id is a
 document like others; repeated rows count each and give repeated results; an
 empty table gives an empty result; other columns, whatever their names, are not
-read (``keep`` keeps them).  Runs of white space are cut into parts of
-``SPACE_RUN`` characters for the byte vocabulary, whose pattern cannot take
-longer ones.
+read (``keep`` keeps them).  Long runs of white space in long texts
+are cut into parts of ``SPACE_RUN`` characters for the byte vocabulary, whose
+pattern cannot take very long ones.  Texts that fail the base rules are not
+encoded: their measures are null.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import TextBatch, gram_valid, grams, materialise, span_hashes, table, text_chunks, work_dir
-from .pieces import MAX_MODEL_BYTES, Encoder, Vocabulary, default_model
+from .pieces import MAX_MODEL_BYTES, Vocabulary, default_model
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -56,8 +57,9 @@ WIDTH = 4.0
 LEAST_DOCS = 200
 #: Languages whose bands are sent to all executors, at most; more meet the documents by a join.
 MOST_SENT = 5_000
-#: Longest run of white space that the byte vocabulary gets at once.
+#: Longest run of white space that the byte vocabulary gets at once, of a text that is long enough to hold one it cannot take.
 SPACE_RUN = 256
+LONG_TEXT = 10_000
 
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 VOCABULARIES = ("piece", "byte")
@@ -205,9 +207,8 @@ class ByteVocabulary:
         coder = self._made()[0]
         if not text:
             return np.empty(0, dtype=np.int64)
-        parts = LONG_SPACE.split(text) if LONG_SPACE.search(text) else [text]
-        ids = [coder.encode_to_numpy(p, disallowed_special=()) for p in parts if p]
-        return (ids[0] if len(ids) == 1 else np.concatenate(ids)).astype(np.int64)
+        parts = LONG_SPACE.split(text) if len(text) >= LONG_TEXT and LONG_SPACE.search(text) else [text]
+        return np.array([i for p in parts if p for i in coder.encode_ordinary(p)] if len(parts) > 1 else coder.encode_ordinary(text), dtype=np.int32)
 
 
 LONG_SPACE = re.compile(rf"(\s{{{SPACE_RUN}}})")
@@ -221,19 +222,21 @@ def default_vocabularies() -> tuple[Vocabulary, ByteVocabulary]:
 
 
 class _Meter:
-    """The measures of texts, by both vocabularies."""
+    """The measures of texts, by both vocabularies; the model's own library encodes them, as they are only measured."""
 
     def __init__(self, vocabularies: tuple[Vocabulary, ByteVocabulary]):
+        import sentencepiece
+
         pieces, self.bytes = vocabularies
-        self.pieces = Encoder(pieces, library=True)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=pieces.model)
         self.fallbacks = pieces.is_fallback, self.bytes.is_fallback
 
-    def measure(self, texts: list[str | None]) -> list[tuple[float, ...]]:
+    def measure(self, texts: list[str]) -> list[tuple[float, ...]]:
         """MEASURED of each text, to three decimals."""
         out = []
-        for text, ids in zip(texts, self.pieces.encode_many(texts), strict=True):
-            n = len(text or "")
-            both = *fertility(ids, self.fallbacks[0], n), *fertility(self.bytes.encode(text), self.fallbacks[1], n)
+        for text in texts:
+            ids = np.array(self.pieces.encode(text), dtype=np.int32)
+            both = *fertility(ids, self.fallbacks[0], len(text)), *fertility(self.bytes.encode(text), self.fallbacks[1], len(text))
             out.append(tuple(round(x, 3) for x in both))
         return out
 
@@ -259,9 +262,12 @@ def measure(docs: DataFrame, vocabularies: tuple[Vocabulary, ByteVocabulary], id
         meter = _Meter(sent.value)
         for chunk, part in text_chunks(batches):
             counts = base_counts(chunk)
-            texts = part.column("text").to_pylist()
+            failed = _failed(counts)
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            passing = iter(meter.measure([t for t, bad in zip(texts, failed, strict=True) if not bad]))
+            measures = [(None,) * len(MEASURED) if bad else next(passing) for bad in failed]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("lang"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(_failed(counts)), pa.array([script(t or "") for t in texts]), *_measured(meter.measure(texts))],
+                [part.column("doc_id"), part.column("lang"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array([script(t) for t in texts]), *_measured(measures)],
                 names=["doc_id", "lang", *COUNTS, "base_failed", "script", *MEASURED],
             )
 
