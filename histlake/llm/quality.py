@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import TextBatch, gram_valid, grams, materialise, span_hashes, table, text_chunks, work_dir
 from .pieces import MAX_MODEL_BYTES, Vocabulary, default_model
@@ -344,8 +345,8 @@ def keep(docs: DataFrame, vocabularies: tuple[Vocabulary, ByteVocabulary], folde
             columns = [pa.array(np.zeros(len(texts), dtype=bool)), pa.array([script(t) for t in texts], pa.string()), *_measured(meter.measure(texts))]
             yield pa.RecordBatch.from_arrays([*left.columns, *columns], names=[*names, "base_failed", "script", *MEASURED])
 
-    schema = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in names)
-    measured = materialise(source.mapInArrow(run, f"{schema}, {_MEASURED_SCHEMA}"), folder, "measured")
+    schema = T.StructType([*source.schema.fields, *T.StructType.fromDDL(_MEASURED_SCHEMA).fields])
+    measured = materialise(source.mapInArrow(run, schema), folder, "measured")
     measured = measured.withColumn("lang", F.col(lang).cast("string") if lang else F.lit(None).cast("string"))
     return judged(measured, folder, width, least_docs).where("kept").select(*names).toDF(*docs.columns)
 

@@ -153,6 +153,8 @@ def test_filter_keeps_columns(spark, vocabularies):
     kept = quality.keep(docs, vocabularies, work_dir(spark))
     assert kept.columns == docs.columns and kept.schema.simpleString() == docs.schema.simpleString()
     assert sorted(r["kept"] for r in kept.collect()) == list(range(len(TEXTS), len(rows)))
+    nested = docs.selectExpr("doc_id", "text", "lang", "named_struct('a b', array(kept), 'c', script) AS `odd name`")
+    assert sorted(r["odd name"]["a b"][0] for r in quality.keep(nested, vocabularies, work_dir(spark)).collect()) == list(range(len(TEXTS), len(rows)))
     assert quality.keep(docs.limit(0), vocabularies, work_dir(spark)).count() == 0
 
 
