@@ -50,7 +50,7 @@ BATCHES = 3
 #: A longer document is indexed in parts of about so many bytes, to bound memory.
 SEGMENT = 1 << 20
 #: Parts that the entries of a key are dealt over where they are looked up.
-SALTS = 4
+SALTS = 16
 #: Different reaches of an anchor that one group holds; those of a frequent anchor are dealt over so large chunks.
 CHUNK_ROWS = 400
 #: Cores of a reach: runs of bytes that so many parts of its stretches have in common.
@@ -204,12 +204,13 @@ class _Reaches:
         """A hash of each place: reaches of one document may overlap, and the same place is no repeat."""
         return mix(self.docs.view(np.uint64))[self.row] + (self.first[self.row] + self.within).astype(np.uint64)
 
-    def core_hashes(self) -> np.ndarray:
-        """For each stretch, the hash of the bytes that all stretches of its part have in common."""
+    def cores(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each stretch, the hash of the bytes that all stretches of its part have in common, and a hash of their place."""
         size = self.length - self.step + 1
         begin = self.left[self.row] - self.lead + (self.core + 1) * self.step - 1
         begin = np.minimum(begin, self.left[self.row])  # the last part may be shorter: the anchor's own stretch
-        return rolling_hashes(self.data, size)[self.bounds[self.row] + begin] ^ mix(self.keys[self.row] + self.core.astype(np.uint64))
+        hashes = rolling_hashes(self.data, size)[self.bounds[self.row] + begin] ^ mix(self.keys[self.row] + self.core.astype(np.uint64))
+        return hashes, mix(self.docs.view(np.uint64))[self.row] + (self.first[self.row] + begin).astype(np.uint64)
 
     def spans(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """doc_id, start, end of what the marked stretches cover."""
@@ -277,17 +278,14 @@ TOLD = "part int, key long, chunk int, h binary, low binary, high binary"
 
 def _telling(groups: DataFrame, told: DataFrame | None, length: int, anchor: int, n_parts: int) -> DataFrame:
     """TOLD: what chunks tell, each value once, in blocks by value; cores, or with told (their shared cores) the stretches around them."""
-
     only_cores = told is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, chunk, found, cores, _ in _chunks(batches, length, anchor):
-            core, names = found.core_hashes(), found.names()
-            if only_cores:
-                h = core
-            else:
-                near = np.flatnonzero(_repeated_in(core, names) | np.isin(core, cores))
-                h, names = found.hashes()[near], names[near]
+            h, names = found.cores()
+            if not only_cores:
+                near = np.flatnonzero(_repeated_in(h, names) | np.isin(h, cores))
+                h, names = found.hashes()[near], found.names()[near]
             values, _, low, high = _least_most(h, names, names)
             part = ((values >> np.uint64(40)) % np.uint64(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")

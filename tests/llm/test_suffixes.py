@@ -80,6 +80,17 @@ def test_frequent_anchor_in_chunks(spark):
     assert read(suffixes.remove_repeated_bytes(documents(spark, data), work_dir(spark), chunk_rows=7)) == brute(data, 400)
 
 
+def test_only_stretches_around_shared_cores_are_told(spark):
+    rng = random.Random(7)
+    line = sentence(rng, 40, 3000)
+    data = [f"{sentence(rng, 80, 3000)} {line} {sentence(rng, 80, 3000)}" for _ in range(30)]  # a line of under 400 bytes
+    data += [f"{sentence(rng, 80, 3000)} {line} {data[0]} {k}" for k in range(3)]
+    assert read(suffixes.remove_repeated_bytes(documents(spark, data), work_dir(spark), chunk_rows=4)) == brute(data, 400)
+    reaches = suffixes._Reaches([(1, 0, i, 400 + i, 304, (line * 9).encode()[i : 704 + i]) for i in range(2)], 400, 96)
+    hashes, names = reaches.cores()
+    assert len(set(zip(hashes.tolist(), names.tolist()))) <= 2 * suffixes.CORES + 2 and len(hashes) == 2 * 305
+
+
 def test_rolling_hashes():
     rng = random.Random(2)
     data = bytes(rng.choice(b"ab") for _ in range(700)) * 3
