@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from histlake.plans.shared import shared_folder, written
 
 #: Larger than the place of anything.
-NEVER = np.iinfo(np.int64).max
+NEVER = (1 << 63) - 1
 #: Bytes of the sets of bits that are held at once.
 BIT_BYTES = 256 << 20
 #: Rows of whole components that a kernel takes at once.
@@ -108,19 +108,24 @@ class _Graph:
     @cached_property
     def generation(self) -> np.ndarray:
         """1 for roots, else 1 more than the largest of the parents; 0 on cycles and behind them."""
-        left = np.bincount(self.child, minlength=self.n)
+        left = np.bincount(self.child, minlength=self.n).tolist()
         bounds, children = self.rows(self.parent, self.child, self.n)
-        out = np.zeros(self.n, dtype=np.int32)
-        now, level = np.flatnonzero(left == 0), 1
-        while len(now):
-            out[now] = level
-            counts = bounds[now + 1] - bounds[now]
-            at = np.repeat(bounds[now] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-            reached, times = np.unique(children[at], return_counts=True)
-            left[reached] -= times
-            now = reached[left[reached] == 0]
-            level += 1
-        return out
+        bounds, children = bounds.tolist(), children.tolist()
+        out = [0] * self.n
+        ready = deque(i for i in range(self.n) if not left[i])
+        for i in ready:
+            out[i] = 1
+        highest = out.copy()
+        while ready:  # histories are long lines more often than not, so levels are too small for arrays
+            i = ready.popleft()
+            out[i] = now = highest[i] or 1
+            for k in children[bounds[i] : bounds[i + 1]]:
+                if highest[k] <= now:
+                    highest[k] = now + 1
+                left[k] -= 1
+                if not left[k]:
+                    ready.append(k)
+        return np.array(out, dtype=np.int32)
 
     def waves(self, up: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Edges in topological order, a level at a time: sources, where those of each target begin, targets.
@@ -144,13 +149,18 @@ class _Graph:
 
     def spread_least(self, own: np.ndarray, passed: np.ndarray | None = None) -> np.ndarray:
         """For each node, the least value of its descendants: own[d], only along nodes that ``passed`` marks; not its own value."""
-        out = np.full(self.n, NEVER)
-        for source, begins, target in self.waves(up=True):
-            value = np.minimum(out[source], own[source])
-            if passed is not None:
-                value = np.where(passed[source], value, NEVER)
-            out[target] = np.minimum(out[target], np.minimum.reduceat(value, begins))
-        return out
+        generation = self.generation
+        fit = (generation[self.child] > 0) & (generation[self.parent] > 0)
+        if passed is not None:
+            fit &= passed[self.child]
+        edges = np.flatnonzero(fit)
+        edges = edges[np.argsort(-generation[self.child[edges]], kind="stable")]
+        out, values = [NEVER] * self.n, own.tolist()
+        for child, parent in zip(self.child[edges].tolist(), self.parent[edges].tolist(), strict=True):
+            value = min(out[child], values[child])
+            if value < out[parent]:
+                out[parent] = value
+        return np.array(out, dtype=np.int64)
 
     def inside(self, seeds: np.ndarray) -> np.ndarray:
         """Which nodes are the seeds or their ancestors."""
