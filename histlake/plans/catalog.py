@@ -117,7 +117,7 @@ class RepoCatalog:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             df = make()
-            (df.repartitionByRange("sha") if "sha" in df.columns else df).write.mode("overwrite").parquet(path)
+            (df.repartitionByRange("sha") if "parents" in df.columns else df).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     @property
@@ -126,7 +126,7 @@ class RepoCatalog:
 
     @cached_property
     def tree_entries(self) -> DataFrame:
-        return tree_entries_of(self._read(kinds="tree"))
+        return self._cached("tree_entries", lambda: tree_entries_of(self._read(kinds="tree")))
 
     @cached_property
     def refs(self) -> DataFrame:

@@ -80,6 +80,11 @@ def tree_entries(spark: SparkSession, folder: str) -> DataFrame:
     return top.union(inner)
 
 
+def entries_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a table, for queries that read it level by level."""
+    return written(tree_entries(spark, folder), f"{shared_folder(spark)}/entries")
+
+
 def roots(spark: SparkSession, folder: str) -> DataFrame:
     o = _table(spark, folder, "orders")
     return o.select(F.lit("star").alias("repo"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("root"), F.col("o_orderkey").alias("sha"))
@@ -546,14 +551,14 @@ def find_direct(spark, folder):
 @_query(f"WITH {_COMMITS}, {_TREES} SELECT target, sha, author_ts FROM (SELECT i.blob AS target, c.sha, c.author_ts, row_number() OVER (PARTITION BY i.blob ORDER BY c.author_ts, c.sha) AS r FROM (SELECT DISTINCT l_orderkey, blob FROM items) i JOIN commits c ON c.sha = i.l_orderkey) WHERE r = 1")
 def find_recursive(spark, folder):
     """The oldest commit whose tree holds each file, at any depth."""
-    e = tree_entries(spark, folder)
+    e = entries_table(spark, folder)
     held = trees.holders(e, e.where("NOT is_tree").select("repo", "sha").distinct())
     return trees.containing_commits(_root_commits(spark, folder), held, 1).select("target", "sha", "author_ts")
 
 
 @_query(f"WITH {_TREES} SELECT l_orderkey AS order_, 's' || l_suppkey || '/' || name AS path, blob FROM items")
 def tree_walk(spark, folder):
-    files = trees.walk(tree_entries(spark, folder), roots(spark, folder).select("repo", "root"))
+    files = trees.walk(entries_table(spark, folder), roots(spark, folder).select("repo", "root"))
     return files.select(F.substring("root", 2, 40).cast("long").alias("order_"), "path", F.col("sha").alias("blob"))
 
 
