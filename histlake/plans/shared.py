@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     where, files = _hadoop(spark, path)
     files.mkdirs(where)
     files.deleteOnExit(where)
-    return path
+    return files.makeQualified(where).toString()
 
 
 def mounted(path: str) -> str:
