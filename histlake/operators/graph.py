@@ -39,23 +39,32 @@ BATCH_ROWS = 200_000
 def _in_components(rows: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Run kernel over batches of whole components of rows(component, role, a, b)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pd.DataFrame] = []
+        # rows of components that have ended, and of the one that has not; each row is joined to others once
+        whole: list[pd.DataFrame] = []
+        going: list[pd.DataFrame] = []
         size = 0
         for batch in batches:
             frame = batch.to_pandas()
             if not len(frame):
                 continue
-            held.append(frame)
             size += len(frame)
-            if size >= BATCH_ROWS:
-                frame = pd.concat(held, ignore_index=True)
-                last = frame["component"].iloc[-1]
-                whole = frame["component"] != last
-                held, size = [frame[~whole]], int((~whole).sum())
-                if whole.any():
-                    yield from _batches(kernel(frame[whole].reset_index(drop=True)))
-        if held:
-            yield from _batches(kernel(pd.concat(held, ignore_index=True)))
+            column, last = frame["component"], frame["component"].iloc[-1]
+            begin = int(_equal(column, last).to_numpy().argmax())
+            if begin:
+                whole += [*going, frame[:begin]]
+                going = []
+            elif going and not _equal(going[-1]["component"], last).iloc[-1]:
+                whole += going
+                going = []
+            going.append(frame[begin:])
+            if size >= BATCH_ROWS and whole:
+                yield from _batches(kernel(pd.concat(whole, ignore_index=True)))
+                whole, size = [], sum(map(len, going))
+        if whole or going:
+            yield from _batches(kernel(pd.concat(whole + going, ignore_index=True)))
+
+    def _equal(column: pd.Series, value) -> pd.Series:
+        return column.isna() if pd.isna(value) else column == value
 
     def _batches(frame: pd.DataFrame) -> Iterator[pa.RecordBatch]:
         if len(frame):

@@ -1,6 +1,9 @@
 import random
 import time
 
+import pandas as pd
+import pyarrow as pa
+
 from histlake.operators import graph
 from histlake.plans.shared import shared_folder
 from histlake.streaming import watch
@@ -88,6 +91,34 @@ def test_small_batches_keep_components_whole(spark, monkeypatch):
     assert len(rows) == 240 and all(r["generation"] == r["sha"] + 1 for r in rows)
 
 
+class Handed:
+    """Stands for a table: gives the function that mapInArrow got."""
+
+    def repartition(self, *_):
+        return self
+
+    def sortWithinPartitions(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_rows_of_a_long_component_are_joined_once(monkeypatch):
+    monkeypatch.setattr(graph, "BATCH_ROWS", 100)
+    joined, concat = [], pd.concat
+    monkeypatch.setattr(pd, "concat", lambda frames, **k: joined.append(sum(map(len, frames))) or concat(frames, **k))
+    for keys in ([1] * 3000, ["a"] * 30 + ["b"] * 3000 + ["c"] * 250 + ["d"], [None] * 210 + ["a"] * 10 + ["b"] * 190 + ["c"] * 500):
+        joined.clear()
+        held = []
+        run = graph._in_components(Handed(), lambda frame: held.append(frame) or frame, "")
+        batches = [pa.RecordBatch.from_pydict({"component": keys[i : i + 10], "a": list(range(i, min(i + 10, len(keys))))}) for i in range(0, len(keys), 10)]
+        assert [x for b in run(iter(batches)) for x in b.column("a").to_pylist()] == list(range(len(keys)))
+        seen = [set(f["component"].fillna("none")) for f in held]
+        assert sum(map(len, seen)) == len(set().union(*seen))  # no component came in two pieces
+        assert sum(joined) <= len(keys)
+
+
 def test_streams(spark, tmp_path):
     rows = [("r", "pack", "p", i, f"{i:040}", "commit", 1, bytearray(f"author A <a> {1_700_000_000 + i * 86_400} +0000\n\ncat {i}".encode())) for i in range(4)]
     from histlake.schema import OBJECTS
