@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import warnings
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,9 @@ from histlake import schema
 from histlake.functions import objects as fn
 from histlake.operators import graph, scan
 from histlake.plans.shared import mounted, shared_folder, written
+from histlake.sources import deltas, packfmt, smart_http
 from histlake.sources import refs as refs_source
-from histlake.sources import smart_http
-from histlake.sources.objects import GitObjects, loose_files, pack_files
+from histlake.sources.objects import GitObjects, GitObjectsReader, GitOpenDeltas, loose_files, mapped, pack_files, read_ids
 
 
 def commits_of(objs: DataFrame) -> DataFrame:
@@ -61,6 +62,7 @@ class RepoCatalog:
         self.spark, self.location = spark, location
         self.remote = smart_http.is_url(location)
         spark.dataSource.register(GitObjects)
+        spark.dataSource.register(GitOpenDeltas)
         if self.remote:
             self.path, self.head, found = smart_http.fetch_pack(location, staging_folder(spark), kinds)
             self._refs = [(n, s, None) for n, s in found]
@@ -71,11 +73,46 @@ class RepoCatalog:
                 raise FileNotFoundError(f"no objects at {location}")
         self.cache = cache or os.environ.get("HISTLAKE_CACHE_DIR")
 
+    def _load(self, source: str = "git_objects", **options: str) -> DataFrame:
+        return self.spark.read.format(source).options(path=self.path, repo=self.location, **options).load()
+
     def _read(self, **options: str) -> DataFrame:
-        reader = self.spark.read.format("git_objects").option("path", self.path).option("repo", self.location)
-        for key, value in options.items():
-            reader = reader.option(key, value)
-        return reader.load()
+        """Stored objects, and those that deltas on ids outside their packs make."""
+        found, late = self._load(**options), self._late[0]
+        if late is None:
+            return found
+        if "kinds" in options:
+            late = late.where(F.col("kind").isin(options["kinds"].split(",")))
+        if options.get("content") == "false":
+            late = late.withColumn("content", F.lit(None).cast("binary"))
+        return found.unionByName(late)
+
+    @cached_property
+    def _late(self) -> tuple[DataFrame | None, DataFrame]:
+        """The objects of such deltas as a table (None where there are none), and the deltas whose bases are nowhere."""
+        found, rest = deltas.resolve(self._load("git_open_deltas", loose="false"), lambda ids: read_ids(ids, self.path, self.location), f"{self._work}/deltas")
+        if n := rest.count():
+            warnings.warn(f"{self.location}: {n} deltas have no base here; their objects are missing", stacklevel=2)
+        return found, rest
+
+    @property
+    def unresolved(self) -> DataFrame:
+        """repo, pack_id, offset, base_sha, base_offset of the deltas whose bases are nowhere."""
+        return self._late[1].drop("delta")
+
+    def by_ids(self, ids: DataFrame, *kinds: str) -> DataFrame:
+        """The objects of a table of ids (sha), once each: only they and the delta chains below them are inflated."""
+        found, late = read_ids(ids, self.path, self.location, list(kinds) or None).drop("chain"), self._late[0]
+        if late is None:
+            return found
+        also = late.join(ids.select("sha").distinct(), "sha", "left_semi")
+        return scan.deduped(found.unionByName(also.where(F.col("kind").isin(*kinds)) if kinds else also))
+
+    def parts(self, **options: str) -> list[tuple[str, int] | None]:
+        """(pack_id, first offset) of each partition in storage order, None for loose files."""
+        planned = GitObjectsReader({"path": self.path, **options}).stored()
+        names = {p.pack: packfmt.pack_id(mapped(p.pack)) for p in planned if p.pack}
+        return [(names[p.pack], p.first()) if p.pack else None for p in planned]
 
     def of_kinds(self, *kinds: str) -> DataFrame:
         """Objects of some kinds, each once; others are not inflated."""

@@ -11,6 +11,7 @@ from histlake.functions import objects as fn
 from histlake.operators import duplicates, graph, trees
 from histlake.operators import scan as scans
 from histlake.plans.catalog import RepoCatalog
+from histlake.plans.shared import shared_folder, written
 
 
 class NotFound(LookupError):
@@ -28,13 +29,30 @@ def _one(repo: RepoCatalog, sha: str | None) -> DataFrame:
 
 
 def _with_summary(repo: RepoCatalog, found: DataFrame, column: str) -> DataFrame:
-    """A summary of the commits in a column, read only for the rows there are."""
-    bodies = repo.of_kinds("commit").select("repo", F.col("sha").alias(column), fn.commit_summary(fn.text(F.col("content"))).alias("summary"))
-    return found.join(bodies, ["repo", column], "left")
+    """A summary of the commits in a column; of the packs only their delta chains are read."""
+    found = written(found, f"{shared_folder(repo.spark)}/found")
+    bodies = commit_bodies(repo, found.select(F.col(column).alias("sha")))
+    return found.join(bodies.select("repo", F.col("sha").alias(column), fn.commit_summary(F.col("body")).alias("summary")), ["repo", column], "left")
+
+
+def commit_bodies(repo: RepoCatalog, ids: DataFrame) -> DataFrame:
+    """repo, sha, body of the commits of a table of ids (sha)."""
+    return repo.by_ids(ids, "commit").select("repo", "sha", fn.text(F.col("content")).alias("body"))
 
 
 def scan(repo: RepoCatalog, kind: str, pattern: str, exact: bool = False, order: str | int | None = None, summary: bool = False) -> DataFrame:
-    return scans.scan(repo.of_kinds(*scans.kinds(kind)), kind, pattern, exact, order, summary)
+    """Matching objects; a number of them in storage order is looked for in growing rounds over the partitions, until they are found."""
+    if order in ("oldest", "newest") or isinstance(order, int) and order < 0:
+        return scans.scan(repo.of_kinds(*scans.kinds(kind)), kind, pattern, exact, order, summary)
+    n = scans.DEFAULT_LIMIT if order is None else order
+    return first_matches(repo, kind, pattern, n, exact, summary)[0]
+
+
+def first_matches(repo: RepoCatalog, kind: str, pattern: str, n: int, exact: bool = False, summary: bool = False, **options: str) -> tuple[DataFrame, int]:
+    """The first n matches in storage order, and how many partitions were read for them; options are the data source's."""
+    options["kinds"] = ",".join(scans.kinds(kind))
+    load = lambda a, b: repo._load(parts=f"{a}:{b}", **options)
+    return scans.stopping_scan(repo.parts(**options), load, kind, pattern, n, shared_folder(repo.spark), exact, summary, more=repo._late[0])
 
 
 def find(repo: RepoCatalog, sha: str, n: int = 1, summary: bool = False) -> DataFrame:

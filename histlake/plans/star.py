@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from histlake.functions import objects as fn
 from histlake.functions import regexes
 from histlake.operators import duplicates, graph, scan, trees
-from histlake.plans import catalog
-from histlake.plans.shared import mounted, shared_folder, written
+from histlake.plans import catalog, history
+from histlake.plans.shared import shared_folder, written
 from histlake.sources import packfmt, packwrite
 from histlake.sources import refs as refs_source
-from histlake.sources.objects import GitObjects, from_binary_files, pack_index
+from histlake.sources.objects import GitObjects, from_binary_files, pack_index, read_ids
 
 C = "component"
 
@@ -265,10 +265,20 @@ def scan_tag_summary(spark, folder):
 # ---------------------------------------------------------------- byte formats: written from the tables, then read
 
 
-def _repository(spark, objs: DataFrame, parts: int = 3, **how) -> str:
-    """A repository of objects in packs or loose files, below the shared folder."""
-    path = f"{mounted(shared_folder(spark))}/made.git"
-    packwrite.write_packs(objs.repartition(parts, "sha"), path, **how)
+#: Bytes of objects that a made pack holds, about; there are LEAST_PACKS at least.
+PACK_BYTES, LEAST_PACKS = 32 << 20, 3
+
+
+def _dealt(objs: DataFrame) -> DataFrame:
+    """Objects in as many parts as their bytes fill packs."""
+    size = objs.agg(F.sum("size")).first()[0] or 0
+    return objs.repartition(max(LEAST_PACKS, -(-size // PACK_BYTES)), "sha")
+
+
+def _repository(spark, objs: DataFrame, **how) -> str:
+    """A repository of objects in packs or loose files, in a folder that all executors mount."""
+    path = f"{catalog.staging_folder(spark)}/made.git"
+    packwrite.write_packs(_dealt(objs), path, **how)
     return path
 
 
@@ -301,7 +311,7 @@ def pack_scan_any_store(spark, folder):
     """Through Spark's own file reader: packs with indexes, one without, and loose files."""
     objs = text_objects(spark, folder)
     path = _repository(spark, objs.where("kind = 'blob'"))
-    packwrite.write_packs(objs.where("kind = 'commit'").coalesce(1), path, index=False)
+    packwrite.write_packs(_dealt(objs.where("kind = 'commit'")), path, index=False)
     packwrite.write_packs(objs.where("kind = 'tag'"), path, as_loose=True)
     return scan.deduped(from_binary_files(spark, f"file://{path}", "star", partition_bytes=100_000)).select("sha", "kind", "size")
 
@@ -309,14 +319,14 @@ def pack_scan_any_store(spark, folder):
 @_query(f"{_STORED} WHERE kind IN ('tag', 'commit') GROUP BY sha")
 def pack_scan_kinds(spark, folder):
     """Objects of other kinds are not inflated."""
-    path = _repository(spark, text_objects(spark, folder), 2)
+    path = _repository(spark, text_objects(spark, folder))
     return scan.deduped(_read(spark, path, kinds="tag,commit")).select("sha", "kind", "size")
 
 
 @_query(f"WITH {_OBJECTS} SELECT sha, min(kind) AS kind FROM objects GROUP BY sha")
 def pack_kinds_by_headers(spark, folder):
     """Ids and kinds from indexes and headers alone."""
-    path = _repository(spark, text_objects(spark, folder), 2)
+    path = _repository(spark, text_objects(spark, folder))
     return _read(spark, path, content="false").select("sha", "kind").distinct()
 
 
@@ -343,6 +353,37 @@ def storage_union(spark, folder):
     return scan.deduped(_read(spark, path)).select("sha", "kind", "size")
 
 
+@_query(f"{_STORED} WHERE octet_length(encode(body)) > 2000 GROUP BY sha")
+def point_read(spark, folder):
+    """The objects of a table of ids, by indexes and delta chains."""
+    objs = text_objects(spark, folder)
+    return read_ids(objs.where("size > 2000").select("sha"), _repository(spark, objs), "star").select("sha", "kind", "size")
+
+
+@_query(f"{_STORED} GROUP BY sha")
+def id_deltas_without_index(spark, folder):
+    """Packs that name the bases of their deltas by id, and have no index to tell ids."""
+    repo = catalog.RepoCatalog(spark, _repository(spark, text_objects(spark, folder), index=False, by_id=True))
+    return repo.objects.select("sha", "kind", "size")
+
+
+@_query(f"{_STORED} GROUP BY sha")
+def id_deltas_across_packs(spark, folder):
+    """Thin packs: all deltas stand apart from the objects that they end at."""
+    repo = catalog.RepoCatalog(spark, _repository(spark, text_objects(spark, folder), thin=True))
+    return repo.objects.select("sha", "kind", "size")
+
+
+@_query(f"WITH {_OBJECTS} SELECT least(count(DISTINCT sha), 50) AS found, least(count(DISTINCT sha), 50) AS matching FROM objects WHERE contains(body, 'the')")
+def scan_stops_early(spark, folder):
+    """The first 50 matches in storage order, looked for in growing rounds; they are counted, and so are those that the tables confirm."""
+    objs = text_objects(spark, folder)
+    repo = catalog.RepoCatalog(spark, _repository(spark, objs))
+    first = history.first_matches(repo, "all", "the", 50, partition_bytes="1000000")[0]
+    there = objs.where(F.contains(F.decode("content", "UTF-8"), F.lit("the"))).select("sha").distinct().withColumn("there", F.lit(1))
+    return first.join(there, "sha", "left").agg(F.count_distinct("sha").alias("found"), F.count("there").alias("matching"))
+
+
 def _linked_orders(spark, folder) -> DataFrame:
     """Orders as commit bodies whose parents are the last order of the customer and, for urgent ones, the one before that."""
     o = _table(spark, folder, "orders")

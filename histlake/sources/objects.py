@@ -4,9 +4,15 @@
     spark.read.format("git_objects").option("path", "/repo").option("kinds", "commit,tag").load()
 
 Options: path (a repository, or a .pack file), repo (its name, by default the
-path), kinds (all by default), pushdown ("true" takes kinds from filters as
+path), kinds (all by default), sha and offset (only these, comma-separated), pushdown ("true" takes kinds, ids and offsets from filters as
 well, where spark.sql.python.filterPushdown.enabled is set), content ("false" leaves bodies null, and with an
-index reads headers only), loose ("false" leaves loose objects out), partition_bytes.
+index reads headers only), loose ("false" leaves loose objects out), partition_bytes, parts ("a:b", some of the partitions).
+
+Partitions are in storage order: packs by their ids, their parts by the first
+offset, then loose files.  Ids are looked up in the indexes, and then only the
+delta chains below them are inflated; ``read_ids`` does so for a table of ids.
+Deltas whose bases a pack does not hold have no row here: the data source
+"git_open_deltas" lists them, ``deltas.resolve`` joins them to their bases.
 
 A pack becomes partitions along its delta families, so that no base is read
 twice and packs of any size spread over many tasks.  Planning reads the index
@@ -36,6 +42,7 @@ from histlake.sources.refs import git_dir
 
 PARTITION_BYTES = 64 << 20
 LOOSE_FILES = 5_000
+POINTS = 1_000
 BATCH_BYTES = 8 << 20
 
 ARROW = pa.schema([("repo", pa.string()), ("storage", pa.string()), ("pack_id", pa.string()), ("offset", pa.int64()), ("sha", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
@@ -43,15 +50,22 @@ ARROW = pa.schema([("repo", pa.string()), ("storage", pa.string()), ("pack_id",
 
 @dataclass
 class Part(InputPartition):
-    """Offsets of a pack (int64) and their ids (20 bytes each), a whole pack (offsets is None), or loose files."""
+    """Offsets of a pack (int64) and their ids (20 bytes each), a whole pack (offsets is None), or loose files.
+
+    points: of the pack only these objects are wanted; their bases are elsewhere in it.
+    """
 
     pack: str | None
     offsets: bytes | None = None
     ids: bytes = b""
     files: tuple[str, ...] = ()
+    points: bool = False
+
+    def first(self) -> int:
+        return int(np.frombuffer(self.offsets, dtype=np.int64)[0]) if self.offsets else 12
 
 
-def _mapped(path: str):
+def mapped(path: str):
     with open(path, "rb") as f:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
@@ -66,12 +80,12 @@ def _index(path: str) -> list[tuple[str, int]] | None:
 
 def _planned(path: str, budget: int) -> list[Part]:
     name = path.removesuffix(".pack") + ".idx"
-    data = np.frombuffer(_mapped(path), dtype=np.uint8)
+    data = np.frombuffer(mapped(path), dtype=np.uint8)
     if not os.path.isfile(name):
         if len(data) <= budget:
             return [Part(path)]
         # only a walk tells where objects begin; reading them is then spread
-        ordered = np.array(packfmt.PackReader(_mapped(path)).offsets_forward(), dtype=np.int64)
+        ordered = np.array(packfmt.PackReader(mapped(path)).offsets_forward(), dtype=np.int64)
         return [Part(path, x.tobytes()) for x in packfmt.families(ordered, packfmt.bases(data, ordered), len(data), budget)]
     with open(name, "rb") as f:
         ids, at_ids = packfmt.read_index(f.read())
@@ -88,6 +102,19 @@ def pack_files(path: str) -> list[str]:
     return sorted(os.path.join(folder, n) for n in os.listdir(folder) if n.endswith(".pack")) if os.path.isdir(folder) else []
 
 
+def has_index(pack: str) -> bool:
+    return os.path.isfile(pack.removesuffix(".pack") + ".idx")
+
+
+def mapped_index(pack: str) -> packfmt.PackIndex | None:
+    return packfmt.PackIndex(mapped(pack.removesuffix(".pack") + ".idx")) if has_index(pack) else None
+
+
+def loose_file(path: str, sha: str) -> str | None:
+    name = None if path.endswith(".pack") else os.path.join(git_dir(path), "objects", sha[:2], sha[2:])
+    return name if name and os.path.isfile(name) else None
+
+
 def loose_files(path: str) -> list[str]:
     if path.endswith(".pack"):
         return []
@@ -105,15 +132,42 @@ class GitObjectsReader(DataSourceReader):
         self.content = options.get("content", "true").lower() != "false"
         self.loose = options.get("loose", "true").lower() != "false"
         self.budget = int(options.get("partition_bytes", PARTITION_BYTES))
+        listed = lambda name: {x.strip() for x in options[name].split(",") if x.strip()} if name in options else None
+        self.ids = listed("sha")
+        self.offsets = None if listed("offset") is None else {int(x) for x in listed("offset")}
+        self.packs = {"indexed": has_index, "unindexed": lambda p: not has_index(p)}.get(options.get("packs", ""), lambda p: True)
+        self.parts = tuple(int(x) for x in options["parts"].split(":")) if "parts" in options else None
 
     def partitions(self):
+        parts = self.stored()
+        if self.parts:
+            parts = parts[self.parts[0] : self.parts[1]]
+        return parts or [Part(None)]
+
+    def stored(self) -> list[Part]:
+        """All partitions, in storage order."""
         parts = []
-        for path in pack_files(self.path):
-            parts += _planned(path, self.budget)
-        if self.loose:
-            files = loose_files(self.path)
+        for path in sorted(filter(self.packs, pack_files(self.path)), key=lambda p: packfmt.pack_id(mapped(p))):
+            parts += self._points(path) if self.offsets is not None or self.ids is not None and has_index(path) else _planned(path, self.budget)
+        if self.loose and self.offsets is None:
+            files = loose_files(self.path) if self.ids is None else sorted(f for x in self.ids if (f := loose_file(self.path, x)))
             parts += [Part(None, files=tuple(files[i : i + LOOSE_FILES])) for i in range(0, len(files), LOOSE_FILES)]
-        return parts or [Part(None)]
+        return parts
+
+    def _points(self, path: str) -> list[Part]:
+        """The wanted objects of a pack: ids by its index, offsets as they are."""
+        if self.ids is None:
+            offsets = sorted(o for o in self.offsets if 12 <= o < os.path.getsize(path) - packfmt.ID_BYTES)
+            if offsets:  # any number may be asked for: only places of objects are read
+                known = _index(path)
+                places = {o for _, o in known} if known is not None else set(packfmt.PackReader(mapped(path)).offsets_forward())
+                offsets = [o for o in offsets if o in places]
+            found = [(o, b"") for o in offsets]
+        else:
+            index = mapped_index(path)
+            found = sorted((o, bytes.fromhex(x)) for x in self.ids if len(x) == 40 and (o := index.get(x)) is not None and (self.offsets is None or o in self.offsets))
+        cut = lambda i: found[i : i + POINTS]
+        return [Part(path, np.array([o for o, _ in cut(i)], dtype=np.int64).tobytes(), b"".join(x for _, x in cut(i)), points=True) for i in range(0, len(found), POINTS)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -127,8 +181,15 @@ class GitObjectsReader(DataSourceReader):
             yield _batch(rows)
 
     def _packed(self, part: Part) -> Iterator[tuple]:
-        data = _mapped(part.pack)
+        data = mapped(part.pack)
         pack = packfmt.pack_id(data)
+        if part.points:
+            offsets = np.frombuffer(part.offsets, dtype=np.int64).tolist()
+            for offset, kind, content in packfmt.PackReader(data, mapped_index(part.pack)).points(offsets, self.kinds):
+                sha = packfmt.object_id(kind, content)
+                if self.ids is None or sha in self.ids:
+                    yield self.repo, "pack", pack, offset, sha, kind, len(content), content if self.content else None
+            return
         if part.offsets is None:
             sha_of, reader = {}, packfmt.PackReader(data)
             offsets = reader.offsets_forward()
@@ -143,6 +204,8 @@ class GitObjectsReader(DataSourceReader):
             return
         for offset, kind, content in reader.read(offsets, self.kinds):
             sha = sha_of.get(offset) or packfmt.object_id(kind, content)
+            if self.ids is not None and sha not in self.ids:
+                continue
             yield self.repo, "pack", pack, offset, sha, kind, len(content), content if self.content else None
 
     def _loose(self, part: Part) -> Iterator[tuple]:
@@ -159,12 +222,17 @@ class GitObjectsReader(DataSourceReader):
 
 class PushingReader(GitObjectsReader):
     def pushFilters(self, filters):
-        """Kinds that a filter leaves out are not inflated; Spark applies the filter all the same."""
+        """What a filter on kinds, ids or offsets leaves out is not inflated; Spark applies the filter all the same."""
+        meet = lambda old, new: new if old is None else old & new
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("kind",):
-                self.kinds &= {f.value}
-            elif isinstance(f, In) and f.attribute == ("kind",):
-                self.kinds &= set(f.value)
+            if isinstance(f, EqualTo | In):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                if f.attribute == ("kind",):
+                    self.kinds &= values
+                elif f.attribute == ("sha",):
+                    self.ids = meet(self.ids, values)
+                elif f.attribute == ("offset",):
+                    self.offsets = meet(self.offsets, values)
             yield f
 
 
@@ -185,6 +253,104 @@ class GitObjects(DataSource):
         return PushingReader(self.options) if pushing else GitObjectsReader(self.options)
 
 
+class OpenDeltasReader(GitObjectsReader):
+    """Deltas that end at an id which their pack does not hold."""
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        if not part.pack:
+            return
+        data = mapped(part.pack)
+        reader = packfmt.PackReader(data)
+        offsets = np.frombuffer(part.offsets, dtype=np.int64).tolist() if part.offsets is not None else reader.offsets_forward()
+        if part.ids:
+            reader.offset_of = {part.ids[20 * i : 20 * i + 20].hex(): o for i, o in enumerate(offsets)}
+        rows, size = [], 0
+        for offset, base_sha, base_offset in reader.open_deltas(offsets):
+            change = reader.delta(offset)
+            rows.append((self.repo, packfmt.pack_id(data), offset, base_sha, base_offset, change))
+            size += len(change)
+            if size >= BATCH_BYTES:
+                yield _open_batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _open_batch(rows)
+
+
+OPEN_DELTAS = "repo string, pack_id string, offset long, base_sha string, base_offset long, delta binary"
+_OPEN = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+
+
+def _open_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OPEN, strict=True)], names=["repo", "pack_id", "offset", "base_sha", "base_offset", "delta"])
+
+
+class GitOpenDeltas(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "git_open_deltas"
+
+    def schema(self) -> str:
+        return OPEN_DELTAS
+
+    def reader(self, schema) -> OpenDeltasReader:
+        return OpenDeltasReader(self.options)
+
+
+def read_ids(ids: DataFrame, path: str, repo: str | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """The objects of a table of ids (sha), one row each, with chain, the streams inflated for it and the objects read with it.
+
+    Each task looks its ids up in the mapped indexes of the packs, and in the
+    loose files where no pack has them; so it reads a few pages of each index
+    and the delta chains of its own ids.  Packs without an index are scanned.
+    """
+    spark = ids.sparkSession
+    name, wanted = repo or path, set(kinds or KIND_NAMES)
+    packs = sorted(filter(has_index, pack_files(path)), key=lambda p: packfmt.pack_id(mapped(p)))
+    columns = [f.name for f in ARROW]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = [(p, mapped_index(p)) for p in packs]
+        for batch in batches:
+            left = sorted({x for x in batch.column("sha").to_pylist() if x and len(x) == 40})
+            for pack, index in opened:
+                at = {o: x for x in left if (o := index.get(x)) is not None}
+                left = [x for x in left if x not in set(at.values())]
+                if not at:
+                    continue
+                data = mapped(pack)
+                reader, rows, size = packfmt.PackReader(data, index), [], 0
+                for offset, kind, content in reader.points(sorted(at), wanted):
+                    rows.append((name, "pack", packfmt.pack_id(data), offset, at[offset], kind, len(content), content))
+                    size += len(content)
+                    if size >= BATCH_BYTES:
+                        yield _batch(rows).append_column("chain", pa.array([reader.inflated] * len(rows), pa.int64()))
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows).append_column("chain", pa.array([reader.inflated] * len(rows), pa.int64()))
+            rows = []
+            for sha in left:
+                if file := loose_file(path, sha):
+                    try:
+                        with open(file, "rb") as f:
+                            kind, content = packfmt.parse_loose(f.read())
+                    except packfmt.FormatError:
+                        continue
+                    if kind in wanted:
+                        rows.append((name, "loose", None, None, sha, kind, len(content), content))
+            if rows:
+                yield _batch(rows).append_column("chain", pa.array([1] * len(rows), pa.int64()))
+
+    asked = ids.select(F.lower("sha").alias("sha")).where("sha IS NOT NULL").distinct()
+    found = asked.mapInArrow(run, f"{OBJECTS}, chain long")
+    if len(packs) < len(pack_files(path)):
+        spark.dataSource.register(GitObjects)
+        scanned = spark.read.format("git_objects").option("path", path).option("repo", name).option("packs", "unindexed").option("loose", "false").option("kinds", ",".join(wanted)).load()
+        found = found.unionByName(scanned.join(asked, "sha", "left_semi").withColumn("chain", F.lit(None).cast("long")))
+        order = F.struct((F.col("storage") != "pack").alias("loose"), "pack_id", "offset")
+        found = found.groupBy("sha").agg(F.min_by(F.struct(*columns, "chain"), order).alias("o")).select("o.*")
+    return found
+
+
 def pack_index(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
     """repo, pack_id, sha, offset of a repository's indexes: no object is read."""
     packs = spark.createDataFrame([(p,) for p in pack_files(path) if _index(p) is not None] or [], "path string")
@@ -192,7 +358,7 @@ def pack_index(spark: SparkSession, path: str, repo: str | None = None) -> DataF
     def run(batches):
         for batch in batches:
             for p in batch.column("path").to_pylist():
-                index, pack = _index(p), packfmt.pack_id(_mapped(p))
+                index, pack = _index(p), packfmt.pack_id(mapped(p))
                 yield pa.RecordBatch.from_arrays([pa.array([repo or path] * len(index)), pa.array([pack] * len(index)), pa.array([s for s, _ in index], pa.string()), pa.array([o for _, o in index], pa.int64())], names=["repo", "pack_id", "sha", "offset"])
 
     return packs.mapInArrow(run, "repo string, pack_id string, sha string, offset long")

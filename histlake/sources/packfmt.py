@@ -143,6 +143,39 @@ def parse_index(data: bytes) -> list[tuple[str, int]]:
     return [(x.tobytes().hex(), o) for x, o in zip(ids, offsets.tolist(), strict=True)]
 
 
+class PackIndex:
+    """A version-2 index where it is mapped: an id is found by its first byte's range and a binary search, nothing else is read."""
+
+    def __init__(self, data: bytes):
+        if data[:8] != b"\xfftOc\0\0\0\2":
+            raise FormatError("not a version-2 pack index")
+        self.data = data
+        self.count = self._before(256)
+
+    def _before(self, first: int) -> int:
+        """How many ids begin with a byte below this one."""
+        return struct.unpack_from(">I", self.data, 8 + 4 * (first - 1))[0] if first else 0
+
+    def find(self, name: bytes) -> int | None:
+        """The offset of an id (20 bytes)."""
+        low, high = self._before(name[0]), self._before(name[0] + 1)
+        ids = 8 + 256 * 4
+        while low < high:
+            mid = (low + high) // 2
+            at = ids + mid * ID_BYTES
+            here = self.data[at : at + ID_BYTES]
+            if here == name:
+                small = ids + self.count * (ID_BYTES + 4)
+                offset = struct.unpack_from(">I", self.data, small + 4 * mid)[0]
+                return struct.unpack_from(">Q", self.data, small + 4 * self.count + 8 * (offset & 0x7FFFFFFF))[0] if offset & 0x80000000 else offset
+            low, high = (mid + 1, high) if here < name else (low, mid)
+        return None
+
+    def get(self, sha: str) -> int | None:
+        """The same for an id in hexadecimal, as PackReader asks for bases."""
+        return self.find(bytes.fromhex(sha))
+
+
 def pack_count(data: bytes) -> int:
     magic, version, n = struct.unpack_from(">4sII", data, 0)
     if magic != b"PACK" or version not in (2, 3):
@@ -155,10 +188,14 @@ def pack_id(data: bytes) -> str:
 
 
 class PackReader:
-    """Objects of a pack by offset; bases are kept while objects that need them are to come."""
+    """Objects of a pack by offset; bases are kept while objects that need them are to come.
+
+    offset_of tells the offsets of bases by id: a mapping or a PackIndex.
+    """
 
-    def __init__(self, data: bytes, offset_of: dict[str, int] | None = None):
-        self.data, self.offset_of = data, offset_of or {}
+    def __init__(self, data: bytes, offset_of: dict[str, int] | PackIndex | None = None):
+        self.data, self.offset_of = data, {} if offset_of is None else offset_of
+        self.inflated = 0  # streams so far
 
     def base_of(self, offset: int) -> int | None:
         """The offset of the base of a delta; None for whole objects and bases outside the pack."""
@@ -210,8 +247,8 @@ class PackReader:
             elif content is None:
                 return None
             else:
-                place = read_distance(self.data, place)[1] if kind == OFFSET_DELTA else place + ID_BYTES
-                content = apply_delta(content, inflate(self.data, place)[0])
+                content = apply_delta(content, self.delta(o))
+            self.inflated += 1
             if kind in NAMES and len(content) != size:
                 raise FormatError("object of another size than it says")
             if needed.get(o):
@@ -223,6 +260,36 @@ class PackReader:
                 kept.pop(source, None)
         return content
 
+    def chain(self, offset: int) -> list[int]:
+        """The offset, its base, that one's base, and so on."""
+        out = [offset]
+        while (base := self.base_of(out[-1])) is not None and base not in out:
+            out.append(base)
+        return out
+
+    def points(self, offsets: list[int], kinds: set[str] | None = None) -> Iterator[tuple[int, str, bytes]]:
+        """(offset, kind, content) of some offsets: only they and the chains below them are inflated, each once."""
+        wanted = {o for o in offsets if kinds is None or self.kind_of(o) in kinds}
+        for row in self.read(sorted({b for o in wanted for b in self.chain(o)})):
+            if row[0] in wanted:
+                yield row
+
+    def delta(self, offset: int) -> bytes:
+        """The instructions of a delta."""
+        kind, _, place = read_header(self.data, offset)
+        place = read_distance(self.data, place)[1] if kind == OFFSET_DELTA else place + ID_BYTES
+        return inflate(self.data, place)[0]
+
+    def open_deltas(self, offsets: list[int]) -> Iterator[tuple[int, str | None, int | None]]:
+        """(offset, id of the base, offset of the base) of deltas that end at an id outside the pack: of the two, what the delta names."""
+        for o in offsets:
+            if self.kind_of(o) is None:
+                kind, _, at = read_header(self.data, o)
+                if kind == ID_DELTA:
+                    yield o, bytes(self.data[at : at + ID_BYTES]).hex(), None
+                elif kind == OFFSET_DELTA:
+                    yield o, None, self.base_of(o)
+
     def offsets_forward(self) -> list[int]:
         """All offsets of a pack without an index, by inflating it from front to back."""
         at, out = 12, []

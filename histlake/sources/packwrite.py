@@ -1,7 +1,9 @@
 """Writers of the byte formats: packs with their indexes, loose objects, trees, commits.  No Spark but in ``write_packs``.
 
 A packed object may be a delta on the object before it, if that is of the same
-kind: a copy of what both begin with, and the rest.
+kind: a copy of what both begin with, and the rest.  A delta names its base by
+distance or by id; packs of deltas by id may lack bases, which another pack has
+then.  Tests and the registered queries write repositories with this.
 """
 
 from __future__ import annotations
@@ -63,22 +65,56 @@ def delta(base: bytes, target: bytes) -> bytes:
     return b"".join(out)
 
 
-def pack(objects: Iterable[tuple[str, bytes]], deltas: bool = True) -> tuple[bytes, bytes]:
+def pack(objects: Iterable[tuple[str, bytes]], deltas: bool = True, by_id: bool = False) -> tuple[bytes, bytes]:
     """A pack of (kind, content) and its version-2 index; with deltas, an object that begins like the one before is one."""
     parts, at, entries, before = [], 12, {}, None
     for kind, content in objects:
         name = bytes.fromhex(packfmt.object_id(kind, content))
         if name in entries:
             continue
-        if deltas and before and before[0] == kind and content[:16] == before[1][:16] and content:
+        if deltas and before and _alike(before, (kind, content)):
             change = delta(before[1], content)
-            data = header(packfmt.OFFSET_DELTA, len(change)) + distance(at - before[2]) + zlib.compress(change, 1)
+            base = _delta_by_id(before[3], change) if by_id else header(packfmt.OFFSET_DELTA, len(change)) + distance(at - before[2])
+            data = base + zlib.compress(change, 1)
         else:
             data = header(KIND_NUMBERS[kind], len(content)) + zlib.compress(content, 1)
         entries[name] = zlib.crc32(data), at
-        before = kind, content, at
+        before = kind, content, at, name
         parts.append(data)
         at += len(data)
+    return _closed(parts, entries)
+
+
+def thin_packs(objects: Iterable[tuple[str, bytes]]) -> list[tuple[bytes, bytes]]:
+    """Two packs with their indexes: the whole objects, and the deltas, by id, whose bases are in either pack."""
+    found: tuple[list, list] = ([], [])
+    entries: tuple[dict, dict] = ({}, {})
+    at, before = [12, 12], None
+    for kind, content in objects:
+        name = bytes.fromhex(packfmt.object_id(kind, content))
+        if name in entries[0] or name in entries[1]:
+            continue
+        if before and _alike(before, (kind, content)):
+            change = delta(before[1], content)
+            which, data = 1, _delta_by_id(before[2], change) + zlib.compress(change, 1)
+        else:
+            which, data = 0, header(KIND_NUMBERS[kind], len(content)) + zlib.compress(content, 1)
+        entries[which][name] = zlib.crc32(data), at[which]
+        found[which].append(data)
+        at[which] += len(data)
+        before = kind, content, name
+    return [_closed(parts, names) for parts, names in zip(found, entries, strict=True)]
+
+
+def _alike(before: tuple, now: tuple[str, bytes]) -> bool:
+    return before[0] == now[0] and now[1][:16] == before[1][:16] and bool(now[1])
+
+
+def _delta_by_id(base: bytes, change: bytes) -> bytes:
+    return header(packfmt.ID_DELTA, len(change)) + base
+
+
+def _closed(parts: list[bytes], entries: dict[bytes, tuple[int, int]]) -> tuple[bytes, bytes]:
     body = struct.pack(">4sII", b"PACK", 2, len(parts)) + b"".join(parts)
     trailer = hashlib.sha1(body).digest()
     return body + trailer, _index(sorted((name, *e) for name, e in entries.items()), trailer)
@@ -102,8 +138,8 @@ def tree(entries: Iterable[tuple[str, str, str]]) -> bytes:
     return b"".join(f"{mode} {name}".encode() + b"\0" + bytes.fromhex(sha) for mode, name, sha in entries)
 
 
-def write_packs(objects: DataFrame, path: str, index: bool = True, as_loose: bool = False) -> None:
-    """A repository of objects (kind, content) at a mounted path: a pack for each partition, or loose files."""
+def write_packs(objects: DataFrame, path: str, index: bool = True, as_loose: bool = False, by_id: bool = False, thin: bool = False) -> None:
+    """A repository of objects (kind, content) at a mounted path: a pack for each partition (two where thin), or loose files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((k, c) for b in batches for k, c in zip(b.column("kind").to_pylist(), b.column("content").to_pylist(), strict=True))
@@ -112,11 +148,11 @@ def write_packs(objects: DataFrame, path: str, index: bool = True, as_loose: boo
                 name = packfmt.object_id(kind, content)
                 _put(f"{path}/objects/{name[:2]}/{name[2:]}", loose(kind, content))
         elif held := list(rows):
-            data, names = pack(held)
-            top = f"{path}/objects/pack/pack-{packfmt.pack_id(data)}"
-            if index:
-                _put(f"{top}.idx", names)
-            _put(f"{top}.pack", data)
+            for data, names in thin_packs(held) if thin else [pack(held, by_id=by_id)]:
+                top = f"{path}/objects/pack/pack-{packfmt.pack_id(data)}"
+                if index:
+                    _put(f"{top}.idx", names)
+                _put(f"{top}.pack", data)
         yield from ()
 
     os.makedirs(f"{path}/objects/pack", exist_ok=True)
