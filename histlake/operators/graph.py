@@ -335,11 +335,59 @@ def landings(commits: DataFrame, edges: DataFrame, targets: DataFrame, heads: Da
     return _in_components(_rows(commits, edges, component, targets=targets, heads=heads), kernel, f"{key}, sha {kind}, merge {kind}, generation int")
 
 
-def containing_tags(dag: DataFrame, edges: DataFrame, tags: DataFrame, targets: DataFrame, component: str = "repo") -> DataFrame:
-    """component, sha, name, tag_sha, generation, author_ts: the tags whose history holds each target."""
-    below = descendants(dag, edges, targets, component).select(component, F.col("seed").alias("sha"), F.col("sha").alias("tag_sha"))
-    at = tags.select(component, "name", F.col("sha").alias("tag_sha")).join(dag.select(component, F.col("sha").alias("tag_sha"), "generation", "author_ts"), [component, "tag_sha"])
-    return below.join(at, [component, "tag_sha"]).select(component, "sha", "name", "tag_sha", "generation", "author_ts")
+def containing_tags(commits: DataFrame, edges: DataFrame, tags: DataFrame, targets: DataFrame, component: str = "repo") -> DataFrame:
+    """component, sha, name, tag_sha, generation, author_ts: the tags whose history holds each target.
+
+    commits(component, sha, author_ts), tags(component, name, sha).  Sets of
+    tags are pushed as bits from the tags to their ancestors, as many tags at a
+    time as BIT_BYTES hold, so the only pairs that are made are those returned.
+    """
+    kind, key = _types(commits, component)
+
+    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        g = _Graph(frame)
+        node, ts, label = _tagged(g, frame)
+        at = np.unique(g.of_role(2))
+        at = at[at >= 0]
+        # tags are numbered component by component, so that components share bits
+        part = g.part[node]
+        order = np.argsort(part, kind="stable")
+        begin = np.searchsorted(part[order], np.arange(part.max(initial=-1) + 2))
+        local = np.arange(len(order)) - begin[part[order]]
+        most = int(local.max(initial=-1)) + 1
+        words = max(1, min(-(-most // 64), BIT_BYTES // (8 * max(1, g.n))))
+        waves = g.waves(up=True) if most else []
+        targets, found = [at[:0]], [order[:0]]
+        for low in range(0, most, 64 * words):
+            bits = np.zeros((g.n, words), dtype=np.uint64)
+            mine = np.flatnonzero((local >= low) & (local < low + 64 * words))
+            np.bitwise_or.at(bits, (node[order[mine]], (local[mine] - low) // 64), np.uint64(1) << ((local[mine] - low) % 64).astype(np.uint64))
+            for source, begins, target in waves:
+                bits[target] |= np.bitwise_or.reduceat(bits[source], begins, axis=0) if len(begins) < len(source) else bits[source]
+            which, bit = np.nonzero(np.unpackbits(bits[at].view(np.uint8), axis=1, bitorder="little"))
+            targets.append(at[which])
+            found.append(order[begin[g.part[at[which]]] + low + bit])
+        at, tag = np.concatenate(targets), np.concatenate(found)
+        return _tag_rows(g, component, at, tag, node, ts, label)
+
+    return _in_components(_tag_table(commits, edges, tags, targets, component), kernel, f"{key}, sha {kind}, name string, tag_sha {kind}, generation int, author_ts long")
+
+
+def _tag_table(commits: DataFrame, edges: DataFrame, tags: DataFrame, targets: DataFrame, component: str) -> DataFrame:
+    """Commits, edges, targets (role 2) and tags (role 3, with author time and name)."""
+    rows = _rows(commits.select(component, "sha"), edges, component, targets=targets).select("*", F.lit(None).cast("long").alias("ts"), F.lit(None).cast("string").alias("label"))
+    at = tags.join(commits.select(component, "sha", "author_ts"), [component, "sha"])
+    return rows.union(at.select(F.col(component), F.lit(3), F.col("sha"), F.col("sha"), F.col("author_ts"), F.col("name")))
+
+
+def _tagged(g: _Graph, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node, author time and name of each tag."""
+    rows = frame[frame["role"] == 3]
+    return g.of_role(3), rows["ts"].fillna(0).to_numpy(dtype=np.int64), rows["label"].to_numpy()
+
+
+def _tag_rows(g: _Graph, component: str, at: np.ndarray, tag: np.ndarray, node: np.ndarray, ts: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({component: g.component[at], "sha": g.name[at], "name": label[tag], "tag_sha": g.name[node[tag]], "generation": g.generation[node[tag]], "author_ts": ts[tag]})
 
 
 def earliest_tags(commits: DataFrame, edges: DataFrame, tags: DataFrame, targets: DataFrame, component: str = "repo") -> DataFrame:
@@ -349,14 +397,10 @@ def earliest_tags(commits: DataFrame, edges: DataFrame, tags: DataFrame, targets
     the tags to their ancestors, so no pair of tag and commit is made.
     """
     kind, key = _types(commits, component)
-    rows = _rows(commits.select(component, "sha"), edges, component, targets=targets).select("*", F.lit(None).cast("long").alias("ts"), F.lit(None).cast("string").alias("label"))
-    at = tags.join(commits.select(component, "sha", "author_ts"), [component, "sha"])
-    rows = rows.union(at.select(F.col(component), F.lit(3), F.col("sha"), F.col("sha"), F.col("author_ts"), F.col("name")))
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         g = _Graph(frame)
-        tagged = frame[frame["role"] == 3]
-        node, ts, label = g.of_role(3), tagged["ts"].fillna(0).to_numpy(dtype=np.int64), tagged["label"].to_numpy()
+        node, ts, label = _tagged(g, frame)
         by_name, _ = pd.factorize(label, sort=True)
         order = np.lexsort((by_name, ts, g.generation[node]))
         own = np.full(g.n, NEVER)
@@ -366,9 +410,9 @@ def earliest_tags(commits: DataFrame, edges: DataFrame, tags: DataFrame, targets
         at = at[at >= 0]
         at = at[first[at] < NEVER]
         tag = order[first[at]] if len(at) else at
-        return pd.DataFrame({component: g.component[at], "sha": g.name[at], "name": label[tag], "tag_sha": g.name[node[tag]], "generation": g.generation[node[tag]], "author_ts": ts[tag]})
+        return _tag_rows(g, component, at, tag, node, ts, label)
 
-    return _in_components(rows, kernel, f"{key}, sha {kind}, name string, tag_sha {kind}, generation int, author_ts long")
+    return _in_components(_tag_table(commits, edges, tags, targets, component), kernel, f"{key}, sha {kind}, name string, tag_sha {kind}, generation int, author_ts long")
 
 
 def compare(base: DataFrame, target: DataFrame, by: list[str] | None = None) -> DataFrame:

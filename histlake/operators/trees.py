@@ -87,53 +87,131 @@ def walk(entries: DataFrame, roots: DataFrame, excludes: list[str] | None = None
 
 
 def listings(entries: DataFrame) -> DataFrame:
-    """repo, tree, list: the entries of each tree in one row, as they stand in its object."""
+    """repo, tree, list: the entries of each tree in one row."""
     return entries.groupBy("repo", "tree").agg(F.collect_list(F.struct("name", "sha", "is_tree")).alias("list"))
 
 
+#: Stands for a directory that is absent on one side of a pair.
+ABSENT = ""
+
+
+def _by_name(entries: Column) -> Column:
+    """Entries as a map by name; of entries of one name, which no sound tree has, the greatest counts."""
+    named = F.transform(entries, lambda e: F.struct(e["name"].alias("key"), F.struct(e["sha"].alias("sha"), e["is_tree"].alias("is_tree")).alias("value")))
+    names = F.transform(entries, lambda e: e["name"])
+    last = F.filter(named, lambda e: ~F.exists(named, lambda o: (o["key"] == e["key"]) & (o["value"] > e["value"])))
+    return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), named).otherwise(F.array_distinct(last)))
+
+
+def _compared(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """pairs (repo, a, b, and more columns) with name, x, y, change: what differs in each, a row an entry.
+
+    Where change is null, x and y are a pair of directories below the name.
+    The two lists of a pair meet in one row, and what both hold is taken off
+    there; where a side is ABSENT, the other's list is all there is.
+    """
+    columns = [F.col(c) for c in pairs.columns]
+    none = F.lit(ABSENT)
+
+    def alone(side: str, other: str, change: str) -> DataFrame:
+        met = pairs.where(F.col(other) == ABSENT).join(lists.withColumnRenamed("tree", side), ["repo", side])
+        each = met.select(*columns, F.inline("list").alias("name", "sha", "is_tree"))
+        x, y = (F.col("sha"), none) if side == "a" else (none, F.col("sha"))
+        return each.select(*columns, "name", x.alias("x"), y.alias("y"), F.when(~F.col("is_tree"), change).alias("change"))
+
+    both = pairs.where((F.col("a") != ABSENT) & (F.col("b") != ABSENT))
+    met = both.join(lists.select("repo", F.col("tree").alias("a"), F.col("list").alias("list_a")), ["repo", "a"], "left")
+    met = met.join(lists.select("repo", F.col("tree").alias("b"), F.col("list").alias("list_b")), ["repo", "b"], "left")
+    empty = F.array().cast(lists.schema["list"].dataType)
+    own = lambda x, other: _by_name(F.array_except(F.coalesce(F.col(x), empty), F.coalesce(F.col(other), empty)))
+    zipped = F.map_zip_with(own("list_a", "list_b"), own("list_b", "list_a"), lambda k, x, y: F.struct(x.alias("x"), y.alias("y")))
+    each = met.select(*columns, F.explode(zipped).alias("name", "e"))
+    x, y = F.col("e.x"), F.col("e.y")
+    deeper = F.coalesce(x["is_tree"], y["is_tree"]) & F.coalesce(y["is_tree"], x["is_tree"])
+    change = F.when(deeper, None).when(x.isNull(), "added").when(y.isNull(), "deleted").otherwise("changed")
+    met = each.select(*columns, "name", F.coalesce(x["sha"], none).alias("x"), F.coalesce(y["sha"], none).alias("y"), change.alias("change"))
+    return met.union(alone("a", "b", "deleted")).union(alone("b", "a", "added"))
+
+
+def differences(lists: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+    """repo, a, b, name, x, y, change: the graph of the distinct pairs that pairs (repo, a, b) lead to, each compared once, wherever it stands."""
+    todo = seen = written(pairs.select("repo", "a", "b").distinct(), f"{folder}/pairs-0")
+    out = None
+    for level in range(1, MAX_DEPTH):
+        step = written(_compared(todo, lists), f"{folder}/step-{level}")
+        out = step if out is None else out.union(step)
+        below = step.where("change IS NULL").select("repo", F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        todo = written(below.join(seen, ["repo", "a", "b"], "left_anti"), f"{folder}/pairs-{level}")
+        if todo.isEmpty():
+            return out
+        seen = seen.union(todo)
+    raise RuntimeError(f"trees deeper than {MAX_DEPTH}")
+
+
+#: Rows for each distinct pair from which on a level's pairs are compared once and their differences carried.
+REPEATED = 2.0
+
+
+def _changes(entries: DataFrame, start: DataFrame, folder: str, times: str | None = None) -> DataFrame:
+    """Changed files (path, change) below the rows of start (repo, a, b, and more columns, which are kept).
+
+    Rows go down level by level while most of their pairs are distinct.  Where
+    a level has REPEATED rows a pair or more, the pairs from there on are made
+    a graph, and paths are carried down that: so the comparisons of a level are
+    at most so many times its distinct pairs, however often trees repeat.  With
+    ``times``, rows of one pair at one path are one then, with the sum of that column.
+    """
+    keys = ["repo", "a", "b"]
+    lists = written(listings(entries), f"{folder}/lists")
+    rest = [c for c in start.columns if c not in keys]
+    now = written(start.select(*keys, *rest, F.lit("").alias("prefix")), f"{folder}/start")
+    out = steps = None
+    for level in range(MAX_DEPTH):
+        if steps is None:
+            rows, distinct = now.agg(F.count("*"), F.approx_count_distinct(F.struct(*keys))).first()
+            if not rows:
+                break
+            if rows >= REPEATED * distinct:
+                steps = differences(lists, now, folder)
+        elif now.isEmpty():
+            break
+        if steps is not None and times:
+            now = now.groupBy(*keys, "prefix").agg(F.sum(times).alias(times)).select(*keys, times, "prefix")
+        met = _compared(now, lists) if steps is None else now.join(steps, keys)
+        met = written(met.select("repo", "x", "y", *rest, F.concat("prefix", "name").alias("path"), "change"), f"{folder}/changes-{level}")
+        here = met.where("change IS NOT NULL").select("repo", *rest, "path", "change")
+        out = here if out is None else out.union(here)
+        now = met.where("change IS NULL").select("repo", F.col("x").alias("a"), F.col("y").alias("b"), *rest, F.concat("path", F.lit("/")).alias("prefix"))
+    else:
+        raise RuntimeError(f"trees deeper than {MAX_DEPTH}")
+    nothing = now.select("repo", *rest, F.col("prefix").alias("path"), F.lit("").alias("change"))
+    return nothing if out is None else out
+
+
+def _pairs(pairs: DataFrame) -> DataFrame:
+    side = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(ABSENT))
+    return pairs.select("repo", side("old").alias("a"), side("new").alias("b"), *(c for c in pairs.columns if c != "repo")).where("a <> b")
+
+
 def diff(entries: DataFrame, pairs: DataFrame, folder: str | None = None) -> DataFrame:
     """repo, old, new, path, change: the files that differ between trees (repo, old, new).
 
     Only unequal entries go down a level; a side that is absent gives all its
     files.  change: added, deleted or changed; a file that became a directory
     is changed, and the directory's files are not counted.
-
-    Pairs of directories are numbered.  A pair meets the two lists of entries and
-    takes off what both hold; only entries that differ are shuffled, by the
-    pair's number and their name.
     """
-    spark = entries.sparkSession
-    folder = folder or shared_folder(spark)
-    lists = written(listings(entries), f"{folder}/lists")
-    pairs = pairs.select("repo", "old", "new").distinct().where(~F.col("old").eqNullSafe(F.col("new")))
-    pairs = written(pairs.select(F.monotonically_increasing_id().alias("pair"), "repo", "old", "new"), f"{folder}/pairs")
-    open_ = pairs.select(F.col("pair").alias("dir"), "pair", "repo", F.lit("").alias("prefix"), F.col("old").alias("a"), F.col("new").alias("b"))
-    none = F.array().cast(lists.schema["list"].dataType)
-    side = lambda x, other, name: F.transform(F.array_except(F.coalesce(x, none), F.coalesce(other, none)), lambda e: F.struct(F.lit(name).alias("side"), e["name"].alias("name"), e["sha"].alias("sha"), e["is_tree"].alias("is_tree")))
-    out = None
-    for level in range(MAX_DEPTH):
-        met = open_.join(lists.select("repo", F.col("tree").alias("a"), F.col("list").alias("list_a")), ["repo", "a"], "left")
-        met = met.join(lists.select("repo", F.col("tree").alias("b"), F.col("list").alias("list_b")), ["repo", "b"], "left")
-        each = met.select("dir", F.explode(F.concat(side(F.col("list_a"), F.col("list_b"), "a"), side(F.col("list_b"), F.col("list_a"), "b"))).alias("e")).select("dir", "e.*")
-        of = lambda name, column: F.max(F.when(F.col("side") == name, F.col(column)))
-        both = each.groupBy("dir", "name").agg(of("a", "sha").alias("sha_a"), of("b", "sha").alias("sha_b"), of("a", "is_tree").alias("tree_a"), of("b", "is_tree").alias("tree_b"))
-        placed = both.join(open_.select("dir", "pair", "repo", "prefix"), "dir").select(F.monotonically_increasing_id().alias("dir"), "pair", "repo", "prefix", "name", "sha_a", "sha_b", "tree_a", "tree_b")
-        placed = written(placed, f"{folder}/diff-{level}")
-        deeper = (F.coalesce("tree_a", F.col("tree_b"))) & (F.coalesce("tree_b", F.col("tree_a")))
-        change = F.when(F.col("sha_a").isNull(), "added").when(F.col("sha_b").isNull(), "deleted").otherwise("changed")
-        here = placed.where(~deeper).select("pair", F.concat("prefix", "name").alias("path"), change.alias("change"))
-        out = here if out is None else out.union(here)
-        open_ = placed.where(deeper).select("dir", "pair", "repo", F.concat("prefix", "name", F.lit("/")).alias("prefix"), F.col("sha_a").alias("a"), F.col("sha_b").alias("b"))
-        if open_.isEmpty():
-            return out.join(pairs, "pair").select("repo", "old", "new", "path", "change")
-    raise RuntimeError(f"trees deeper than {MAX_DEPTH}")
+    folder = folder or shared_folder(entries.sparkSession)
+    start = _pairs(pairs.select("repo", "old", "new").distinct())
+    return _changes(entries, start, folder).select("repo", "old", "new", "path", "change")
 
 
 def churn(commits: DataFrame, entries: DataFrame, folder: str | None = None) -> DataFrame:
     """path, changes: how often each path differs between one of commits (repo, sha, tree, parent_tree) and its first parent.
 
-    Equal pairs of trees are compared once and counted as often as they occur.
+    Equal pairs of trees are compared once and counted as often as they occur,
+    on every level.
     """
+    folder = folder or shared_folder(entries.sparkSession)
     moves = commits.where("parent_tree IS NOT NULL AND parent_tree <> tree").groupBy("repo", F.col("parent_tree").alias("old"), F.col("tree").alias("new")).agg(F.count("*").alias("times"))
-    changed = diff(entries, moves, folder)
-    return changed.join(moves, ["repo", "old", "new"]).groupBy("path").agg(F.sum("times").alias("changes"))
+    start = _pairs(moves).select("repo", "a", "b", "times")
+    return _changes(entries, start, folder, "times").groupBy("path").agg(F.sum("times").alias("changes"))

@@ -202,7 +202,8 @@ class GitObjectsReader(DataSourceReader):
                 if (kind := reader.kind_of(offset)) in self.kinds:
                     yield self.repo, "pack", pack, offset, sha_of[offset], kind, None, None
             return
-        for offset, kind, content in reader.read(offsets, self.kinds):
+        read = reader.named if part.offsets is None else reader.read
+        for offset, kind, content in read(offsets, self.kinds):
             sha = sha_of.get(offset) or packfmt.object_id(kind, content)
             if self.ids is not None and sha not in self.ids:
                 continue
@@ -264,10 +265,13 @@ class OpenDeltasReader(GitObjectsReader):
         offsets = np.frombuffer(part.offsets, dtype=np.int64).tolist() if part.offsets is not None else reader.offsets_forward()
         if part.ids:
             reader.offset_of = {part.ids[20 * i : 20 * i + 20].hex(): o for i, o in enumerate(offsets)}
+        elif part.offsets is None:
+            for _ in reader.named(offsets, set()):  # names what the pack itself can resolve
+                pass
         rows, size = [], 0
-        for offset, base_sha, base_offset in reader.open_deltas(offsets):
+        for offset, root, level, base_sha, base_offset in reader.open_deltas(offsets):
             change = reader.delta(offset)
-            rows.append((self.repo, packfmt.pack_id(data), offset, base_sha, base_offset, change))
+            rows.append((self.repo, packfmt.pack_id(data), offset, root, level, base_sha, base_offset, change))
             size += len(change)
             if size >= BATCH_BYTES:
                 yield _open_batch(rows)
@@ -276,12 +280,12 @@ class OpenDeltasReader(GitObjectsReader):
             yield _open_batch(rows)
 
 
-OPEN_DELTAS = "repo string, pack_id string, offset long, base_sha string, base_offset long, delta binary"
-_OPEN = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+OPEN_DELTAS = "repo string, pack_id string, offset long, root long, level int, base_sha string, base_offset long, delta binary"
+_OPEN = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary())
 
 
 def _open_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OPEN, strict=True)], names=["repo", "pack_id", "offset", "base_sha", "base_offset", "delta"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OPEN, strict=True)], names=["repo", "pack_id", "offset", "root", "level", "base_sha", "base_offset", "delta"])
 
 
 class GitOpenDeltas(DataSource):

@@ -280,15 +280,37 @@ class PackReader:
         place = read_distance(self.data, place)[1] if kind == OFFSET_DELTA else place + ID_BYTES
         return inflate(self.data, place)[0]
 
-    def open_deltas(self, offsets: list[int]) -> Iterator[tuple[int, str | None, int | None]]:
-        """(offset, id of the base, offset of the base) of deltas that end at an id outside the pack: of the two, what the delta names."""
+    def named(self, offsets: list[int], kinds: set[str] | None = None) -> Iterator[tuple[int, str, bytes]]:
+        """As read, for a whole pack whose ids nobody has told: objects are named as they are read, so that deltas find their bases by id.
+
+        Deltas by id wait until their base is named; what still waits at the
+        end has none in this pack.
+        """
+        waiting = [o for o in offsets if self.kind_of(o) is None]
+        if not waiting:
+            yield from self.read(offsets, kinds)
+            return
+        now = [o for o in offsets if self.kind_of(o) is not None]
+        while now:
+            for o, kind, content in self.read(now):
+                self.offset_of.setdefault(object_id(kind, content), o)
+                if kinds is None or kind in kinds:
+                    yield o, kind, content
+            now = [o for o in waiting if self.kind_of(o) is not None]
+            waiting = [o for o in waiting if self.kind_of(o) is None]
+
+    def open_deltas(self, offsets: list[int]) -> Iterator[tuple[int, int, int, str | None, int | None]]:
+        """(offset, root, level, id of the root's base, offset of the base) of deltas that end at an id outside the pack.
+
+        The root is the delta on that id, at level 0; the others stand on it, and have their base's offset.
+        """
         for o in offsets:
             if self.kind_of(o) is None:
-                kind, _, at = read_header(self.data, o)
+                chain = self.chain(o)
+                kind, _, at = read_header(self.data, chain[-1])
                 if kind == ID_DELTA:
-                    yield o, bytes(self.data[at : at + ID_BYTES]).hex(), None
-                elif kind == OFFSET_DELTA:
-                    yield o, None, self.base_of(o)
+                    base = bytes(self.data[at : at + ID_BYTES]).hex() if len(chain) == 1 else None
+                    yield o, chain[-1], len(chain) - 1, base, chain[1] if len(chain) > 1 else None
 
     def offsets_forward(self) -> list[int]:
         """All offsets of a pack without an index, by inflating it from front to back."""
