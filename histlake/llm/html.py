@@ -16,8 +16,12 @@ page, that holds REGION_SHARE of all its pages' slot text.  The main text of a
 page is what the slots in the main region hold, without the template's texts.
 Tags help where the template cannot tell: with ``hints`` (the default), slots in
 article or main elements come before others, and elements that are menus,
-headers, footers, sidebars, notices, adverts, forms or reader comments by tag,
-role or class hold no slots.  A page without slot text (all of it is of the
+headers, footers, sidebars, notices, adverts or reader comments by tag or role
+hold no slots.  Classes and ids only say what an element may be: their words
+(and a form's tag) count neither for the whole page, nor for an element that holds an
+article, nor, on a page without articles, for one that holds most of the text;
+inside articles, and for paragraphs and the like, a class must be such a word
+as a whole (``ad``, not ``ad-hoc``).  A page without slot text (all of it is of the
 template) keeps the texts of its article, or else all.
 
 Templates meet pages by host and a salt of the page, so a host with a third of
@@ -48,7 +52,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
 MAIN = frozenset("article main".split())
-BOILER = frozenset("head nav header footer aside form script style noscript template iframe svg button select option menu dialog textarea title object canvas audio video".split())
+BOILER = frozenset("head nav header footer aside script style noscript template iframe svg button select option menu dialog textarea title object canvas audio video".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -57,13 +61,16 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop|hidden|aria-hidden)(?![^\s=/])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 PARTS = re.compile(r"[^a-z0-9]+")
 
 #: Elements that are blocks of text or parts of lists and tables, no regions of a page.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption address summary".split())
 
+#: Elements that are the page.
+WHOLE = frozenset(("html", "body"))
+
 DOCUMENT = 0
 #: The share of the text in a host's template that its main region holds.
 REGION_SHARE = 0.8
@@ -92,21 +99,24 @@ def _below(path: int, name: str) -> int:
     return known
 
 
-def _said(attributes: str) -> tuple[str, bool, bool]:
-    """Classes as a name, whether they speak of something beside the article, and of the article."""
-    name, bad, main = "", False, False
+def _said(attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """Classes as a name; whether roles and hiding speak of something beside the article; whether they speak of the article; whether a class is a word for something beside it; whether part of one is."""
+    name, bad, main, word, part = "", False, False, False, False
     for key, *values in ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "").lower()
-        if key.lower() == "hidden":
+        key, value = key.lower(), next((v for v in values if v), "").lower()
+        if key == "hidden":
             bad = True
-        elif key.lower() == "role":
+        elif key == "aria-hidden":
+            bad = bad or value == "true"
+        elif key == "role":
             bad, main = bad or value in BOILER_ROLES, main or value in ("main", "article")
-        elif key.lower() == "itemprop":
+        elif key == "itemprop":
             main = main or value == "articlebody"
         else:
             name += f".{value}"
-            bad = bad or bool(BOILER_WORDS.intersection(PARTS.split(value)))
-    return name, bad, main
+            word = word or bool(BOILER_WORDS.intersection(value.split()))
+            part = part or bool(BOILER_WORDS.intersection(PARTS.split(value)))
+    return name, bad, main, word, part
 
 
 class Page:
@@ -121,7 +131,31 @@ class Page:
         self._stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
         self._open: dict[str, int] = {}
         self._text: list[str] = []
+        #: Elements that may stand beside the article, and those that are articles or the like.
+        self._beside: set[int] = set()
+        self._articles: set[int] = set()
         self._read(source or "")
+        if self._beside:
+            self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Drop the blocks of elements that stand beside the article, if any block stays."""
+        n = len(self.elements)
+        below, whole = [0] * n, 0
+        for text, _, _, at in self.blocks:
+            below[at] += len(text)
+            whole += len(text)
+        articles = self._articles - self._beside
+        holds = [i in articles for i in range(n)]
+        for i in range(n - 1, 0, -1):
+            around = self.elements[i][1]
+            below[around] += below[i]
+            holds[around] = holds[around] or holds[i]
+        out = [False] * n
+        for i in range(1, n):
+            kept = holds[i] or not articles and 2 * below[i] > whole
+            out[i] = out[self.elements[i][1]] or i in self._beside and not kept
+        self.blocks = [b for b in self.blocks if not out[b[3]]] or self.blocks
 
     def _flush(self) -> None:
         if not self._text:
@@ -167,11 +201,18 @@ class Page:
             self._pop()
         while stack[-1][0] in ENDS.get(tag, ()):
             self._pop()
-        name, bad, main = _said(rest) if "=" in rest or "hidden" in rest else ("", False, False)
+        name, bad, main, word, part = _said(rest) if "=" in rest or "hidden" in rest else ("", False, False, False, False)
         _, was_bad, was_main, at = stack[-1]
-        main = self._hints and (was_main or main or tag in MAIN)
+        beside = self._hints and tag not in WHOLE and (word or tag == "form" or part and not was_main and tag not in TEXT_BLOCKS)
+        article = self._hints and (main or tag in MAIN)
+        main = self._hints and was_main or article
+        whole = tag in WHOLE
         # an article's own header holds its title
-        bad = self._hints and (was_bad or bad or tag in BOILER and not (tag == "header" and was_main))
+        bad = self._hints and (was_bad or bad and not whole or tag in BOILER and not (tag == "header" and was_main))
+        if beside:
+            self._beside.add(len(self.elements))
+        if article:
+            self._articles.add(len(self.elements))
         self.elements.append((_below(self.elements[at][0], tag + name), at, tag not in TEXT_BLOCKS))
         if tag not in VOID:
             stack.append((tag, bad, main, len(self.elements) - 1))

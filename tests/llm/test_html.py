@@ -172,3 +172,39 @@ def test_very_long_and_deep_pages(spark):
     rows = [(i, "http://big.example/", x) for i, x in enumerate((deep, long_, "<" * 100_000, "<a " * 50_000, "&amp;" * 50_000))]
     out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[0] == "core" and out[1].count("word") == 50_000 and out[4] == "&" * 50_000
+
+
+ARTICLE = "<h1>The Title</h1><p>First paragraph of text.</p><section class='related-work'><p>Related work.</p></section><p class='ad-hoc'>Ad hoc.</p><div id='social-policy'><p>Policy.</p></div>"
+KEPT = ["The Title", "First paragraph of text.", "Related work.", "Ad hoc.", "Policy."]
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<body class='has-sidebar'><nav>Menu</nav><article>{}</article><div class='ad'>Buy</div></body>", KEPT),
+        ("<html class='no-banner'><body class='post no-comments'><article>{}</article></body>", KEPT),
+        ("<body><div aria-hidden='false'><article>{}</article></div><div aria-hidden='true'>Not shown</div></body>", KEPT),
+        ("<body><article><div class='article-header'><h1>Head</h1></div>{}</article><div class='site-footer'>Foot</div></body>", ["Head", *KEPT]),
+        ("<body><div class='sidebar-layout'><article>{}</article><div class='sidebar'>Links</div></div></body>", KEPT),
+        ("<body><form id='page'><article>{}</article><input></form><form>Search</form></body>", KEPT),
+        ("<body><article>{}<div class='comments'><article class='comment'>Nice</article></div></article></body>", KEPT),
+        ("<body><article>{}</article><div id='comments'><article class='comment-body'>Nice</article></div></body>", KEPT),
+        ("<body class='ads'><div class='widget-area'><h1>The Title</h1><p>First paragraph of text.</p></div><div class='cookie-notice'>Cookies</div></body>", KEPT[:2]),
+        ("<div data-hidden='x'>Shown</div><div hidden>Not shown</div><div hidden=''>Nor this</div>", ["Shown"]),
+        ("<body><div class='ad'>Only adverts</div></body>", ["Only adverts"]),
+    ],
+)
+def test_classes_are_hints(page, expected):
+    assert [b[0] for b in html.Page(page.replace("{}", ARTICLE)).blocks] == expected
+
+
+def test_class_of_the_body_leaves_articles(spark):
+    """Six pages of one host whose body has a class with a word for what stands beside articles."""
+    rows = [(i, f"http://a.example.org/{i}", f"<body class='has-sidebar'><nav>Menu</nav><article><h1>Title {i}</h1><p>Text {i} of its own.</p></article><footer>Foot</footer></body>") for i in range(6)]
+    found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in found.collect()} == {i: f"Title {i}\n\nText {i} of its own." for i in range(6)}
+
+
+def test_deep_elements_with_words_are_linear():
+    page = html.Page("<div class='ad'>" * 20_000 + "x" + "</div>" * 20_000 + "<article>y</article>")
+    assert [b[0] for b in page.blocks] == ["y"]
