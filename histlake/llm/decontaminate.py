@@ -15,6 +15,10 @@ are scored from their own impacts, and all at or above the threshold are
 retrieved.  A retrieved item counts as leaked when the passage holds enough of
 the 3-grams of its question and of its answer.
 
+Items are parted by length, and passages are as long as a class of items needs:
+so how much of a document an item is looked for in at once depends on its own
+length and on no other item's.
+
 Bounds and scores are numpy over a whole batch of passages; documents are not
 shuffled.  The index is broadcast in parts of ``INDEX_BYTES``, which are counted
 first; a benchmark of several parts takes as many passes over the documents.
@@ -48,7 +52,7 @@ INDEX_BYTES = 128 << 20
 LEAST_SCORE = 0.5
 LEAST_OVERLAP = 0.5
 GRAM = 3
-#: Words of a passage step at least; a passage is two steps, and a step holds the longest item.
+#: Words of a passage step at least; a passage is two steps, and a step holds the longest item of its class.
 STEP_WORDS = 64
 #: Postings, and terms of items, that are looked at at once.
 ROUND = 1 << 20
@@ -73,7 +77,12 @@ def _cut(text: str, n: int) -> int:
     return n - max(n // 3, min(n, GRAM))
 
 
-ITEMS = "uid long, item long, n long, terms array<long>, times array<int>, question array<long>, question_size int, answer array<long>, answer_size int"
+def step_of(n: int) -> int:
+    """The step of the passages that an item of n words is looked for in: STEP_WORDS, doubled until it holds the item."""
+    return STEP_WORDS << (max(1, -(-n // STEP_WORDS)) - 1).bit_length()
+
+
+ITEMS = "uid long, item long, n long, step long, terms array<long>, times array<int>, question array<long>, question_size int, answer array<long>, answer_size int"
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -83,25 +92,25 @@ def _items(benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             _, _, bounds, words = _folded(texts).word_hashes(NOT_LETTER)
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for text, a, b in zip(texts, bounds, bounds[1:], strict=False):
                 mine, cut = words[a:b], _cut(text, int(b - a))
                 terms, times = np.unique(mine, return_counts=True)
                 (one, n_one), (two, n_two) = _grams_of(mine[:cut]), _grams_of(mine[cut:])
-                for column, value in zip(out, (len(mine), terms.view(np.int64), times, one.view(np.int64), n_one, two.view(np.int64), n_two), strict=True):
+                for column, value in zip(out, (len(mine), step_of(len(mine)), terms.view(np.int64), times, one.view(np.int64), n_one, two.view(np.int64), n_two), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.int32())
-            names = ["n", "terms", "times", "question", "question_size", "answer", "answer_size"]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.int32())
+            names = ["n", "step", "terms", "times", "question", "question_size", "answer", "answer_size"]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("item"), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["uid", "item", *names])
 
     return benchmark.mapInArrow(run, ITEMS)
 
 
-def index_table(benchmark: DataFrame, folder: str, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """The index as a table (ITEMS and impacts array<double>, in the order of terms, which sum to 1), and the step for passages."""
+def index_table(benchmark: DataFrame, folder: str, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The index as a table: ITEMS and impacts array<double>, in the order of terms, which sum to 1."""
     source = benchmark.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
     items = materialise(_items(source.where("text IS NOT NULL")), folder, "items").where("n > 0")
-    n, mean, longest = items.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    n, mean = items.agg(F.count("*"), F.avg("n")).first()
     postings = items.select("uid", "n", F.explode(F.arrays_zip("terms", "times")).alias("p")).select("uid", "n", "p.terms", "p.times")
     frequency = postings.groupBy("terms").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -112,7 +121,7 @@ def index_table(benchmark: DataFrame, folder: str, id_col: str = "item_id", text
     total = F.aggregate("p", F.lit(0.0).cast("double"), lambda s, x: s + x["weight"])
     impacts = F.transform("p", lambda x: x["weight"] / total)
     held = items.drop("terms", "times").join(weighted.select("uid", F.transform("p", lambda x: x["term"]).alias("terms"), impacts.alias("impacts")), "uid")
-    return materialise(held, folder, "index"), max(STEP_WORDS, longest or 0)
+    return materialise(held, folder, "index")
 
 
 class ItemIndex:
@@ -195,9 +204,19 @@ def _cells(bounds: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return first, np.minimum(first + step, bounds[doc + 1]), doc
 
 
-def find(batch: TextBatch, index: ItemIndex, step: int, least_score: float, least_overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
-    """(document's place in the batch, item's place in the index) -> best (score, question overlap, answer overlap) of the leaked items."""
+Leaks = dict[tuple[int, int, int], tuple[float, float, float]]
+
+
+def find(batch: TextBatch, indexes: list[tuple[ItemIndex, int]], least_score: float, least_overlap: float) -> Leaks:
+    """(document's place in the batch, index's place, item's place in it) -> best (score, question overlap, answer overlap) of the leaked items; indexes have their steps."""
     _, _, bounds, words = batch.word_hashes(NOT_LETTER)
+    out: Leaks = {}
+    for k, (index, step) in enumerate(indexes):
+        out |= {(d, k, i): best for (d, i), best in _find(words, bounds, index, step, least_score, least_overlap).items()}
+    return out
+
+
+def _find(words: np.ndarray, bounds: np.ndarray, index: ItemIndex, step: int, least_score: float, least_overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
     first, last, doc = _cells(bounds, step)
     out: dict[tuple[int, int], tuple[float, float, float]] = {}
     if not len(first) or not len(index.terms):
@@ -225,15 +244,17 @@ def find(batch: TextBatch, index: ItemIndex, step: int, least_score: float, leas
     return out
 
 
-def _passes(spark: SparkSession, benchmark: DataFrame, folder: str, id_col: str, text_col: str) -> Iterator[tuple]:
-    """Broadcasts of the parts of the index, one for each pass, and the step."""
-    items, step = index_table(benchmark, folder, id_col, text_col)
+def _passes(spark: SparkSession, benchmark: DataFrame, folder: str, id_col: str, text_col: str) -> Iterator:
+    """Broadcasts of the parts of the index, one for each pass: an ItemIndex and its step for each class of length."""
+    items = index_table(benchmark, folder, id_col, text_col)
     size = (F.size("terms") * 32 + F.size("question") * 8 + F.size("answer") * 8 + 64).cast("long")
     total = items.agg(F.sum(size)).first()[0] or 0
     n = -(-total // INDEX_BYTES)
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("uid"), F.lit(n)) == k) if n > 1 else items
-        yield spark.sparkContext.broadcast(ItemIndex(part.orderBy("uid").toArrow())), step
+        rows = part.orderBy("step", "uid").toArrow()
+        steps = pc.unique(rows.column("step")).to_pylist()
+        yield spark.sparkContext.broadcast([(ItemIndex(rows.filter(pc.equal(rows.column("step"), step))), step) for step in steps])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, folder: str | None = None) -> DataFrame:
@@ -242,14 +263,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     docs = ids_and_texts(docs, id_col, text_col)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
     result = None
-    for sent, step in _passes(spark, benchmark, folder or work_dir(spark), item_col, item_text_col):
+    for sent in _passes(spark, benchmark, folder or work_dir(spark), item_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, step=step) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            indexes = sent.value
             for chunk, _ in text_chunks(batches, fold=True):
-                found = sorted(find(chunk, index, step, least_score, least_overlap).items())
+                found = sorted(find(chunk, indexes, least_score, least_overlap).items())
                 if found:
-                    yield pa.RecordBatch.from_arrays([chunk.ids.take(pa.array([d for (d, _), _ in found])), pa.array([index.ids[i] for (_, i), _ in found], pa.int64()), *(pa.array([v[k] for _, v in found], pa.float64()) for k in range(3))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([chunk.ids.take(pa.array([d for (d, _, _), _ in found])), pa.array([indexes[k][0].ids[i] for (_, k, i), _ in found], pa.int64()), *(pa.array([v[k] for _, v in found], pa.float64()) for k in range(3))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         part = docs.mapInArrow(run, schema)
         result = part if result is None else result.union(part)
@@ -259,12 +280,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, folder: str | None = None) -> DataFrame:
     """The documents without leaks, in all their columns; decided in the same pass over the rows."""
     spark = docs.sparkSession
-    for sent, step in _passes(spark, benchmark, folder or work_dir(spark), item_col, item_text_col):
+    for sent in _passes(spark, benchmark, folder or work_dir(spark), item_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, step=step) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for chunk, part in text_chunks(batches, text_col, text_col, fold=True):
                 keep = np.ones(part.num_rows, dtype=bool)
-                keep[[d for d, _ in find(chunk, sent.value, step, least_score, least_overlap)]] = False
+                keep[[d for d, _, _ in find(chunk, sent.value, least_score, least_overlap)]] = False
                 yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -14,14 +14,14 @@ def words(text):
 
 
 def brute(texts, items, least=0.5):
-    """Items whose parts' 3-grams lie in some passage of twice the step."""
-    step = max(decontaminate.STEP_WORDS, max(len(words(t)) for _, t in items))
+    """Items whose parts' 3-grams lie in some passage of twice the step that holds the item."""
     grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
     out = set()
     for d, t in enumerate(texts):
         w = words(t)
         for i, x in items:
             v = words(x)
+            step = next(64 << k for k in range(40) if 64 << k >= len(v))
             cut = len(words(x[: x.rstrip().rindex("?", 0, len(x.rstrip()) - 1)])) if "?" in x.strip()[:-1] else len(v) - max(len(v) // 3, min(len(v), 3))
             parts = [p for p in (v[:cut], v[cut:]) if p]
             for low in range(0, len(w), step):
@@ -85,7 +85,7 @@ def test_retrieval_equals_all_scores(spark, monkeypatch):
     common = [f"c{i}" for i in range(12)]
     items = [(i, " ".join(rng.choice(common) if rng.random() < 0.4 else f"r{rng.randrange(150)}" for _ in range(rng.randrange(4, 40)))) for i in range(120)]
     items += [(120, items[3][1]), (121, "c1 c2 c3")]
-    table, _ = decontaminate.index_table(spark.createDataFrame(items, "item_id long, text string").repartition(3), work_dir(spark))
+    table = decontaminate.index_table(spark.createDataFrame(items, "item_id long, text string").repartition(3), work_dir(spark))
     index = decontaminate.ItemIndex(table.orderBy("uid").toArrow())
     hash_of = lambda w: int(decontaminate._folded([w]).word_hashes(decontaminate.NOT_LETTER)[3][0])
     texts = [dict(items)[i] for i in index.ids]
@@ -116,3 +116,17 @@ def test_awkward_tables(spark):
     assert found == sorted([(None, 1)] * 2 + [(7, 1)] * 4 + [(8, 2)], key=str)
     kept = decontaminate.clean(docs, benchmark)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [9, 10]
+
+
+def test_an_item_is_looked_for_by_its_own_length(spark):
+    """Parts of an item that are strewn over a document are no leak, whatever other items there are."""
+    rng = random.Random(12)
+    short, long_ = sentence(rng, 30, 900).split(), sentence(rng, 1_500, 50_000)
+    parts = [" ".join(short[i : i + 6]) for i in range(0, 30, 6)]
+    strewn = " ".join(f"{p} {sentence(rng, 60, 50_000)}" for p in parts)
+    docs = documents(spark, [strewn, " ".join(short), sentence(rng, 700, 50_000) + " " + long_ + " " + sentence(rng, 900, 50_000)])
+    one, two = (spark.createDataFrame(items, "item_id long, text string") for items in ([(7, " ".join(short))], [(7, " ".join(short)), (8, long_)]))
+    told = lambda benchmark: sorted((r["doc_id"], r["item_id"], round(r["question_overlap"], 9), round(r["answer_overlap"], 9)) for r in decontaminate.leaks(docs, benchmark).collect())
+    assert told(one) == [(1, 7, 1.0, 1.0)]
+    assert told(two) == [(1, 7, 1.0, 1.0), (2, 8, 1.0, 1.0)]
+    assert [decontaminate.step_of(n) for n in (0, 1, 64, 65, 128, 129, 1500)] == [64, 64, 64, 128, 128, 256, 2048]
