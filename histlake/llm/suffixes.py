@@ -18,7 +18,9 @@ stretches of ``length`` bytes that contain the anchor:
   hash, first the cores that neighbouring stretches have in common, then the
   stretches around shared cores; those that another chunk holds are marked too.
 
-Marked stretches meet the texts by document; bytes inside them go.  What is
+Marked stretches meet the texts by document; bytes inside them go.  Repeats that
+are too short to go show too: ``n_shared`` counts a document's anchors that are
+anchors elsewhere as well, so it tells of most repeats of some hundred bytes.  What is
 shuffled is one entry for about 150 bytes of text, the reaches of the few
 entries at the ends of matches, and the texts, compressed, for each of the two
 times that bytes are read by document.
@@ -380,17 +382,17 @@ def _contexts(wanted: DataFrame, texts: DataFrame, length: int, anchor: int) ->
     return places.join(texts, "doc_id").select("doc_id", "packed", "places").mapInArrow(run, "key long, chunks int, doc_id long, at int, left int, context binary")
 
 
-def _cut(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept: the texts without their spans."""
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = texts.join(by_doc, "doc_id", "left").select("doc_id", "packed", "spans")
+def _cut(texts: DataFrame, spans: DataFrame, shared: DataFrame, length: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_shared, kept: the texts without their spans; shared: doc_id, n_shared."""
+    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(shared, "doc_id", "full")
+    joined = texts.join(by_doc, "doc_id", "left").select("doc_id", "packed", "spans", F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 out = []
-                for doc, text, spans in zip(part.column("doc_id").to_pylist(), unpack(part.column("packed")), part.column("spans").to_pylist(), strict=True):
+                for doc, text, spans, shared in zip(part.column("doc_id").to_pylist(), unpack(part.column("packed")), part.column("spans").to_pylist(), part.column("n_shared").to_pylist(), strict=True):
                     kept, at, removed, runs = [], 0, 0, 0
                     end = -1
                     for s, e in sorted((x["start"], min(x["end"], len(text))) for x in spans or ()):
@@ -403,14 +405,14 @@ def _cut(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
                             removed += e - end
                             end, at = e, e
                     kept.append(text[at:])
-                    out.append((doc, len(text), removed, runs, b"".join(kept)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    out.append((doc, len(text), removed, runs, shared, b"".join(kept)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int64()] * 5, pa.binary()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_shared", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared long, kept binary")
 
 
 def remove_repeated_bytes(docs: DataFrame, folder: str, length: int = LENGTH, anchor: int = ANCHOR, batches: int = BATCHES, chunk_rows: int = CHUNK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary), for each row.
+    """doc_id, n_bytes, n_removed, n_spans, n_shared, kept (binary), for each row.
 
     The table is indexed in ``batches`` batches, dealt by a hash of the id; work
     tables go to ``folder``, which executors share.
@@ -421,6 +423,7 @@ def remove_repeated_bytes(docs: DataFrame, folder: str, length: int = LENGTH, an
     for i in range(batches):
         index.add(entries(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), length, anchor))
     repeated = materialise(index.repeated(), folder, "repeated")
+    shared = materialise(repeated.groupBy("doc_id").agg(F.count("*").alias("n_shared")), folder, "shared")
     classes = materialise(repeated.groupBy("key", "reach").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("one")), folder, "classes")
 
     # entries with twins repeat their whole reach
@@ -443,10 +446,10 @@ def remove_repeated_bytes(docs: DataFrame, folder: str, length: int = LENGTH, an
     for name in ("repeated", "classes", "marks", *(x[0] for x in index.levels if x), *(f"found-{i + 1}" for i in range(index.n))):
         delete(spark, f"{folder}/{name}")
     text = F.coalesce("text", F.lit(""))
-    none = docs.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode(text, "UTF-8").alias("kept"))
-    return _cut(texts, spans, length).union(none)
+    none = docs.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(0).cast("long").alias("n_shared"), F.encode(text, "UTF-8").alias("kept"))
+    return _cut(texts, spans, shared, length).union(none)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated_bytes(table(spark, sf_dir, "documents"), work_dir(spark))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared")

@@ -109,3 +109,20 @@ def test_hashes_of_cancelling_words_differ():
         one, two = common.span_hashes(both, np.array([0, n]), np.array([n, 2 * n]))
         assert one != two
         assert len(set(common.rolling_hashes(both, n)[[0, n]].tolist())) == 2
+
+
+def test_shared_anchors_show_short_repeats(spark, tmp_path):
+    """n_shared equals a count over all chosen places, and tells of passages that are shorter than what goes."""
+    rng = random.Random(8)
+    passages = [sentence(rng, 62, 3000)[:300] for _ in range(30)]
+    data = [f"{sentence(rng, 90, 3000)} {passages[i // 2 % 30]} {sentence(rng, 90, 3000)}" for i in range(60)] + [sentence(rng, 250, 3000) for _ in range(40)] + [None, "", "short"]
+    found = {r["doc_id"]: (r["n_removed"], r["n_shared"]) for r in suffixes.op6_suffix_array_dedup(spark, save(spark, tmp_path, data)).collect()}
+    places = {}
+    for d, t in enumerate(data):
+        raw = np.frombuffer((t or "").encode(), dtype=np.uint8)
+        if len(raw) >= 400:
+            for at in suffixes.chosen(raw, 0, len(raw), 400, 96)[0].tolist():
+                places.setdefault(raw[at : at + 96].tobytes(), []).append(d)
+    want = [sum(x == d for own in places.values() if len(own) > 1 for x in own) for d in range(len(data))]
+    assert [found[d][1] for d in range(len(data))] == want
+    assert sum(found[d][0] == 0 and found[d][1] > 0 for d in range(60)) >= 40 and not any(found[d][1] for d in range(60, len(data)))
