@@ -386,6 +386,22 @@ def keep_first(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
 
 
+def keep_first_of(docs: DataFrame, known: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of docs, of each group of near-duplicates among ``known`` the smallest id that docs has.
+
+    known has the texts that are compared, under the same ids, and may hold
+    more documents; docs that it lacks, or without an id, stay.
+    """
+    groups = materialise(near_duplicates(known, folder, id_col, text_col), folder, "groups")
+    _tidy(docs.sparkSession, folder)
+    members = groups.where("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()
+    here = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id")).distinct().join(members, "doc_id")
+    first = here.groupBy("component_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = here.join(first, "component_id").where("doc_id > first").select(F.col("doc_id").alias("__gone"))
+    gone = materialise(gone, folder, "gone")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+
+
 def _tidy(spark: SparkSession, folder: str) -> None:
     for name in ("profiles", "signatures", "met", "crowded", "tried", "links", "members", "more", "more-links"):
         delete(spark, f"{folder}/{name}")
