@@ -29,6 +29,12 @@ def test_run_equals_brute_force(spark, tmp_path):
     deduped = {i: "\n".join(l for l in t.split("\n") if len(key(l)) < 10 or i == min(holders[key(l)])) for i, t in left.items()}
     left = {i: t for i, t in deduped.items() if t == left[i] or len(t.split()) >= quality.MIN_WORDS}
     assert len(left) < len(deduped)
+    came = test_minhash.brute(texts)
+    firsts = {}
+    for i in sorted(left):
+        firsts.setdefault(came[i][1], i)
+    assert len(firsts) < len(left)
+    left = {i: t for i, t in left.items() if firsts[came[i][1]] == i}
     names = sorted(left)
     first = test_minhash.brute([left[i] for i in names])
     left = {names[k]: left[names[k]] for k in first if first[k][2]}
@@ -43,8 +49,9 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert all(r["round_trip"] for r in out.values())
 
 
-def test_stages_keep_the_columns(spark):
+def test_stages_keep_the_columns(spark, tmp_path):
     docs = documents(spark, [f"text number {i} {sentence(random.Random(i), 90, 5000)}" for i in range(5)] + [None, ""])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     benchmark = spark.createDataFrame([(1, "an item about nothing at all that is here")], "item_id long, text string")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         if "decontamination" in name:
@@ -52,7 +59,7 @@ def test_stages_keep_the_columns(spark):
 
             out = decontaminate.clean(docs, benchmark)
         else:
-            out = stage(spark, docs, "")
+            out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
         assert out.where("doc_id < 5").count() == 5 or name == "quality rules"
 
@@ -76,3 +83,11 @@ def test_awkward_tables(spark, tmp_path):
     assert sorted(out, key=str) == sorted([(2, len(texts[2])), (2, len(texts[2])), (3, len(long_)), (None, len(rows[5][1]))], key=str)
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_group_of_near_duplicates_keeps_two(spark):
+    """The groups that op8 finds in the documents, against what the pipeline keeps."""
+    folder = "/root/testdata/sf0.001"
+    groups = {r["doc_id"]: r["component_id"] for r in test_minhash.minhash.op8_minhash_dedup(spark, folder).collect()}
+    kept = [groups[r["doc_id"]] for r in corpus_pipeline.run(spark, folder).collect()]
+    assert len(set(groups.values())) < len(groups) and len(set(kept)) == len(kept) > 100
