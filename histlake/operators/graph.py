@@ -6,9 +6,10 @@ edge leaves) go to one task, and a task takes as many components as fill a
 batch.  Components run in parallel.  In a component, generations, landings and
 earliest tags are one pass over the edges in topological order; numbers of
 ancestors and descendants are passes over sets of bits; only closures that are
-asked for as pairs are as large as their output.  ``reach_by_levels`` is the way
-without a kernel, a join for each level, for graphs that are shallow or whose
-components exceed a worker's memory.
+asked for as pairs are as large as their output.  For components that exceed a
+worker's memory (KERNEL_COMMITS) generations, landings and earliest tags are
+joins over contracted graphs (``contracted``), and ``reach_by_levels`` is a join
+for each level.
 
 Commits on a cycle, which no real history has, have generation 0 and no
 landing or earliest tag.
@@ -32,6 +33,8 @@ from histlake.plans.shared import shared_folder, written
 NEVER = (1 << 63) - 1
 #: Bytes of the sets of bits that are held at once.
 BIT_BYTES = 256 << 20
+#: Commits of a component that a kernel is given at most; about 300 bytes each.
+KERNEL_COMMITS = 5_000_000
 #: Rows of whole components that a kernel takes at once.
 BATCH_ROWS = 200_000
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from histlake import schema
 from histlake.functions import objects as fn
-from histlake.operators import graph, scan
+from histlake.operators import contracted, graph, scan
 from histlake.plans.shared import mounted, shared_folder, written
 from histlake.sources import deltas, packfmt, smart_http
 from histlake.sources import refs as refs_source
@@ -40,9 +40,10 @@ def tree_entries_of(objs: DataFrame) -> DataFrame:
     return each.select("repo", "tree", "pos", "e.mode", "e.name", "e.sha", "e.is_tree")
 
 
-def dag_of(commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """commits with generation, n_parents and n_children."""
-    return commits.join(graph.shape(commits, edges), ["repo", "sha"])
+def dag_of(commits: DataFrame, edges: DataFrame, large: bool = False) -> DataFrame:
+    """commits with generation, n_parents and n_children; ``large`` where no task holds them."""
+    shape = contracted.generations(commits, edges).join(graph.degrees(commits, edges), ["repo", "sha"]) if large else graph.shape(commits, edges)
+    return commits.join(shape, ["repo", "sha"])
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -131,7 +132,12 @@ class RepoCatalog:
     @cached_property
     def dag(self) -> DataFrame:
         """commits with generation and degrees, from the cache if it holds this very state."""
-        return self._cached("dag", lambda: dag_of(self._bodies, self.edges))
+        return self._cached("dag", lambda: dag_of(self._bodies, self.edges, self.large))
+
+    @cached_property
+    def large(self) -> bool:
+        """Whether the graph is larger than a task may hold, so that joins take the kernels' place."""
+        return self._bodies.count() > graph.KERNEL_COMMITS
 
     @cached_property
     def _bodies(self) -> DataFrame:

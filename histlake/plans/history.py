@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histlake.functions import objects as fn
-from histlake.operators import duplicates, graph, trees
+from histlake.operators import contracted, duplicates, graph, trees
 from histlake.operators import scan as scans
 from histlake.plans.catalog import RepoCatalog
 from histlake.plans.shared import shared_folder, written
@@ -80,13 +80,14 @@ def dag_commit(repo: RepoCatalog, sha: str) -> DataFrame:
 def landed(repo: RepoCatalog, sha: str, head: str | None = None, summary: bool = False) -> DataFrame:
     """The merge that first brought a commit into the head's history; a head that is no id means HEAD."""
     top = head.lower() if head and re.fullmatch(r"[0-9a-fA-F]{40}", head) else repo.head
-    found = graph.landings(repo.dag, repo.edges, _one(repo, _id(sha)), _one(repo, top))
+    search = contracted.landings if repo.large else graph.landings
+    found = search(repo.dag, repo.edges, _one(repo, _id(sha)), _one(repo, top))
     return _with_summary(repo, found, "merge") if summary else found
 
 
 def contains(repo: RepoCatalog, sha: str, all_tags: bool = False, summary: bool = False) -> DataFrame:
     """The earliest tag whose history holds a commit, or all of them in order."""
-    search = graph.containing_tags if all_tags else graph.earliest_tags
+    search = graph.containing_tags if all_tags else contracted.earliest_tags if repo.large else graph.earliest_tags
     found = search(repo.dag, repo.edges, repo.tags, _one(repo, _id(sha))).select("repo", "name", F.col("tag_sha").alias("sha"), "generation", "author_ts")
     found = found.orderBy("generation", "author_ts", "name")
     return _with_summary(repo, found, "sha").orderBy("generation", "author_ts", "name") if summary else found

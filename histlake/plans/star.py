@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from histlake.functions import objects as fn
 from histlake.functions import regexes
-from histlake.operators import duplicates, graph, scan, trees
+from histlake.operators import contracted, duplicates, graph, scan, trees
 from histlake.plans import catalog, history
 from histlake.plans.shared import shared_folder, written
 from histlake.sources import packfmt, packwrite
@@ -484,6 +484,12 @@ def dag_generation(spark, folder):
     return graph.generations(commits(spark, folder), edges(spark, folder), C).select(C, "sha", F.col("generation").cast("long").alias("generation"))
 
 
+@_query(f"{_GRAPH} SELECT component, sha, CAST(generation AS BIGINT) AS generation FROM dag")
+def dag_generation_by_joins(spark, folder):
+    """The same without a kernel, as for graphs that no task holds."""
+    return contracted.generations(commits(spark, folder), edges(spark, folder), C).select(C, "sha", F.col("generation").cast("long").alias("generation"))
+
+
 @_query(f"WITH RECURSIVE {_COMMITS}, {_EDGES}, {_CLOSURE} SELECT seed, sha FROM closure")
 def dag_ancestors(spark, folder):
     c = commits(spark, folder)
@@ -524,6 +530,12 @@ def landed(spark, folder):
     return graph.landings(c, e, c, heads(dag(spark, folder)), C).select("sha", "merge", F.col("generation").cast("long").alias("generation"))
 
 
+@_query(ORACLE_SQL["landed"])
+def landed_by_joins(spark, folder):
+    d = dag_table(spark, folder)
+    return contracted.landings(d, edges(spark, folder), d, heads(d), C).select("sha", "merge", F.col("generation").cast("long").alias("generation"))
+
+
 _CONTAINING = f"{_REACH}, {_TAGS}, containing AS (SELECT c.sha, t.name, t.sha AS tag_sha, g.generation, g.author_ts FROM closure c JOIN tags t ON t.sha = c.seed JOIN dag g ON g.sha = t.sha)"
 
 
@@ -541,6 +553,13 @@ def contains_earliest(spark, folder):
     return found.select("sha", "name", "tag_sha", F.col("generation").cast("long").alias("generation"), "author_ts")
 
 
+@_query(ORACLE_SQL["contains_earliest"])
+def contains_earliest_by_joins(spark, folder):
+    d = dag_table(spark, folder)
+    found = contracted.earliest_tags(d, edges(spark, folder), tags(spark, folder), d, C)
+    return found.select("sha", "name", "tag_sha", F.col("generation").cast("long").alias("generation"), "author_ts")
+
+
 def _compared(spark, folder) -> DataFrame:
     d, e = dag_table(spark, folder), edges(spark, folder)
     base = graph.ancestors(d, e, heads(d), C).select(C, "sha").join(d.select(C, "sha", "generation"), [C, "sha"])

@@ -226,6 +226,20 @@ def test_comparisons(spark, repo, catalog, fork):
     assert states == {repo.path: "no", fork.path: "in HEAD"}
 
 
+def test_questions_without_kernels(spark, repo, catalog, monkeypatch):
+    from histlake.operators import graph
+
+    assert not catalog.large
+    monkeypatch.setattr(graph, "KERNEL_COMMITS", 1)
+    again = RepoCatalog(spark, repo.path)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert again.large
+    assert rows(again.dag.select("sha", "generation", "n_parents", "n_children")) == rows(catalog.dag.select("sha", "generation", "n_parents", "n_children"))
+    for sha in (repo.feature, repo.third, repo.first):
+        assert rows(history.landed(again, sha)) == rows(history.landed(catalog, sha))
+        assert rows(history.contains(again, sha)) == rows(history.contains(catalog, sha))
+
+
 def test_churn(spark, catalog, fork):
     other = RepoCatalog(spark, fork.path)
     top, own = history.churn(catalog, other, 100)
