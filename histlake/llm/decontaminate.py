@@ -124,6 +124,38 @@ def index_table(benchmark: DataFrame, folder: str, id_col: str = "item_id", text
     return materialise(held, folder, "index")
 
 
+class Grams:
+    """The grams of passages, the words [first, end) of a batch's words, looked up by size, passage and gram."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, end: np.ndarray):
+        self._words, self._first, self._end = words, first, end
+        self._all: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._own: dict[int, np.ndarray] = {}
+        self._asked = first[:0]
+
+    def ask(self, passages: np.ndarray) -> Grams:
+        """From here on these passages are looked up."""
+        self._asked, self._own = np.unique(passages), {}
+        return self
+
+    def have(self, size: int, passages: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Whether each passage has the gram beside it."""
+        if size not in self._all:
+            self._all[size] = np.unique(grams(self._words, size), return_inverse=True)
+        values, place = self._all[size]
+        if size not in self._own:
+            begin = self._first[self._asked]
+            n = np.maximum(self._end[self._asked] - begin - size + 1, 0)
+            at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            self._own[size] = np.unique(np.repeat(self._asked, n) * max(1, len(values)) + place[at])
+        keys = self._own[size]
+        if not len(keys):
+            return np.zeros(len(wanted), dtype=bool)
+        at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+        key = passages * len(values) + at
+        return (values[at] == wanted) & (keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key)
+
+
 class ItemIndex:
     """Lists of postings with block maxima, and the items' own terms, impacts and grams, as arrays."""
 
@@ -150,14 +182,32 @@ class ItemIndex:
         cuts = np.arange(0, len(listed), BLOCK)
         self.most = np.maximum.reduceat(self.impacts[listed], cuts) if len(listed) else np.empty(0)
 
-    def overlap(self, i: int, passage: np.ndarray) -> tuple[float, float]:
-        """The shares of item i's question and answer grams that the passage holds; a part that is empty agrees with the other."""
-        shares = []
+    def overlaps(self, held: Grams, passages: np.ndarray, items: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the pairs reach least in both parts, and the shares of the items' question and answer grams that their passages hold.
+
+        A part that is empty agrees with the other.  The answers are looked at
+        only where the questions suffice.
+        """
+        left, shares = np.arange(len(items)), []
         for values, bounds, sizes in self.parts:
-            part = values[bounds[i] : bounds[i + 1]].view(np.uint64)
-            shares.append(float(np.isin(part, grams(passage, int(sizes[i]))).mean()) if len(part) else None)
-        known = max((s for s in shares if s is not None), default=0.0)
-        return tuple(known if s is None else s for s in shares)
+            item, passage = items[left], passages[left]
+            n = bounds[item + 1] - bounds[item]
+            each = np.repeat(np.arange(len(item)), n)
+            own = np.repeat(bounds[item] - (np.cumsum(n) - n), n) + np.arange(len(each))
+            hit = np.zeros(len(each), dtype=bool)
+            size = sizes[item][each]
+            for k in np.unique(size).tolist():
+                mine = np.flatnonzero(size == k)
+                hit[mine] = held.have(k, passage[each[mine]], values[own[mine]].view(np.uint64))
+            share = np.bincount(each, weights=hit, minlength=len(item)) / np.maximum(n, 1)
+            share[n == 0] = np.nan
+            enough = np.isnan(share) | (share >= least)
+            shares = [x[enough] for x in shares] + [share[enough]]
+            left = left[enough]
+        known = np.fmax(*shares)  # nan where both are empty: never enough
+        question, answer = (np.where(np.isnan(x), known, x) for x in shares)
+        enough = (question >= least) & (answer >= least)
+        return left[enough], question[enough], answer[enough]
 
     def retrieve(self, passage: np.ndarray, term: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(passage, item, score) of all that reach least; the distinct terms of passages, sorted by passage, then term."""
@@ -235,12 +285,12 @@ def _find(words: np.ndarray, bounds: np.ndarray, index: ItemIndex, step: int, le
     key = np.unique(np.concatenate((cell, cell[before] - 1)) * len(index.terms) + np.concatenate((place[at], place[at][before])))
     if not len(key):
         return out
+    held = Grams(words, first, end)
     for passages, items, scores in index.retrieve(key // len(index.terms), key % len(index.terms), least_score):
-        for p, item, score in zip(passages.tolist(), items.tolist(), scores.tolist(), strict=True):
-            question, answer = index.overlap(item, words[first[p] : end[p]])
-            if question >= least_overlap and answer >= least_overlap:
-                name = int(doc[p]), item
-                out[name] = max(out.get(name, (0.0, 0.0, 0.0)), (score, question, answer))
+        found, question, answer = index.overlaps(held.ask(passages), passages, items, least_overlap)
+        for p, item, *best in zip(passages[found].tolist(), items[found].tolist(), scores[found].tolist(), question.tolist(), answer.tolist(), strict=True):
+            name = int(doc[p]), item
+            out[name] = max(out.get(name, (0.0, 0.0, 0.0)), tuple(best))
     return out
 
 
