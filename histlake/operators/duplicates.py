@@ -1,19 +1,26 @@
 """Duplicated blocks of lines: windows of consecutive lines that occur again.
 
-Windows are cut inside each file's array of lines, so only the windows that
-pass the filters are shuffled, once, by their text's hash.
+Windows are cut inside each file's array of lines.  ``groups`` goes two rounds:
+windows are counted by a hash of their text, and only those whose hash repeats
+are shuffled with it and grouped, by the text itself.  Of a group's places the
+first ones are kept, cut down before they are shuffled; so no window gathers
+more than that, however often it occurs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from histlake.functions import comments, objects
+from histlake.plans.shared import shared_folder, written
 
 MIN_LINES = 3
 LEAST_FILLED_TENTHS = 6
 LEAST_CHARS = 25
+#: Places of a window that are listed.
+PLACES = 100
 
 
 def windows(files: DataFrame, min_lines: int = MIN_LINES, strip: bool = True, filters: bool = True) -> DataFrame:
@@ -38,11 +45,16 @@ def windows(files: DataFrame, min_lines: int = MIN_LINES, strip: bool = True, fi
     return each.select("path", F.col("start_line").cast("long").alias("start_line"), F.array_join("part", "\n").alias("window"))
 
 
-def groups(cut: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """window, line_count, occurrences, wasted, first_path, first_line, places: windows that occur twice or more."""
-    place = F.struct("path", "start_line")
-    found = cut.groupBy("window").agg(F.count("*").alias("occurrences"), F.min(place).alias("first"), F.array_sort(F.collect_list(place)).alias("places")).where("occurrences > 1")
-    return found.select("window", F.lit(min_lines).cast("long").alias("line_count"), "occurrences", (F.lit(min_lines) * (F.col("occurrences") - 1)).cast("long").alias("wasted"), F.col("first.path").alias("first_path"), F.col("first.start_line").alias("first_line"), "places")
+def groups(cut: DataFrame, min_lines: int = MIN_LINES, most_places: int = PLACES, folder: str | None = None) -> DataFrame:
+    """window, line_count, occurrences, wasted, first_path, first_line, places: windows that occur twice or more, with their first places."""
+    folder = folder or shared_folder(cut.sparkSession)
+    hashed = cut.select("*", F.xxhash64("window").alias("hash"))
+    repeated = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = written(hashed.join(repeated, "hash", "left_semi").select("path", "start_line", "window"), f"{folder}/repeated")
+    place = F.row_number().over(W.partitionBy("window").orderBy("path", "start_line"))
+    listed = again.withColumn("place", place).where(F.col("place") <= most_places)
+    listed = listed.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("path", "start_line"))).alias("places"))
+    return counted(again, min_lines).join(listed, "window").select("window", F.lit(min_lines).cast("long").alias("line_count"), "occurrences", "wasted", "first_path", "first_line", "places")
 
 
 def counted(cut: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:

@@ -103,3 +103,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(star.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_groups_keep_their_first_places(spark):
+    """Occurrences count all, places are the first few; hashes decide nothing."""
+    rng = random.Random(7)
+    block = ["alpha = compute(beta)", "gamma = alpha + delta", "return gamma * epsilon"]
+    files = [(f"f{i:03d}.py", "\n".join([f"line {rng.random()} of its own, long enough"] * 2 + (block * 3 if i % 2 else []))) for i in range(80)]
+    cut = duplicates.windows(spark.createDataFrame(files, "path string, text string").repartition(9), 3)
+    every = {r["window"]: r for r in duplicates.groups(cut, 3, 10**6).collect()}
+    few = {r["window"]: r for r in duplicates.groups(cut, 3, 5).collect()}
+    assert every.keys() == few.keys() and max(r["occurrences"] for r in few.values()) == 120
+    for window, r in few.items():
+        full = every[window]
+        assert r["places"] == full["places"][:5] and len(full["places"]) == full["occurrences"] == r["occurrences"]
+        assert (r["first_path"], r["first_line"]) == tuple(r["places"][0])
