@@ -196,6 +196,55 @@ class _Graph:
             out += np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         return out
 
+    @cached_property
+    def intervals(self) -> tuple[np.ndarray, np.ndarray]:
+        """Place and size of each node's part of a spanning forest, in which a commit hangs below one of its parents: what hangs below a node lies in [place, place + size)."""
+        fit = (self.generation[self.child] > 0) & (self.generation[self.parent] > 0)
+        up = np.full(self.n, -1)
+        up[self.child[fit]] = self.parent[fit]
+        order = np.argsort(self.generation, kind="stable").tolist()
+        above, size, place = up.tolist(), [1] * self.n, [0] * self.n
+        for i in reversed(order):
+            if above[i] >= 0:
+                size[above[i]] += size[i]
+        free, roots = [0] * self.n, 0
+        for i in order:
+            if above[i] < 0:
+                place[i], roots = roots, roots + size[i]
+            else:
+                place[i] = free[above[i]]
+                free[above[i]] += size[i]
+            free[i] = place[i] + 1
+        return np.array(place, dtype=np.int64), np.array(size, dtype=np.int64)
+
+    def reaches(self, nodes: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Whether each target is the node beside it or one of its ancestors.
+
+        Generations and the spanning forest answer most; for the rest of a
+        node's targets there is one walk, no deeper than the least generation
+        among them.
+        """
+        place, size = self.intervals
+        out = (place[targets] <= place[nodes]) & (place[nodes] < place[targets] + size[targets])
+        open_ = np.flatnonzero(~out & (self.generation[nodes] > self.generation[targets]) & (self.generation[targets] > 0))
+        if not len(open_):
+            return out
+        bounds, parents = self.rows(self.child, self.parent, self.n)
+        bounds, parents, generation = bounds.tolist(), parents.tolist(), self.generation.tolist()
+        open_ = open_[np.argsort(nodes[open_], kind="stable")]
+        for asked in np.split(open_, np.flatnonzero(np.diff(nodes[open_])) + 1):
+            least = int(self.generation[targets[asked]].min())
+            start = int(nodes[asked[0]])
+            seen, waiting = {start}, [start]
+            while waiting:
+                i = waiting.pop()
+                for k in parents[bounds[i] : bounds[i + 1]]:
+                    if generation[k] >= least and k not in seen:
+                        seen.add(k)
+                        waiting.append(k)
+            out[asked] = [t in seen for t in targets[asked].tolist()]
+        return out
+
     def reached(self, seeds: np.ndarray, up: bool) -> tuple[np.ndarray, np.ndarray]:
         """(seed, node) for all nodes that each seed reaches, itself included."""
         bounds, targets = self.rows(self.child, self.parent, self.n) if up else self.rows(self.parent, self.child, self.n)
@@ -255,6 +304,25 @@ def reach(commits: DataFrame, edges: DataFrame, seeds: DataFrame, up: bool = Tru
     return _in_components(_rows(commits, edges, component, seeds=seeds), kernel, f"{key}, seed {kind}, sha {kind}")
 
 
+def reaches(commits: DataFrame, edges: DataFrame, pairs: DataFrame, component: str = "repo") -> DataFrame:
+    """component, sha, target, reached of distinct pairs (component, sha, target): whether the target is the commit or one of its ancestors; false for unknown commits."""
+    kind, key = _types(commits, component)
+    rows = _rows(commits, edges, component).union(pairs.select(F.col(component), F.lit(2), F.col("sha"), F.col("target")).distinct())
+
+    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        g = _Graph(frame)
+        asked = frame[frame["role"] == 2].reset_index(drop=True)
+        nodes = pd.DataFrame({"component": g.component, "name": g.name, "node": np.arange(g.n)})
+        at = lambda column: asked[["component", column]].merge(nodes, how="left", left_on=["component", column], right_on=["component", "name"])["node"].fillna(-1).to_numpy(dtype=np.int64)
+        a, b = at("a"), at("b")
+        known = np.flatnonzero((a >= 0) & (b >= 0))
+        reached = np.zeros(len(asked), dtype=bool)
+        reached[known] = g.reaches(a[known], b[known])
+        return pd.DataFrame({component: asked["component"], "sha": asked["a"], "target": asked["b"], "reached": reached})
+
+    return _in_components(rows, kernel, f"{key}, sha {kind}, target {kind}, reached boolean")
+
+
 def reach_by_levels(edges: DataFrame, seeds: DataFrame, up: bool = True, component: str = "repo", folder: str | None = None) -> DataFrame:
     """The same by one join for each level, without a kernel: for shallow graphs, or components too large for a worker.  Seeds must be commits."""
     folder = folder or shared_folder(edges.sparkSession)
@@ -436,7 +504,8 @@ def compare(base: DataFrame, target: DataFrame, by: list[str] | None = None) ->
 
 def presence(dag: DataFrame, edges: DataFrame, repos: DataFrame, sha: Column) -> DataFrame:
     """repo, state, generation: whether each repository holds a commit, and in its head's history."""
-    inside = ancestors(dag, edges, repos.select("repo", F.col("head").alias("sha"))).where(F.col("sha") == sha).select("repo", F.lit(True).alias("inside"))
     there = dag.where(F.col("sha") == sha).select("repo", "generation")
+    asked = repos.join(there, "repo", "left_semi").where("head IS NOT NULL").select("repo", F.col("head").alias("sha"), sha.alias("target"))
+    inside = reaches(dag, edges, asked).where("reached").select("repo", F.lit(True).alias("inside"))
     state = F.when(F.col("generation").isNull(), "no").when(F.col("inside"), "in HEAD").otherwise("in pack")
     return repos.select("repo").join(there, "repo", "left").join(inside, "repo", "left").select("repo", state.alias("state"), "generation")

@@ -504,10 +504,10 @@ def dag_descendants(spark, folder):
 
 @_query(f"{_REACH} SELECT d.sha, h.sha AS head, d.sha IN (SELECT c.sha FROM closure c JOIN heads h2 ON h2.sha = c.seed) AS reached FROM dag d JOIN heads h ON h.component = d.component")
 def dag_reaches(spark, folder):
-    d, e = dag_table(spark, folder), edges(spark, folder)
-    h = heads(d)
-    inside = graph.ancestors(d, e, h, C).select(C, "sha", F.lit(True).alias("r"))
-    return d.select(C, "sha").join(h.select(C, F.col("sha").alias("head")), C).join(inside, [C, "sha"], "left").select("sha", "head", F.coalesce("r", F.lit(False)).alias("reached"))
+    d = dag_table(spark, folder)
+    asked = d.select(C, F.col("sha").alias("target")).join(heads(d), C)
+    found = graph.reaches(d, edges(spark, folder), asked, C)
+    return found.select(F.col("target").alias("sha"), F.col("sha").alias("head"), "reached")
 
 
 @_query(

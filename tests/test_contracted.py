@@ -42,7 +42,7 @@ def made(rng, n, merges):
     return [("r", f"{i:05d}", rng.randrange(40)) for i in range(n)], edges
 
 
-@pytest.mark.parametrize("n, merges", [(60, 0.5), (300, 0.1), (1, 0), (1500, 0.0)])
+@pytest.mark.parametrize("n, merges", [(60, 0.4), (1, 0), (700, 0.0)])
 def test_random_graphs(spark, n, merges):
     rng = random.Random(n)
     commits, edges = made(rng, n, merges)

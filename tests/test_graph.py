@@ -1,8 +1,10 @@
 import random
 import time
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 
 from histlake.operators import graph
 from histlake.plans.shared import shared_folder
@@ -130,3 +132,36 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert want is None or spark.table(name).count() == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reaches_equals_closures(spark, seed):
+    """All pairs of a few components; labels answer most, walks the rest."""
+    rng = random.Random(seed)
+    commits, edges, asked = [], [], []
+    for repo in ("a", "b"):
+        n = 70
+        commits += [(repo, f"{i:02d}") for i in range(n)]
+        for i in range(1, n):
+            if rng.random() < 0.95:
+                edges += [(repo, f"{i:02d}", k, f"{p:02d}") for k, p in enumerate(rng.sample(range(max(0, i - 9), i), min(i, rng.choice([1, 1, 2, 3]))))]
+        asked += [(repo, f"{i:02d}", f"{j:02d}") for i in range(0, n, 3) for j in range(n)]
+    asked += [("a", "00", "zz"), ("zz", "00", "00"), ("a", None, "00"), ("a", "00", None)]
+    c, e, p = (spark.createDataFrame(x, y) for x, y in ((commits, "repo string, sha string"), (edges, "repo string, child string, ordinal int, parent string"), (asked, "repo string, sha string, target string")))
+    inside = {tuple(r) for r in graph.ancestors(c, e, c).select("repo", "seed", "sha").collect()}
+    found = {(r["repo"], r["sha"], r["target"]): r["reached"] for r in graph.reaches(c, e, p).collect()}
+    assert found == {k: k in inside for k in asked}
+
+
+def test_reaches_walks_no_deeper_than_it_must(monkeypatch):
+    """A line of 50,000 commits with a side branch at its top: the search for it does not go down the line."""
+    n = 50_000
+    rows = [("r", 0, i, i) for i in range(n + 3)] + [("r", 1, i, i - 1) for i in range(1, n)]
+    rows += [("r", 1, n, n - 2), ("r", 1, n + 1, n - 1), ("r", 1, n + 1, n), ("r", 1, n + 2, n - 1)]
+    g = graph._Graph(pd.DataFrame(rows, columns=["component", "role", "a", "b"]))
+    place, size = g.intervals
+    assert sorted(place.tolist()) == list(range(g.n))
+    began = time.time()
+    nodes, targets = np.array([n + 1, n + 1, n + 2, n + 1] * 200), np.array([n, n - 1, n, 5] * 200)
+    assert g.reaches(nodes, targets).tolist() == [True, True, False, True] * 200
+    assert time.time() - began < 2
