@@ -402,6 +402,14 @@ def keep_first_of(docs: DataFrame, known: DataFrame, folder: str, id_col: str =
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
 
 
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those whose text a smaller id has; those without an id or a text stay.  Texts are known by 256 bits, counted partially before their shuffle."""
+    told = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.unhex(F.sha2(F.col(f"`{text_col}`"), 256)).alias("digest")).where("__id IS NOT NULL AND digest IS NOT NULL")
+    first = told.groupBy("digest").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last")
+    gone = told.join(first, "digest").where("__id > first").select(F.col("__id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+
+
 def _tidy(spark: SparkSession, folder: str) -> None:
     for name in ("profiles", "signatures", "met", "crowded", "tried", "links", "members", "more", "more-links"):
         delete(spark, f"{folder}/{name}")
