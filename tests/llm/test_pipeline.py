@@ -35,9 +35,10 @@ def test_run_equals_brute_force(spark, tmp_path):
         firsts.setdefault(came[i][1], i)
     assert len(firsts) < len(left)
     left = {i: t for i, t in left.items() if firsts[came[i][1]] == i}
-    names = sorted(left)
-    first = test_minhash.brute([left[i] for i in names])
-    left = {names[k]: left[names[k]] for k in first if first[k][2]}
+    same = {}
+    for i in sorted(left):
+        same.setdefault(left[i], i)
+    left = {i: t for i, t in left.items() if same[t] == i}
     names = sorted(left)
     dirty = {names[d] for d, _ in test_decontaminate.brute([left[i] for i in names], items)}
     left = {i: t for i, t in left.items() if i not in dirty}
