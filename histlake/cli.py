@@ -66,12 +66,18 @@ def lines(spark, words: list[str], flags: set[str], excludes: list[str]):
         return
     if words[0] == "comp-has" and len(words) > 2:
         yield f"sha: {words[1]}"
+        opened, failed = {}, {}
         for w in words[2:]:
             try:
-                r = history.comp_has(words[1], [RepoCatalog(spark, w, {"commit"})]).first()
-                yield f"  {w}  " + ("no" if r["state"] == "no" else f"yes  ({r['state']}, gen {r['generation']})")
-            except (OSError, FileNotFoundError) as e:
-                yield f"  {w}  ERROR ({e})"
+                opened[w] = RepoCatalog(spark, w, {"commit"})
+            except OSError as e:  # the others are asked all the same
+                failed[w] = e
+        found = {r["repo"]: r for r in history.comp_has(words[1], list(opened.values())).collect()} if opened else {}
+        for w in words[2:]:
+            if w in failed:
+                yield f"  {w}  ERROR ({failed[w]})"
+            else:
+                yield f"  {w}  " + ("no" if found[w]["state"] == "no" else f"yes  ({found[w]['state']}, gen {found[w]['generation']})")
         return
     if words[0] == "churn" and len(words) > 2:
         top, own = history.churn(RepoCatalog(spark, words[1], {"commit"}), RepoCatalog(spark, words[2], {"commit", "tree"}), number(words, 3, 20))

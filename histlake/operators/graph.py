@@ -35,6 +35,8 @@ NEVER = (1 << 63) - 1
 BIT_BYTES = 256 << 20
 #: Commits of a component that a kernel is given at most; about 300 bytes each.
 KERNEL_COMMITS = 5_000_000
+#: Heads that the bits of a long stand for.
+HEADS = 63
 #: Rows of whole components that a kernel takes at once.
 BATCH_ROWS = 200_000
 
@@ -98,8 +100,9 @@ class _Graph:
         parent = self._at(part[is_edge].astype(np.int64) * max(1, len(names)) + code[len(a) :])
         self.n_parents = np.bincount(child[child >= 0], minlength=self.n)
         self.n_children = np.bincount(parent[parent >= 0], minlength=self.n)
-        known = (child >= 0) & (parent >= 0)
-        self.child, self.parent = child[known], parent[known]
+        #: Which edges join two commits.
+        self.known = (child >= 0) & (parent >= 0)
+        self.child, self.parent = child[self.known], parent[self.known]
 
     def _at(self, keys: np.ndarray) -> np.ndarray:
         """The nodes of keys, -1 for what is no commit."""
@@ -174,6 +177,16 @@ class _Graph:
                 out[parent] = value
         return np.array(out, dtype=np.int64)
 
+    def spread_bits(self, own: np.ndarray, passing: np.ndarray) -> np.ndarray:
+        """For each node, its own bits and those of its descendants, along edges only the bits that pass them."""
+        generation = self.generation
+        edges = np.flatnonzero((generation[self.child] > 0) & (generation[self.parent] > 0))
+        edges = edges[np.argsort(-generation[self.child[edges]], kind="stable")]
+        out = own.tolist()
+        for child, parent, bits in zip(self.child[edges].tolist(), self.parent[edges].tolist(), passing[edges].tolist(), strict=True):
+            out[parent] |= out[child] & bits
+        return np.array(out, dtype=np.int64)
+
     def inside(self, seeds: np.ndarray) -> np.ndarray:
         """Which nodes are the seeds or their ancestors."""
         own = np.full(self.n, NEVER)
@@ -502,6 +515,47 @@ def compare(base: DataFrame, target: DataFrame, by: list[str] | None = None) ->
     return grouped.select(*by, "common", "ahead", "behind", F.col("l.lca").alias("lca"), (-F.col("l.up")).alias("lca_generation"))
 
 
+def heads_reached(commits: DataFrame, edges: DataFrame, heads: DataFrame, component: str = "repo") -> DataFrame:
+    """component, sha, bits: the heads whose history holds each commit, as the bits of a long; commits that no head reaches have no row.
+
+    heads(component, sha, bits); commits(component, sha, bits), each once, and
+    edges(component, child, parent, bits): the heads for which a row is there, so
+    that histories cut at different places are one graph and still end where
+    each of them does.
+    """
+    kind, key = _types(commits, component)
+    rows = commits.select(F.col(component).alias("component"), F.lit(0).alias("role"), F.col("sha").alias("a"), F.col("sha").alias("b"), "bits")
+    rows = rows.union(edges.select(component, F.lit(1), "child", "parent", "bits")).union(heads.select(component, F.lit(2), "sha", "sha", "bits"))
+
+    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        g = _Graph(frame)
+        bits, own, at = frame["bits"].to_numpy(dtype=np.int64), np.zeros(g.n, dtype=np.int64), g.of_role(2)
+        np.bitwise_or.at(own, at[at >= 0], bits[g.role == 2][at >= 0])
+        found = g.spread_bits(own & bits[g.rows_of], bits[g.role == 1][g.known])
+        some = np.flatnonzero(found)
+        return pd.DataFrame({component: g.component[some], "sha": g.name[some], "bits": found[some]})
+
+    return _in_components(rows, kernel, f"{key}, sha {kind}, bits long")
+
+
+def compare_heads(reached: DataFrame, generations: DataFrame, component: str = "repo") -> DataFrame:
+    """component, bit, ancestors, common, ahead, behind, lca, lca_generation: the histories of heads 1 to 62 beside that of head 0.
+
+    reached is of heads_reached, generations(component, sha, generation) of head
+    0.  Commits that the same heads reach are counted together first.  Heads
+    that reach nothing have no row.
+    """
+    ours = F.col("bits").bitwiseAND(F.lit(1)) == 1
+    lowest = F.min(F.when(ours, F.struct((-F.col("generation")).alias("up"), "sha"))).alias("lowest")
+    alike = reached.join(generations.select(component, "sha", "generation"), [component, "sha"], "left").groupBy(component, "bits").agg(F.count("*").alias("n"), lowest)
+    bit = F.explode(F.filter(F.sequence(F.lit(1), F.lit(HEADS - 1)), lambda k: F.getbit("bits", k) == 1)).alias("bit")
+    common = F.sum(F.when(ours, F.col("n")).otherwise(0)).alias("common")
+    each = alike.select("*", bit).groupBy(component, "bit").agg(F.sum("n").alias("ancestors"), common, F.min("lowest").alias("lowest"))
+    base = alike.where(ours).groupBy(component).agg(F.sum("n").alias("own"))
+    ahead, behind = F.col("ancestors") - F.col("common"), F.coalesce("own", F.lit(0)) - F.col("common")
+    return each.join(base, component, "left").select(component, "bit", "ancestors", "common", ahead.alias("ahead"), behind.alias("behind"), F.col("lowest.sha").alias("lca"), (-F.col("lowest.up")).alias("lca_generation"))
+
+
 def presence(dag: DataFrame, edges: DataFrame, repos: DataFrame, sha: Column) -> DataFrame:
     """repo, state, generation: whether each repository holds a commit, and in its head's history."""
     there = dag.where(F.col("sha") == sha).select("repo", "generation")

@@ -144,6 +144,11 @@ class RepoCatalog:
         """The commits as a table: packs are read once for them."""
         return written(commits_of(self._read(kinds="commit")), f"{self._work}/commits")
 
+    @property
+    def nodes(self) -> DataFrame:
+        """The commits; what passes over the graph add to them only where a cache holds it."""
+        return self.dag if self.cache else self._bodies
+
     @cached_property
     def _work(self) -> str:
         return shared_folder(self.spark)

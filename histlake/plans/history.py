@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,29 +98,41 @@ def unresolved_tags(repo: RepoCatalog) -> DataFrame:
     return repo.tags.join(repo.dag.select("repo", "sha"), ["repo", "sha"], "left_anti")
 
 
-def _history(repo: RepoCatalog) -> DataFrame:
-    """sha and generation of HEAD's ancestors."""
-    return graph.ancestors(repo.dag, repo.edges, _one(repo, repo.head)).select("sha").join(repo.dag.select("sha", "generation"), "sha")
+def _united(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
 
 
 def comp(base: RepoCatalog, targets: list[RepoCatalog]) -> DataFrame:
-    """target, head, ancestors, common, ahead, behind, lca, lca_generation: one row for each target."""
-    ours, out = _history(base), None
-    for t in targets:
-        theirs = _history(t)
-        row = graph.compare(ours, theirs).withColumn("target", F.lit(t.location)).withColumn("head", F.lit(t.head))
-        row = row.select("target", "head", (F.col("common") + F.col("ahead")).alias("ancestors"), "common", "ahead", "behind", "lca", "lca_generation")
-        out = row if out is None else out.union(row)
-    return out
+    """target, head, ancestors, common, ahead, behind, lca, lca_generation: one row for each target, in their order.
+
+    All repositories are one graph of commits by id, and one pass over it tells
+    which heads reach a commit: 62 targets and the base in each block.
+    """
+    width = graph.HEADS - 1
+    places = [(k // width, k % width + 1) for k in range(len(targets))]
+    members = [(block, 0, base) for block in range(places[-1][0] + 1)] + [(*place, t) for place, t in zip(places, targets, strict=True)]
+    marked = lambda df, block, bit: df.select(F.lit(block).alias("block"), "*", F.lit(1 << bit).cast("long").alias("bits"))
+    commits = _united([marked(r.nodes.select("sha"), block, bit) for block, bit, r in members]).groupBy("block", "sha").agg(F.bit_or("bits").alias("bits"))
+    edges = _united([marked(r.edges.select("child", "parent"), block, bit) for block, bit, r in members]).groupBy("block", "child", "parent").agg(F.bit_or("bits").alias("bits"))
+    heads = base.spark.createDataFrame([(block, r.head, 1 << bit) for block, bit, r in members if r.head], "block int, sha string, bits long")
+    reached = written(graph.heads_reached(commits, edges, heads, "block"), f"{shared_folder(base.spark)}/reached")
+    generations = _united([base.dag.select(F.lit(block).alias("block"), "sha", "generation") for block in range(places[-1][0] + 1)])
+    found = graph.compare_heads(reached, generations, "block")
+    asked = base.spark.createDataFrame([(k, *place, t.location, t.head) for k, (place, t) in enumerate(zip(places, targets, strict=True))], "k int, block int, bit int, target string, head string")
+    own = reached.where((F.col("block") == 0) & (F.getbit("bits", F.lit(0)) == 1)).agg(F.count("*").alias("own"))
+    number = lambda name, other=F.lit(0): F.coalesce(name, other).alias(name)
+    rows = asked.join(found, ["block", "bit"], "left").join(own).orderBy("k")
+    return rows.select("target", "head", number("ancestors"), number("common"), number("ahead"), number("behind", F.col("own")), "lca", "lca_generation")
 
 
 def comp_has(sha: str, repos: list[RepoCatalog]) -> DataFrame:
-    """repo, state (no, in pack, in HEAD), generation."""
-    out = None
-    for r in repos:
-        row = graph.presence(r.dag, r.edges, r.repos, F.lit(_id(sha)))
-        out = row if out is None else out.union(row)
-    return out
+    """repo, state (no, in pack, in HEAD), generation: a row for each repository, in their order, of one plan for all."""
+    each = list({r.location: r for r in repos}.values())
+    dag = _united([r.dag.select("repo", "sha", "generation") for r in each])
+    edges = _united([r.edges.select("repo", "child", "ordinal", "parent") for r in each])
+    found = graph.presence(dag, edges, _united([r.repos for r in each]), F.lit(_id(sha)))
+    asked = repos[0].spark.createDataFrame([(k, r.location) for k, r in enumerate(repos)], "k int, repo string")
+    return asked.join(found, "repo").orderBy("k").select("repo", "state", "generation")
 
 
 def refs(repo: RepoCatalog, pattern: str = "", exact: bool = False, n: int = 50) -> DataFrame:

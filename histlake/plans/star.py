@@ -583,6 +583,29 @@ def comp_lca(spark, folder):
     return _compared(spark, folder).where("lca IS NOT NULL").select(C, "lca", F.col("lca_generation").cast("long").alias("lca_generation"))
 
 
+_LINES_COMPARED = f"""{_REACH},
+ends AS (SELECT component, bit, sha FROM (
+  SELECT CAST(floor(o_custkey / 5.0) AS BIGINT) AS component, o_custkey % 5 + 1 AS bit, o_orderkey AS sha,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1),
+base AS (SELECT c.sha, d.generation FROM closure c JOIN heads h ON h.sha = c.seed JOIN dag d ON d.sha = c.sha),
+own AS (SELECT h.component, count(*) AS n FROM closure c JOIN heads h ON h.sha = c.seed GROUP BY h.component),
+held AS (SELECT e.component, e.bit, b.sha, b.generation, row_number() OVER (PARTITION BY e.component, e.bit ORDER BY b.generation DESC NULLS LAST, b.sha) AS r
+  FROM ends e JOIN closure c ON c.seed = e.sha LEFT JOIN base b ON b.sha = c.sha)"""
+
+
+@_query(f"{_LINES_COMPARED} SELECT t.component, CAST(t.bit AS BIGINT) AS line, count(*) AS ancestors, count(t.sha) AS common, count(*) - count(t.sha) AS ahead, max(o.n) - count(t.sha) AS behind, max(CASE WHEN t.r = 1 THEN t.sha END) AS lca, CAST(max(t.generation) AS BIGINT) AS lca_generation FROM held t JOIN own o ON o.component = t.component GROUP BY t.component, t.bit")
+def comp_many(spark, folder):
+    """The newest commits of all lines of a component beside its head, in one pass over the graph."""
+    d, e = dag_table(spark, folder), edges(spark, folder)
+    everywhere = F.lit((1 << graph.HEADS) - 1).alias("bits")
+    o = _table(spark, folder, "orders").select(F.floor(F.col("o_custkey") / 5).cast("long").alias(C), (F.col("o_custkey") % 5 + 1).cast("int").alias("bit"), "o_orderdate", "o_orderkey")
+    ends = o.groupBy(C, "bit").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("sha"))
+    asked = heads(d).select(C, "sha", F.lit(1).cast("long").alias("bits")).union(ends.select(C, "sha", F.expr("shiftleft(1L, bit)")))
+    reached = written(graph.heads_reached(d.select(C, "sha", everywhere), e.select("*", everywhere), asked, C), f"{shared_folder(spark)}/reached")
+    found = graph.compare_heads(reached, d, C)
+    return found.select(C, F.col("bit").cast("long").alias("line"), "ancestors", "common", "ahead", "behind", "lca", F.col("lca_generation").cast("long").alias("lca_generation"))
+
+
 @_query(f"{_REACH} SELECT d.sha, CASE WHEN d.sha IN (SELECT c.sha FROM closure c JOIN heads h ON h.sha = c.seed) THEN 'in HEAD' ELSE 'in pack' END AS state, CAST(d.generation AS BIGINT) AS generation FROM dag d")
 def comp_has(spark, folder):
     d, e = dag_table(spark, folder), edges(spark, folder)

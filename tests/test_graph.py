@@ -61,6 +61,33 @@ def test_kernels_equal_closures(spark, monkeypatch):
         assert first == {n: min(x) for n, x in found.items() if x}
 
 
+def test_heads_reach_as_far_as_their_own_rows(spark):
+    """Bits of several heads over one graph, where each head lacks other rows."""
+    full = (1 << 63) - 1
+    for seed in range(3):
+        commits, edges, raw = frames(spark, 60, seed)
+        commits = commits.where("repo = 'r'")
+        rng = random.Random(seed)
+        names = [f"c{i:02}" for i in range(60)]
+        heads = {bit: rng.choice(names) for bit in (0, 1, 2, 5, 62)}
+        passing = {(c, p): full & ~(sum(1 << b for b in (1, 62) if rng.random() < 0.2)) for _, c, _, p in raw}
+        held = {n: full & ~(4 if rng.random() < 0.1 else 0) for n in names}
+        marked = [("r", n, held[n]) for n in names]
+        kept = [("r", c, p, bits & held[c] & held[p]) for (c, p), bits in passing.items()]
+        asked = [("r", s, 1 << b) for b, s in heads.items()] + [("r", "nobody", 1 << 7)]
+        table = lambda rows, of: spark.createDataFrame(rows, f"repo string, {of}, bits long")
+        reached = graph.heads_reached(table(marked, "sha string"), table(kept, "child string, parent string"), table(asked, "sha string"))
+        own = {b: closure_of([("r", c, 0, p) for _, c, p, bits in kept if bits >> b & 1], names)[s] if held[s] >> b & 1 else set() for b, s in heads.items()}
+        assert {r["sha"]: r["bits"] for r in reached.collect()} == {n: sum(1 << b for b in heads if n in own[b]) for n in names if any(n in own[b] for b in heads)}
+
+        generation = {r["sha"]: r["generation"] for r in graph.generations(commits, edges).collect()}
+        rows = graph.compare_heads(reached, graph.generations(commits, edges)).collect()
+        best = lambda both: min(((-generation[n], n) for n in both), default=(None, None))
+        want = {b: (len(own[b]), len(own[b] & own[0]), len(own[b] - own[0]), len(own[0] - own[b]), best(own[b] & own[0])[1]) for b in heads if b and own[b]}
+        assert {r["bit"]: (r["ancestors"], r["common"], r["ahead"], r["behind"], r["lca"]) for r in rows} == want
+        assert all(r["lca_generation"] == (generation[r["lca"]] if r["lca"] else None) for r in rows)
+
+
 def test_one_long_history(spark):
     """A component of 200,000 commits, all of them asked for."""
     n = 200_000

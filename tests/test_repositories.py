@@ -226,6 +226,28 @@ def test_comparisons(spark, repo, catalog, fork):
     assert states == {repo.path: "no", fork.path: "in HEAD"}
 
 
+def test_many_repositories_in_one_plan(spark, repo, catalog, fork, tmp_path, monkeypatch):
+    """A shallow clone ends where it was cut, whatever the others hold; blocks of two targets."""
+    from histlake.operators import graph
+
+    shallow, alone = tmp_path / "shallow", tmp_path / "alone"
+    repo.git("clone", "-q", "--depth", "3", f"file://{fork.path}", str(shallow), cwd=None)
+    lone = Repo(alone)
+    lone.commit("Alone", z_DOT_txt="z")
+    monkeypatch.setattr(graph, "HEADS", 3)
+    targets = [RepoCatalog(spark, str(p)) for p in (fork.path, shallow, alone, repo.path, fork.path)]
+    rows = history.comp(catalog, targets).collect()
+    assert [r["target"] for r in rows] == [t.location for t in targets]
+    ours = repo.ids("rev-list", "HEAD")
+    for r in rows:
+        theirs = set(repo.git("-C", r["target"], "rev-list", "HEAD", cwd=None).split())
+        assert (r["ancestors"], r["common"], r["ahead"], r["behind"]) == (len(theirs), len(ours & theirs), len(theirs - ours), len(ours - theirs))
+        assert (r["lca"] is None) == (not ours & theirs)
+    assert rows[0]["lca"] == rows[4]["lca"] and rows[3]["lca"] == repo.git("rev-parse", "HEAD")
+    states = [(r["repo"], r["state"]) for r in history.comp_has(fork.own[0], [targets[2], targets[0], catalog, targets[0]]).collect()]
+    assert states == [(str(alone), "no"), (fork.path, "in HEAD"), (repo.path, "no"), (fork.path, "in HEAD")]
+
+
 def test_questions_without_kernels(spark, repo, catalog, monkeypatch):
     from histlake.operators import graph
 
