@@ -106,6 +106,11 @@ def parts_for(df: DataFrame, size: int, least: int) -> int:
     return max(least, min(-(-known // size), MOST_PARTS)) if known < 1 << 60 else least
 
 
+def dealt(df: DataFrame, salts: int) -> DataFrame:
+    """df once for each of `salts` parts, which column salt names, for a join that is no broadcast: Spark takes such a table to be as small as df, and the driver would gather all its copies."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+
+
 #: Parts that a table is dealt into at most: numbers of parts travel in 20 bits.
 MOST_PARTS = 1 << 20
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, table
+from .common import SPACE_CHARS, dealt, table
 
 SALTS = 8
 #: A run of characters that are no ASCII white space.
@@ -53,9 +53,8 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         held = hashed.select("h1", "h2", "doc_id").distinct()
         shared = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
     # lines look their hash up in parts, so that a hash of very many lines is no single task's; AQE splits them further
-    dealt = shared.select("h1", "h2", "first_doc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
-    lost = salted.join(dealt, ["h1", "h2", "salt"]).where("doc_id > first_doc")
+    lost = salted.join(dealt(shared.select("h1", "h2", "first_doc"), SALTS), ["h1", "h2", "salt"]).where("doc_id > first_doc")
     return lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 

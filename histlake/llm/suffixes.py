@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, ids_and_texts, materialise, mix, packed_texts, rolling_hashes, shuffle_partitions, table, text_chunks, unpack, work_dir
+from .common import dealt, delete, ids_and_texts, materialise, mix, packed_texts, rolling_hashes, shuffle_partitions, table, text_chunks, unpack, work_dir
 
 LENGTH = 400
 ANCHOR = 96
@@ -122,9 +122,8 @@ def entries(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
 
 def _semi(entries: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     """The entries with a row in found; frequent keys are dealt over SALTS parts, and further by AQE."""
-    dealt = found.select(*on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = entries.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
-    return salted.join(dealt, [*on, "salt"], "left_semi").select(*entries.columns)
+    return salted.join(dealt(found.select(*on), SALTS), [*on, "salt"], "left_semi").select(*entries.columns)
 
 
 class SuffixIndex:
@@ -431,9 +430,8 @@ def remove_repeated_bytes(docs: DataFrame, folder: str, length: int = LENGTH, an
     whole = twins.select("doc_id", F.greatest(F.col("at") - (length - anchor), F.lit(0)).alias("start"), (F.col("at") + length).alias("end"))
     # anchors with several reaches are compared in full, one entry for each reach, in chunks
     several = classes.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 AND least = 1").select("key", F.ceil(F.col("c") / chunk_rows).cast("int").alias("chunks"))
-    dealt = several.select("key", "chunks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = classes.select("key", "one.doc_id", "one.at", F.pmod(F.xxhash64("reach"), F.lit(SALTS)).cast("int").alias("salt"))
-    wanted = salted.join(dealt, ["key", "salt"]).select("key", "chunks", "doc_id", "at")
+    wanted = salted.join(dealt(several, SALTS), ["key", "salt"]).select("key", "chunks", "doc_id", "at")
     texts = packed_texts(docs)
     chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("doc_id", "at"), F.col("chunks"))).otherwise(0).cast("int")
     groups = _contexts(wanted, texts, length, anchor).withColumn("chunk", chunk).repartition(shuffle_partitions(spark), "key", "chunk").sortWithinPartitions("key", "chunk")

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from histlake.llm import chat, lines
+from histlake.llm import chat, lines, suffixes
 from tests.llm.helpers import documents, save, sha
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -158,3 +158,14 @@ def test_chat_empty(spark):
 def test_no_python_in_the_plan(spark, make):
     plan = make(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_tables_dealt_over_salts_are_not_broadcast(spark):
+    """Spark takes a table that stands there once for each salt to be as small as once, and gathered all of it on the driver."""
+    docs = documents(spark, ["a line that two documents hold", "a line that two documents hold"])
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    index = spark.createDataFrame([(1, 2, 3, 4)], suffixes.ENTRIES)
+    for out in (lines.dropped_positions(docs), suffixes._semi(index, index, ["key"]), suffixes._semi(index, index, ["key", "reach"])):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
