@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TextBatch, byte_batch, delete, gram_valid, grams, ids_and_texts, materialise, mix, packed_texts, parts_for, shuffle_partitions, table, text_chunks, unpack, work_dir
+from .common import TextBatch, byte_batch, dealt, delete, gram_valid, grams, ids_and_texts, materialise, mix, packed_texts, parts_for, shuffle_partitions, table, text_chunks, unpack, work_dir
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -370,9 +370,9 @@ def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
     # documents look their class up in parts, so that a large group of copies is no single task's
     moved = components.where("node <> component").select(F.col("node").alias("rep"), "component")
     told = classes.join(moved, "rep", "left").where("copies > 1 OR component IS NOT NULL")
-    told = told.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    told = told.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     salted = found.select("doc_id", "n_shingles", "f1", "f2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    final = salted.join(told, ["f1", "f2", "n_shingles", "salt"], "left")
+    final = salted.join(dealt(told, SALTS), ["f1", "f2", "n_shingles", "salt"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), own)
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -114,3 +114,10 @@ def test_components_of_awkward_edges(spark):
     out = {r["node"]: r["component"] for r in connected_components(edges, work_dir(spark)).collect()}
     assert out == {2: -5, 3: -5, -5: -5}
     assert connected_components(edges.limit(0), work_dir(spark)).count() == 0
+
+
+def test_classes_are_not_broadcast_once_for_each_salt(spark, tmp_path):
+    out = minhash.near_duplicates(documents(spark, [sentence(random.Random(1), 60)] * 3), f"file://{tmp_path}/work")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in plan and not any("BroadcastHashJoin" in x and "salt" in x for x in plan.splitlines())
