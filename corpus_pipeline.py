@@ -33,11 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays.
 
     Line dedup leaves of a near copy what its first copy does not hold, so
-    documents are compared by the texts that they came with; then equal texts
-    are one document.
+    documents are first compared by the texts that they came with.  What stays
+    is compared by the texts that it has now: those that differed in shared
+    lines alone are near-duplicates only since these are gone.
     """
     bounded_batches(spark)
-    return minhash.distinct_texts(minhash.keep_first_of(docs, table(spark, sf_dir, "documents"), work_dir(spark)))
+    folder = work_dir(spark)
+    first = minhash.distinct_texts(minhash.keep_first_of(docs, table(spark, sf_dir, "documents"), folder))
+    return minhash.keep_first(materialise(first, folder, "first"), f"{folder}/now")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,6 +50,20 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert all(r["round_trip"] for r in out.values())
 
 
+def test_near_dedup_compares_what_line_dedup_left(spark, tmp_path):
+    """Two documents that are near-duplicates but for lines which others hold as well."""
+    rng = random.Random(8)
+    say = lambda n: sentence(rng, n, 100_000)
+    own, shared = say(100).split(), [say(60) for _ in range(4)]
+    near = own[:50] + ["changed"] + own[51:]
+    texts = ["\n".join([*shared, say(80)]), "\n".join([*shared[:2], " ".join(own)]), "\n".join([*shared[2:], " ".join(near)]), say(90)]
+    docs = documents(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = lambda d: {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, d, str(tmp_path)).collect()}
+    assert kept(docs) == {0, 1, 2, 3}
+    assert kept(corpus_pipeline.line_dedup(spark, docs, str(tmp_path))) == {0, 1, 3}
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     docs = documents(spark, [f"text number {i} {sentence(random.Random(i), 90, 5000)}" for i in range(5)] + [None, ""])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
