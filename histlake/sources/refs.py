@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 
-from histlake.sources.packfmt import packets
+from histlake.sources.packfmt import packets, whole_packets
 
 _ID = re.compile(r"[0-9a-fA-F]{40}")
 
@@ -62,20 +63,41 @@ def head(path: str) -> str | None:
     return next((sha for n, sha, _ in list_refs(path) if n == name), None)
 
 
+class Advertisement:
+    """What a server advertises, read in pieces: no more is held than a packet line that is still to be completed."""
+
+    def __init__(self):
+        self.head: str | None = None
+        self.capabilities = ""
+        self._first, self._rest = True, b""
+
+    def feed(self, data: bytes) -> list[tuple[str, str]]:
+        """(name, id)... of the packet lines that these bytes complete."""
+        data = self._rest + data
+        end = whole_packets(data)
+        self._rest = data[end:]
+        return self.take(packets(data[:end]))
+
+    def take(self, payloads: Iterable[bytes]) -> list[tuple[str, str]]:
+        found = []
+        for payload in payloads:
+            said, _, extra = payload.partition(b"\0")
+            sha, _, name = said.decode("utf-8", "replace").rstrip("\n").partition(" ")
+            if not _ID.fullmatch(sha) or not name:
+                continue
+            if self._first:
+                self.capabilities, self._first = extra.decode("utf-8", "replace").strip(), False
+            if name == "HEAD":
+                self.head = sha.lower()
+            else:
+                found.append((name, sha.lower()))
+        return found
+
+
 def parse_advertisement(data: bytes) -> tuple[str | None, str, list[tuple[str, str]]]:
     """(head, capabilities, (name, id)...) of what a server advertises; peeled entries keep their ^{}."""
-    top, capabilities, found, first = None, "", [], True
-    for payload in packets(data):
-        said, _, extra = payload.partition(b"\0")
-        sha, _, name = said.decode("utf-8", "replace").rstrip("\n").partition(" ")
-        if not _ID.fullmatch(sha) or not name:
-            continue
-        if first:
-            capabilities, first = extra.decode("utf-8", "replace").strip(), False
-        if name == "HEAD":
-            top = sha.lower()
-        else:
-            found.append((name, sha.lower()))
-    if top is None and not found:
+    read = Advertisement()
+    found = read.take(packets(data))
+    if read.head is None and not found:
         raise ValueError("no refs advertised")
-    return top, capabilities, found
+    return read.head, read.capabilities, found

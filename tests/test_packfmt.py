@@ -160,3 +160,27 @@ def test_written_packs_read_back():
     assert p.parse_loose(packwrite.loose("tag", b"x")) == ("tag", b"x")
     with pytest.raises(p.FormatError):
         p.read_index(index[: 8 + 1024 + 30])
+
+
+def test_chains_of_deltas_by_id_are_inflated_once(monkeypatch):
+    """Without an index, names of bases come one by one; each round began all chains anew."""
+    objects = [("blob", b"the same beginning of all " + b"%d " * 3 % (i, i, i)) for i in range(120)]
+    data, _ = packwrite.pack(objects, by_id=True)
+    streams, inflate = [], p.inflate
+    monkeypatch.setattr(p, "inflate", lambda data, at: streams.append(at) or inflate(data, at))
+    reader = p.PackReader(data)
+    offsets = reader.offsets_forward()
+    streams.clear()
+    assert {(k, c) for _, k, c in reader.named(offsets)} == set(objects)
+    assert len(streams) == len(objects)
+    assert not list(reader.open_deltas(offsets))
+
+
+def test_advertisements_in_pieces():
+    lines = [p.packet("# service=git-upload-pack\n"), p.FLUSH, p.packet(f"{'ab' * 20} HEAD\0side-band-64k\n"), *(p.packet(f"{i:040x} refs/heads/b{i}\n") for i in range(9)), p.FLUSH]
+    data = b"".join(lines)
+    whole = refs.parse_advertisement(data)
+    for size in (1, 3, 50, 1000):
+        read = refs.Advertisement()
+        found = [x for i in range(0, len(data), size) for x in read.feed(data[i : i + size])]
+        assert (read.head, read.capabilities, found) == whole and len(found) == 9
