@@ -44,6 +44,8 @@ PARTITION_BYTES = 64 << 20
 LOOSE_FILES = 5_000
 POINTS = 1_000
 BATCH_BYTES = 8 << 20
+#: Rows of an index that are listed at once, and tasks that list indexes at most.
+INDEX_ROWS, INDEX_PARTS = 10_000, 1_000
 
 ARROW = pa.schema([("repo", pa.string()), ("storage", pa.string()), ("pack_id", pa.string()), ("offset", pa.int64()), ("sha", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
 
@@ -123,6 +125,10 @@ def loose_files(path: str) -> list[str]:
     return [os.path.join(top, d, n) for d in folders for n in sorted(os.listdir(os.path.join(top, d))) if len(n) == 38]
 
 
+def has_loose(path: str) -> bool:
+    return not path.endswith(".pack") and any(len(d) == 2 for d in os.listdir(os.path.join(git_dir(path), "objects")))
+
+
 class GitObjectsReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -303,26 +309,33 @@ class GitOpenDeltas(DataSource):
 def read_ids(ids: DataFrame, path: str, repo: str | None = None, kinds: list[str] | None = None) -> DataFrame:
     """The objects of a table of ids (sha), one row each, with chain, the streams inflated for it and the objects read with it.
 
-    Each task looks its ids up in the mapped indexes of the packs, and in the
-    loose files where no pack has them; so it reads a few pages of each index
-    and the delta chains of its own ids.  Packs without an index are scanned.
+    The ids are joined to those of the indexes, an id to the first pack that has
+    it; then each pack's are read in order of place, and only their delta
+    chains.  Loose files are asked where no pack has an id.  Packs without an
+    index are scanned.
     """
     spark = ids.sparkSession
     name, wanted = repo or path, set(kinds or KIND_NAMES)
     packs = sorted(filter(has_index, pack_files(path)), key=lambda p: packfmt.pack_id(mapped(p)))
     columns = [f.name for f in ARROW]
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rank in batch.column("rank").to_pylist():
+                with open(packs[rank].removesuffix(".pack") + ".idx", "rb") as f:
+                    names, offsets = packfmt.read_index(f.read())
+                for i in range(0, len(offsets), INDEX_ROWS):
+                    part = names[i : i + INDEX_ROWS]
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packfmt.ID_BYTES), len(part), [None, pa.py_buffer(part.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array([rank] * len(part), pa.int32()), raw.cast(pa.binary()), pa.array(offsets[i : i + INDEX_ROWS])], names=["rank", "name", "offset"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = [(p, mapped_index(p)) for p in packs]
         for batch in batches:
-            left = sorted({x for x in batch.column("sha").to_pylist() if x and len(x) == 40})
-            for pack, index in opened:
-                at = {o: x for x in left if (o := index.get(x)) is not None}
-                left = [x for x in left if x not in set(at.values())]
-                if not at:
-                    continue
-                data = mapped(pack)
-                reader, rows, size = packfmt.PackReader(data, index), [], 0
+            ranks, places, shas = (batch.column(c).to_pylist() for c in ("rank", "offset", "sha"))
+            for rank in dict.fromkeys(ranks):
+                at = {o: x for r, o, x in zip(ranks, places, shas, strict=True) if r == rank}
+                data = mapped(packs[rank])
+                reader, rows, size = packfmt.PackReader(data, mapped_index(packs[rank])), [], 0
                 for offset, kind, content in reader.points(sorted(at), wanted):
                     rows.append((name, "pack", packfmt.pack_id(data), offset, at[offset], kind, len(content), content))
                     size += len(content)
@@ -331,8 +344,11 @@ def read_ids(ids: DataFrame, path: str, repo: str | None = None, kinds: list[str
                         rows, size = [], 0
                 if rows:
                     yield _batch(rows).append_column("chain", pa.array([reader.inflated] * len(rows), pa.int64()))
-            rows = []
-            for sha in left:
+
+    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for sha in batch.column("sha").to_pylist():
                 if file := loose_file(path, sha):
                     try:
                         with open(file, "rb") as f:
@@ -341,11 +357,26 @@ def read_ids(ids: DataFrame, path: str, repo: str | None = None, kinds: list[str
                         continue
                     if kind in wanted:
                         rows.append((name, "loose", None, None, sha, kind, len(content), content))
+                        size += len(content)
+                if size >= BATCH_BYTES:
+                    yield _batch(rows).append_column("chain", pa.array([1] * len(rows), pa.int64()))
+                    rows, size = [], 0
             if rows:
                 yield _batch(rows).append_column("chain", pa.array([1] * len(rows), pa.int64()))
 
-    asked = ids.select(F.lower("sha").alias("sha")).where("sha IS NOT NULL").distinct()
-    found = asked.mapInArrow(run, f"{OBJECTS}, chain long")
+    asked = ids.select(F.lower("sha").alias("sha")).where("length(sha) = 40").distinct()
+    schema = f"{OBJECTS}, chain long"
+    if packs:
+        each = spark.range(0, len(packs), 1, min(len(packs), INDEX_PARTS)).select(F.col("id").cast("int").alias("rank")).mapInArrow(listed, "rank int, name binary, offset long")
+        places = each.select(F.lower(F.hex("name")).alias("sha"), F.struct("rank", "offset").alias("place"))
+        first = asked.join(places, "sha").groupBy("sha").agg(F.min("place").alias("place")).select("sha", "place.rank", "place.offset")
+        found = first.repartition("rank").sortWithinPartitions("rank", "offset").mapInArrow(run, schema)
+        left = asked.join(first, "sha", "left_anti")
+    else:
+        found, left = None, asked
+    if found is None or has_loose(path):
+        more = left.mapInArrow(loose, schema)
+        found = more if found is None else found.union(more)
     if len(packs) < len(pack_files(path)):
         spark.dataSource.register(GitObjects)
         scanned = spark.read.format("git_objects").option("path", path).option("repo", name).option("packs", "unindexed").option("loose", "false").option("kinds", ",".join(wanted)).load()

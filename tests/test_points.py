@@ -194,3 +194,23 @@ def test_scans_stop(spark, tmp_path):
     assert [r["sha"] for r in history.scan(repo, "blob", "the", order=12).collect()] == expected[:12]
     assert history.scan(repo, "blob", "nowhere to be found").count() == 0 and history.scan(repo, "blob", "the", order=0).count() == 0
     assert order[0] == parts[0][0] and parts[-1] is None
+
+
+def test_packs_are_closed_when_full_and_objects_are_not_weighed(spark, tmp_path):
+    from histlake.plans import star
+
+    objects = bodies(300)
+    df = spark.createDataFrame(objects, "kind string, content binary").coalesce(1)
+    packwrite.write_packs(df, str(tmp_path / "r"), pack_bytes=4000)
+    assert len(source.pack_files(str(tmp_path / "r"))) > 3
+    assert stored(spark, str(tmp_path / "r"))[0] == ids_of(objects)
+    star._dealt(df.select(F.lit("x").alias("sha"), F.raise_error(F.lit("made")).cast("long").alias("size")))
+
+
+def test_ids_meet_indexes_in_a_join(spark, tmp_path):
+    """Each id was looked up in one pack after another."""
+    objects = bodies(90)
+    path = put(tmp_path / "r", [packwrite.pack(objects[i : i + 30]) for i in (0, 30, 60)] + [packwrite.pack(objects[20:40])])
+    found = source.read_ids(spark.createDataFrame([(x,) for x in ids_of(objects)], "sha string"), path)
+    assert {r["sha"]: (r["kind"], bytes(r["content"])) for r in found.collect()} == ids_of(objects)
+    assert found.count() == len(objects) and "Join" in found._jdf.queryExecution().executedPlan().toString()
