@@ -9,10 +9,13 @@ nothing.  What is left is an inverted index: a rule stands under its rarest
 token, so a URL looks up its own tokens and compares in full only the rules it
 finds there.
 
-Combinations of a URL are as many as the subsets of its tokens, so mining sees,
-and counts, of each URL at most the ``WIDTH`` tokens that are bad most often
-among those that can be in a rule (URLs of the given tables have fewer), and
-rules have up to ``longest`` tokens.  Rules are matched against all tokens.  Frequent tokens, and so the list that Spark's FP-growth keeps on
+Rules have up to ``longest`` tokens.  A token that is a rule by itself is in no
+other, and of tokens that the very same labelled URLs hold (told by 128 bits of
+hash) one is mined and stands for its twins: a rule with two of them would hold
+a smaller one.  FP-growth makes all subsets of a URL's tokens, so it gets the URLs of at most
+``WIDTH`` tokens that are left; combinations that wider URLs hold are counted in
+all URLs, size by size, by joins.  Both ways are exact, so every rule is found.
+Frequent tokens, and so the list that Spark's FP-growth keeps on
 the driver, are as many as all tokens over the support at most.
 
 A listed rule (host, path, verdict) fits its host and all below it where the
@@ -31,11 +34,11 @@ empty results; other columns are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import materialise, shuffle_partitions, table, work_dir
 from .lines import LOWER, UPPER
@@ -46,7 +49,7 @@ LISTED = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org
 #: Bad URLs that a combination must be in: a share of the labelled ones, and a number.
 SUPPORT, LEAST = 0.002, 10
 CONFIDENCE = 0.9
-#: Tokens of a URL that are mined, and of a rule.
+#: Tokens of a URL that FP-growth takes, and of a rule.
 WIDTH, LONGEST = 12, 3
 
 URL_PARTS = r"://([^/?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?"
@@ -102,21 +105,74 @@ def mined_rules(labelled: DataFrame, folder: str, support: float = SUPPORT, leas
     each = rows.select("id", "bad", F.explode("tokens").alias("token"))
     counted = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad")).where(F.col("n_bad") >= needed)
     counted = materialise(counted, folder, "tokens")
-    worst = W.partitionBy("id").orderBy((F.col("n_bad") / F.col("n")).desc(), "token")
-    ranked = each.join(counted, "token").withColumn("rank", F.row_number().over(worst)).where(F.col("rank") <= width)
-    bundles = ranked.groupBy("id", "bad").agg(F.collect_list("token").alias("items"))
-    bundles = materialise(bundles.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), folder, "bundles")
+    sure = F.col("n_bad") >= F.col("n") * F.lit(confidence)
+    singles = counted.where(sure).select(F.array("token").alias("rule"), "n_bad", "n")
+    # what holds a rule is none, so its token is done with
+    each = materialise(each.join(counted.where(~sure).select("token"), "token"), folder, "each")
+    marks = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    alike = marks.groupBy("n", "x", "y").agg(F.min("token").alias("twin"), F.collect_list("token").alias("members"))
+    twins = materialise(alike.select("twin", F.explode("members").alias("token")), folder, "twins")
+    kept = each.join(twins.where("token = twin").select("token"), "token")
+    bundles = materialise(kept.groupBy("id", "bad").agg(F.array_sort(F.collect_list("token")).alias("items")), folder, "bundles")
+    by_growth = _grown(bundles.where(F.size("items") <= width), needed, folder, longest)
+    by_joins = _joined(bundles, needed, confidence, width, folder, longest)
+    if by_joins is not None:
+        by_growth = by_joins if by_growth is None else by_growth.join(by_joins.select("rule"), "rule", "left_anti").unionByName(by_joins)
+    if by_growth is None:
+        return _indexed(singles, counted)
+    found = materialise(by_growth.where((F.size("rule") > 1) & (F.size("rule") <= longest) & sure), folder, "mined")
+    return _indexed(singles.unionByName(_told(_least(found, longest), twins, longest)), counted)
+
+
+def _grown(bundles: DataFrame, needed: int, folder: str, longest: int) -> DataFrame | None:
+    """rule, n_bad, n of the combinations that ``needed`` bad bundles hold, by FP-growth; None where there is no bundle."""
     among = bundles.count()
     if not among:
-        return spark.createDataFrame([], schema)
+        return None
+    items = bundles.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
     # FP-growth takes the share of the rows and rounds up
-    model = FPGrowth(itemsCol="items", minSupport=(needed - 0.5) / among, minConfidence=0.0, numPartitions=shuffle_partitions(spark)).fit(bundles)
+    model = FPGrowth(itemsCol="items", minSupport=(needed - 0.5) / among, minConfidence=0.0, numPartitions=shuffle_partitions(bundles.sparkSession)).fit(items)
     frequent = materialise(model.freqItemsets.where(F.size("items") <= longest + 1), folder, "frequent")
-    items = frequent.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("rule"), F.col("freq").alias("n_bad"))
-    found = items.where((F.size("rule") > 0) & (F.size("rule") <= longest))
+    found = frequent.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("rule"), F.col("freq").alias("n_bad"))
     alone = frequent.select(F.array_sort("items").alias("rule"), F.col("freq").alias("n"))
-    rules = materialise(found.join(alone, "rule").where(F.col("n_bad") >= F.col("n") * F.lit(confidence)), folder, "mined")
-    return _indexed(_least(rules, longest), counted)
+    return found.join(alone, "rule").select("rule", "n_bad", "n")
+
+
+def _joined(bundles: DataFrame, needed: int, confidence: float, width: int, folder: str, longest: int) -> DataFrame | None:
+    """rule, n_bad, n of the combinations that bundles of more than ``width`` tokens hold, counted in all bundles; None where there is no such bundle.
+
+    Of two and more tokens, with ``needed`` bad ones; combinations of one size
+    are joined to the next, but for those that are rules already.
+    """
+    wide = bundles.where(F.size("items") > width)
+    if wide.isEmpty():
+        return None
+    weights = bundles.groupBy("items").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad")).withColumn("id", F.monotonically_increasing_id())
+    weights = materialise(weights.withColumn("wide", F.size("items") > width), folder, "weights")
+    weigh = weights.drop("items")
+    known = wide.select(F.explode("items").alias("token")).distinct()
+    held = weights.select("id", F.explode("items").alias("token")).join(known, "token").select("id", F.array().cast("array<string>").alias("front"), F.col("token").alias("last"))
+    levels = []
+    for k in range(2, longest + 1):
+        further = held.select("id", "front", F.col("last").alias("next"))
+        pairs = held.join(further, ["id", "front"]).where(F.col("next") > F.col("last"))
+        grown = pairs.select("id", F.array_append("front", F.col("last")).alias("front"), F.col("next").alias("last"))
+        counts = grown.join(weigh, "id").groupBy("front", "last").agg(F.sum("n_bad").alias("n_bad"), F.sum("n").alias("n"), F.bool_or("wide").alias("wide"))
+        level = materialise(counts.where((F.col("n_bad") >= needed) & F.col("wide")).drop("wide"), folder, f"level-{k}")
+        levels.append(level.select(F.array_append("front", F.col("last")).alias("rule"), "n_bad", "n"))
+        if k < longest:
+            open_ = level.where(F.col("n_bad") < F.col("n") * F.lit(confidence)).select("front", "last")
+            held = materialise(grown.join(open_, ["front", "last"], "left_semi"), folder, f"held-{k}")
+    return reduce(DataFrame.union, levels)
+
+
+def _told(rules: DataFrame, twins: DataFrame, longest: int) -> DataFrame:
+    """The rules, with each of its twins in the place of a token."""
+    out = rules.withColumn("told", F.array().cast("array<string>"))
+    for i in range(longest):
+        out = out.withColumn("twin", F.get("rule", F.lit(i))).join(twins, "twin", "left")
+        out = out.withColumn("told", F.when(F.col("token").isNull(), F.col("told")).otherwise(F.array_append("told", F.col("token")))).drop("twin", "token")
+    return out.select(F.array_sort("told").alias("rule"), "n_bad", "n")
 
 
 def _least(rules: DataFrame, longest: int) -> DataFrame:
