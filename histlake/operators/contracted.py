@@ -1,13 +1,17 @@
 """Generations, landings and earliest tags of graphs that no task holds: joins only, no kernel.
 
-A commit of a single parent hangs below it, so such commits make trees, each
-below an anchor: a merge, or a root.  Pointers double: in as many joins as the
-longest chain has binary digits, every commit knows its anchor and its distance.
-What is left is a graph of anchors, in which a merge leads to the anchors of its
-parents; it is as large as there are merges.  Rounds go over that graph, one
-join each: for generations, a merge follows once all its anchors are known; for
-the least value among a commit's descendants, anchors whose value has become
-smaller send it on.  Then the values go down the trees, by doubling again.
+A commit of a single parent hangs below it, if it is the largest such child; so
+commits make paths, each above an anchor: a merge, a root, or a branch's first
+commit.  Pointers double: in as many joins as the longest path has binary
+digits, every commit knows its anchor and its distance; those that know it are
+not moved again.  What is left is a graph of anchors, in which an anchor leads
+to the places of its parents; it is as large as there are merges and branches.
+Rounds go over that graph, one join each: for generations, an anchor follows
+once all its parents' are known; for the least value among a commit's
+descendants, anchors whose value has become smaller send it on.  The links stay
+on the executors, dealt by the anchor that sends, so a round shuffles the
+anchors' values alone.  Then the values go down the paths, in order of distance: first over
+blocks of a path, then within each.
 
 Rounds are as many as merges follow one another, and each shuffles only what is
 new.  ``graph`` does the same within a task, which is faster for any history
@@ -20,7 +24,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from histlake.plans.shared import shared_folder, written
@@ -29,73 +35,110 @@ from histlake.plans.shared import shared_folder, written
 MOST_DOUBLINGS = 40
 
 
+#: Commits of a path that are put in order at once.
+BLOCK = 4_096
+
+
 class Contracted:
-    """The trees and the graph of anchors of commits (component, sha) and edges (component, child, parent)."""
+    """The paths and the graph of anchors of commits (component, sha) and edges (component, child, parent)."""
 
     def __init__(self, commits: DataFrame, edges: DataFrame, component: str = "repo", folder: str | None = None):
         self.component, self.folder = component, folder or shared_folder(commits.sparkSession)
         self.steps = 0
+        key = [component, "sha"]
         known = edges.join(commits.select(component, F.col("sha").alias("parent")), [component, "parent"], "left_semi")
-        self.edges = self._kept(known.join(commits.select(component, F.col("sha").alias("child")), [component, "child"], "left_semi").select(component, "child", "parent"))
-        parents = self.edges.groupBy(component, F.col("child").alias("sha")).agg(F.count("*").alias("n"), F.max("parent").alias("only"))
-        single = F.col("n") == 1
-        start = commits.select(component, "sha").distinct().join(parents, [component, "sha"], "left")
-        start = start.select(component, "sha", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(single, F.col("only")).otherwise(F.col("sha")).alias("to"), F.when(single, 1).otherwise(0).cast("long").alias("dist"))
-        nodes = self._kept(start)
-        self.anchors = nodes.where("n <> 1").select(component, "sha", "n")
-        #: jumps[k]: where 2**k steps from each commit lead, or its anchor if that is nearer
-        self.jumps = [nodes.select(component, "sha", "to", "dist")]
+        known = self._kept(known.join(commits.select(component, F.col("sha").alias("child")), [component, "child"], "left_semi").select(component, "child", "parent"))
+        parents = self._kept(known.groupBy(component, F.col("child").alias("sha")).agg(F.count("*").alias("n"), F.max("parent").alias("only")))
+        mains = parents.where("n = 1").groupBy(component, F.col("only").alias("to")).agg(F.max("sha").alias("sha"))
+        going = self._kept(mains.select(*key, "to", F.lit(1).cast("long").alias("dist"), F.lit(False).alias("ended")))
+        told = commits.select(*key).distinct().join(parents.select(*key, "n"), key, "left").join(going.select(*key, "to"), key, "left")
+        #: component, sha, n parents: what is above no other commit of its path
+        self.anchors = self._kept(told.where("to IS NULL").select(*key, F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+        ended = [self.anchors.select(*key, F.col("sha").alias("to"), F.lit(0).cast("long").alias("dist"))]
         for _ in range(MOST_DOUBLINGS):
-            now = self.jumps[-1]
-            on = now.select(component, F.col("sha").alias("to"), F.col("to").alias("further"), F.col("dist").alias("more"))
-            both = self._kept(now.join(on, [component, "to"]).select(component, "sha", F.col("further").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), (F.col("more") > 0).alias("moved")))
-            if both.where("moved").isEmpty():
+            # a commit that nothing is known of is an anchor
+            on = reduce(DataFrame.union, [*(x.withColumn("ended", F.lit(True)) for x in ended[1:]), going])
+            on = on.select(component, F.col("sha").alias("to"), F.col("to").alias("further"), F.col("dist").alias("more"), F.col("ended").alias("all"))
+            far = (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")
+            both = self._kept(going.join(on, [component, "to"], "left").select(*key, F.coalesce("further", "to").alias("to"), far, F.coalesce("all", F.lit(True)).alias("ended")))
+            ended.append(both.where("ended").drop("ended"))
+            going = both.where("NOT ended")
+            if going.isEmpty():
                 break
-            self.jumps.append(both.drop("moved"))
-        #: merge, anchor, weight: from a merge to the anchor of each of its parents
-        merges = self.edges.join(self.anchors.where("n > 1").select(component, F.col("sha").alias("child")), [component, "child"], "left_semi")
-        self.merge_edges = self._kept(merges)
-        ends = self.jumps[-1].select(component, F.col("sha").alias("parent"), F.col("to").alias("anchor"), (F.col("dist") + 1).alias("weight"))
-        self.links = self._kept(self.merge_edges.join(ends, [component, "parent"]).select(component, F.col("child").alias("merge"), "anchor", "weight"))
+        #: component, sha, anchor, dist; without an anchor on a cycle
+        self.places = reduce(DataFrame.union, [*ended, going.select(*key, F.lit(None).cast(commits.schema["sha"].dataType), "dist")]).withColumnRenamed("to", "anchor")
+        #: from, anchor, dist: from an anchor to the place of each of its parents
+        leading = known.join(self.anchors.where("n > 0").select(component, F.col("sha").alias("child")), [component, "child"], "left_semi")
+        ends = self.places.withColumnRenamed("sha", "parent")
+        self.links = self._kept(leading.join(ends, [component, "parent"]).select(component, F.col("child").alias("from"), "anchor", "dist"))
 
     def _kept(self, df: DataFrame) -> DataFrame:
         self.steps += 1
         return written(df, f"{self.folder}/contracted-{self.steps}")
 
+    def _dealt(self, df: DataFrame, column: str) -> DataFrame:
+        """df on the executors, dealt by an anchor: joins by it do not move it again."""
+        return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.component, column).persist(StorageLevel.MEMORY_AND_DISK)
+
     def generations(self) -> DataFrame:
         """component, sha, generation: 1 for roots, else 1 more than the largest of the parents."""
         key = [self.component, "sha"]
         zero = F.lit(0).cast("long")
+        links = self._dealt(self.links, "anchor")
         new = self._kept(self.anchors.where("n = 0").select(*key, F.lit(1).cast("long").alias("g")))
         found, waiting = [new], None
         while not new.isEmpty():
-            sent = self.links.join(new.withColumnRenamed("sha", "anchor"), [self.component, "anchor"])
-            sent = sent.select(self.component, F.col("merge").alias("sha"), F.lit(1).cast("long").alias("got"), (F.col("g") + F.col("weight")).alias("g"))
+            sent = links.join(new.withColumnRenamed("sha", "anchor"), [self.component, "anchor"])
+            sent = sent.select(self.component, F.col("from").alias("sha"), F.lit(1).cast("long").alias("got"), (F.col("g") + F.col("dist") + 1).alias("g"))
             sent = sent if waiting is None else waiting.union(sent)
             summed = sent.groupBy(*key).agg(F.sum("got").alias("got"), F.max("g").alias("g"))
             summed = self._kept(summed.join(self.anchors, key).select(*key, "got", "g", (F.col("got") == F.col("n")).alias("ready")))
             new, waiting = summed.where("ready").select(*key, "g"), summed.where("NOT ready").select(*key, "got", "g")
             found.append(new)
-        known = reduce(DataFrame.union, found).withColumnRenamed("sha", "to")
-        ends = self.jumps[-1].join(known, [self.component, "to"], "left")
+        links.unpersist()
+        known = reduce(DataFrame.union, found).withColumnRenamed("sha", "anchor")
+        ends = self.places.join(known, [self.component, "anchor"], "left")
         return ends.select(*key, F.coalesce(F.col("g") + F.col("dist"), zero).cast("int").alias("generation"))
 
-    def least(self, own: DataFrame) -> DataFrame:
-        """component, sha, v: the least v of each commit and its descendants, of own (component, sha, v); v is anything with an order."""
+    def least(self, own: DataFrame, strict: bool = False) -> DataFrame:
+        """component, sha, v: the least v of each commit (but where strict) and its descendants, of own (component, sha, v); v is anything with an order."""
         key = [self.component, "sha"]
-        ends = self.jumps[-1].select(*key, "to")
-        new = self._kept(own.join(ends, key).groupBy(self.component, F.col("to").alias("sha")).agg(F.min("v").alias("v")))
-        best = new
-        while not new.isEmpty():
-            sent = self.links.join(new.withColumnRenamed("sha", "merge"), [self.component, "merge"]).groupBy(self.component, F.col("anchor").alias("sha")).agg(F.min("v").alias("v"))
-            new = self._kept(sent.join(best.withColumnRenamed("v", "had"), key, "left").where("had IS NULL OR v < had").select(*key, "v"))
-            best = self._kept(best.union(new).groupBy(*key).agg(F.min("v").alias("v")))
-        merged = self.merge_edges.join(best.withColumnRenamed("sha", "child"), [self.component, "child"]).select(self.component, F.col("parent").alias("sha"), "v")
-        values = self._kept(own.select(*key, "v").union(merged).groupBy(*key).agg(F.min("v").alias("v")))
-        for jump in self.jumps:
-            up = values.join(jump.where("dist > 0"), key).select(self.component, F.col("to").alias("sha"), "v")
-            values = self._kept(values.union(up).groupBy(*key).agg(F.min("v").alias("v")))
-        return values
+        at = self._kept(own.join(self.places.where("anchor IS NOT NULL"), key).select(self.component, "anchor", "dist", "v"))
+        best = self._settled(at.groupBy(self.component, F.col("anchor").alias("sha")).agg(F.min("v").alias("v")))
+        above = self.links.where("anchor IS NOT NULL").join(best.withColumnRenamed("sha", "from"), [self.component, "from"]).select(self.component, "anchor", "dist", "v")
+        return self._down(at, self._kept(above), strict)
+
+    def _settled(self, start: DataFrame) -> DataFrame:
+        """component, sha, v: the least v of each anchor's path and all that leads to it, of start."""
+        key = [self.component, "sha"]
+        links = self._dealt(self.links.select(self.component, F.col("from").alias("sha"), F.col("anchor").alias("next")).where("next IS NOT NULL"), "sha")
+        best = self._kept(start.select(*key, "v", F.lit(True).alias("new")))
+        while not best.where("new").isEmpty():
+            sent = links.join(best.where("new").select(*key, "v"), key).select(self.component, F.col("next").alias("sha"), "v", F.lit(False).alias("known"))
+            both = best.select(*key, "v", F.lit(True).alias("known")).union(sent).groupBy(*key).agg(F.min("v").alias("v"), F.min(F.when(F.col("known"), F.col("v"))).alias("had"))
+            best = self._kept(both.select(*key, "v", (F.col("had").isNull() | (F.col("v") < F.col("had"))).alias("new")))
+        links.unpersist()
+        return best.select(*key, "v")
+
+    def _down(self, at: DataFrame, above: DataFrame, strict: bool) -> DataFrame:
+        """component, sha, v: the least v at or beyond each commit's place; at and above: component, anchor, dist, v of commits' own values and of those that links bring."""
+        path = [self.component, "anchor"]
+        block = F.floor(F.col("dist") / BLOCK).alias("block")
+        both = at.union(above)
+        far = both.where(F.col("dist") >= BLOCK).groupBy(*path, block).agg(F.min("v").alias("v"))
+        order = W.partitionBy(*path).orderBy(F.desc("block"))
+        far = far.select(*path, F.min("v").over(order).alias("v"), F.sequence(F.coalesce(F.lead("block").over(order), F.lit(0).cast("long")), F.col("block") - 1).alias("blocks"))
+        # from each block with values to those between it and the next one
+        carried = far.select(*path, F.explode("blocks").alias("block"), "v").where("block >= 0")
+        row = lambda df, dist, rank, sha, v: df.select(*path, *([block] if "block" not in df.columns else ["block"]), dist.alias("dist"), F.lit(rank).alias("rank"), sha.alias("sha"), v.alias("v"))
+        places = self.places.where("anchor IS NOT NULL")
+        none = lambda df, name: F.lit(None).cast(df.schema[name].dataType)
+        of = none(places, "sha")
+        rows = row(places, F.col("dist"), 1, F.col("sha"), none(at, "v"))
+        rows = rows.union(row(at, F.col("dist"), 2 if strict else 0, of, F.col("v"))).union(row(above, F.col("dist"), 0, of, F.col("v")))
+        rows = rows.union(row(carried, (F.col("block") + 1) * BLOCK, 0, of, F.col("v")))
+        beyond = W.partitionBy(*path, "block").orderBy(F.desc("dist"), "rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+        return rows.withColumn("v", F.min("v").over(beyond)).where("sha IS NOT NULL AND v IS NOT NULL").select(self.component, "sha", "v")
 
 
 def generations(commits: DataFrame, edges: DataFrame, component: str = "repo", folder: str | None = None) -> DataFrame:
@@ -108,10 +151,10 @@ def landings(dag: DataFrame, edges: DataFrame, targets: DataFrame, heads: DataFr
     of = Contracted(dag, edges, component, folder)
     inside = of.least(heads.select(component, "sha", F.lit(0).alias("v")).join(dag.select(component, "sha"), [component, "sha"], "left_semi")).select(component, "sha")
     merges = of.anchors.where("n > 1").join(inside, [component, "sha"], "left_semi").join(dag.select(component, "sha", "generation"), [component, "sha"])
-    first = of.least(merges.select(component, "sha", F.struct(F.col("generation").alias("generation"), F.col("sha").alias("merge")).alias("v")))
-    asked = targets.select(component, "sha").distinct().join(inside, [component, "sha"], "left_semi")
-    above = asked.join(of.edges.withColumnRenamed("parent", "sha"), [component, "sha"]).join(first.withColumnRenamed("sha", "child"), [component, "child"])
-    return above.groupBy(component, "sha").agg(F.min("v").alias("v")).select(component, "sha", "v.merge", "v.generation")
+    own = merges.select(component, "sha", F.struct(F.col("generation").alias("generation"), F.col("sha").alias("merge")).alias("v"))
+    # what a merge inside leads to is inside
+    found = targets.select(component, "sha").distinct().join(of.least(own, strict=True), [component, "sha"])
+    return found.select(component, "sha", "v.merge", "v.generation")
 
 
 def earliest_tags(dag: DataFrame, edges: DataFrame, tags: DataFrame, targets: DataFrame, component: str = "repo", folder: str | None = None) -> DataFrame:

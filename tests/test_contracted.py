@@ -63,3 +63,21 @@ def test_cycles_end(spark, monkeypatch):
     edges = spark.createDataFrame([("r", "a", 0, "b"), ("r", "b", 0, "a"), ("r", "c", 0, "d"), ("r", "e", 0, "a"), ("r", "e", 1, "c")], "repo string, child string, ordinal int, parent string")
     found = {r["sha"]: r["generation"] for r in contracted.generations(commits, edges).collect()}
     assert found == {"a": 0, "b": 0, "c": 2, "d": 1, "e": 0}
+
+
+def test_paths_longer_than_a_block(spark, monkeypatch):
+    """Values come down a path over blocks of it, with and without values of their own, branches and merges beside it."""
+    monkeypatch.setattr(contracted, "BLOCK", 4)
+    test_random_graphs(spark, 300, 0.03)
+
+
+def test_rounds_do_not_shuffle_links(spark):
+    commits, edges = made(random.Random(8), 80, 0.5)
+    commits = spark.createDataFrame(commits, "repo string, sha string, author_ts long")
+    of = contracted.Contracted(commits, spark.createDataFrame(edges, "repo string, child string, ordinal int, parent string"))
+    links = of._dealt(of.links.withColumnRenamed("from", "sha"), "sha")
+    assert links.count() > 0
+    plan = links.hint("merge").join(of.anchors.hint("merge"), ["repo", "sha"])._jdf.queryExecution().executedPlan().toString()
+    links.unpersist()
+    above = plan.split("InMemoryTableScan")[0]
+    assert "SortMergeJoin" in plan and "Exchange" not in above
