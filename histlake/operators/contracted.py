@@ -46,14 +46,15 @@ class Contracted:
         self.component, self.folder = component, folder or shared_folder(commits.sparkSession)
         self.steps = 0
         key = [component, "sha"]
-        known = edges.join(commits.select(component, F.col("sha").alias("parent")), [component, "parent"], "left_semi")
-        known = self._kept(known.join(commits.select(component, F.col("sha").alias("child")), [component, "child"], "left_semi").select(component, "child", "parent"))
-        parents = self._kept(known.groupBy(component, F.col("child").alias("sha")).agg(F.count("*").alias("n"), F.max("parent").alias("only")))
-        mains = parents.where("n = 1").groupBy(component, F.col("only").alias("to")).agg(F.max("sha").alias("sha"))
+        known = edges.select(component, "child", "parent").join(commits.select(component, F.col("sha").alias("parent")), [component, "parent"], "left_semi")
+        above = known.groupBy(component, F.col("child").alias("sha")).agg(F.collect_list("parent").alias("parents"))
+        # a commit's parents stay with it, so edges are not looked up again
+        nodes = self._kept(commits.select(*key).distinct().join(above, key, "left"))
+        mains = nodes.where("size(parents) = 1").groupBy(component, F.col("parents")[0].alias("to")).agg(F.max("sha").alias("sha"))
         going = self._kept(mains.select(*key, "to", F.lit(1).cast("long").alias("dist"), F.lit(False).alias("ended")))
-        told = commits.select(*key).distinct().join(parents.select(*key, "n"), key, "left").join(going.select(*key, "to"), key, "left")
-        #: component, sha, n parents: what is above no other commit of its path
-        self.anchors = self._kept(told.where("to IS NULL").select(*key, F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+        told = nodes.join(going.select(*key), key, "left_anti")
+        #: component, sha, n parents, parents: what is above no other commit of its path
+        self.anchors = self._kept(told.select(*key, F.greatest(F.size("parents"), F.lit(0)).cast("long").alias("n"), "parents"))
         ended = [self.anchors.select(*key, F.col("sha").alias("to"), F.lit(0).cast("long").alias("dist"))]
         for _ in range(MOST_DOUBLINGS):
             # a commit that nothing is known of is an anchor
@@ -68,7 +69,7 @@ class Contracted:
         #: component, sha, anchor, dist; without an anchor on a cycle
         self.places = reduce(DataFrame.union, [*ended, going.select(*key, F.lit(None).cast(commits.schema["sha"].dataType), "dist")]).withColumnRenamed("to", "anchor")
         #: from, anchor, dist: from an anchor to the place of each of its parents
-        leading = known.join(self.anchors.where("n > 0").select(component, F.col("sha").alias("child")), [component, "child"], "left_semi")
+        leading = self.anchors.select(component, F.col("sha").alias("child"), F.explode("parents").alias("parent"))
         ends = self.places.withColumnRenamed("sha", "parent")
         self.links = self._kept(leading.join(ends, [component, "parent"]).select(component, F.col("child").alias("from"), "anchor", "dist"))
 
@@ -92,7 +93,7 @@ class Contracted:
             sent = sent.select(self.component, F.col("from").alias("sha"), F.lit(1).cast("long").alias("got"), (F.col("g") + F.col("dist") + 1).alias("g"))
             sent = sent if waiting is None else waiting.union(sent)
             summed = sent.groupBy(*key).agg(F.sum("got").alias("got"), F.max("g").alias("g"))
-            summed = self._kept(summed.join(self.anchors, key).select(*key, "got", "g", (F.col("got") == F.col("n")).alias("ready")))
+            summed = self._kept(summed.join(self.anchors.select(*key, "n"), key).select(*key, "got", "g", (F.col("got") == F.col("n")).alias("ready")))
             new, waiting = summed.where("ready").select(*key, "g"), summed.where("NOT ready").select(*key, "got", "g")
             found.append(new)
         links.unpersist()
@@ -150,7 +151,7 @@ def landings(dag: DataFrame, edges: DataFrame, targets: DataFrame, heads: DataFr
     """As graph.landings; dag(component, sha, generation)."""
     of = Contracted(dag, edges, component, folder)
     inside = of.least(heads.select(component, "sha", F.lit(0).alias("v")).join(dag.select(component, "sha"), [component, "sha"], "left_semi")).select(component, "sha")
-    merges = of.anchors.where("n > 1").join(inside, [component, "sha"], "left_semi").join(dag.select(component, "sha", "generation"), [component, "sha"])
+    merges = of.anchors.where("n > 1").select(component, "sha").join(inside, [component, "sha"], "left_semi").join(dag.select(component, "sha", "generation"), [component, "sha"])
     own = merges.select(component, "sha", F.struct(F.col("generation").alias("generation"), F.col("sha").alias("merge")).alias("v"))
     # what a merge inside leads to is inside
     found = targets.select(component, "sha").distinct().join(of.least(own, strict=True), [component, "sha"])
