@@ -54,31 +54,60 @@ def header(body: Column) -> Column:
 
 
 def commit_tree(body: Column) -> Column:
-    found = F.regexp_extract(header(body), r"(?m)^tree ([0-9a-f]{40})$", 1)
-    return F.when(found != "", found)
+    return header_tree(header(body))
+
+
+def header_tree(head: Column) -> Column:
+    """The same of a header; most begin with that line, and no more of them is searched."""
+    first = F.substring(head, 1, 46)
+    found = F.regexp_extract(head, r"(?m)^tree ([0-9a-f]{40})$", 1)
+    return F.when(first.rlike(r"\Atree [0-9a-f]{40}\n"), F.substring(first, 6, 40)).when(found != "", found)
 
 
 def commit_parents(body: Column) -> Column:
     """In order: the first one is the branch that was merged into."""
-    return F.regexp_extract_all(header(body), F.lit(r"(?m)^parent ([0-9a-f]{40})$"), F.lit(1))
+    return header_parents(header(body))
+
+
+def header_parents(head: Column) -> Column:
+    return F.regexp_extract_all(head, F.lit(r"(?m)^parent ([0-9a-f]{40})$"), F.lit(1))
+
+
+def author_line(body: Column) -> Column:
+    """The first author line; empty if there is none.  Where no line ends but by a line feed, it is found without a pattern."""
+    plain = ~(body.contains("\r") | body.contains("\u0085") | body.contains("\u2028") | body.contains("\u2029"))
+    at = F.instr(body, "\nauthor ")
+    after = F.when(body.startswith("author "), body).when(at > 0, F.substring(body, at + F.lit(1), F.length(body))).otherwise("")
+    return F.when(plain, F.substring_index(after, "\n", 1)).otherwise(F.regexp_extract(body, r"(?m)^author .*$", 0))
 
 
 def author_ts(body: Column) -> Column:
     """Seconds of the first author line; 0 if there is none or it cannot be read."""
-    line = F.regexp_extract(body, r"(?m)^author .*$", 0)
+    return line_ts(author_line(body))
+
+
+def line_ts(line: Column) -> Column:
+    """The same of an author line; one that ends in digits and a zone, each after one space, is not split."""
+    end = F.substring_index(F.trim(line), " ", -2)
+    digits, zone = F.substring_index(end, " ", 1), F.substring_index(end, " ", -1)
+    plain = F.length(digits).between(1, 18) & (F.translate(digits, "0123456789", "") == "") & (zone != "") & (F.translate(zone, "\t\x0b\f", "") == zone) & end.contains(" ")
     stamp = F.try_element_at(F.split(F.trim(line), r"\s+"), F.lit(-2))
-    return F.coalesce(F.when(stamp.rlike(r"^[+-]?\d{1,18}$"), stamp).try_cast("long"), F.lit(0).cast("long"))
+    split = F.coalesce(F.when(stamp.rlike(r"^[+-]?\d{1,18}$"), stamp).try_cast("long"), F.lit(0).cast("long"))
+    return F.when(plain, digits.try_cast("long")).otherwise(split)
 
 
 def author_name(body: Column) -> Column:
-    line = F.regexp_extract(body, r"(?m)^author .*$", 0)
+    return line_name(author_line(body))
+
+
+def line_name(line: Column) -> Column:
     return F.when(line != "", F.trim(F.substring_index(F.substring(line, 8, 1 << 20), "<", 1)))
 
 
 def subject(body: Column) -> Column:
     """The first line of the message; empty if there is none."""
     at = F.instr(body, "\n\n")
-    message = F.when(at > 0, F.ltrim(F.regexp_replace(F.substring(body, at + F.lit(2), F.length(body)), r"^\s+", "")))
+    message = F.when(at > 0, F.ltrim(F.substring(body, at + F.lit(2), F.length(body)), F.lit(" \t\n\x0b\f\r")))
     return F.coalesce(F.btrim(F.substring_index(message, "\n", 1), F.lit(LINE_SPACE)), F.lit(""))
 
 

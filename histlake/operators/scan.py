@@ -30,12 +30,19 @@ def kinds(name: str) -> list[str]:
     return [word]
 
 
-def deduped(objs: DataFrame) -> DataFrame:
-    """One row for each object; a packed copy goes before a loose one."""
+def deduped(objs: DataFrame, many: bool = False) -> DataFrame:
+    """One row for each object; a packed copy goes before a loose one.
+
+    many: there may be many copies of an object, which each task then brings
+    together before they are shuffled; stored objects have few, and are sorted
+    once.  Bodies that are not asked for are not shuffled.
+    """
     order = F.struct((F.col("storage") != "pack").alias("loose"), "pack_id", "offset")
-    rest = [c for c in objs.columns if c not in ("repo", "sha")]
-    first = objs.groupBy("repo", "sha").agg(F.min_by(F.struct(*rest), order).alias("o"))
-    return first.select("repo", "sha", "o.*").select(*objs.columns)
+    rest = [c for c in objs.columns if c not in ("repo", "sha", "content")]
+    body = [F.min_by("content", order).alias("content")] if "content" in objs.columns else []
+    dealt = objs if many else objs.repartition("repo", "sha")
+    first = dealt.groupBy("repo", "sha").agg(F.min_by(F.struct(*rest), order).alias("o"), *body)
+    return first.select("repo", "sha", "o.*", *(["content"] if body else [])).select(*objs.columns)
 
 
 def scan(objs: DataFrame, kind: str, pattern: str, exact: bool = False, order: str | int | None = None, summary: bool = False, limit: int | None = None) -> DataFrame:

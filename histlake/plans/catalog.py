@@ -22,9 +22,12 @@ from histlake.sources.objects import GitObjects, GitObjectsReader, GitOpenDeltas
 
 def commits_of(objs: DataFrame) -> DataFrame:
     """repo, sha, tree, author_name, author_ts, parents, subject, storage of the commits among objects."""
-    body = fn.text(F.col("content"))
-    found = scan.deduped(objs.where("kind = 'commit'").select("repo", "storage", "pack_id", "offset", "sha", "content"))
-    return found.select("repo", "sha", fn.commit_tree(body).alias("tree"), fn.author_name(body).alias("author_name"), fn.author_ts(body).alias("author_ts"), fn.commit_parents(body).alias("parents"), fn.subject(body).alias("subject"), "storage")
+    own = ["repo", "storage", "pack_id", "offset", "sha"]
+    read = objs.where("kind = 'commit'").select(*own, fn.text(F.col("content")).alias("body"))
+    read = read.select(*own, fn.header(F.col("body")).alias("head"), fn.author_line(F.col("body")).alias("line"), fn.subject(F.col("body")).alias("subject"))
+    head, line = F.col("head"), F.col("line")
+    read = read.select(*own, fn.header_tree(head).alias("tree"), fn.line_name(line).alias("author_name"), fn.line_ts(line).alias("author_ts"), fn.header_parents(head).alias("parents"), "subject")
+    return scan.deduped(read).select("repo", "sha", "tree", "author_name", "author_ts", "parents", "subject", "storage")  # bodies are not shuffled
 
 
 def edges_of(commits: DataFrame) -> DataFrame:

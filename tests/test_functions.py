@@ -90,3 +90,21 @@ def test_scan_rules(spark):
     assert scan.kinds("blobs") == ["blob"] and len(scan.kinds("all")) == 4
     with pytest.raises(ValueError):
         scan.kinds("thing")
+
+
+def test_author_lines_found_without_patterns_equal_those_of_patterns(spark):
+    ends = ["1700 +0100", "-5 +0000", "+7 +0000", "1" * 18 + " +1", "1" * 19 + " +1", "12  +0000", "12 +0000 ", "12 +0000\t", "12\t+0000", "x 12", "12", "", "12 +0\u00e9", "\x0b12 +0", "12 a\tb", "\u0663 +0", "1 2 3"]
+    heads = ["author A <a> ", "author ", "tree x\nauthor B <b> ", "xauthor <c> ", "t\rauthor D <d> ", "t\u2028author E <e> ", " author <f>\nauthor <g> ", "author"]
+    bodies = [h + e + tail for h in heads for e in ends for tail in ("", "\nauthor Z <z> 9 +0", "\r\nx", "\u0085y", "\n\n \t\x0b\f\n subject \nrest")] + ["", None]
+    body, line = F.col("s"), F.regexp_extract("s", r"(?m)^author .*$", 0)
+    stamp = F.try_element_at(F.split(F.trim(line), r"\s+"), F.lit(-2))
+    ts = F.coalesce(F.when(stamp.rlike(r"^[+-]?\d{1,18}$"), stamp).try_cast("long"), F.lit(0).cast("long"))
+    at = F.instr(body, "\n\n")
+    message = F.when(at > 0, F.regexp_replace(F.substring(body, at + F.lit(2), F.length(body)), r"^\s+", ""))
+    subject = F.coalesce(F.btrim(F.substring_index(message, "\n", 1), F.lit(objects.LINE_SPACE)), F.lit(""))
+    tree = F.regexp_extract(objects.header(body), r"(?m)^tree ([0-9a-f]{40})$", 1)
+    trees_ = ["tree " + "a1" * 20 + x for x in ("", "\nq", "\n\nz", "b\n", "\r\nq", " \n")] + ["p\ntree " + "c" * 40 + "\nq", "tree " + "g" * 40 + "\nq"]
+    df = spark.createDataFrame([(b,) for b in bodies + trees_], "s string")
+    pairs = [(objects.author_line(body), line), (objects.author_ts(body), ts), (objects.subject(body), subject), (objects.commit_tree(body), F.when(tree != "", tree))]
+    for now, before in pairs:
+        assert df.where(~now.eqNullSafe(before)).collect() == []
