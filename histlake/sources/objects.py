@@ -14,10 +14,11 @@ delta chains below them are inflated; ``read_ids`` does so for a table of ids.
 Deltas whose bases a pack does not hold have no row here: the data source
 "git_open_deltas" lists them, ``deltas.resolve`` joins them to their bases.
 
-A pack becomes partitions along its delta families, so that no base is read
-twice and packs of any size spread over many tasks.  Planning reads the index
+A pack of more than partition_bytes becomes partitions along its delta families, so that no base is read
+twice and packs of any size spread over many tasks.  Planning reads its index
 and all headers as arrays; a partition carries the offsets and ids of its own
-objects, so no task reads the index.  Where a pack without an index has its
+objects.  Other packs are read whole, by a task that reads their indexes, so that planning
+touches no object of them; small ones that follow each other share a task.  Where a pack without an index has its
 objects only a walk from front to back tells: a small one is walked by its task.  Executors read the path
 themselves: it must be on storage that all of them mount.  ``from_binary_files``
 reads repositories in stores that only Spark can reach.
@@ -29,6 +30,7 @@ import mmap
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +43,23 @@ from histlake.sources import packfmt
 from histlake.sources.refs import git_dir
 
 PARTITION_BYTES = 64 << 20
+#: Tasks that whole packs make at least, where there are as many packs.
+LEAST_PARTS = 64
 LOOSE_FILES = 5_000
 POINTS = 1_000
 BATCH_BYTES = 8 << 20
-#: Rows of an index that are listed at once, and tasks that list indexes at most.
-INDEX_ROWS, INDEX_PARTS = 10_000, 1_000
+#: Rows of an index that are listed at once, bytes of indexes that a task lists, and such tasks at least (where there are as many packs) and at most.
+INDEX_ROWS, INDEX_BYTES, LEAST_INDEX_PARTS, INDEX_PARTS = 10_000, 4 << 20, 24, 1_000
 
 ARROW = pa.schema([("repo", pa.string()), ("storage", pa.string()), ("pack_id", pa.string()), ("offset", pa.int64()), ("sha", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
 
 
 @dataclass
 class Part(InputPartition):
-    """Offsets of a pack (int64) and their ids (20 bytes each), a whole pack (offsets is None), or loose files.
+    """Offsets of a pack (int64) and their ids (20 bytes each), whole packs (offsets is None), or loose files.
 
     points: of the pack only these objects are wanted; their bases are elsewhere in it.
+    more: the packs that follow, whole as the first.
     """
 
     pack: str | None
@@ -62,6 +67,7 @@ class Part(InputPartition):
     ids: bytes = b""
     files: tuple[str, ...] = ()
     points: bool = False
+    more: tuple[str, ...] = ()
 
     def first(self) -> int:
         return int(np.frombuffer(self.offsets, dtype=np.int64)[0]) if self.offsets else 12
@@ -81,11 +87,11 @@ def _index(path: str) -> list[tuple[str, int]] | None:
 
 
 def _planned(path: str, budget: int) -> list[Part]:
+    if os.path.getsize(path) <= budget:
+        return [Part(path)]
     name = path.removesuffix(".pack") + ".idx"
     data = np.frombuffer(mapped(path), dtype=np.uint8)
     if not os.path.isfile(name):
-        if len(data) <= budget:
-            return [Part(path)]
         # only a walk tells where objects begin; reading them is then spread
         ordered = np.array(packfmt.PackReader(mapped(path)).offsets_forward(), dtype=np.int64)
         return [Part(path, x.tobytes()) for x in packfmt.families(ordered, packfmt.bases(data, ordered), len(data), budget)]
@@ -97,6 +103,34 @@ def _planned(path: str, budget: int) -> list[Part]:
     return [Part(path, x.tobytes(), ids[order[np.searchsorted(ordered, x)]].tobytes()) for x in parts]
 
 
+def _joined(parts: list[Part], most: int) -> list[Part]:
+    """Whole packs that follow each other in one part, up to so many bytes."""
+    out, size = [], 0
+    for part in parts:
+        own = os.path.getsize(part.pack)
+        if out and part.offsets is None and out[-1].offsets is None and size + own <= most:
+            out[-1].more += (part.pack,)
+            size += own
+        else:
+            out.append(part)
+            size = own
+    return out
+
+
+def _listed(path: str) -> tuple[list[int], bytes] | None:
+    """Offsets of a pack in order and their ids (20 bytes each), by its index; None without one."""
+    if not has_index(path):
+        return None
+    ids, at_ids = packfmt.read_index(mapped(path.removesuffix(".pack") + ".idx"))
+    order = np.argsort(at_ids)
+    return at_ids[order].tolist(), ids[order].tobytes()
+
+
+def _ids_at(offsets: list[int], ids: bytes) -> dict[int, str]:
+    names = ids.hex()
+    return {o: names[40 * i : 40 * i + 40] for i, o in enumerate(offsets)} if ids else {}
+
+
 def pack_files(path: str) -> list[str]:
     if path.endswith(".pack"):
         return [path]
@@ -152,9 +186,10 @@ class GitObjectsReader(DataSourceReader):
 
     def stored(self) -> list[Part]:
         """All partitions, in storage order."""
-        parts = []
-        for path in sorted(filter(self.packs, pack_files(self.path)), key=lambda p: packfmt.pack_id(mapped(p))):
+        parts, packs = [], sorted(filter(self.packs, pack_files(self.path)), key=lambda p: packfmt.pack_id(mapped(p)))
+        for path in packs:
             parts += self._points(path) if self.offsets is not None or self.ids is not None and has_index(path) else _planned(path, self.budget)
+        parts = _joined(parts, min(self.budget, sum(map(os.path.getsize, packs)) // LEAST_PARTS))
         if self.loose and self.offsets is None:
             files = loose_files(self.path) if self.ids is None else sorted(f for x in self.ids if (f := loose_file(self.path, x)))
             parts += [Part(None, files=tuple(files[i : i + LOOSE_FILES])) for i in range(0, len(files), LOOSE_FILES)]
@@ -177,7 +212,7 @@ class GitObjectsReader(DataSourceReader):
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for row in self._packed(part) if part.pack else self._loose(part):
+        for row in chain.from_iterable(self._packed(p, part) for p in (part.pack, *part.more)) if part.pack else self._loose(part):
             rows.append(row)
             size += row[6] if self.content else 200
             if size >= BATCH_BYTES:
@@ -186,29 +221,29 @@ class GitObjectsReader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
-    def _packed(self, part: Part) -> Iterator[tuple]:
-        data = mapped(part.pack)
+    def _packed(self, path: str, part: Part) -> Iterator[tuple]:
+        data = mapped(path)
         pack = packfmt.pack_id(data)
         if part.points:
             offsets = np.frombuffer(part.offsets, dtype=np.int64).tolist()
-            for offset, kind, content in packfmt.PackReader(data, mapped_index(part.pack)).points(offsets, self.kinds):
+            for offset, kind, content in packfmt.PackReader(data, mapped_index(path)).points(offsets, self.kinds):
                 sha = packfmt.object_id(kind, content)
                 if self.ids is None or sha in self.ids:
                     yield self.repo, "pack", pack, offset, sha, kind, len(content), content if self.content else None
             return
-        if part.offsets is None:
+        listed = (np.frombuffer(part.offsets, dtype=np.int64).tolist(), part.ids) if part.offsets is not None else _listed(path)
+        if listed is None:
             sha_of, reader = {}, packfmt.PackReader(data)
             offsets = reader.offsets_forward()
         else:
-            offsets = np.frombuffer(part.offsets, dtype=np.int64).tolist()
-            sha_of = {o: part.ids[20 * i : 20 * i + 20].hex() for i, o in enumerate(offsets)} if part.ids else {}
+            offsets, sha_of = listed[0], _ids_at(*listed)
             reader = packfmt.PackReader(data, {s: o for o, s in sha_of.items()})  # bases by id are in the same part
         if not self.content and sha_of:  # ids and kinds need no inflating; sizes of deltas would
             for offset in offsets:
                 if (kind := reader.kind_of(offset)) in self.kinds:
                     yield self.repo, "pack", pack, offset, sha_of[offset], kind, None, None
             return
-        read = reader.named if part.offsets is None else reader.read
+        read = reader.named if listed is None else reader.read
         for offset, kind, content in read(offsets, self.kinds):
             sha = sha_of.get(offset) or packfmt.object_id(kind, content)
             if self.ids is not None and sha not in self.ids:
@@ -264,24 +299,26 @@ class OpenDeltasReader(GitObjectsReader):
     """Deltas that end at an id which their pack does not hold."""
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        if not part.pack:
-            return
-        data = mapped(part.pack)
-        reader = packfmt.PackReader(data)
-        offsets = np.frombuffer(part.offsets, dtype=np.int64).tolist() if part.offsets is not None else reader.offsets_forward()
-        if part.ids:
-            reader.offset_of = {part.ids[20 * i : 20 * i + 20].hex(): o for i, o in enumerate(offsets)}
-        elif part.offsets is None:
-            for _ in reader.named(offsets, set()):  # names what the pack itself can resolve
-                pass
         rows, size = [], 0
-        for offset, root, level, base_sha, base_offset in reader.open_deltas(offsets):
-            change = reader.delta(offset)
-            rows.append((self.repo, packfmt.pack_id(data), offset, root, level, base_sha, base_offset, change))
-            size += len(change)
-            if size >= BATCH_BYTES:
-                yield _open_batch(rows)
-                rows, size = [], 0
+        for path in (part.pack, *part.more) if part.pack else ():
+            data = mapped(path)
+            reader = packfmt.PackReader(data)
+            listed = (np.frombuffer(part.offsets, dtype=np.int64).tolist(), part.ids) if part.offsets is not None else _listed(path)
+            if listed is None:
+                offsets = reader.offsets_forward()
+                for _ in reader.named(offsets, set()):  # names what the pack itself can resolve
+                    pass
+            else:
+                offsets = listed[0]
+                reader.offset_of = {s: o for o, s in _ids_at(*listed).items()}
+            pack = packfmt.pack_id(data)
+            for offset, root, level, base_sha, base_offset in reader.open_deltas(offsets):
+                change = reader.delta(offset)
+                rows.append((self.repo, pack, offset, root, level, base_sha, base_offset, change))
+                size += len(change)
+                if size >= BATCH_BYTES:
+                    yield _open_batch(rows)
+                    rows, size = [], 0
         if rows:
             yield _open_batch(rows)
 
@@ -367,7 +404,8 @@ def read_ids(ids: DataFrame, path: str, repo: str | None = None, kinds: list[str
     asked = ids.select(F.lower("sha").alias("sha")).where("length(sha) = 40").distinct()
     schema = f"{OBJECTS}, chain long"
     if packs:
-        each = spark.range(0, len(packs), 1, min(len(packs), INDEX_PARTS)).select(F.col("id").cast("int").alias("rank")).mapInArrow(listed, "rank int, name binary, offset long")
+        tasks = max(LEAST_INDEX_PARTS, -(-sum(os.path.getsize(p.removesuffix(".pack") + ".idx") for p in packs) // INDEX_BYTES))
+        each = spark.range(0, len(packs), 1, min(len(packs), tasks, INDEX_PARTS)).select(F.col("id").cast("int").alias("rank")).mapInArrow(listed, "rank int, name binary, offset long")
         places = each.select(F.lower(F.hex("name")).alias("sha"), F.struct("rank", "offset").alias("place"))
         first = asked.join(places, "sha").groupBy("sha").agg(F.min("place").alias("place")).select("sha", "place.rank", "place.offset")
         found = first.repartition("rank").sortWithinPartitions("rank", "offset").mapInArrow(run, schema)

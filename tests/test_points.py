@@ -7,7 +7,8 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from histlake.plans import history
+from histlake.operators import scan
+from histlake.plans import catalog, history
 from histlake.plans.catalog import RepoCatalog
 from histlake.sources import deltas, packfmt, packwrite
 from histlake.sources import objects as source
@@ -214,3 +215,34 @@ def test_ids_meet_indexes_in_a_join(spark, tmp_path):
     found = source.read_ids(spark.createDataFrame([(x,) for x in ids_of(objects)], "sha string"), path)
     assert {r["sha"]: (r["kind"], bytes(r["content"])) for r in found.collect()} == ids_of(objects)
     assert found.count() == len(objects) and "Join" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packs_that_fit_a_part_are_planned_without_their_objects(spark, tmp_path, monkeypatch):
+    thin = [p for i in range(90) for p in packwrite.thin_packs([(k, c + b" of %d" % i) for k, c in bodies(16)])]
+    path = put(tmp_path / "r", thin + [(packwrite.pack(bodies(40, "tag"))[0], None)])
+    monkeypatch.setattr(packfmt, "read_index", lambda data: pytest.fail("planning reads an index"))
+    reader = GitObjectsReader({"path": path})
+    parts = reader.stored()
+    monkeypatch.undo()
+    # as many parts as are wanted at least, not one for each of 181 packs; none carries offsets or ids
+    assert source.LEAST_PARTS <= len(parts) <= 2 * source.LEAST_PARTS and all(x.offsets is None and not x.ids for x in parts)
+    packs = [x for part in parts for x in (part.pack, *part.more)]
+    assert packs == sorted(source.pack_files(path), key=lambda x: packfmt.pack_id(source.mapped(x)))
+    rows = [r for part in parts for b in reader.read(part) for r in b.to_pylist()]
+    want = ids_of([(k, c + b" of %d" % i) for i in range(90) for k, c in bodies(16)] + bodies(40, "tag"))
+    late = {r["sha"]: (r["kind"], bytes(r["content"])) for r in RepoCatalog(spark, path).objects.collect()}
+    assert late == want and {r["sha"]: (r["kind"], r["content"]) for r in rows}.items() <= want.items() and 0 < len(rows) < len(want)
+
+
+def test_bodies_are_not_shuffled_where_nobody_asks_for_them(spark, tmp_path):
+    objects = [("commit", c) for _, c in bodies(40)]
+    path = put(tmp_path / "r", [packwrite.pack(objects), packwrite.pack(objects[:9] + [("tag", b"t")])], objects[5:7])
+    spark.dataSource.register(GitObjects)
+    read = spark.read.format("git_objects").options(path=path).load()
+    for df, n in ((scan.deduped(read).select("sha", "kind", "size"), 41), (catalog.commits_of(read), 40)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[: plan.index("RepartitionByExpression")] + plan[plan.index("RepartitionByExpression") :].split("Project", 1)[0]
+        assert "content" not in below and df.count() == n
+    one = scan.deduped(read)
+    assert {r["sha"]: (r["kind"], bytes(r["content"])) for r in one.collect()} == ids_of(objects + [("tag", b"t")])
+    assert one.columns == read.columns and one.where("storage = 'loose'").count() == 0
