@@ -408,7 +408,9 @@ def read_ids(ids: DataFrame, path: str, repo: str | None = None, kinds: list[str
         each = spark.range(0, len(packs), 1, min(len(packs), tasks, INDEX_PARTS)).select(F.col("id").cast("int").alias("rank")).mapInArrow(listed, "rank int, name binary, offset long")
         places = each.select(F.lower(F.hex("name")).alias("sha"), F.struct("rank", "offset").alias("place"))
         first = asked.join(places, "sha").groupBy("sha").agg(F.min("place").alias("place")).select("sha", "place.rank", "place.offset")
-        found = first.repartition("rank").sortWithinPartitions("rank", "offset").mapInArrow(run, schema)
+        # so many tasks by the packs' bytes: ids and places are too few for their own to tell
+        readers = max(LEAST_INDEX_PARTS, -(-sum(map(os.path.getsize, packs)) // PARTITION_BYTES))
+        found = first.repartition(min(len(packs), readers), "rank").sortWithinPartitions("rank", "offset").mapInArrow(run, schema)
         left = asked.join(first, "sha", "left_anti")
     else:
         found, left = None, asked

@@ -246,3 +246,12 @@ def test_bodies_are_not_shuffled_where_nobody_asks_for_them(spark, tmp_path):
     one = scan.deduped(read)
     assert {r["sha"]: (r["kind"], bytes(r["content"])) for r in one.collect()} == ids_of(objects + [("tag", b"t")])
     assert one.columns == read.columns and one.where("storage = 'loose'").count() == 0
+
+
+def test_a_table_of_ids_is_read_by_many_tasks(spark, tmp_path):
+    objects = [[(k, c + b" of %d" % i) for k, c in bodies(8)] for i in range(30)]
+    path = put(tmp_path / "r", [packwrite.pack(x) for x in objects])
+    known = ids_of(sum(objects, []))
+    found = source.read_ids(spark.createDataFrame([(x,) for x in known], "sha string"), path)
+    assert {r["sha"]: (r["kind"], bytes(r["content"])) for r in found.collect()} == known
+    assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 8
