@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from histlake.llm import decontaminate, lines, minhash, pieces, quality
-from histlake.llm.common import bounded_batches, materialise, table, work_dir
+from histlake.llm.common import bounded_batches, delete, settle, table, work_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     folder = work_dir(spark)
     first = minhash.distinct_texts(minhash.keep_first_of(docs, table(spark, sf_dir, "documents"), folder))
-    return minhash.keep_first(materialise(first, folder, "first"), f"{folder}/now")
+    return minhash.keep_first(settle(first, folder, "first"), f"{folder}/now")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        docs = materialise(stage(spark, docs, sf_dir), folder, f"stage-{k}")
+        docs = settle(stage(spark, docs, sf_dir), folder, f"stage-{k}")
+        if k:
+            delete(spark, f"{folder}/stage-{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

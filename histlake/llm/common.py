@@ -7,6 +7,7 @@ buffer, so that no Python code runs for each word.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -90,6 +91,18 @@ def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """materialise, after which the shuffle files that it took may go.
+
+    Spark removes them once the driver has collected the plan as garbage; left
+    alone, a driver that allocates little keeps those of many steps.
+    """
+    out = materialise(df, folder, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where, files = _hadoop(spark, path)
     files.delete(where, True)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, materialise
+from .common import delete, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,12 +40,11 @@ def _mark(edges: DataFrame) -> tuple:
 
 def connected_components(edges: DataFrame, folder: str, name: str = "components", most: int = 60) -> DataFrame:
     """node, component: the smallest id that each node of edges (u, v) reaches; nodes without edges are absent."""
-    now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder, f"{name}-0")
+    now = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder, f"{name}-0")
     mark = _mark(now)
     for i in range(1, most):
-        new = materialise(_small_star(_large_star(now)), folder, f"{name}-{i}")
-        if i > 1:
-            delete(edges.sparkSession, f"{folder}/{name}-{i - 1}")
+        new = settle(_small_star(_large_star(now)), folder, f"{name}-{i}")
+        delete(edges.sparkSession, f"{folder}/{name}-{i - 1}")
         now, before, mark = new, mark, _mark(new)
         if mark == before:
             roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TextBatch, byte_batch, dealt, delete, gram_valid, grams, ids_and_texts, materialise, mix, packed_texts, parts_for, shuffle_partitions, table, text_chunks, unpack, work_dir
+from .common import TextBatch, byte_batch, dealt, delete, gram_valid, grams, ids_and_texts, materialise, mix, packed_texts, parts_for, settle, shuffle_partitions, table, text_chunks, unpack, work_dir
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -288,7 +288,7 @@ def _mixed(placed: DataFrame, long_parts: DataFrame, crowded: DataFrame) -> Data
 
 
 def _shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """rep, n, component, outside, h: the sets of members, a row for each shingle."""
+    """rep, n, h: the sets of members, a row for each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,10 +297,10 @@ def _shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
                 sets, bounds = shingle_sets(byte_batch(part.column("rep"), unpack(part.column("packed")), lower=True))
                 n = np.diff(bounds)
                 which = pa.array(np.repeat(np.arange(part.num_rows), n))
-                yield pa.RecordBatch.from_arrays([part.column("rep").take(which), pa.array(np.repeat(n, n).astype(np.int64)), part.column("component").take(which), part.column("outside").take(which), pa.array(sets.view(np.int64))], names=["rep", "n", "component", "outside", "h"])
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(which), pa.array(np.repeat(n, n).astype(np.int64)), pa.array(sets.view(np.int64))], names=["rep", "n", "h"])
 
-    joined = members.join(texts.select(F.col("doc_id").alias("rep"), "packed").dropDuplicates(["rep"]), "rep")
-    return joined.select("rep", "component", "outside", "packed").mapInArrow(run, "rep long, n long, component long, outside boolean, h long")
+    joined = members.select("rep").join(texts.select(F.col("doc_id").alias("rep"), "packed").dropDuplicates(["rep"]), "rep")
+    return joined.select("rep", "packed").mapInArrow(run, "rep long, n long, h long")
 
 
 def sharing_rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def sharing_rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
     n = F.col("n")
     probe = n - F.ceil(n * PERCENT / 100) + 1
     index = n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)) + 1
-    heads = placed.where(place <= probe).select("rep", "n", "component", "outside", "h", place.alias("place"), (place <= index).alias("first"))
+    heads = placed.where(place <= probe).select("rep", "n", "h", place.alias("place"), (place <= index).alias("first")).join(members, "rep")
     x, y = heads.where("outside").alias("x"), heads.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep"))
     meets = F.when(smaller, F.col("x.first")).otherwise(F.col("y.first"))
@@ -336,36 +336,41 @@ def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     docs = ids_and_texts(docs, id_col, text_col)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = materialise(profiles(docs), folder, "profiles")
-    sets = found.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = sets.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    signs = materialise(reps.select("doc_id", "n_shingles", "signature", "bands"), folder, "signatures")
+    whole = materialise(profiles(docs), folder, "profiles")
+    found = materialise(whole.select("doc_id", "n_shingles", "f1", "f2"), folder, "sets")
+    linked = "doc_id IS NOT NULL AND n_shingles > 0"
+    classes = found.where(linked).groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = whole.where(linked).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    signs = settle(reps.select("doc_id", "n_shingles", "signature", "bands"), folder, "signatures")
+    delete(spark, f"{folder}/profiles")
 
     short = signs.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     sizes = short.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
-    met = materialise(short.join(sizes, "key"), folder, "met")
+    met = settle(short.join(sizes, "key"), folder, "met")
     hot = met.where(F.col("n") > SMALL).select(F.col("rep").alias("doc_id")).distinct()
-    crowded = materialise(signs.join(hot, "doc_id", "left_semi").select("doc_id", "signature"), folder, "crowded")
+    crowded = settle(signs.join(hot, "doc_id", "left_semi").select("doc_id", "signature"), folder, "crowded")
     n_parts = parts_for(crowded, PART_BYTES, 4 * shuffle_partitions(spark))
     buckets = met.where(F.col("n") <= SMALL)
 
     star = buckets.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).union(_long_stars(crowded, n_parts)).distinct()
-    tried = materialise(_agreeing(star, signs), folder, "tried")
+    tried = settle(_agreeing(star, signs), folder, "tried")
+    delete(spark, f"{folder}/signatures")
     texts = packed_texts(docs)
-    links = materialise(confirmed(tried, texts), folder, "links")
-    components = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), folder, "first")
+    links = settle(confirmed(tried, texts), folder, "links")
+    components = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{folder}/components", "first")
 
     # buckets that still hold several components
     known = components.withColumnRenamed("node", "rep")
     placed = buckets.where("n > 2").join(known, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     met_anew = crowded.withColumnRenamed("doc_id", "rep").join(known, "rep", "left").select("rep", "signature", F.coalesce("component", "rep").alias("component"))
-    members = materialise(_mixed(placed, _long_parts(met_anew.select("signature", "component"), n_parts), met_anew), folder, "members")
-    more = materialise(sharing_rare_shingles(members, texts).join(tried, ["a", "b"], "left_anti"), folder, "more")
+    members = settle(_mixed(placed, _long_parts(met_anew.select("signature", "component"), n_parts), met_anew), folder, "members")
+    for name in ("met", "crowded"):
+        delete(spark, f"{folder}/{name}")
+    more = settle(sharing_rare_shingles(members, texts).join(tried, ["a", "b"], "left_anti"), folder, "more")
     if not more.isEmpty():
-        new = materialise(confirmed(more, texts), folder, "more-links")
+        new = settle(confirmed(more, texts), folder, "more-links")
         if not new.isEmpty():
-            components = connected_components(links.union(new).select(F.col("a").alias("u"), F.col("b").alias("v")), folder, "second")
+            components = connected_components(links.union(new).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{folder}/components", "second")
 
     # documents look their class up in parts, so that a large group of copies is no single task's
     moved = components.where("node <> component").select(F.col("node").alias("rep"), "component")
@@ -380,7 +385,7 @@ def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
 
 def keep_first(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are kept, in all their columns: the smallest id of each component."""
-    result = materialise(near_duplicates(docs, folder, id_col, text_col), folder, "result")
+    result = settle(near_duplicates(docs, folder, id_col, text_col), folder, "result")
     _tidy(docs.sparkSession, folder)
     gone = result.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
@@ -392,13 +397,14 @@ def keep_first_of(docs: DataFrame, known: DataFrame, folder: str, id_col: str =
     known has the texts that are compared, under the same ids, and may hold
     more documents; docs that it lacks, or without an id, stay.
     """
-    groups = materialise(near_duplicates(known, folder, id_col, text_col), folder, "groups")
+    groups = settle(near_duplicates(known, folder, id_col, text_col), folder, "groups")
     _tidy(docs.sparkSession, folder)
     members = groups.where("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()
     here = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id")).distinct().join(members, "doc_id")
     first = here.groupBy("component_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = here.join(first, "component_id").where("doc_id > first").select(F.col("doc_id").alias("__gone"))
-    gone = materialise(gone, folder, "gone")
+    gone = settle(gone, folder, "gone")
+    delete(docs.sparkSession, f"{folder}/groups")
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
 
 
@@ -411,13 +417,13 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _tidy(spark: SparkSession, folder: str) -> None:
-    for name in ("profiles", "signatures", "met", "crowded", "tried", "links", "members", "more", "more-links"):
+    for name in ("sets", "tried", "links", "components", "members", "more", "more-links"):
         delete(spark, f"{folder}/{name}")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark)
-    result = materialise(near_duplicates(table(spark, sf_dir, "documents"), folder), folder, "result")
+    result = settle(near_duplicates(table(spark, sf_dir, "documents"), folder), folder, "result")
     _tidy(spark, folder)
     return result
 

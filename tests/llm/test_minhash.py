@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 from histlake.llm import minhash
 from histlake.llm.common import work_dir
@@ -121,3 +123,30 @@ def test_classes_are_not_broadcast_once_for_each_salt(spark, tmp_path):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "salt" in plan and not any("BroadcastHashJoin" in x and "salt" in x for x in plan.splitlines())
+
+
+def _shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in dirs for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_")}
+
+
+def test_steps_leave_no_shuffles_and_few_tables(spark, tmp_path, monkeypatch):
+    """Of what was shuffled for a step nothing stays when the next one is written, and tables go when nothing reads them any more."""
+    rng = random.Random(51)
+    texts = [t for _ in range(20) for t in family(rng, sentence(rng, 80), 4, 4)]
+    docs, folder, seen, before = documents(spark, texts), tmp_path / "work", {}, _shuffle_files(spark)
+    rare = minhash.sharing_rare_shingles
+
+    def look(*args):
+        end = time.time() + 5
+        while len(found := _shuffle_files(spark) - before) >= 50 and time.time() < end:
+            time.sleep(0.1)
+        seen["files"] = found
+        seen["tables"] = {p.name for p in folder.iterdir()}
+        return rare(*args)
+
+    monkeypatch.setattr(minhash, "sharing_rare_shingles", look)
+    assert {r["doc_id"] for r in minhash.keep_first(docs, f"file://{folder}").collect()} == {i for i, r in brute(texts).items() if r[2]}
+    assert len(seen["files"]) < 50
+    assert seen["tables"] == {"sets", "tried", "links", "components", "members"}
+    assert {p.name for p in folder.iterdir()} == {"result"}
