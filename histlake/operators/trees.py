@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histlake.functions import regexes
-from histlake.plans.shared import shared_folder, written
+from histlake.plans.shared import delete, settled, shared_folder, written
 
 MAX_DEPTH = 200
 
@@ -87,7 +87,9 @@ def walk(entries: DataFrame, roots: DataFrame, excludes: list[str] | None = None
 
 
 def listings(entries: DataFrame) -> DataFrame:
-    """repo, tree, list: the entries of each tree in one row."""
+    """repo, tree, list: the entries of each tree in one row.  Listings stay as they are, for those who have them grouped already."""
+    if "list" in entries.columns:
+        return entries
     return entries.groupBy("repo", "tree").agg(F.collect_list(F.struct("name", "sha", "is_tree")).alias("list"))
 
 
@@ -103,45 +105,84 @@ def _by_name(entries: Column) -> Column:
     return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), named).otherwise(F.array_distinct(last)))
 
 
-def _compared(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """pairs (repo, a, b, and more columns) with name, x, y, change: what differs in each, a row an entry.
+#: Bytes of pairs and lists, as files, that a comparison shuffles at once, and slices that it makes of more at most: each reads the files again.
+SLICE_BYTES, MOST_SLICES = 512 << 20, 8
+
+
+def _slices(*tables: DataFrame) -> int:
+    """In how many slices tables are joined, by what is known of their files."""
+    known = sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+    return max(1, min(-(-known // SLICE_BYTES), MOST_SLICES))
+
+
+def _slice(table: DataFrame, tree: str, k: int, n: int) -> DataFrame:
+    """The k-th of n slices by tree, in which all rows of a tree are together."""
+    return table if n == 1 else table.where(F.pmod(F.xxhash64("repo", tree), F.lit(n)) == k)
+
+
+def _compared(pairs: DataFrame, lists: DataFrame, path: str, *columns: str | Column) -> DataFrame:
+    """The columns asked for, as a table at path, of pairs (repo, a, b, and more) with name, x, y, change: what differs in each, a row an entry.
 
     Where change is null, x and y are a pair of directories below the name.
     The two lists of a pair meet in one row, and what both hold is taken off
-    there; where a side is ABSENT, the other's list is all there is.
+    there; where a side is ABSENT, the other's list is all there is.  Joins are
+    made slice by slice, and of the shuffle files only a slice's are there at a
+    time; lists beyond the smallest and greatest tree asked for are not shuffled.
     """
-    columns = [F.col(c) for c in pairs.columns]
-    none = F.lit(ABSENT)
-
-    def alone(side: str, other: str, change: str) -> DataFrame:
-        met = pairs.where(F.col(other) == ABSENT).join(lists.withColumnRenamed("tree", side), ["repo", side])
-        each = met.select(*columns, F.inline("list").alias("name", "sha", "is_tree"))
-        x, y = (F.col("sha"), none) if side == "a" else (none, F.col("sha"))
-        return each.select(*columns, "name", x.alias("x"), y.alias("y"), F.when(~F.col("is_tree"), change).alias("change"))
-
-    both = pairs.where((F.col("a") != ABSENT) & (F.col("b") != ABSENT))
-    met = both.join(lists.select("repo", F.col("tree").alias("a"), F.col("list").alias("list_a")), ["repo", "a"], "left")
-    met = met.join(lists.select("repo", F.col("tree").alias("b"), F.col("list").alias("list_b")), ["repo", "b"], "left")
+    kept = [c for c in pairs.columns if c not in ("a", "b")]
+    none, a, b = F.lit(ABSENT), F.col("a"), F.col("b")
+    ends = [f(F.when(c != ABSENT, c)) for c in (a, b) for f in (F.min, F.max)]
+    n_both, n_one, *ends = pairs.agg(F.count_if((a != ABSENT) & (b != ABSENT)), F.count_if((a != ABSENT) != (b != ABSENT)), *ends).first()
+    ends = [x for x in ends if x is not None] or [ABSENT]
+    lists = lists.where(F.col("tree").between(min(ends), max(ends)))
+    n = _slices(pairs, lists)
+
+    met = pairs.where((a != ABSENT) & (b != ABSENT))
+    of = {side: lists.select("repo", F.col("tree").alias(side), F.col("list").alias(f"list_{side}")) for side in "ab"}
+    if n_both and n > 1:  # in one slice both joins are one job
+        for k in range(n):
+            half = settled(_slice(met, "a", k, n).join(_slice(of["a"], "a", k, n), ["repo", "a"], "left"), f"{path}-half", "append" if k else "overwrite")
+        met = half
+    else:
+        met = met.join(of["a"], ["repo", "a"], "left")
     empty = F.array().cast(lists.schema["list"].dataType)
     own = lambda x, other: _by_name(F.array_except(F.coalesce(F.col(x), empty), F.coalesce(F.col(other), empty)))
     zipped = F.map_zip_with(own("list_a", "list_b"), own("list_b", "list_a"), lambda k, x, y: F.struct(x.alias("x"), y.alias("y")))
-    each = met.select(*columns, F.explode(zipped).alias("name", "e"))
-    x, y = F.col("e.x"), F.col("e.y")
-    deeper = F.coalesce(x["is_tree"], y["is_tree"]) & F.coalesce(y["is_tree"], x["is_tree"])
-    change = F.when(deeper, None).when(x.isNull(), "added").when(y.isNull(), "deleted").otherwise("changed")
-    met = each.select(*columns, "name", F.coalesce(x["sha"], none).alias("x"), F.coalesce(y["sha"], none).alias("y"), change.alias("change"))
-    return met.union(alone("a", "b", "deleted")).union(alone("b", "a", "added"))
+
+    def both(k: int) -> DataFrame:
+        each = _slice(met, "b", k, n).join(_slice(of["b"], "b", k, n), ["repo", "b"], "left").select(*kept, "a", "b", F.explode(zipped).alias("name", "e"))
+        x, y = F.col("e.x"), F.col("e.y")
+        deeper = F.coalesce(x["is_tree"], y["is_tree"]) & F.coalesce(y["is_tree"], x["is_tree"])
+        change = F.when(deeper, None).when(x.isNull(), "added").when(y.isNull(), "deleted").otherwise("changed")
+        return each.select(*kept, "a", "b", "name", F.coalesce(x["sha"], none).alias("x"), F.coalesce(y["sha"], none).alias("y"), change.alias("change"))
+
+    def one(k: int) -> DataFrame:
+        gone, sha, tree = F.col("gone"), F.col("sha"), F.col("tree")
+        there = pairs.where((a != ABSENT) != (b != ABSENT)).select(*kept, F.when(b == ABSENT, a).otherwise(b).alias("tree"), (b == ABSENT).alias("gone"))
+        each = _slice(there, "tree", k, n).join(_slice(lists, "tree", k, n), ["repo", "tree"]).select(*kept, "tree", "gone", F.inline("list").alias("name", "sha", "is_tree"))
+        side = lambda c: (F.when(gone, c).otherwise(none), F.when(gone, none).otherwise(c))
+        (old, new), (x, y) = side(tree), side(sha)
+        change = F.when(~F.col("is_tree"), F.when(gone, "deleted").otherwise("added"))
+        return each.select(*kept, old.alias("a"), new.alias("b"), "name", x.alias("x"), y.alias("y"), change.alias("change"))
+
+    for k in range(n):
+        # in one job, so that a slice of the lists is shuffled once for both
+        each = both(k) if not n_one else one(k) if not n_both else both(k).union(one(k))
+        out = settled(each.select(*columns), path, "append" if k else "overwrite")
+    if n_both and n > 1:
+        delete(pairs.sparkSession, f"{path}-half")
+    return out
 
 
 def differences(lists: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
     """repo, a, b, name, x, y, change: the graph of the distinct pairs that pairs (repo, a, b) lead to, each compared once, wherever it stands."""
-    todo = seen = written(pairs.select("repo", "a", "b").distinct(), f"{folder}/pairs-0")
+    todo = seen = settled(pairs.select("repo", "a", "b").distinct(), f"{folder}/pairs-0")
     out = None
     for level in range(1, MAX_DEPTH):
-        step = written(_compared(todo, lists), f"{folder}/step-{level}")
+        step = _compared(todo, lists, f"{folder}/step-{level}", "repo", "a", "b", "name", "x", "y", "change")
         out = step if out is None else out.union(step)
         below = step.where("change IS NULL").select("repo", F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        todo = written(below.join(seen, ["repo", "a", "b"], "left_anti"), f"{folder}/pairs-{level}")
+        todo = settled(below.join(seen, ["repo", "a", "b"], "left_anti"), f"{folder}/pairs-{level}")
         if todo.isEmpty():
             return out
         seen = seen.union(todo)
@@ -162,9 +203,12 @@ def _changes(entries: DataFrame, start: DataFrame, folder: str, times: str | Non
     ``times``, rows of one pair at one path are one then, with the sum of that column.
     """
     keys = ["repo", "a", "b"]
-    lists = written(listings(entries), f"{folder}/lists")
+    spark = start.sparkSession
+    lists = settled(listings(entries), f"{folder}/lists")
     rest = [c for c in start.columns if c not in keys]
-    now = written(start.select(*keys, *rest, F.lit("").alias("prefix")), f"{folder}/start")
+    path = F.concat("prefix", "name").alias("path")
+    now = settled(start.select(*keys, *rest, F.lit("").alias("prefix")), f"{folder}/start")
+    read = f"{folder}/start"  # the table that now is of
     out = steps = None
     for level in range(MAX_DEPTH):
         if steps is None:
@@ -173,19 +217,29 @@ def _changes(entries: DataFrame, start: DataFrame, folder: str, times: str | Non
                 break
             if rows >= REPEATED * distinct:
                 steps = differences(lists, now, folder)
+                delete(spark, f"{folder}/lists")
         elif now.isEmpty():
             break
         if steps is not None and times:
             now = now.groupBy(*keys, "prefix").agg(F.sum(times).alias(times)).select(*keys, times, "prefix")
-        met = _compared(now, lists) if steps is None else now.join(steps, keys)
-        met = written(met.select("repo", "x", "y", *rest, F.concat("prefix", "name").alias("path"), "change"), f"{folder}/changes-{level}")
+        table = f"{folder}/changes-{level}"
+        if steps is None:
+            met = _compared(now, lists, table, "repo", "x", "y", *rest, path, "change")
+        else:
+            met = settled(now.join(steps, keys).select("repo", "x", "y", *rest, path, "change"), table)
+        if read:
+            delete(spark, read)
+        read = table
         here = met.where("change IS NOT NULL").select("repo", *rest, "path", "change")
-        out = here if out is None else out.union(here)
+        if not here.isEmpty():  # else the table goes when its directories have been compared
+            out, read = here if out is None else out.union(here), None
         now = met.where("change IS NULL").select("repo", F.col("x").alias("a"), F.col("y").alias("b"), *rest, F.concat("path", F.lit("/")).alias("prefix"))
     else:
         raise RuntimeError(f"trees deeper than {MAX_DEPTH}")
-    nothing = now.select("repo", *rest, F.col("prefix").alias("path"), F.lit("").alias("change"))
-    return nothing if out is None else out
+    if out is None:
+        return spark.createDataFrame([], now.select("repo", *rest, F.col("prefix").alias("path"), F.lit("").alias("change")).schema)
+    delete(spark, f"{folder}/lists")
+    return out
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
@@ -193,16 +247,19 @@ def _pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select("repo", side("old").alias("a"), side("new").alias("b"), *(c for c in pairs.columns if c != "repo")).where("a <> b")
 
 
-def diff(entries: DataFrame, pairs: DataFrame, folder: str | None = None) -> DataFrame:
+def diff(entries: DataFrame, pairs: DataFrame, folder: str | None = None, by: str | None = None) -> DataFrame:
     """repo, old, new, path, change: the files that differ between trees (repo, old, new).
 
     Only unequal entries go down a level; a side that is absent gives all its
     files.  change: added, deleted or changed; a file that became a directory
-    is changed, and the directory's files are not counted.
+    is changed, and the directory's files are not counted.  With ``by``, each
+    row of pairs is compared, and that column stands for old and new: what a
+    row carries from level to level is most of what is shuffled.
     """
     folder = folder or shared_folder(entries.sparkSession)
-    start = _pairs(pairs.select("repo", "old", "new").distinct())
-    return _changes(entries, start, folder).select("repo", "old", "new", "path", "change")
+    names = [by] if by else ["old", "new"]
+    start = _pairs(pairs if by else pairs.select("repo", "old", "new").distinct()).select("repo", "a", "b", *names)
+    return _changes(entries, start, folder).select("repo", *names, "path", "change")
 
 
 def churn(commits: DataFrame, entries: DataFrame, folder: str | None = None) -> DataFrame:

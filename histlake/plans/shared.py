@@ -42,3 +42,25 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """df as a table that was written and is read again: lineage ends here."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Spark's own setting by which shuffle files go when the query that made them has ended, and not when its driver happens to collect garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """written, in less room, and the shuffle files that it took go with it."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLES_GO, None)
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.mode(mode).option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(SHUFFLES_GO) if before is None else conf.set(SHUFFLES_GO, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A work table that nothing reads any more goes before the application ends."""
+    where, files = _hadoop(spark, path)
+    files.delete(where, True)

@@ -1,11 +1,14 @@
 """Tree differences and containing tags against plain Python."""
 
+import os
 import random
+import time
 from collections import Counter
 
 import pytest
 
 from histlake.operators import graph, trees
+from histlake.plans import star
 
 ENTRIES = "repo string, tree string, name string, sha string, is_tree boolean"
 
@@ -74,6 +77,48 @@ def test_a_level_compares_distinct_pairs(spark, tmp_path):
     assert steps == [1] * 7
 
 
+@pytest.mark.parametrize("repeated", [2.0, 1e9])
+def test_slices_equal_plain_python(spark, monkeypatch, tmp_path, repeated):
+    """Joins made slice by slice, one column in place of old and new, entries as listings; work tables go."""
+    monkeypatch.setattr(trees, "REPEATED", repeated)
+    monkeypatch.setattr(trees, "SLICE_BYTES", 1)
+    monkeypatch.setattr(trees, "MOST_SLICES", 3)
+    tree_of, roots = made(random.Random(5))
+    entries = spark.createDataFrame([("r", t, n, s, d) for t, e in tree_of.items() for n, (s, d) in e.items()], ENTRIES)
+    pairs = [(a, b) for a in [*roots, None, "missing"] for b in [*roots, None]]
+    frame = spark.createDataFrame([("r", a, b, i) for i, (a, b) in enumerate(pairs)], "repo string, old string, new string, n long")
+    found = trees.diff(trees.listings(entries), frame, f"file://{tmp_path}", by="n")
+    assert found.columns == ["repo", "n", "path", "change"]
+    got = sorted((r["n"], r["path"], r["change"]) for r in found.collect())
+    assert got == sorted((i, *c) for i, (a, b) in enumerate(pairs) if a != b for c in brute(tree_of, a, b))
+    assert not {"lists", "start"} & {p.name for p in tmp_path.iterdir()} and not list(tmp_path.glob("*-half"))
+
+
+def test_shuffle_files_go_with_their_steps(spark):
+    """tree_diff leaves no shuffle files of its comparisons, which were all there at once, and none of the tables that only they read."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        names = {p for p in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in p}
+        return {p: os.path.getsize(p) for p in names if os.path.exists(p)}
+
+    before = shuffled()
+    found = star.tree_diff(spark, "/root/testdata/sf0.001")
+    for _ in range(50):
+        left = sum(n for p, n in shuffled().items() if p not in before)
+        if left < 100_000:
+            break
+        time.sleep(0.2)
+    assert left < 100_000
+    assert found.columns == ["child", "path", "change"] and not found.isEmpty()
+    assert {os.path.basename(os.path.dirname(f)) for f in found.inputFiles()} == {"changes-1"}
+
+
+def test_lists_of_the_tables_equal_their_entries(spark):
+    flat = lambda d: sorted((r["repo"], r["tree"], sorted(map(tuple, r["list"]))) for r in d.collect())
+    assert flat(star.tree_lists(spark, "/root/testdata/sf0.001")) == flat(trees.listings(star.tree_entries(spark, "/root/testdata/sf0.001")))
+
+
 def test_entries_of_one_name(spark):
     """No sound tree has two entries of one name; the greater one counts."""
     entries = spark.createDataFrame([("r", "a", "n", s, False) for s in ("1", "2")] + [("r", "b", "n", "2", False), ("r", "b", "m", "3", False), ("r", "b", "m", "4", False)], ENTRIES)
