@@ -134,7 +134,7 @@ def _compared(pairs: DataFrame, lists: DataFrame, path: str, *columns: str | Col
     ends = [f(F.when(c != ABSENT, c)) for c in (a, b) for f in (F.min, F.max)]
     n_both, n_one, *ends = pairs.agg(F.count_if((a != ABSENT) & (b != ABSENT)), F.count_if((a != ABSENT) != (b != ABSENT)), *ends).first()
     ends = [x for x in ends if x is not None] or [ABSENT]
-    lists = lists.where(F.col("tree").between(min(ends), max(ends)))
+    lists = lists.where(F.col("tree").between(min(ends), max(ends)) & (F.col("tree") != ABSENT))
     n = _slices(pairs, lists)
 
     met = pairs.where((a != ABSENT) & (b != ABSENT))
@@ -157,9 +157,12 @@ def _compared(pairs: DataFrame, lists: DataFrame, path: str, *columns: str | Col
         return each.select(*kept, "a", "b", "name", F.coalesce(x["sha"], none).alias("x"), F.coalesce(y["sha"], none).alias("y"), change.alias("change"))
 
     def one(k: int) -> DataFrame:
-        gone, sha, tree = F.col("gone"), F.col("sha"), F.col("tree")
-        there = pairs.where((a != ABSENT) != (b != ABSENT)).select(*kept, F.when(b == ABSENT, a).otherwise(b).alias("tree"), (b == ABSENT).alias("gone"))
-        each = _slice(there, "tree", k, n).join(_slice(lists, "tree", k, n), ["repo", "tree"]).select(*kept, "tree", "gone", F.inline("list").alias("name", "sha", "is_tree"))
+        gone, sha, tree = F.col("gone"), F.col("sha"), F.col("side")
+        there = pairs.where((a != ABSENT) != (b != ABSENT)).select(*kept, F.when(b == ABSENT, a).otherwise(b).alias("side"), (b == ABSENT).alias("gone"))
+        # the same plan as in both(), so that one shuffle of the lists does: columns named anew, and no filter that an inner generator infers
+        listed = lists.select("repo", F.col("tree").alias("side"), F.col("list").alias("listed"))
+        each = _slice(there, "side", k, n).join(_slice(listed, "side", k, n), ["repo", "side"])
+        each = each.select(*kept, "side", "gone", F.inline_outer("listed").alias("name", "sha", "is_tree")).where("is_tree IS NOT NULL")
         side = lambda c: (F.when(gone, c).otherwise(none), F.when(gone, none).otherwise(c))
         (old, new), (x, y) = side(tree), side(sha)
         change = F.when(~F.col("is_tree"), F.when(gone, "deleted").otherwise("added"))
